@@ -36,7 +36,8 @@ def join_meeting_boxes(
     """Pairs of a left and a right row of the same keys whose boxes meet (touching counts).
 
     ``left_box`` and ``right_box`` name columns that exist on one side only. ``how`` may be
-    ``left``: then left rows without a partner appear once with nulls.
+    ``left`` (left rows without a partner appear once with nulls) or ``left_anti`` (only those);
+    ``salt_by`` then names the columns that identify a left row within its keys.
     """
     rows = LIMITS.join_rows if rows is None else rows
     keys = list(keys)
@@ -68,12 +69,14 @@ def join_meeting_boxes(
     )
     pairs = a.join(b, [*keys, "_salt", "_gx", "_gy"]).where(meeting(left_box, right_box) & owner)
     pairs = pairs.drop("_salt", "_gx", "_gy")
-    result = plain(left_small, right_small).unionByName(pairs)
-    if how != "left":
-        return result
+    result = plain(left_small, right_small)
+    if how == "inner":
+        return result.unionByName(pairs)
     paired = pairs.select(*keys, *named).distinct()
     alone = left_hot.join(paired, [*keys, *named], "left_anti")
-    return result.unionByName(alone, allowMissingColumns=True)
+    if how == "left_anti":
+        return result.unionByName(alone)
+    return result.unionByName(pairs).unionByName(alone, allowMissingColumns=True)
 
 
 def _on_keys(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, how: str) -> DataFrame:
@@ -81,4 +84,5 @@ def _on_keys(left: DataFrame, right: DataFrame, keys: list[str], condition: Colu
     match = condition
     for key in keys:
         match = match & (F.col(key) == F.col(f"_r_{key}"))
-    return left.join(renamed, match, how).drop(*[f"_r_{key}" for key in keys])
+    joined = left.join(renamed, match, how)
+    return joined if how == "left_anti" else joined.drop(*[f"_r_{key}" for key in keys])

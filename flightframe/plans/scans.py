@@ -94,6 +94,9 @@ def scan(
     carried = {**before, **upto}
     values = {f"_v_{name}": column for name, column in {**carried, **sums}.items()}
     staged = df.withColumns(values)
+    if axis.chunked:
+        # Both branches below read the rows, so chained scans would double their work each time.
+        staged = settle(staged)
     window = Window.partitionBy(*axis.parts).orderBy(axis.order) if axis.parts else Window.orderBy(axis.order)
     prior = window.rowsBetween(Window.unboundedPreceding, -1)
     current = window.rowsBetween(Window.unboundedPreceding, 0)
