@@ -135,7 +135,11 @@ def natural_key(name: Column, digits: int = 20) -> Column:
     return F.concat_ws("", padded)
 
 
-@F.pandas_udf("string")
-def canonical_name(names: pd.Series) -> pd.Series:
+def canonical_name(name: Column) -> Column:
     """Trimmed, Unicode-composed names; Spark has no built-in for the composition."""
-    return names.str.strip().str.normalize("NFC")
+
+    @F.pandas_udf("string")
+    def composed(names: pd.Series) -> pd.Series:
+        return names.str.strip().str.normalize("NFC")
+
+    return composed(name)

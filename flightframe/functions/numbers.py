@@ -40,7 +40,7 @@ def harmonic(precision: Column, recall: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))))
 
 
 def count_if(condition: Column) -> Column:

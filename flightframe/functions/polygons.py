@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import NamedTuple
-
+from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +10,21 @@ from flightframe.functions.boxes import Box, area, clip
 from flightframe.policies import BoxMotionPolicy, MatchingPolicy
 
 Point = tuple[Column, Column]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _packed(points: Sequence[Point]) -> Column:
+    return F.struct(*[c.alias(f"{a}{i}") for i, point in enumerate(points) for a, c in zip("xy", point)])
+
+
+def _points(packed: Column, count: int = 4) -> list[Point]:
+    return [(packed[f"x{i}"], packed[f"y{i}"]) for i in range(count)]
+
+
 MATRIX = tuple(f"h{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3))
 
 
@@ -68,23 +81,27 @@ def bounds(points: Sequence[Point]) -> Box:
 def clipped_area(points: Sequence[Point], width: Column, height: Column) -> Column:
     """Area of a convex polygon inside the frame rectangle, by four half-plane cuts."""
     ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points])
-    zero = F.lit(0.0)
     sides = [
-        (lambda p: p["x"] - zero),
+        (lambda p: p["x"]),
         (lambda p: width - p["x"]),
-        (lambda p: p["y"] - zero),
+        (lambda p: p["y"]),
         (lambda p: height - p["y"]),
     ]
     for depth in sides:
-        ring = _cut(ring, depth)
+        ring = let(ring, _cutter(depth))
+    return let(ring, _ring_area)
+
+
+def _cutter(depth: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda ring: _cut(ring, depth)
+
+
+def _ring_area(ring: Column) -> Column:
     size = F.size(ring)
-    crossed = F.transform(
-        ring,
-        lambda p, i: p["x"] * F.get(ring, (i + 1) % size)["y"] - F.get(ring, (i + 1) % size)["x"] * p["y"],
-    )
-    return F.when(size < 3, F.lit(0.0)).otherwise(
-        F.abs(F.aggregate(crossed, F.lit(0.0), lambda acc, v: acc + v)) / 2
-    )
+    after = lambda i: F.get(ring, (i + 1) % size)
+    crossed = F.transform(ring, lambda p, i: p["x"] * after(i)["y"] - after(i)["x"] * p["y"])
+    total = F.aggregate(crossed, F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(size < 3, F.lit(0.0)).otherwise(F.abs(total) / 2)
 
 
 def _cut(ring: Column, depth) -> Column:
@@ -92,7 +109,9 @@ def _cut(ring: Column, depth) -> Column:
     empty = F.slice(ring, 1, 0)
 
     def step(p: Column, i: Column) -> Column:
-        q = F.get(ring, (i + 1) % F.size(ring))
+        return let(F.get(ring, (i + 1) % F.size(ring)), lambda q: joined(p, q))
+
+    def joined(p: Column, q: Column) -> Column:
         here, there = depth(p), depth(q)
         share = here / (here - there)
         meeting = F.struct(
@@ -105,65 +124,75 @@ def _cut(ring: Column, depth) -> Column:
     return F.flatten(F.transform(ring, step))
 
 
-class ProjectedBox(NamedTuple):
-    valid: Column
-    clipped: Box
-    center: Point
-    visible_ratio: Column
-    edge_reliable: Column
-
-
 def project_box(
     h: Sequence[Column], b: Box, width: Column, height: Column, policy: BoxMotionPolicy = BoxMotionPolicy()
-) -> ProjectedBox:
-    points = [project(h, x, y) for x, y in corners(b)]
-    middle = project(h, *b.center)
-    raw = bounds(points)
-    inside = clip(raw, width, height)
-    valid = (
-        all_finite([*points, middle]) & is_convex(points)
-        & (shoelace(points) > 1e-6) & (area(inside) > 0)
-    )
-    ratio = area(inside) / F.greatest(area(raw), F.lit(1e-12))
-    return ProjectedBox(F.coalesce(valid, F.lit(False)), inside, middle, ratio, ratio >= policy.min_visible_ratio)
+) -> Column:
+    """Projected box as a struct: ``valid``, the clipped box ``x1..y2``, the projected centre
+    ``cx, cy``, ``visible_ratio`` and ``edge_reliable``."""
+
+    def checked(packed: Column) -> Column:
+        *points, middle = _points(packed, 5)
+        return let(_bounded(points), lambda r: finished(points, middle, r))
+
+    def _bounded(points: list[Point]) -> Column:
+        raw = bounds(points)
+        return F.struct(*raw.named("r"), *clip(raw, width, height).named("c"))
 
+    def finished(points: list[Point], middle: Point, r: Column) -> Column:
+        raw, inside = (Box(*[r[f"{p}{n}"] for n in ("x1", "y1", "x2", "y2")]) for p in "rc")
+        valid = (
+            all_finite([*points, middle]) & is_convex(points) & (shoelace(points) > 1e-6) & (area(inside) > 0)
+        )
+        ratio = area(inside) / F.greatest(area(raw), F.lit(1e-12))
+        return F.struct(
+            F.coalesce(valid, F.lit(False)).alias("valid"), *inside.named(), middle[0].alias("cx"), middle[1].alias("cy"),
+            ratio.alias("visible_ratio"), (ratio >= policy.min_visible_ratio).alias("edge_reliable"),
+        )
 
-class PolygonCheck(NamedTuple):
-    reason: Column
-    raw_area: Column
-    visible_area: Column
-    visible_ratio: Column
+    return let(_packed([*[project(h, x, y) for x, y in corners(b)], project(h, *b.center)]), checked)
 
 
 def check_polygon(
     points: Sequence[Point], width: Column, height: Column, policy: MatchingPolicy = MatchingPolicy()
-) -> PolygonCheck:
-    """First failed gate of a projected quadrilateral, or null; areas as measured."""
-    raw = shoelace(points)
-    visible = clipped_area(points, width.cast("double"), height.cast("double"))
-    ratio = visible / raw
-    edges = [
-        F.hypot(points[(i + 1) % 4][0] - points[i][0], points[(i + 1) % 4][1] - points[i][1]) for i in range(4)
-    ]
-    extent = bounds(points)
-    span_x, span_y = extent.width, extent.height
-    longer_over_shorter = lambda a, b: F.greatest(a, b) / F.greatest(F.least(a, b), F.lit(1e-9))
-    distortion = F.greatest(longer_over_shorter(edges[0], edges[2]), longer_over_shorter(edges[1], edges[3]))
-    reason = (
-        F.when(~all_finite(points), "polygon_points_invalid")
-        .when((width <= 0) | (height <= 0), "frame_size_invalid")
-        .when(~is_convex(points), "polygon_not_convex")
-        .when(raw < policy.min_polygon_area, "polygon_area_too_small")
-        .when(raw > width * height * policy.max_frame_ratio, "polygon_area_too_large")
-        .when(F.least(*edges) < policy.min_edge_px, "polygon_edge_too_short")
-        .when(
-            (F.least(span_x, span_y) <= 0) | (F.greatest(span_x / span_y, span_y / span_x) > policy.max_aspect),
-            "polygon_aspect_ratio",
+) -> Column:
+    """Struct of the first failed gate of a quadrilateral (``reason``, null if none) and its
+    ``raw_area``, ``visible_area`` and ``visible_ratio``."""
+
+    def measured(packed: Column) -> Column:
+        ring = _points(packed)
+        extent = bounds(ring)
+        sides = [F.hypot(ring[(i + 1) % 4][0] - ring[i][0], ring[(i + 1) % 4][1] - ring[i][1]) for i in range(4)]
+        sizes = F.struct(
+            all_finite(ring).alias("finite"), is_convex(ring).alias("convex"), shoelace(ring).alias("raw"),
+            clipped_area(ring, width.cast("double"), height.cast("double")).alias("visible"),
+            *[side.alias(f"e{i}") for i, side in enumerate(sides)],
+            extent.width.alias("w"), extent.height.alias("h"),
         )
-        .when(distortion > policy.max_distortion, "polygon_perspective_distortion")
-        .when((visible <= 0) | (ratio < policy.min_visible_ratio), "polygon_visibility")
-    )
-    return PolygonCheck(reason, raw, visible, ratio)
+        return let(sizes, judged)
+
+    def judged(m: Column) -> Column:
+        spread = lambda a, b: F.greatest(a, b) / F.greatest(F.least(a, b), F.lit(1e-9))
+        distortion = F.greatest(spread(m["e0"], m["e2"]), spread(m["e1"], m["e3"]))
+        ratio = m["visible"] / m["raw"]
+        reason = (
+            F.when(~m["finite"], "polygon_points_invalid")
+            .when((width <= 0) | (height <= 0), "frame_size_invalid")
+            .when(~m["convex"], "polygon_not_convex")
+            .when(m["raw"] < policy.min_polygon_area, "polygon_area_too_small")
+            .when(m["raw"] > width * height * policy.max_frame_ratio, "polygon_area_too_large")
+            .when(F.least(m["e0"], m["e1"], m["e2"], m["e3"]) < policy.min_edge_px, "polygon_edge_too_short")
+            .when(
+                (F.least(m["w"], m["h"]) <= 0) | (F.greatest(m["w"] / m["h"], m["h"] / m["w"]) > policy.max_aspect),
+                "polygon_aspect_ratio",
+            )
+            .when(distortion > policy.max_distortion, "polygon_perspective_distortion")
+            .when((m["visible"] <= 0) | (ratio < policy.min_visible_ratio), "polygon_visibility")
+        )
+        return F.struct(
+            reason.alias("reason"), m["raw"].alias("raw_area"), m["visible"].alias("visible_area"), ratio.alias("visible_ratio")
+        )
+
+    return let(_packed(points), measured)
 
 
 def determinant(h: Sequence[Column]) -> Column:
@@ -178,22 +207,31 @@ def condition_number(h: Sequence[Column]) -> Column:
     """Ratio of the largest to the smallest singular value: eigenvalues of the symmetric HᵀH
     in trigonometric form, the smallest one from the determinant to keep its digits."""
     dot = lambda i, j: h[i] * h[j] + h[i + 3] * h[j + 3] + h[i + 6] * h[j + 6]
-    a, b, c = dot(0, 0), dot(1, 1), dot(2, 2)
-    d, e, f = dot(0, 1), dot(0, 2), dot(1, 2)
-    mean = (a + b + c) / 3
-    off = d * d + e * e + f * f
-    spread = F.sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean) + 2 * off) / 6)
-    safe = F.when(spread > 0, spread)
-    scaled = [(a - mean) / safe, (b - mean) / safe, (c - mean) / safe, d / safe, e / safe, f / safe]
-    p, q, r, s, t, u = scaled
-    half = (p * (q * r - u * u) - s * (s * r - u * t) + t * (s * u - q * t)) / 2
-    angle = F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3
-    largest = mean + 2 * safe * F.cos(angle)
-    least = mean + 2 * safe * F.cos(angle + 2.0943951023931953)
-    middle = 3 * mean - largest - least
-    det = determinant(h)
-    smallest = det * det / (largest * middle)
-    return F.when(spread == 0, F.lit(1.0)).otherwise(F.sqrt(largest / smallest))
+    a, b, c, d, e, f = dot(0, 0), dot(1, 1), dot(2, 2), dot(0, 1), dot(0, 2), dot(1, 2)
+    mean = lambda s: (s["a"] + s["b"] + s["c"]) / 3
+
+    def centred(s: Column) -> Column:
+        m = mean(s)
+        off = s["d"] * s["d"] + s["e"] * s["e"] + s["f"] * s["f"]
+        spread = F.sqrt(((s["a"] - m) * (s["a"] - m) + (s["b"] - m) * (s["b"] - m) + (s["c"] - m) * (s["c"] - m) + 2 * off) / 6)
+        return F.struct(m.alias("m"), spread.alias("k"), *[(s[n] - m).alias(n) for n in "abc"], *[s[n].alias(n) for n in "def"], s["det"].alias("det"))
+
+    def rooted(s: Column) -> Column:
+        cubic = s["a"] * (s["b"] * s["c"] - s["f"] * s["f"]) - s["d"] * (s["d"] * s["c"] - s["f"] * s["e"]) + s["e"] * (s["d"] * s["f"] - s["b"] * s["e"])
+        half = cubic / (2 * s["k"] * s["k"] * s["k"])
+        angle = F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3
+        third = 2.0943951023931953
+        return F.struct(
+            (s["m"] + 2 * s["k"] * F.cos(angle)).alias("large"), (s["m"] + 2 * s["k"] * F.cos(angle + third)).alias("small"),
+            (3 * s["m"]).alias("trace"), s["k"].alias("k"), s["det"].alias("det"),
+        )
+
+    def ratio(r: Column) -> Column:
+        middle = r["trace"] - r["large"] - r["small"]
+        return F.when(r["k"] == 0, F.lit(1.0)).otherwise(r["large"] * F.sqrt(middle) / F.abs(r["det"]))
+
+    packed = F.struct(*[v.alias(n) for v, n in zip((a, b, c, d, e, f), "abcdef")], determinant(h).alias("det"))
+    return let(packed, lambda s: let(centred(s), lambda t: let(rooted(t), ratio)))
 
 
 def matrix_fault(
@@ -201,20 +239,24 @@ def matrix_fault(
 ) -> Column:
     """Why a homography is implausible, or null. Rules are tried in order."""
     finite = all_finite([(value, value) for value in h])
-    unit = [value / h[8] for value in h]
-    det = determinant(unit)
-    condition = condition_number(unit)
-    frame = Box(F.lit(0.0), F.lit(0.0), width - F.lit(1.0), height - F.lit(1.0))
-    source = corners(frame)
-    image = [project(unit, x, y) for x, y in source]
-    shift = F.greatest(*[F.hypot(px - x, py - y) for (px, py), (x, y) in zip(image, source)])
-    ratio = shoelace(image) / F.greatest(F.lit(1.0), (width - 1) * (height - 1))
-    return (
-        F.when(~finite, "invalid_matrix")
-        .when(F.abs(h[8]) < 1e-12, "singular_normalization")
-        .when((F.abs(det) < 1e-8) | (F.abs(det) > 1e8), "implausible_determinant")
-        .when(condition.isNull() | F.isnan(condition) | (condition > max_condition_number), "excessive_condition_number")
-        .when(~(all_finite(image) & is_convex(image)), "invalid_corner_projection")
-        .when(~ratio.between(0.1, 10.0), "implausible_projected_area")
-        .when(shift > 2.0 * F.hypot(width, height), "excessive_corner_displacement")
-    )
+    source = corners(Box(F.lit(0.0), F.lit(0.0), width - F.lit(1.0), height - F.lit(1.0)))
+
+    def judged(u: Column) -> Column:
+        unit = [u[name] for name in MATRIX]
+        facts = F.struct(determinant(unit).alias("det"), condition_number(unit).alias("cond"))
+        return let(facts, lambda f: let(_packed([project(unit, x, y) for x, y in source]), lambda p: ruled(f, _points(p))))
+
+    def ruled(f: Column, image: list[Point]) -> Column:
+        shift = F.greatest(*[F.hypot(px - x, py - y) for (px, py), (x, y) in zip(image, source)])
+        ratio = shoelace(image) / F.greatest(F.lit(1.0), (width - 1) * (height - 1))
+        return (
+            F.when((F.abs(f["det"]) < 1e-8) | (F.abs(f["det"]) > 1e8), "implausible_determinant")
+            .when(f["cond"].isNull() | F.isnan(f["cond"]) | (f["cond"] > max_condition_number), "excessive_condition_number")
+            .when(~(all_finite(image) & is_convex(image)), "invalid_corner_projection")
+            .when(~ratio.between(0.1, 10.0), "implausible_projected_area")
+            .when(shift > 2.0 * F.hypot(width, height), "excessive_corner_displacement")
+        )
+
+    safe = F.when(F.abs(h[8]) >= 1e-12, h[8])
+    unit = F.struct(*[(value / safe).alias(name) for value, name in zip(h, MATRIX)])
+    return F.when(~finite, "invalid_matrix").when(F.abs(h[8]) < 1e-12, "singular_normalization").otherwise(let(unit, judged))

@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightframe.functions.boxes import Box, area, box, center_distance, diagonal, iou, touches_edge
+from flightframe.functions.boxes import area, box, center_distance, diagonal, iou, touches_edge
 from flightframe.functions.labels import MOVING, STATIONARY, UNKNOWN, VEHICLE
 from flightframe.functions.polygons import MATRIX, matrix, project_box
 from flightframe.operators.greedy import greedy_one_to_one
 from flightframe.operators.overlap import join_meeting_boxes
 from flightframe.policies import BoxMotionPolicy
 
-_D = Box(*[F.col(f"d_{n}") for n in ("x1", "y1", "x2", "y2")])
-_P = Box(*[F.col(f"p_{n}") for n in ("x1", "y1", "x2", "y2")])
 
 
 def iou_candidates(truth: DataFrame, detections: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -24,9 +22,9 @@ def iou_candidates(truth: DataFrame, detections: DataFrame, keys: Sequence[str]
         *keys, "det_index", *[F.col(n).alias(f"d_{n}") for n in ("x1", "y1", "x2", "y2")]
     )
     pairs = join_meeting_boxes(
-        truth.select(*keys, "gt_index", "x1", "y1", "x2", "y2"), right, keys, box(), _D, salt_by=["gt_index"]
+        truth.select(*keys, "gt_index", "x1", "y1", "x2", "y2"), right, keys, box(), box("d_"), salt_by=["gt_index"]
     )
-    return pairs.select(*keys, "gt_index", "det_index", iou(box(), _D).alias("score"))
+    return pairs.select(*keys, "gt_index", "det_index", iou(box(), box("d_")).alias("score"))
 
 
 def associate_ground_truth(
@@ -78,13 +76,12 @@ def track_candidates(
     image = project_box(matrix(), box(), width, height, policy)
     projected = (
         previous.where(F.col("cls") == VEHICLE)
-        .withColumn("_valid", image.valid)
-        .where("_valid")
+        .select("*", F.explode(F.array(image)).alias("_image"))
+        .where("_image.valid")
         .select(
             *keys, F.col("det_index").alias("p_index"),
-            *[c.alias(f"p_{n}") for c, n in zip(image.clipped, ("x1", "y1", "x2", "y2"))],
-            image.center[0].alias("p_cx"), image.center[1].alias("p_cy"),
-            image.edge_reliable.alias("p_reliable"),
+            *[F.col(f"_image.{n}").alias(f"p_{n}") for n in ("x1", "y1", "x2", "y2", "cx", "cy")],
+            F.col("_image.edge_reliable").alias("p_reliable"),
         )
     )
     right = current.where(F.col("cls") == VEHICLE).select(
@@ -93,19 +90,21 @@ def track_candidates(
     )
     if policy.match_min_iou <= 0:
         raise ValueError("match_min_iou must be positive: boxes apart are not candidates")
-    pairs = join_meeting_boxes(projected, right, keys, _P, _D, salt_by=["p_index"])
-    shared = iou(_P, _D)
-    distance = center_distance(F.col("p_cx"), F.col("p_cy"), _D)
-    ratio = distance / F.greatest(diagonal(_P), diagonal(_D), F.lit(1.0))
-    size = area(_D) / F.greatest(area(_P), F.lit(1e-12))
+    pairs = join_meeting_boxes(projected, right, keys, box("p_"), box("d_"), salt_by=["p_index"])
+    shared = iou(box("p_"), box("d_"))
+    distance = center_distance(F.col("p_cx"), F.col("p_cy"), box("d_"))
+    ratio = distance / F.greatest(diagonal(box("p_")), diagonal(box("d_")), F.lit(1.0))
+    size = area(box("d_")) / F.greatest(area(box("p_")), F.lit(1e-12))
     quality = F.greatest(F.lit(0.0), 1.0 - F.col("center_ratio") / policy.match_max_center_distance_ratio)
     score = 0.6 * F.col("iou") + 0.3 * quality + 0.1 * F.least(F.col("size_ratio"), 1.0 / F.col("size_ratio"))
-    reliable = F.col("p_reliable") & ~touches_edge(_D, F.col("d_w"), F.col("d_h"))
+    reliable = F.col("p_reliable") & ~touches_edge(box("d_"), F.col("d_w"), F.col("d_h"))
+    # A generator hands its output on as finished values: the gates below do not repeat them.
+    facts = F.struct(
+        shared.alias("iou"), distance.alias("center_residual"), ratio.alias("center_ratio"), size.alias("size_ratio"),
+        reliable.alias("edge_reliable"),
+    )
     return (
-        pairs.select(
-            *keys, "p_index", "det_index", shared.alias("iou"), distance.alias("center_residual"),
-            ratio.alias("center_ratio"), size.alias("size_ratio"), reliable.alias("edge_reliable"),
-        )
+        pairs.select(*keys, "p_index", "det_index", F.inline(F.array(facts)))
         .where(
             (F.col("iou") >= policy.match_min_iou)
             & (F.col("center_ratio") <= policy.match_max_center_distance_ratio)

@@ -19,8 +19,10 @@ from flightframe.plans.percentiles import grouped_percentiles
 from flightframe.plans.settle import settle
 from flightframe.policies import FlowPolicy, HomographyGate, HybridPolicy, ScenePolicy
 
-_PIXEL = Box(*[F.col(c).cast("double") for c in ("px", "py", "px", "py")])
-_REGION = Box(*[F.col(f"r_{n}") for n in ("x1", "y1", "x2", "y2")])
+
+def _pixel() -> Box:
+    return Box(*[F.col(c).cast("double") for c in ("px", "py", "px", "py")])
+
 
 
 @dataclass(frozen=True)
@@ -49,13 +51,13 @@ def regions(boxes: DataFrame, keys: Sequence[str], b: Box, grid: FlowGrid, keep:
 
 def inside_regions(samples: DataFrame, areas: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Samples paired with every region they lie in."""
-    return join_meeting_boxes(samples, areas, keys, _PIXEL, _REGION, salt_by=["px", "py"])
+    return join_meeting_boxes(samples, areas, keys, _pixel(), box("r_"), salt_by=["px", "py"])
 
 
 def outside_regions(samples: DataFrame, areas: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Samples that lie in no region."""
     return join_meeting_boxes(
-        samples, areas, keys, _PIXEL, _REGION, how="left_anti", salt_by=["px", "py", "sample_id"]
+        samples, areas, keys, _pixel(), box("r_"), how="left_anti", salt_by=["px", "py", "sample_id"]
     )
 
 
@@ -174,7 +176,7 @@ def vehicle_motion_local(
         F.lit(0),
         span(outer.width, grid.scale_x) * span(outer.height, grid.scale_y) - span(b.width, grid.scale_x) * span(b.height, grid.scale_y),
     )
-    ratio = F.least(F.lit(1.0), F.col("background_pixels") / F.greatest(intended, F.lit(1)))
+    ratio = F.least(F.lit(1.0), F.coalesce("background_pixels", F.lit(0)) / F.greatest(intended, F.lit(1)))
     corrected = F.hypot(F.col("vehicle_x") - F.col("background_x"), F.col("vehicle_y") - F.col("background_y"))
     reason = (
         F.when(F.coalesce("vehicle_pixels", F.lit(0)) < policy.min_valid_pixels, "insufficient_vehicle_pixels")

@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightframe.functions.boxes import Box, area, box, contains, intersection, ordered
+from flightframe.functions.boxes import area, box, contains, intersection, ordered
 from flightframe.functions.labels import (
     NOT_APPLICABLE, PAD_A, PAD_B, PERSON, SUITABLE, UNSUITABLE, VEHICLE,
 )
 from flightframe.operators.overlap import join_meeting_boxes
 from flightframe.policies import LandingPolicy
 
-_OBSTACLE = Box(*[F.col(f"o_{name}") for name in ("x1", "y1", "x2", "y2")])
-_PAD = box("c")
 
 
 def _sides(detections: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -28,14 +26,15 @@ def _sides(detections: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
 
 
 def _occupied(policy: LandingPolicy) -> Column:
-    shared = intersection(_PAD, _OBSTACLE)
-    middle_x, middle_y = _OBSTACLE.center
-    enough = shared / area(_PAD) >= policy.occupancy_ratio
+    shared = intersection(box("c"), box("o_"))
+    middle_x, middle_y = box("o_").center
+    enough = shared / area(box("c")) >= policy.occupancy_ratio
     if policy.use_center_check:
-        enough = enough | contains(_PAD, middle_x, middle_y)
+        enough = enough | contains(box("c"), middle_x, middle_y)
     if policy.use_bottom_center_check:
-        enough = enough | contains(_PAD, middle_x, _OBSTACLE.y2)
-    return (shared >= policy.min_intersection_pixels) & enough
+        enough = enough | contains(box("c"), middle_x, box("o_").y2)
+    # Pads without a partner carry null obstacles, which least and greatest would skip.
+    return box("o_").x1.isNotNull() & (shared >= policy.min_intersection_pixels) & enough
 
 
 def _margin(width: Column, height: Column, policy: LandingPolicy) -> Column:
@@ -59,16 +58,16 @@ def landing_status(
     pads, obstacles = _sides(detections, keys)
     kept = [c for c in pads.columns if c not in (*keys, "det_index")]
     joined = join_meeting_boxes(
-        pads, obstacles.drop("o_index", "o_cls"), keys, _PAD, _OBSTACLE, how="left", salt_by=["det_index"]
+        pads, obstacles.drop("o_index", "o_cls"), keys, box("c"), box("o_"), how="left", salt_by=["det_index"]
     )
     folded = joined.groupBy(*keys, "det_index").agg(
         *[F.any_value(c).alias(c) for c in kept],
         F.coalesce(F.bool_or(_occupied(policy)), F.lit(False)).alias("occupied"),
     )
     status = (
-        F.when((width <= 0) | (height <= 0) | ~ordered(box()) | ~ordered(_PAD), NOT_APPLICABLE)
+        F.when((width <= 0) | (height <= 0) | ~ordered(box()) | ~ordered(box("c")), NOT_APPLICABLE)
         .when(_outside(width, height, policy), UNSUITABLE)
-        .when(area(_PAD) < policy.min_area_pixels, NOT_APPLICABLE)
+        .when(area(box("c")) < policy.min_area_pixels, NOT_APPLICABLE)
         .when(F.col("occupied"), UNSUITABLE)
         .otherwise(SUITABLE)
     )
@@ -81,17 +80,17 @@ def landing_pairs(
     """Measured overlap of every pad with every obstacle that meets it."""
     pads, obstacles = _sides(detections, keys)
     joined = join_meeting_boxes(
-        pads.select(*keys, "det_index", "cx1", "cy1", "cx2", "cy2"), obstacles, keys, _PAD, _OBSTACLE,
+        pads.select(*keys, "det_index", "cx1", "cy1", "cx2", "cy2"), obstacles, keys, box("c"), box("o_"),
         salt_by=["det_index"],
     )
-    middle_x, middle_y = _OBSTACLE.center
-    shared = intersection(_PAD, _OBSTACLE)
+    middle_x, middle_y = box("o_").center
+    shared = intersection(box("c"), box("o_"))
     return joined.select(
         *keys, "det_index", "o_index", "o_cls",
         shared.alias("intersection_area"),
-        (shared / area(_PAD)).alias("intersection_over_landing"),
-        contains(_PAD, middle_x, middle_y).alias("center_inside"),
-        contains(_PAD, middle_x, _OBSTACLE.y2).alias("bottom_center_inside"),
+        (shared / area(box("c"))).alias("intersection_over_landing"),
+        contains(box("c"), middle_x, middle_y).alias("center_inside"),
+        contains(box("c"), middle_x, box("o_").y2).alias("bottom_center_inside"),
         _occupied(policy).alias("occupied"),
     )
 
@@ -107,7 +106,7 @@ def landing_diagnostics(
     obstacle in detection order)."""
     pads, obstacles = _sides(detections, keys)
     kept = [c for c in pads.columns if c not in (*keys, "det_index")]
-    joined = join_meeting_boxes(pads, obstacles, keys, _PAD, _OBSTACLE, how="left", salt_by=["det_index"])
+    joined = join_meeting_boxes(pads, obstacles, keys, box("c"), box("o_"), how="left", salt_by=["det_index"])
     occupied = F.coalesce(_occupied(policy), F.lit(False))
     folded = joined.groupBy(*keys, "det_index").agg(
         *[F.any_value(c).alias(c) for c in kept],
@@ -115,23 +114,23 @@ def landing_diagnostics(
         F.count(F.when(occupied, F.lit(1))).alias("occupying"),
     )
     raw = box()
-    valid = ordered(raw) & ordered(_PAD)
+    valid = ordered(raw) & ordered(box("c"))
     reason = (
         F.when((width <= 0) | (height <= 0) | ~valid, "invalid_bbox")
         .when(_outside(width, height, policy), "outside_frame_tolerance")
-        .when(area(_PAD) < policy.min_area_pixels, "bbox_too_small")
+        .when(area(box("c")) < policy.min_area_pixels, "bbox_too_small")
         .when(F.col("occupied_by") == VEHICLE, "occupied_by_vehicle")
         .when(F.col("occupied_by") == PERSON, "occupied_by_person")
         .otherwise("clear_landing_area")
     )
     edge = (
         (raw.x1 < 0) | (raw.y1 < 0) | (raw.x2 > width) | (raw.y2 > height)
-        | (_PAD.x1 <= 1) | (_PAD.y1 <= 1) | (_PAD.x2 >= width - 1) | (_PAD.y2 >= height - 1)
+        | (box("c").x1 <= 1) | (box("c").y1 <= 1) | (box("c").x2 >= width - 1) | (box("c").y2 >= height - 1)
     )
     return folded.select(
         *keys, "det_index", "cls",
-        area(raw).alias("bbox_area"), area(_PAD).alias("visible_area"),
-        F.when(area(raw) > 0, area(_PAD) / area(raw)).otherwise(0.0).alias("visible_ratio"),
+        area(raw).alias("bbox_area"), area(box("c")).alias("visible_area"),
+        F.when(area(raw) > 0, area(box("c")) / area(raw)).otherwise(0.0).alias("visible_ratio"),
         (edge & valid).alias("frame_edge"), valid.alias("bbox_valid"),
         _margin(width, height, policy).alias("edge_margin_px"),
         "occupying", "occupied_by", reason.alias("decision_reason"),

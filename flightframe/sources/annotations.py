@@ -24,15 +24,21 @@ def _parsed_box(o: Column) -> Column:
 
 def parse_annotations(files: DataFrame, path: str = "path", text: str = "xml") -> DataFrame:
     """One row per annotated object, in file order, with its ``error`` (null when good)."""
-    parsed = files.select(path, F.from_xml(text, schema.ANNOTATION).alias("a"))
-    objects = parsed.select(
+    # Generators hand their output on as finished values, so each text is parsed once.
+    parsed = files.select(path, F.explode(F.array(F.from_xml(text, schema.ANNOTATION))).alias("a"))
+    tags = ("motion", "motion_status", "hareket", "name", "class")
+    facts = F.transform(
+        "a.object",
+        lambda o: F.struct(
+            F.coalesce(*[normalize_motion_label(o[t]) for t in tags]).alias("motion"), _parsed_box(o).alias("_b")
+        ),
+    )
+    staged = parsed.select(
         path, F.col("a.filename").alias("filename"),
         F.coalesce(F.trim("a.size.width").try_cast("int"), F.lit(0)).alias("width"),
         F.coalesce(F.trim("a.size.height").try_cast("int"), F.lit(0)).alias("height"),
-        F.posexplode("a.object").alias("object_index", "o"),
-    )
-    motion = F.coalesce(*[normalize_motion_label(F.col(f"o.{t}")) for t in ("motion", "motion_status", "hareket", "name", "class")])
-    staged = objects.withColumn("motion", motion).withColumn("_b", _parsed_box(F.col("o"))).drop("o")
+        F.posexplode(facts).alias("object_index", "o"),
+    ).select(path, "filename", "width", "height", "object_index", "o.*")
     b = Box(*[F.col(f"_b.{n}") for n in ("x1", "y1", "x2", "y2")])
     within = (b.x1 >= 0) & (b.x2 <= F.col("width")) & (b.y1 >= 0) & (b.y2 <= F.col("height"))
     sized = (F.col("width") > 0) & (F.col("height") > 0)
