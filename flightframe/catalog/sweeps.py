@@ -34,7 +34,7 @@ d as (select grid.*, gt, n, {_DECIDE} as pred from grid cross join cell), c as (
 {scores_sql('c', S.CONFIG)}""",
 )
 def threshold_sweep_rows(spark, sf_dir):
-    """The full sweep, of which the SQL statement states 288 configurations."""
+    """The full sweep, of which the SQL statement states 216 configurations."""
     keep = (
         F.col("stationary_threshold").isin(1.0, 5.0, 20.0) & F.col("moving_threshold").isin(4.0, 12.0, 50.0) & F.col("min_iou").isin(0.0, 0.1, 0.5)
         & F.col("min_association_score").isin(0.0, 0.25, 0.65) & F.col("min_size_ratio").isin(0.4, 0.7) & F.col("max_size_ratio").isin(1.5, 2.5)
@@ -115,7 +115,7 @@ d as (select a, p, g, q, gt, n, case when not (solid and br >= q) then 'none' wh
 e as (select *, case how when 'none' then 'unknown' when 'h' then h else b end as pred from d),
 t as (select a, p, g, q, sum(n) as total, sum(case when gt = 'moving' then n end) as m, sum(case when gt = 'stationary' then n end) as s, coalesce(sum(case when gt = 'moving' and pred = 'moving' then n end), 0) as tpm, coalesce(sum(case when gt = 'stationary' and pred = 'moving' then n end), 0) as fm,
   coalesce(sum(case when gt = 'stationary' and pred = 'stationary' then n end), 0) as tps, coalesce(sum(case when gt = 'moving' and pred = 'stationary' then n end), 0) as fs, coalesce(sum(case when how = 'h' then n end), 0) as hs, coalesce(sum(case when how = 'b' then n end), 0) as bs from e group by a, p, g, q)
-select a as background_median_max, p as background_p90_max, g as grid_spread_max, q as min_valid_background_ratio, round(2e0 * tpm / (tpm + fm + m), 6) as moving_f1, round(2e0 * tps / (tps + fs + s), 6) as stationary_f1, round((tpm + tps) * 1e0 / total, 6) as strict_accuracy,
+select a as background_median_max, p as background_p90_max, g as grid_spread_max, round(q, 6) as min_valid_background_ratio, round(2e0 * tpm / (tpm + fm + m), 6) as moving_f1, round(2e0 * tps / (tps + fs + s), 6) as stationary_f1, round((tpm + tps) * 1e0 / total, 6) as strict_accuracy,
   round((tpm + fm + tps + fs) * 1e0 / total, 6) as coverage, cast(total - tpm - fm - tps - fs as bigint) as "unknown", cast(fm as bigint) as false_moving, cast(fs as bigint) as false_stationary, cast(hs as bigint) as homography_selected, cast(bs as bigint) as homography_bbox_selected,
   cast(total - hs - bs as bigint) as unknown_selected, round((2e0 * tpm / (tpm + fm + m) + 2e0 * tps / (tps + fs + s)) / 2, 6) as macro_f1 from t""",
 )
