@@ -234,23 +234,15 @@ def polygons_validated(spark, sf_dir):
     )
 
 
-_N = {f"h{r}{c}": f"(h{r}{c} / h33)" for r in (1, 2, 3) for c in (1, 2, 3)}
-_DET = (
-    f"({_N['h11']} * ({_N['h22']} - {_N['h23']} * {_N['h32']}) - {_N['h12']} * ({_N['h21']} - {_N['h23']} * {_N['h31']}) "
-    f"+ {_N['h13']} * ({_N['h21']} * {_N['h32']} - {_N['h22']} * {_N['h31']}))"
-)
+_DET = "(h11 * (h22 * h33 - h23 * h32) - h12 * (h21 * h33 - h23 * h31) + h13 * (h21 * h32 - h22 * h31))"
 
 
-@query(
-    "matrix_determinants",
-    f"""{ctes('v_matrices')} select pair, box_id, abs(h33) < 1e-12 as singular_normalization,
-  case when h33 <> 0 then round({_DET}, 6) end as determinant from v_matrices""",
-)
+@query("matrix_determinants", f"{ctes('v_matrices')} select pair, box_id, abs(h33) < 1e-12 as singular_normalization, round({_DET}, 10) as determinant from v_matrices")
 def matrix_determinants(spark, sf_dir):
     from flightframe.functions.polygons import determinant
 
-    m = _unit_matrices(spark, sf_dir)
-    return rounded(m.select("pair", "box_id", (F.abs("h33") < 1e-12).alias("singular_normalization"), determinant(matrix("u.")).alias("determinant")))
+    m = view(spark, sf_dir, "v_matrices")
+    return rounded(m.select("pair", "box_id", (F.abs("h33") < 1e-12).alias("singular_normalization"), determinant(matrix()).alias("determinant")), 10)
 
 
 def _unit_matrices(spark, sf_dir):

@@ -12,7 +12,7 @@ from flightframe.operators import motion_fit as M
 from flightframe.operators import navigation as N
 from flightframe.policies import CalibrationPolicy, CameraModel, MotionFitPolicy
 
-POLICY = CalibrationPolicy(min_samples=6)
+POLICY = CalibrationPolicy(min_samples=6, min_camera_step_px=0.5)
 
 # Health of the frame before (over all frames that leave a trace) and the fix it left behind.
 _STATE = f"""{TRAJECTORY}, env as (select session, seq, health, era from b where not repeat), ph as (select session, seq, lag(health) over (partition by session order by seq) as previous_health from env),
@@ -25,13 +25,13 @@ st as (select *, coalesce(b_ok and frame_index - b_index > 0 and frame_index - b
 
 @query(
     "gps_phase",
-    f"""{_STATE}, x as (select *, sum(case when fix_ok then 1 else 0 end) over w as fixes, sum(case when health = 0 then 1 else 0 end) over w as bad, max(case when recovered then seq end) over w as rseq, max(case when health = 0 then seq end) over w as useq,
+    f"""{_STATE}, gx as (select *, sum(case when fix_ok then 1 else 0 end) over w as fixes, sum(case when health = 0 then 1 else 0 end) over w as bad, max(case when recovered then seq end) over w as rseq, max(case when health = 0 then seq end) over w as useq,
   max(case when fix_ok then seq end) over w as okseq, max(case when lost then seq end) over w as lseq from st window w as (partition by session, segment order by seq)),
-y as (select x.*, rf.fixes as r_fixes, ok.bad as bad_at from x left join x rf on x.session = rf.session and x.rseq = rf.seq left join x ok on x.session = ok.session and x.okseq = ok.seq)
+gy as (select gx.*, rf.fixes as r_fixes, ok.bad as bad_at from gx left join gx rf on gx.session = rf.session and gx.rseq = rf.seq left join gx ok on gx.session = ok.session and gx.okseq = ok.seq)
 select session, seq, case when lseq is null and rseq is null then null when coalesce(lseq, -1) > coalesce(rseq, -1) then 'lost' else 'recovered' end as transition, cast(bad - coalesce(bad_at, 0) as bigint) as unhealthy_run,
   cast(case when rseq is not null and rseq > coalesce(useq, -1) then fixes - r_fixes + 1 else 0 end as bigint) as recovery_count, (lost and adjacent) or recovered as sets_anchor,
   round(case when recovered then gps_x when lost and adjacent then bgx end, 6) as anchor_gps_x, round(case when recovered then gps_y when lost and adjacent then bgy end, 6) as anchor_gps_y,
-  round(case when recovered then pose_x when lost and adjacent then b_x end, 6) as anchor_cam_x, round(case when recovered then pose_y when lost and adjacent then b_y end, 6) as anchor_cam_y from y""",
+  round(case when recovered then pose_x when lost and adjacent then b_x end, 6) as anchor_cam_x, round(case when recovered then pose_y when lost and adjacent then b_y end, 6) as anchor_cam_y from gy""",
 )
 def gps_phase(spark, sf_dir):
     return rounded(
@@ -43,7 +43,7 @@ def gps_phase(spark, sf_dir):
 
 _SAMPLED = f"""{_STATE}, pr as (select *, coalesce(fix_ok and action = 'continue' and previous_health = 1 and adjacent, false) as pair, coalesce(valid and action = 'continue', false) as quality, action in ('continue', 'repeated_image') as motion from st),
 rs as (select *, case when health is null or health <> 1 then null when not fix_ok then 'invalid_ground_truth' when not pair and motion and quality then 'unmatched_gps_step' when not pair and motion then 'motion_quality_invalid' when not pair then null
-  when not quality then 'motion_quality_invalid' when sqrt(power(pose_x - b_x, 2) + power(pose_y - b_y, 2)) < 1 then 'camera_step_too_small' when sqrt(power(gps_x - bgx, 2) + power(gps_y - bgy, 2)) < 0.02 then 'gps_step_too_small' end as reject_reason from pr),
+  when not quality then 'motion_quality_invalid' when sqrt(power(pose_x - b_x, 2) + power(pose_y - b_y, 2)) < 0.5 then 'camera_step_too_small' when sqrt(power(gps_x - bgx, 2) + power(gps_y - bgy, 2)) < 0.02 then 'gps_step_too_small' end as reject_reason from pr),
 sm as (select *, pair and reject_reason is null as is_sample from rs), nm as (select *, cast(sum(case when is_sample then 1 else 0 end) over (partition by session, segment order by seq) as bigint) as number from sm)"""
 
 
@@ -63,13 +63,13 @@ def _samples(spark, sf_dir):
 
 @query(
     "calibration_fit",
-    f"""{_SAMPLED}, s as (select session, pose_x - b_x as cx, pose_y - b_y as cy, gps_x - bgx as gx, gps_y - bgy as gy from nm where is_sample), r as (select *, sqrt(gx * gx + gy * gy) / sqrt(cx * cx + cy * cy) as ratio from s),
-md as (select session, median(ratio) as m from r group by session), dv as (select r.session, median(abs(ratio - m)) as d from r join md on r.session = md.session group by r.session),
-k as (select r.*, m, d, abs(ratio - m) <= greatest(3.5 * 1.4826 * d, abs(m) * 0.02, 1e-12) as kept from r join md on r.session = md.session join dv on r.session = dv.session),
-t as (select session, count(*) as n, count(*) filter (where kept) as kn, any_value(m) as m, any_value(d) as d, median(ratio) filter (where kept) as scale, sum(cx * gx) filter (where kept) as xx, sum(cx * gy) filter (where kept) as xy, sum(cy * gx) filter (where kept) as yx, sum(cy * gy) filter (where kept) as yy,
-  sum(sqrt(cx * cx + cy * cy)) filter (where kept) as span from k group by session)
+    f"""{_SAMPLED}, sa as (select session, pose_x - b_x as cx, pose_y - b_y as cy, gps_x - bgx as gx, gps_y - bgy as gy from nm where is_sample), ra as (select *, sqrt(gx * gx + gy * gy) / sqrt(cx * cx + cy * cy) as ratio from sa),
+md as (select session, median(ratio) as m from ra group by session), dv as (select ra.session, median(abs(ratio - m)) as d from ra join md on ra.session = md.session group by ra.session),
+ka as (select ra.*, m, d, abs(ratio - m) <= greatest(3.5 * 1.4826 * d, abs(m) * 0.02, 1e-12) as kept from ra join md on ra.session = md.session join dv on ra.session = dv.session),
+ta as (select session, count(*) as n, count(*) filter (where kept) as kn, any_value(m) as m, any_value(d) as d, median(ratio) filter (where kept) as scale, sum(cx * gx) filter (where kept) as xx, sum(cx * gy) filter (where kept) as xy, sum(cy * gx) filter (where kept) as yx, sum(cy * gy) filter (where kept) as yy,
+  sum(sqrt(cx * cx + cy * cy)) filter (where kept) as span from ka group by session)
 select session, n as sample_count, case when n >= 6 then kn else 0 end as inlier_count, case when n >= 6 then round(m, 6) end as scale_median, case when n >= 6 and kn >= 6 and kn >= 0.7 * n and xx * yy - xy * yx >= 0 then round(scale, 6) end as scale,
-  case when n >= 6 and kn >= 6 and kn >= 0.7 * n and xx * yy - xy * yx >= 0 then round(cos(atan2(xy - yx, xx + yy)), 6) end as m00, case when n < 6 then 'insufficient_samples' when kn < 6 or kn < 0.7 * n then 'low_inlier_ratio' when xx * yy - xy * yx < 0 then 'reflection_detected' end as early_reason from t""",
+  case when n >= 6 and kn >= 6 and kn >= 0.7 * n and xx * yy - xy * yx >= 0 then round(cos(atan2(xy - yx, xx + yy)), 6) end as m00, case when n < 6 then 'insufficient_samples' when kn < 6 or kn < 0.7 * n then 'low_inlier_ratio' when xx * yy - xy * yx < 0 then 'reflection_detected' end as early_reason from ta""",
 )
 def calibration_fit(spark, sf_dir):
     fit = C.calibration_fit(_samples(spark, sf_dir), ["session"], POLICY)

@@ -114,7 +114,7 @@ _TSUM = f"""{_STEPS}, fin as (select run, arg_max(pose_x, seq) as fx, arg_max(po
 big as (select run, frame_id from (select run, frame_id, row_number() over (partition by run order by t desc, seq) as n from j where ok) z where n = 1),
 oth as (select run, why, count(*) as n from j where not ok and why not in ('initialization_or_reset', 'low_quality', 'insufficient_features') group by run, why),
 ot as (select run, '{{' || string_agg('"' || why || '":' || n, ',' order by why) || '}}' as txt from oth group by run),
-b as (select run, count(*) as total_frames, count(*) filter (where not ok and why = 'initialization_or_reset') as initialization_reset_count, count(*) filter (where ok) as valid_count, count(*) filter (where not ok) as invalid_count,
+bb as (select run, count(*) as total_frames, count(*) filter (where not ok and why = 'initialization_or_reset') as initialization_reset_count, count(*) filter (where ok) as valid_count, count(*) filter (where not ok) as invalid_count,
   count(*) filter (where not ok and why = 'low_quality') as low_quality_count, count(*) filter (where not ok and why = 'insufficient_features') as insufficient_features_count,
   min(t) filter (where ok) as mn, max(t) filter (where ok) as mx, avg(t) filter (where ok) as av, quantile_cont(t, 0.5) filter (where ok) as md, quantile_cont(t, 0.9) filter (where ok) as q9, quantile_cont(t, 0.95) filter (where ok) as q95,
   avg(a) filter (where ok) as ay, quantile_cont(a, 0.95) filter (where ok) as qy, count(*) filter (where tj) as translation_jump_count, count(*) filter (where yj) as yaw_jump_count, sum(t) filter (where ok) as len from j group by run)"""
@@ -122,11 +122,11 @@ b as (select run, count(*) as total_frames, count(*) filter (where not ok and wh
 
 @query(
     "trajectory_summary",
-    f"""{_TSUM} select b.run, total_frames, initialization_reset_count, valid_count, invalid_count, low_quality_count, insufficient_features_count, round(mn, 6) as min_translation_px, round(mx, 6) as max_translation_px,
-  round(av, 6) as mean_translation_px, round(b.md, 6) as median_translation_px, round(q9, 6) as p90_translation_px, round(q95, 6) as p95_translation_px, round(ay, 6) as mean_abs_yaw_rad, round(qy, 6) as p95_abs_yaw_rad,
+    f"""{_TSUM} select bb.run, total_frames, initialization_reset_count, valid_count, invalid_count, low_quality_count, insufficient_features_count, round(mn, 6) as min_translation_px, round(mx, 6) as max_translation_px,
+  round(av, 6) as mean_translation_px, round(bb.md, 6) as median_translation_px, round(q9, 6) as p90_translation_px, round(q95, 6) as p95_translation_px, round(ay, 6) as mean_abs_yaw_rad, round(qy, 6) as p95_abs_yaw_rad,
   'initialization->' || big.frame_id as largest_translation_jump_frame_pair, translation_jump_count, yaw_jump_count, round(len, 4) as trajectory_length_px, round(sqrt(fx * fx + fy * fy), 6) as net_displacement_px,
   round(fyaw, 6) as cumulative_yaw_rad, round(valid_count * 1e0 / total_frames, 6) as valid_ratio, coalesce(txt, '{{}}') as other_failure_reasons
-from b join fin on b.run = fin.run join big on b.run = big.run left join ot on b.run = ot.run""",
+from bb join fin on bb.run = fin.run join big on bb.run = big.run left join ot on bb.run = ot.run""",
 )
 def trajectory_summary(spark, sf_dir):
     steps = T.mad_jumps(vo_steps(spark, sf_dir), ["run"])
@@ -136,10 +136,10 @@ def trajectory_summary(spark, sf_dir):
 
 @query(
     "candidates_assessed",
-    f"""{_TSUM}, c as (select run, valid_count * 1e0 / total_frames as valid_ratio, translation_jump_count + yaw_jump_count as jumps, valid_count * 1e0 / total_frames - 0.5 * (translation_jump_count + yaw_jump_count) / greatest(1, valid_count) as score from b),
-o as (select 'highest_valid_ratio' as choice, row_number() over (order by valid_ratio desc, jumps, run) as "rank", * from c union all select 'lowest_jump_valid_ratio_ge_050', row_number() over (order by jumps, valid_ratio desc, run), * from c where valid_ratio >= 0.5
-union all select 'lowest_jump_valid_ratio_ge_070', row_number() over (order by jumps, valid_ratio desc, run), * from c where valid_ratio >= 0.7 union all select 'stability_coverage_compromise', row_number() over (order by score desc, valid_ratio desc, run), * from c)
-select choice, "rank", run, round(valid_ratio, 6) as valid_ratio, jumps, round(score, 6) as stability_coverage_score from o where "rank" <= case when choice = 'highest_valid_ratio' then 3 else 1 end""",
+    f"""{_TSUM}, ca as (select run, valid_count * 1e0 / total_frames as valid_ratio, translation_jump_count + yaw_jump_count as jumps, valid_count * 1e0 / total_frames - 0.5 * (translation_jump_count + yaw_jump_count) / greatest(1, valid_count) as score from bb),
+oa as (select 'highest_valid_ratio' as choice, row_number() over (order by valid_ratio desc, jumps, run) as "rank", * from ca union all select 'lowest_jump_valid_ratio_ge_050', row_number() over (order by jumps, valid_ratio desc, run), * from ca where valid_ratio >= 0.5
+union all select 'lowest_jump_valid_ratio_ge_070', row_number() over (order by jumps, valid_ratio desc, run), * from ca where valid_ratio >= 0.7 union all select 'stability_coverage_compromise', row_number() over (order by score desc, valid_ratio desc, run), * from ca)
+select choice, "rank", run, round(valid_ratio, 6) as valid_ratio, jumps, round(score, 6) as stability_coverage_score from oa where "rank" <= case when choice = 'highest_valid_ratio' then 3 else 1 end""",
 )
 def candidates_assessed(spark, sf_dir):
     steps = T.mad_jumps(vo_steps(spark, sf_dir), ["run"])

@@ -30,7 +30,7 @@ def frames_arriving(spark, sf_dir):
 @query("sessions_stream")
 def sessions(spark, sf_dir):
     live = J.arrived(view(spark, sf_dir, "v_frames"), "frames")
-    return rounded(J.run_available(sessions_stream(live, calibration=POLICY), "sessions"))
+    return rounded(J.run_available(sessions_stream(live, calibration=POLICY), "sessions", idle_timeouts=True))
 
 
 @query(
@@ -39,7 +39,7 @@ def sessions(spark, sf_dir):
 )
 def continuity_live(spark, sf_dir):
     live = J.arrived(view(spark, sf_dir, "v_frames"), "frames")
-    return J.run_available(continuity_stream(live), "continuity").select("session", "seq", "event", "action")
+    return J.run_available(continuity_stream(live), "continuity", idle_timeouts=True).select("session", "seq", "event", "action")
 
 
 @query("track_gate_stream")

@@ -125,12 +125,12 @@ def _sampled(states: DataFrame, policy: NavigationPolicy, calibration: Calibrati
     gps_y = F.col("gps_y") - F.col("before.fix.y")
     pair = (
         F.col("fix_ok") & (F.col("action") == "continue")
-        & (F.col("previous_health") == HEALTHY) & F.col("adjacent_fix")
+        & F.col("previous_health").eqNullSafe(HEALTHY) & F.col("adjacent_fix")
     )
     motion = F.col("action").isin("continue", "repeated_image")
     quality = F.coalesce(F.col("valid") & (F.col("action") == "continue"), F.lit(False))
     reason = (
-        F.when(F.col("health") != HEALTHY, None)
+        F.when(~F.col("health").eqNullSafe(HEALTHY), None)
         .when(~F.col("fix_ok"), "invalid_ground_truth")
         .when(~pair & motion & quality, "unmatched_gps_step")
         .when(~pair & motion, "motion_quality_invalid")

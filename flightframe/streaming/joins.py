@@ -66,16 +66,21 @@ def combine_tasks_stream(
     return joined
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what has arrived into a table in the shared folder, and read it."""
+def run_available(stream: DataFrame, name: str, idle_timeouts: bool = False) -> DataFrame:
+    """Process what has arrived into a table in the shared folder, and read it. A stream with
+    idle timeouts would go on with empty batches for ever, so it runs without them."""
     import uuid
 
     spark = stream.sparkSession
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false" if idle_timeouts else before)
     folder = f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     )
+    spark.conf.set(setting, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 

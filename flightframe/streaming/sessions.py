@@ -28,6 +28,10 @@ STATE = "blob binary"
 IDLE_SECONDS = 1800  # fixed value: a session without frames for so long is forgotten
 
 
+# What the next frame is compared with.
+_REMEMBERED = ("frame_id", "video", "width", "height", "modality", "frame_index", "fingerprint")
+
+
 def _known(value) -> bool:
     return value is not None and not (isinstance(value, float) and math.isnan(value)) and value is not pd.NA
 
@@ -108,7 +112,7 @@ def advance(state: SessionState, frame: dict, policy: NavigationPolicy, calibrat
             c, s = math.cos(-now.yaw), math.sin(-now.yaw)
             now.x += c * frame["dx"] - s * frame["dy"]
             now.y += s * frame["dx"] + c * frame["dy"]
-    now.last, state.pose, state.health = frame, now, health
+    now.last, state.pose, state.health = {name: frame[name] for name in _REMEMBERED}, now, health
     gps = (frame["gps_x"], frame["gps_y"], frame["gps_z"])
     step = None
     if before.fix is not None and _known(before.fix[3]) and _known(frame["frame_index"]):
@@ -169,6 +173,17 @@ def _unhealthy(now, before, moved, previous_health, adjacent, policy) -> tuple |
     return x, y, gz
 
 
+def freeze(state: SessionState) -> bytes:
+    """The state as bytes of plain values."""
+    pose = None if state.pose is None else dict(state.pose.__dict__)
+    return pickle.dumps((pose, state.health, state.segment))
+
+
+def thaw(blob: bytes) -> SessionState:
+    pose, health, segment = pickle.loads(blob)
+    return SessionState(None if pose is None else Pose(**pose), health, segment)
+
+
 def _rows(frames: pd.DataFrame) -> list[dict]:
     plain = frames.astype(object).where(frames.notna(), None)
     return plain.to_dict("records")
@@ -186,7 +201,7 @@ def sessions_stream(
         if held.hasTimedOut:
             held.remove()
             return
-        state = pickle.loads(held.get[0]) if held.exists else SessionState()
+        state = thaw(bytes(held.get[0])) if held.exists else SessionState()
         ordered = pd.concat(list(batches)).sort_values("seq")
         out = []
         for row in _rows(ordered):
@@ -194,7 +209,7 @@ def sessions_stream(
                 state = SessionState()
                 continue
             out.append(advance(state, row, policy, calibration))
-        held.update((pickle.dumps(state),))
+        held.update((freeze(state),))
         held.setTimeoutDuration(idle_seconds * 1000)
         if out:
             yield pd.DataFrame(out)[[c.split()[0] for c in OUTPUT.split(", ")]]

@@ -40,5 +40,6 @@ def differences(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
     a, b = tidy(spark_rows), tidy(sql_rows)
     if a == b:
         return None
-    left, right = [r for r in a if r not in set(b)], [r for r in b if r not in set(a)]
+    in_a, in_b = set(a), set(b)
+    left, right = [r for r in a if r not in in_b], [r for r in b if r not in in_a]
     return f"{len(a)} rows vs {len(b)}; {len(left)} only in spark {left[:2]}; {len(right)} only in sql {right[:2]}"
