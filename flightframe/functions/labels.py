@@ -46,7 +46,8 @@ def lookup(key: Column, table: dict) -> Column:
 
 def detection_class(model_id: Column) -> Column:
     """Class of an integral, mapped model id (a double), else null."""
-    whole = F.when(model_id == F.floor(model_id), model_id.cast("int"))
+    number = model_id.try_cast("int")
+    whole = F.when(number == model_id, number)
     return lookup(whole, CLASS_BY_MODEL_ID)
 
 

@@ -113,7 +113,7 @@ def _cut(ring: Column, depth) -> Column:
 
     def joined(p: Column, q: Column) -> Column:
         here, there = depth(p), depth(q)
-        share = here / (here - there)
+        share = F.try_divide(here, here - there)
         meeting = F.struct(
             (p["x"] + (q["x"] - p["x"]) * share).alias("x"), (p["y"] + (q["y"] - p["y"]) * share).alias("y")
         )
@@ -173,7 +173,7 @@ def check_polygon(
     def judged(m: Column) -> Column:
         spread = lambda a, b: F.greatest(a, b) / F.greatest(F.least(a, b), F.lit(1e-9))
         distortion = F.greatest(spread(m["e0"], m["e2"]), spread(m["e1"], m["e3"]))
-        ratio = m["visible"] / m["raw"]
+        ratio = F.try_divide(m["visible"], m["raw"])
         reason = (
             F.when(~m["finite"], "polygon_points_invalid")
             .when((width <= 0) | (height <= 0), "frame_size_invalid")
@@ -182,7 +182,7 @@ def check_polygon(
             .when(m["raw"] > width * height * policy.max_frame_ratio, "polygon_area_too_large")
             .when(F.least(m["e0"], m["e1"], m["e2"], m["e3"]) < policy.min_edge_px, "polygon_edge_too_short")
             .when(
-                (F.least(m["w"], m["h"]) <= 0) | (F.greatest(m["w"] / m["h"], m["h"] / m["w"]) > policy.max_aspect),
+                (F.least(m["w"], m["h"]) <= 0) | (F.greatest(F.try_divide(m["w"], m["h"]), F.try_divide(m["h"], m["w"])) > policy.max_aspect),
                 "polygon_aspect_ratio",
             )
             .when(distortion > policy.max_distortion, "polygon_perspective_distortion")
@@ -218,7 +218,7 @@ def condition_number(h: Sequence[Column]) -> Column:
 
     def rooted(s: Column) -> Column:
         cubic = s["a"] * (s["b"] * s["c"] - s["f"] * s["f"]) - s["d"] * (s["d"] * s["c"] - s["f"] * s["e"]) + s["e"] * (s["d"] * s["f"] - s["b"] * s["e"])
-        half = cubic / (2 * s["k"] * s["k"] * s["k"])
+        half = F.try_divide(cubic, 2 * s["k"] * s["k"] * s["k"])
         angle = F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3
         third = 2.0943951023931953
         return F.struct(
@@ -228,7 +228,7 @@ def condition_number(h: Sequence[Column]) -> Column:
 
     def ratio(r: Column) -> Column:
         middle = r["trace"] - r["large"] - r["small"]
-        return F.when(r["k"] == 0, F.lit(1.0)).otherwise(r["large"] * F.sqrt(middle) / F.abs(r["det"]))
+        return F.when(r["k"] == 0, F.lit(1.0)).otherwise(F.try_divide(r["large"] * F.sqrt(middle), F.abs(r["det"])))
 
     packed = F.struct(*[v.alias(n) for v, n in zip((a, b, c, d, e, f), "abcdef")], determinant(h).alias("det"))
     return let(packed, lambda s: let(centred(s), lambda t: let(rooted(t), ratio)))

@@ -96,7 +96,7 @@ def track_candidates(
     ratio = distance / F.greatest(diagonal(box("p_")), diagonal(box("d_")), F.lit(1.0))
     size = area(box("d_")) / F.greatest(area(box("p_")), F.lit(1e-12))
     quality = F.greatest(F.lit(0.0), 1.0 - F.col("center_ratio") / policy.match_max_center_distance_ratio)
-    score = 0.6 * F.col("iou") + 0.3 * quality + 0.1 * F.least(F.col("size_ratio"), 1.0 / F.col("size_ratio"))
+    score = 0.6 * F.col("iou") + 0.3 * quality + 0.1 * F.least(F.col("size_ratio"), F.try_divide(F.lit(1.0), F.col("size_ratio")))
     reliable = F.col("p_reliable") & ~touches_edge(box("d_"), F.col("d_w"), F.col("d_h"))
     # A generator hands its output on as finished values: the gates below do not repeat them.
     facts = F.struct(

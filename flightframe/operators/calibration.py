@@ -43,7 +43,7 @@ def _finish(
     cc, gg = sums["cc"], sums["gg"]
     cross = m00 * xx + m01 * yx + m10 * xy + m11 * yy
     squared = F.greatest(scale * scale * cc - 2 * scale * cross + gg, F.lit(0.0))
-    rms = F.sqrt(squared / kept)
+    rms = F.sqrt(F.try_divide(squared, kept))
     a, b, c = sums["uxx"], sums["uyy"], sums["uxy"]
     root = F.sqrt((a - b) * (a - b) + 4 * c * c)
     high, low = (a + b + root) / 2, F.greatest((a + b - root) / 2, F.lit(0.0))
@@ -95,7 +95,7 @@ def calibration_fit(
     # Four passes read the samples, so they are written once.
     base = settle(
         samples.select(*by, "cam_x", "cam_y", "gps_x", "gps_y").withColumns(
-            {"bad": bad, "camera": camera, "gps": gps, "ratio": gps / camera}
+            {"bad": bad, "camera": camera, "gps": gps, "ratio": F.try_divide(gps, camera)}
         )
     )
     medians = grouped_percentiles(base, by, {"ratios": F.col("ratio")}, [0.5], rows).withColumn(
@@ -133,7 +133,8 @@ def _products(cx: Column, cy: Column, gx: Column, gy: Column, norm: Column) -> d
     return {
         "xx": cx * gx, "xy": cx * gy, "yx": cy * gx, "yy": cy * gy,
         "cc": cx * cx + cy * cy, "gg": gx * gx + gy * gy,
-        "uxx": cx * cx / (norm * norm), "uyy": cy * cy / (norm * norm), "uxy": cx * cy / (norm * norm),
+        "uxx": F.try_divide(cx * cx, norm * norm), "uyy": F.try_divide(cy * cy, norm * norm),
+        "uxy": F.try_divide(cx * cy, norm * norm),
         "span": norm,
     }
 

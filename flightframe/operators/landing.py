@@ -28,7 +28,7 @@ def _sides(detections: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
 def _occupied(policy: LandingPolicy) -> Column:
     shared = intersection(box("c"), box("o_"))
     middle_x, middle_y = box("o_").center
-    enough = shared / area(box("c")) >= policy.occupancy_ratio
+    enough = F.try_divide(shared, area(box("c"))) >= policy.occupancy_ratio
     if policy.use_center_check:
         enough = enough | contains(box("c"), middle_x, middle_y)
     if policy.use_bottom_center_check:
@@ -88,7 +88,7 @@ def landing_pairs(
     return joined.select(
         *keys, "det_index", "o_index", "o_cls",
         shared.alias("intersection_area"),
-        (shared / area(box("c"))).alias("intersection_over_landing"),
+        F.try_divide(shared, area(box("c"))).alias("intersection_over_landing"),
         contains(box("c"), middle_x, middle_y).alias("center_inside"),
         contains(box("c"), middle_x, box("o_").y2).alias("bottom_center_inside"),
         _occupied(policy).alias("occupied"),

@@ -93,8 +93,8 @@ def _best_partners(group, left_ids, left_values, right_ids, right_values, names)
     left_ids, right_ids = np.asarray(left_ids), np.asarray(right_ids)
     a = np.asarray(left_values, dtype=np.float64).reshape(len(left_ids), -1)
     b = np.asarray(right_values, dtype=np.float64).reshape(len(right_ids), -1)
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    b = b / np.linalg.norm(b, axis=1, keepdims=True)
     similarity = a @ b.T
     to_right, to_left = similarity.argmax(axis=1), similarity.argmax(axis=0)
     n, m = len(left_ids), len(right_ids)

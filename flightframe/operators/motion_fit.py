@@ -39,6 +39,7 @@ def _sums(camera: CameraModel, weight: Column | None = None) -> list[Column]:
 def _solution() -> dict[str, Column]:
     """Shift and turn that minimise the squared residuals, from the sums."""
     n, u, v, dx, dy, r, m = (F.col(f"s_{c}") for c in ("n", "u", "v", "dx", "dy", "r", "m"))
+    n = F.when(n > 0, n)
     # -tx*n + yaw*v = dx ; -ty*n - yaw*u = dy ; eliminated into one equation for yaw.
     spread = r - (u * u + v * v) / n
     yaw = (m - (v * dx - u * dy) / n) / F.when(spread > 1e-9, spread)

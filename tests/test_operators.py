@@ -220,7 +220,7 @@ def test_polygon_clip_and_condition(spark):
     df = spark.createDataFrame([tuple(float(v) for v in m.ravel()) for m in mats], ", ".join(f"{n} double" for n in MATRIX))
     got = [r[0] for r in df.select(condition_number(matrix())).collect()]
     np.testing.assert_allclose(got, [np.linalg.cond(m) for m in mats], rtol=1e-5)
-    faults = spark.createDataFrame([(1.0, 0, 0, 0, 1, 0, 0, 0, 1), (1.0, 0, 0, 0, 1, 0, 0, 0, 0), (1.0, 0, 5000, 0, 1, 0, 0, 0, 1)], ", ".join(f"{n} double" for n in MATRIX) if False else "h11 double, h12 int, h13 int, h21 int, h22 int, h23 int, h31 int, h32 int, h33 int")
+    faults = spark.createDataFrame([(1.0, 0, 0, 0, 1, 0, 0, 0, 1), (1.0, 0, 0, 0, 1, 0, 0, 0, 0), (1.0, 0, 5000, 0, 1, 0, 0, 0, 1)], "h11 double, h12 int, h13 int, h21 int, h22 int, h23 int, h31 int, h32 int, h33 int")
     assert [r[0] for r in faults.select(matrix_fault([F.col(n).cast("double") for n in MATRIX], F.lit(500), F.lit(400), 1e9)).collect()] == [None, "singular_normalization", "excessive_corner_displacement"]
 
 
