@@ -56,14 +56,10 @@ def landing_status(
     """One row per pad with ``landing_status``. The order of rules matters: invalid box,
     outside the frame tolerance, too small, occupied, free."""
     pads, obstacles = _sides(detections, keys)
-    kept = [c for c in pads.columns if c not in (*keys, "det_index")]
-    joined = join_meeting_boxes(
-        pads, obstacles.drop("o_index", "o_cls"), keys, box("c"), box("o_"), how="left", salt_by=["det_index"]
-    )
-    folded = joined.groupBy(*keys, "det_index").agg(
-        *[F.any_value(c).alias(c) for c in kept],
-        F.coalesce(F.bool_or(_occupied(policy)), F.lit(False)).alias("occupied"),
-    )
+    slim = pads.select(*keys, "det_index", "cx1", "cy1", "cx2", "cy2")
+    met = join_meeting_boxes(slim, obstacles.drop("o_index", "o_cls"), keys, box("c"), box("o_"), salt_by=["det_index"])
+    hits = met.where(_occupied(policy)).select(*keys, "det_index").distinct().withColumn("occupied", F.lit(True))
+    folded = pads.join(hits, [*keys, "det_index"], "left").withColumn("occupied", F.coalesce("occupied", F.lit(False)))
     status = (
         F.when((width <= 0) | (height <= 0) | ~ordered(box()) | ~ordered(box("c")), NOT_APPLICABLE)
         .when(_outside(width, height, policy), UNSUITABLE)

@@ -144,11 +144,16 @@ def value_statistics(
     rows: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], rows_limit: int | None = None
 ) -> DataFrame:
     """Count, min, max, mean and named percentiles of the non-null values of each group."""
-    known = settle(rows.select(*by, F.col(value).alias("_value")))
-    tails = grouped_percentiles(known, by, {"_p": F.col("_value")}, list(probs.values()), rows_limit)
+    # Equal values are counted once before anything meets in a group.
+    counted = rows.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    known = settle(counted)
+    tails = grouped_percentiles(
+        known.where(F.col("_value").isNotNull()), by, {"_p": F.col("_value")}, list(probs.values()), rows_limit, F.col("_n")
+    )
+    n = F.sum(F.when(F.col("_value").isNotNull(), F.col("_n")))
     base = known.groupBy(*by).agg(
-        F.count("_value").alias("count"), F.min("_value").alias("minimum"),
-        F.max("_value").alias("maximum"), F.avg("_value").alias("mean"),
+        F.coalesce(n, F.lit(0)).alias("count"), F.min("_value").alias("minimum"), F.max("_value").alias("maximum"),
+        divide_or_null(F.sum(F.col("_value") * F.col("_n")), n).alias("mean"),
     )
     named = [F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(probs)]
     return base.join(tails, list(by), "left").select(*base.columns, *named)

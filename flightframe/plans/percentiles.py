@@ -25,20 +25,23 @@ def grouped_percentiles(
     values: Mapping[str, Column],
     probs: Sequence[float],
     rows: int | None = None,
+    copies: Column | None = None,
 ) -> DataFrame:
-    """One row per group: ``<name>`` is the array of percentiles of each named value."""
+    """One row per group: ``<name>`` is the array of percentiles of each named value. Values
+    counted beforehand come with ``copies``."""
     rows = LIMITS.percentile_rows if rows is None else rows
     by = list(by)
-    data = df.select(*by, *[column.alias(name) for name, column in values.items()])
+    weight = F.lit(1).cast("long") if copies is None else copies
+    data = df.select(*by, weight.alias("_w"), *[column.alias(name) for name, column in values.items()])
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    plain = lambda part: part.groupBy(*by).agg(*[F.percentile(name, wanted).alias(name) for name in values])
+    plain = lambda part: part.groupBy(*by).agg(*[F.percentile(name, wanted, *([] if copies is None else [F.col("_w")])).alias(name) for name in values])
     hot = hot_groups(data, by, rows)
     if hot is None:
         return plain(data)
     small, large = split_hot(data, hot, by)
     long = large.select(
-        *by, F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in values])).alias("_e")
-    ).select(*by, "_e.item", "_e.value").where(F.col("value").isNotNull())
+        *by, "_w", F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in values])).alias("_e")
+    ).select(*by, "_w", "_e.item", "_e.value").where(F.col("value").isNotNull())
     ranked = _ranked_values(long, [*by, "item"], probs, rows)
     wide = ranked.groupBy(*by).agg(
         *[F.max(F.when(F.col("item") == n, F.col("percentiles"))).alias(n) for n in values]
@@ -48,7 +51,7 @@ def grouped_percentiles(
 
 def _ranked_values(data: DataFrame, by: list[str], probs: Sequence[float], rows: int) -> DataFrame:
     sizes = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        F.sum("_w").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     position = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     ranks = F.array_distinct(
@@ -74,7 +77,7 @@ def _ranked_values(data: DataFrame, by: list[str], probs: Sequence[float], rows:
             .withColumn("cell", cell)
             .groupBy(*by, "rank", "below", "cell")
             .agg(
-                F.count(F.lit(1)).alias("inside"),
+                F.sum("_w").alias("inside"),
                 F.min("value").alias("low"),
                 F.max("value").alias("high"),
             )
@@ -93,7 +96,7 @@ def _ranked_values(data: DataFrame, by: list[str], probs: Sequence[float], rows:
         data.join(targets, by)
         .where(F.col("value").between(F.col("low"), F.col("high")))
         .groupBy(*by, "rank", "below", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.sum("_w").alias("copies"))
     )
     upto = Window.partitionBy(*by, "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     found = (

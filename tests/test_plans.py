@@ -22,6 +22,9 @@ def test_percentiles_of_large_groups(spark):
         got = {r["g"]: r["v"] for r in grouped_percentiles(df, ["g"], {"v": F.col("v")}, probs, limit).collect()}
         for g, part in data.groupby("g"):
             np.testing.assert_allclose(got[g], np.percentile(part.v, np.array(probs) * 100), rtol=1e-12)
+        counted = df.groupBy("g", "v").count()
+        again = {r["g"]: r["v"] for r in grouped_percentiles(counted, ["g"], {"v": F.col("v")}, probs, limit, F.col("count")).collect()}
+        assert all(np.allclose(again[g], got[g], rtol=1e-12) for g in got)
 
 
 @pytest.mark.parametrize("limit", [7, 10_000])
