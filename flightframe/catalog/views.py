@@ -17,8 +17,8 @@ from flightframe.plans.scans import axis_of, scan
 FRAME_W, FRAME_H = 500, 400
 FLOW_W, FLOW_H, FLOW_SCALE = 250, 200, 0.5
 
-_D = "cast(round(l_discount * 100) as bigint)"
-_T = "cast(round(l_tax * 100) as bigint)"
+_D = "cast(floor(l_discount * 100 + 5e-1) as bigint)"
+_T = "cast(floor(l_tax * 100 + 5e-1) as bigint)"
 _Q = "cast(l_quantity as bigint)"
 _ROW = "((l_partkey * 10 + l_linenumber) * 10000000 + l_suppkey)"
 _BOX = f"""l_quantity * 10 - 20 as x1, {_D} * 40e0 as y1,

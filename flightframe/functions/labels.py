@@ -40,15 +40,16 @@ THERMAL_MAX_DIFFERENCE, RGB_MIN_DIFFERENCE = 6.0, 12.0
 
 def lookup(key: Column, table: dict) -> Column:
     """Value of a small literal table, null for other keys."""
-    pairs = [F.lit(item) for pair in table.items() for item in pair]
-    return F.element_at(F.create_map(*pairs), key)
+    first, *rest = table.items()
+    chain = F.when(key == F.lit(first[0]), F.lit(first[1]))
+    for name, value in rest:
+        chain = chain.when(key == F.lit(name), F.lit(value))
+    return chain
 
 
 def detection_class(model_id: Column) -> Column:
     """Class of an integral, mapped model id (a double), else null."""
-    number = model_id.try_cast("int")
-    whole = F.when(number == model_id, number)
-    return lookup(whole, CLASS_BY_MODEL_ID)
+    return lookup(model_id, {float(number): name for number, name in CLASS_BY_MODEL_ID.items()})
 
 
 def class_code(name: Column) -> Column:

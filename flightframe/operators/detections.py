@@ -22,11 +22,12 @@ def normalize_detections(
     clipped = {f"c{name}": column for name, column in zip(("x1", "y1", "x2", "y2"), inside)}
     # NaN compares as the largest value, so NaN confidences fail the upper bound.
     confident = F.col("conf").between(policy.min_confidence, 1.0) & ~F.isnan("conf")
+    # An ordered box has something left after clipping exactly when it reaches into the frame.
+    reaches = (b.x2 > 0) & (b.x1 < width) & (b.y2 > 0) & (b.y1 < height)
     return (
         raw.withColumn("cls", detection_class(F.col("class_id")))
-        .where(F.col("cls").isNotNull() & confident & ordered(b))
+        .where(F.col("cls").isNotNull() & confident & ordered(b) & reaches)
         .withColumns(clipped)
-        .where((F.col("cx2") > F.col("cx1")) & (F.col("cy2") > F.col("cy1")))
     )
 
 
