@@ -77,22 +77,26 @@ def _signed(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[p
             [batch.column(0), pa.array(sizes, pa.int64()), cells(prints), cells(marks)], ["path", "n_shingles", "print", "signature"])
 
 
+def _keys(marks: np.ndarray, policy: NearPolicy) -> np.ndarray:
+    """Per signature, chunk and place in error the key made of the chunk's other places."""
+    own = marks[:, : policy.chunks * policy.chunk].reshape(-1, policy.chunks, policy.chunk).astype(U)
+    keys = np.empty(own.shape, np.int64)
+    for wrong in range(policy.chunk):
+        acc = np.broadcast_to(_SEEDS[: policy.chunks] + U(wrong), own.shape[:2]).copy()
+        for place in range(policy.chunk):
+            if place != wrong:
+                acc = mixed(acc * U(65537) + own[:, :, place])
+        keys[:, :, wrong] = acc.view(np.int64)
+    return keys
+
+
 def _keyed(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[pa.RecordBatch]:
     """One row for each chunk and place that may be in error."""
-    width = policy.chunks * policy.chunk
     for batch in batches:
-        if not len(batch):
-            continue
-        marks = _marks(batch.column(1), policy.places)[:, :width].reshape(-1, policy.chunks, policy.chunk).astype(U)
-        keys = np.empty((len(batch), policy.chunks, policy.chunk), np.int64)
-        for wrong in range(policy.chunk):
-            acc = np.broadcast_to(_SEEDS[: policy.chunks] + U(wrong), marks.shape[:2]).copy()
-            for place in range(policy.chunk):
-                if place != wrong:
-                    acc = mixed(acc * U(65537) + marks[:, :, place])
-            keys[:, :, wrong] = acc.view(np.int64)
-        rows = np.repeat(np.arange(len(batch)), policy.chunks * policy.chunk)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(rows))], ["key", "path"])
+        if len(batch):
+            keys = _keys(_marks(batch.column(1), policy.places), policy)
+            rows = np.repeat(np.arange(len(batch)), policy.chunks * policy.chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(rows))], ["key", "path"])
 
 
 def _marks(column_: pa.Array, places: int) -> np.ndarray:
@@ -115,21 +119,41 @@ def _close(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[pa
 
 
 def _compared(tables: pa.Table, policy: NearPolicy) -> pa.Table:
-    """Pairs of one block of a key: rows (side, path, component, n, signature), sides 1 and 2, or 3 for both."""
-    side, size = tables["side"].to_numpy(), tables["n"].to_numpy()
+    """Pairs of one block of a key: rows (side, path, component, n, common, signature), sides 1 and 2, or 3 for both.
+
+    A pair comes out under its first common key only. Of two files, at most the shingles that each
+    has in common with any other file can be shared, which rules out pairs before their sets are met.
+    """
+    key = tables["key"][0].as_py()
+    side, size, common = tables["side"].to_numpy(), tables["n"].to_numpy(), tables["common"].to_numpy()
     paths, component = tables["path"].combine_chunks(), tables["component"].combine_chunks()
     code = component.dictionary_encode().indices.to_numpy()
     marks = _marks(tables["signature"], policy.places)
+    chunks = marks[:, : policy.chunks * policy.chunk].reshape(-1, policy.chunks, policy.chunk)
+    keys = _keys(marks, policy)
     left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-    found_a, found_b = [], []
+    found_a, found_b = [np.zeros(0, int)], [np.zeros(0, int)]
     for i in left:
-        other = right[(code[right] != code[i]) & (100 * np.minimum(size[right], size[i]) >= policy.percent * np.maximum(size[right], size[i]))]
+        enough = (100 + policy.percent) * np.minimum(common[right], common[i]) >= policy.percent * (size[right] + size[i])
+        other = right[(code[right] != code[i]) & enough]
         other = other[~_far(marks[other], marks[i], policy)]
+        equal = chunks[other] == chunks[i]
+        chunk = (equal.sum(2) >= policy.chunk - 1).argmax(1)
+        wrong = equal[np.arange(len(other)), chunk].argmin(1)
+        other = other[keys[i, chunk, wrong] == key]
         found_a.append(np.full(len(other), i))
         found_b.append(other)
-    a = np.concatenate(found_a) if found_a else np.zeros(0, int)
-    b = np.concatenate(found_b) if found_b else np.zeros(0, int)
-    return pa.table({"a": paths.take(pa.array(a, pa.int64())), "b": paths.take(pa.array(b, pa.int64()))})
+    take = lambda rows: paths.take(pa.array(np.concatenate(rows), pa.int64()))
+    return pa.table({"a": take(found_a), "b": take(found_b)})
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of sets, one row each."""
+    for batch in batches:
+        cells = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        rows = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64))], ["path", "shingle"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[pa.RecordBatch]:
@@ -153,11 +177,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def _confirmed(pairs: DataFrame, files: DataFrame, kind: str, policy: NearPolicy) -> DataFrame:
+def _sets_of(paths: DataFrame, files: DataFrame, kind: str, policy: NearPolicy) -> DataFrame:
+    """The full sets (``path``, ``shingles``) of the files named in ``paths``."""
+    texts = files.join(paths.select("path").distinct(), "path", "left_semi")
+    return written(texts.mapInArrow(lambda batches: _sets(batches, policy), f"path {kind}, shingles binary"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, policy: NearPolicy) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("path")).distinct()
-    texts = files.join(asked, "path", "left_semi")
-    sets = written(texts.mapInArrow(lambda batches: _sets(batches, policy), f"path {kind}, shingles binary"))
     both = (
         pairs.join(sets.select(F.col("path").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("path").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
@@ -197,24 +224,29 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     close = first.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
         lambda batches: _close(batches, policy), f"a {kind}, b {kind}")
     first = written(close.distinct())
-    links = written(_confirmed(first, files, kind, policy))
+    sets = _sets_of(first.select(F.explode(F.array("a", "b")).alias("path")), files, kind, policy)
+    links = written(_confirmed(first, sets, kind, policy))
     found = written(components(links))
 
     # Keys that still hold several components: their other pairs, block by block.
     known = shared.select("key", "rows", "path").join(found, F.col("path") == F.col("node"), "left").select(
         "key", "rows", "path", F.coalesce("component", "path").alias("component"))
     mixed_keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = known.join(mixed_keys, "key", "left_semi").join(
-        models.select("path", F.col("n_shingles").alias("n"), "signature"), "path")
+    rest = written(known.join(mixed_keys, "key", "left_semi"))
+    sets = _sets_of(rest, files, kind, policy)
+    lone = sets.mapInArrow(_single, f"path {kind}, shingle long").groupBy("shingle").agg(
+        F.min("path").alias("path"), F.max("path").alias("last")).where("path = last").groupBy("path").agg(F.count(F.lit(1)).alias("lone"))
+    facts = models.join(rest.select("path").distinct(), "path", "left_semi").join(lone, "path", "left").select(
+        "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature")
     blocks = F.ceil(F.col("rows") / policy.block).cast("int")
-    placed = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("path", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = rest.join(written(facts), "path").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("path", F.lit(7)), F.col("blocks")).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-        "path", "component", "n", "signature")
+        "path", "component", "n", "common", "signature")
     second = meets.groupBy("key", "i", "j").applyInArrow(lambda table: _compared(table, policy), f"a {kind}, b {kind}")
     second = written(_ordered(second).join(first, ["a", "b"], "left_anti"))
-    links = links.union(_confirmed(second, files, kind, policy)) if not second.isEmpty() else links
+    links = links.union(_confirmed(second, sets, kind, policy)) if not second.isEmpty() else links
 
     several = members.groupBy("path").agg(F.min("model").alias("b"), F.max("model").alias("a")).where("a != b")
     if not several.isEmpty():
