@@ -37,9 +37,10 @@ class NearPolicy:
     percent: int = 75
     chunks: int = 12
     chunk: int = 3
-    places: int = 96
-    most_differing: int = 46
+    places: int = 192
+    most_differing: int = 79
     pivots: int = 3
+    turns: int = 2
     block: int = 512
 
     def __post_init__(self) -> None:
@@ -109,12 +110,12 @@ def _far(a: np.ndarray, b: np.ndarray, policy: NearPolicy) -> np.ndarray:
 
 
 def _close(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b, sizes, signatures) that may reach the similarity."""
+    """Keeps the pairs (a, b, sizes, common shingles, signatures) that may reach the similarity."""
     for batch in batches:
         if len(batch):
-            sizes = [batch.column(i).to_numpy() for i in (2, 3)]
-            fits = 100 * np.minimum(*sizes) >= policy.percent * np.maximum(*sizes)
-            keep = fits & ~_far(_marks(batch.column(4), policy.places), _marks(batch.column(5), policy.places), policy)
+            na, nb, ca, cb = (batch.column(i).to_numpy() for i in range(2, 6))
+            enough = (100 + policy.percent) * np.minimum(ca, cb) >= policy.percent * (na + nb)
+            keep = enough & ~_far(_marks(batch.column(6), policy.places), _marks(batch.column(7), policy.places), policy)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -179,7 +180,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _sets_of(paths: DataFrame, files: DataFrame, kind: str, policy: NearPolicy) -> DataFrame:
     """The full sets (``path``, ``shingles``) of the files named in ``paths``."""
-    texts = files.join(paths.select("path").distinct(), "path", "left_semi")
+    # The texts move by path at every size; a broadcast here would only hide what a large run shuffles.
+    texts = files.join(paths.select("path").distinct().hint("merge"), "path", "left_semi")
     return written(texts.mapInArrow(lambda batches: _sets(batches, policy), f"path {kind}, shingles binary"))
 
 
@@ -192,6 +194,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, policy: NearPolicy)
     return both.mapInArrow(lambda batches: _linked(batches, policy), f"a {kind}, b {kind}").distinct()
 
 
+def _pivot_pairs(known: DataFrame, facts: DataFrame, turn: int, policy: NearPolicy) -> DataFrame:
+    """Files (``key``, ``path``, ``component``) with the pivots of their keys from other components: the file with
+    the smallest share of shingles of its own, and others drawn by a hash."""
+    who = ("path", "component")
+    apart = F.min(F.struct((F.lit(1) - F.col("common") / F.col("n")).alias("s"), *who)).alias("p0")
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(turn * 100 + r), "path").alias("s"), *who)).alias(f"p{r}") for r in range(1, policy.pivots)]
+    pivots = known.join(facts.select("path", "n", "common"), "path").groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), apart, *drawn).where("low != high")
+    each = F.explode(F.array(*[F.struct(*[F.col(f"p{r}")[c].alias(c) for c in who]) for r in range(policy.pivots)]))
+    return known.join(pivots, "key").select("path", "component", each.alias("p")).where("component != p.component").select(
+        F.col("path").alias("a"), F.col("p.path").alias("b"))
+
+
+def _both_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    side = lambda x: facts.select(F.col("path").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"c{x}"), F.col("signature").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb", "sa", "sb")
+
+
 def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml", policy: NearPolicy = NEAR) -> DataFrame:
     """Groups of near-duplicate annotation files.
 
@@ -216,36 +236,38 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
 
     keyed = written(models.select("path", "signature").mapInArrow(
         lambda batches: _keyed(batches, policy), f"key long, path {kind}").repartition("key"))
-    pivot = lambda r: F.min(F.struct(F.xxhash64(F.lit(r), "path").alias("h"), "path"))["path"].alias(f"p{r}")
-    pivots = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *[pivot(r) for r in range(policy.pivots)]).where("rows > 1")
-    shared = written(keyed.join(pivots, "key"))
-    first = _ordered(shared.select(F.col("path").alias("a"), F.explode(F.array(*[f"p{r}" for r in range(policy.pivots)])).alias("b")))
-    marks = lambda side: models.select(F.col("path").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("signature").alias(f"s{side}"))
-    close = first.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
-        lambda batches: _close(batches, policy), f"a {kind}, b {kind}")
-    first = written(close.distinct())
-    sets = _sets_of(first.select(F.explode(F.array("a", "b")).alias("path")), files, kind, policy)
-    links = written(_confirmed(first, sets, kind, policy))
-    found = written(components(links))
+    several_rows = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = written(keyed.join(several_rows, "key").select("key", "rows", "path"))
+    sets = _sets_of(shared, files, kind, policy)
+    lone = sets.mapInArrow(_single, f"path {kind}, shingle long").groupBy("shingle").agg(
+        F.min("path").alias("path"), F.max("path").alias("last")).where("path = last").groupBy("path").agg(F.count(F.lit(1)).alias("lone"))
+    facts = written(models.join(shared.select("path").distinct(), "path", "left_semi").join(lone, "path", "left").select(
+        "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature"))
+
+    # Files meet the pivots of their keys; what is then connected is not compared again.
+    known, found, links, tested = shared.withColumn("component", F.col("path")), None, None, None
+    for turn in range(policy.turns):
+        pairs = _ordered(_pivot_pairs(known, facts, turn, policy))
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(_both_facts(pairs, facts).mapInArrow(lambda batches: _close(batches, policy), f"a {kind}, b {kind}"))
+        tested = pairs if tested is None else tested.union(pairs)
+        linked = written(_confirmed(pairs, sets, kind, policy))
+        links = linked if links is None else links.union(linked)
+        found = written(components(links))
+        known = shared.join(found, F.col("path") == F.col("node"), "left").select(
+            "key", "rows", "path", F.coalesce("component", "path").alias("component"))
 
     # Keys that still hold several components: their other pairs, block by block.
-    known = shared.select("key", "rows", "path").join(found, F.col("path") == F.col("node"), "left").select(
-        "key", "rows", "path", F.coalesce("component", "path").alias("component"))
     mixed_keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = written(known.join(mixed_keys, "key", "left_semi"))
-    sets = _sets_of(rest, files, kind, policy)
-    lone = sets.mapInArrow(_single, f"path {kind}, shingle long").groupBy("shingle").agg(
-        F.min("path").alias("path"), F.max("path").alias("last")).where("path = last").groupBy("path").agg(F.count(F.lit(1)).alias("lone"))
-    facts = models.join(rest.select("path").distinct(), "path", "left_semi").join(lone, "path", "left").select(
-        "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature")
     blocks = F.ceil(F.col("rows") / policy.block).cast("int")
-    placed = rest.join(written(facts), "path").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("path", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = known.join(mixed_keys, "key", "left_semi").join(facts, "path").withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("path", F.lit(7)), F.col("blocks")).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
         "path", "component", "n", "common", "signature")
     second = meets.groupBy("key", "i", "j").applyInArrow(lambda table: _compared(table, policy), f"a {kind}, b {kind}")
-    second = written(_ordered(second).join(first, ["a", "b"], "left_anti"))
+    second = written(_ordered(second).join(tested, ["a", "b"], "left_anti"))
     links = links.union(_confirmed(second, sets, kind, policy)) if not second.isEmpty() else links
 
     several = members.groupBy("path").agg(F.min("model").alias("b"), F.max("model").alias("a")).where("a != b")
