@@ -5,7 +5,7 @@ A session is an exchange of requests and responses, one row per turn. Its templa
     <|im_start|>ROLE
     TEXT<|im_end|>
 
-with a line feed after each end mark. Inside texts every ``\\`` and ``<`` gets a ``\\`` in front, so
+with a line feed after each end mark. Inside texts every ``\\`` and ``<`` gets a ``\\`` behind it, so
 no control string can occur there and the change can be undone; roles are written in URL encoding.
 """
 
@@ -21,11 +21,11 @@ REPLY = "assistant"
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\<])", r"\\$1")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\<])", r"$1\\")
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"([\\<])\\", "$1")
 
 
 def _head(role: Column) -> Column:
