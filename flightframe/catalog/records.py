@@ -98,7 +98,7 @@ def file_names(spark, sf_dir):
     return S.parse_file_names(view(spark, sf_dir, "v_names"))
 
 
-@query("natural_order", ctes("v_names") + " select name, concat(lower(regexp_extract(name, '^([A-Za-z]+_?)', 1)), lpad(regexp_extract(name, '([0-9]+)_', 1), 20, '0'), '_', lpad(regexp_extract(name, '_0*([0-9]+)[.]', 1), 20, '0'), lower(regexp_extract(name, '([.][a-zA-Z]+)$', 1))) as sort_key from v_names")
+@query("natural_order", ctes("v_names") + " select name, concat(lower(regexp_extract(name, '^([A-Za-z]+_?)', 1)), lpad(cast(length(coalesce(nullif(ltrim(regexp_extract(name, '([0-9]+)_', 1), '0'), ''), '0')) as varchar), 10, '0'), coalesce(nullif(ltrim(regexp_extract(name, '([0-9]+)_', 1), '0'), ''), '0'), '_', lpad(cast(length(coalesce(nullif(ltrim(regexp_extract(name, '_0*([0-9]+)[.]', 1), '0'), ''), '0')) as varchar), 10, '0'), coalesce(nullif(ltrim(regexp_extract(name, '_0*([0-9]+)[.]', 1), '0'), ''), '0'), lower(regexp_extract(name, '([.][a-zA-Z]+)$', 1))) as sort_key from v_names")
 def natural_order(spark, sf_dir):
     return view(spark, sf_dir, "v_names").select("name", L.natural_key(F.col("name")).alias("sort_key"))
 

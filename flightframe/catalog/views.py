@@ -124,7 +124,7 @@ from {part}""",
 select p_partkey as object_id, p_partkey % 150 as session,
   case when p_partkey % 5 = 0 then null else p_size end as active_from,
   case when p_partkey % 7 = 0 then null else p_size + p_partkey % 9 end as active_until
-from {part} where p_partkey < 600""",
+from {part}""",
     "v_matches": """
 select d.doc_id, concat('ref-', cast(d.doc_id % 23 as varchar(10)), case d.doc_id % 4 when 0 then '-Tight' when 1 then '-medium' when 2 then '-WIDER' else '' end) as reference_id,
   concat('frame_', cast(d.doc_id as varchar(20)), '.jpg') as frame_name,
@@ -154,7 +154,7 @@ select cast(floor(o_orderkey / 5e1) as bigint) as pair, o_orderkey as box_index,
   case when o_orderkey % 3 = 0 then 'insan' else 'tasit' end as cls,
   (o_custkey * 13) % 380 + 0e0 as x1, (o_custkey * 7) % 280 + 0e0 as y1,
   (o_custkey * 13) % 380 + 60e0 + o_custkey % 50 as x2, (o_custkey * 7) % 280 + 50e0 + o_custkey % 60 as y2
-from {orders} where o_orderkey % 10 = 3""",
+from {orders}""",
     "v_tracks": f"""
 select cast(floor(l_orderkey / 2e1) as bigint) as pair, {_ROW} as track_id,
   l_quantity * 9 + {_T} as px, {_D} * 38e0 + l_suppkey % 20 as py,

@@ -125,16 +125,17 @@ def frame_index_of(text: Column) -> Column:
     )
 
 
-def natural_key(name: Column, digits: int = 20) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
+def natural_key(name: Column) -> Column:
+    """Sort key in which runs of digits compare as numbers: the length of a run stands before its digits."""
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
+    digits = lambda run: F.regexp_replace(run, r"^0+(?=\d)", "")
+    sized = F.transform(
         runs,
         lambda run: F.when(
-            run.rlike(r"^\d"), F.lpad(F.regexp_replace(run, r"^0+(?=\d)", ""), digits, "0")
+            run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(run)).cast("string"), 10, "0"), digits(run))
         ).otherwise(run),
     )
-    return F.concat_ws("", padded)
+    return F.concat_ws("", sized)
 
 
 def canonical_name(name: Column) -> Column:

@@ -70,8 +70,9 @@ def planar_motion_fit(
     sizes = settle(good.groupBy(*keys).agg(F.count(F.lit(1)).alias("tracked")))
     enough = sizes.where(F.col("tracked") >= policy.min_features)
     # For each hypothesis keep the three tracks with the smallest hashes: a combined top-3.
-    # Each track stands for itself in only a few hypotheses, so the rows do not multiply by all.
-    draws = F.least(F.lit(policy.hypotheses), F.col("tracked")).cast("int")
+    # A track enters as many hypotheses as give each about twelve to choose from; their number never
+    # depends on the tracks, so small pairs are tried as often as large ones.
+    draws = F.lit(policy.hypotheses)
     share = F.greatest(F.lit(1), F.ceil(F.lit(12.0) * draws / F.col("tracked"))).cast("int")
     entered = good.join(enough, keys).withColumn(
         "_h", F.explode(F.transform(F.sequence(F.lit(1), share), lambda i: F.pmod(F.xxhash64(F.col(track), i), draws.cast("long"))))

@@ -263,3 +263,9 @@ def test_names_and_labels(spark):
     assert names.select(L.canonical_name(F.col("n"))).first()[0] == "café.jpg"
     labels = spark.createDataFrame([(v,) for v in ("MOVING", "hareketli", "Hareketsiz", "yoksay", "invalid")], "v string")
     assert [r[0] for r in labels.select(L.normalize_motion_label(F.col("v"))).collect()] == ["moving", "moving", "stationary", "ignore", None]
+
+
+def test_natural_key_orders_numbers_of_any_length(spark):
+    names = ["f" + "9" * 21, "f1" + "0" * 24, "f2", "f010", "f9"]
+    keyed = spark.createDataFrame([(n,) for n in names], "name string").orderBy(L.natural_key(F.col("name")))
+    assert [r.name for r in keyed.collect()] == ["f2", "f9", "f010", "f" + "9" * 21, "f1" + "0" * 24]
