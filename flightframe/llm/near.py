@@ -197,13 +197,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, policy: NearPolicy)
 def _pivot_pairs(known: DataFrame, facts: DataFrame, turn: int, policy: NearPolicy) -> DataFrame:
     """Files (``key``, ``path``, ``component``) with the pivots of their keys from other components: the file with
     the smallest share of shingles of its own, and others drawn by a hash."""
-    who = ("path", "component")
-    apart = F.min(F.struct((F.lit(1) - F.col("common") / F.col("n")).alias("s"), *who)).alias("p0")
+    who = ("path", "component", "n", "common")
+    rows = known.select("key", "path", "component").join(facts.select("path", "n", "common"), "path")
+    central = F.min(F.struct((F.lit(1) - F.col("common") / F.col("n")).alias("s"), *who)).alias("p0")
     drawn = [F.min(F.struct(F.xxhash64(F.lit(turn * 100 + r), "path").alias("s"), *who)).alias(f"p{r}") for r in range(1, policy.pivots)]
-    pivots = known.join(facts.select("path", "n", "common"), "path").groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), apart, *drawn).where("low != high")
+    pivots = rows.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), central, *drawn).where("low != high").drop("low", "high")
     each = F.explode(F.array(*[F.struct(*[F.col(f"p{r}")[c].alias(c) for c in who]) for r in range(policy.pivots)]))
-    return known.join(pivots, "key").select("path", "component", each.alias("p")).where("component != p.component").select(
+    # No more can be shared than each has in common with any other file.
+    enough = (100 + policy.percent) * F.least("common", "p.common") >= policy.percent * (F.col("n") + F.col("p.n"))
+    return rows.join(pivots, "key").select(*who, each.alias("p")).where((F.col("component") != F.col("p.component")) & enough).select(
         F.col("path").alias("a"), F.col("p.path").alias("b"))
 
 
