@@ -170,5 +170,6 @@ def test_licences(spark):
     block = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and associated documentation\n"
     data = EDGES + [(70, "intro\n\nReleased under the MIT license\nmore"), (71, "Licensed under\nCC BY 4.0"), (72, block)]
     out = [(r.path, r.unit, r.line, r.license) for r in scan_licenses(rows(spark, data, "path long, text string")).collect()]
-    assert sorted(out) == [(70, "line", 3, "MIT"), (71, "paragraph", 1, "CC-BY-4.0")]
+    # With its next line the paragraph of 70 shares 4 bigrams of 5 and 4: 8 / 9.
+    assert sorted(out) == [(70, "line", 3, "MIT"), (70, "paragraph", 3, "MIT"), (71, "paragraph", 1, "CC-BY-4.0")]
     assert scan_licenses(rows(spark, [], "path long, text string")).collect() == []
