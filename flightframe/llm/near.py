@@ -9,7 +9,9 @@ principle, a chunk with at most one error. Each chunk is therefore entered once
 that may be in error, keyed by the other places, and an equality join on these keys meets every
 such pair: none is missed by the search. At a similarity of 0.75 a place differs with
 probability 0.25, so a link is beyond the 23 errors of the default 36 places in fewer than
-one of a million cases. All ``places`` minima then thin out candidates before the exact check.
+one of a million cases. All ``places`` minima then thin out candidates before the exact check,
+and so does a parity sketch: each shingle flips one of ``sketch`` bits, hence two sets differ in at
+least as many shingles as their sketches in bits, which rules out pairs without losing a link.
 
 Within a key no pairs are listed: files meet a few pivots of the key first. Only where a key still
 holds several components are its other pairs compared, in blocks, and only pairs of different
@@ -37,8 +39,9 @@ class NearPolicy:
     percent: int = 75
     chunks: int = 12
     chunk: int = 3
-    places: int = 192
-    most_differing: int = 79
+    places: int = 128
+    most_differing: int = 58
+    sketch: int = 1024
     pivots: int = 3
     turns: int = 2
     block: int = 512
@@ -46,6 +49,8 @@ class NearPolicy:
     def __post_init__(self) -> None:
         if self.chunk < 2 or self.chunks * self.chunk > self.places:
             raise ValueError("chunks do not fit into the signature")
+        if self.sketch % 8:
+            raise ValueError("a sketch takes whole bytes")
 
     @property
     def errors(self) -> int:
@@ -58,13 +63,14 @@ _SEEDS = mixed(np.arange(1, 1025, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[pa.RecordBatch]:
-    """Per file: size of its set, fingerprint of the set, signature (null without words)."""
+    """Per file: size of its set, fingerprint of the set, signature and parity sketch (null without words)."""
     for batch in pieces(batches):
         sets = sets_of(shingles_of(words_of(batch.column(1), lower=True), policy.shingle))
         sizes = np.diff(sets.first)
         some = np.flatnonzero(sizes)
         marks = np.zeros((len(some), policy.places), np.uint16)
         prints = np.zeros((len(some), 2), U)
+        flips = np.zeros((len(some), policy.sketch), bool)
         if len(some):
             starts = sets.first[:-1][some]
             for k in range(policy.places):
@@ -72,10 +78,14 @@ def _signed(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[p
                 marks[:, k] = (mixed(least) >> U(48)).astype(np.uint16)
             prints[:, 0] = mixed(np.add.reduceat(mixed(sets.hash), starts))
             prints[:, 1] = mixed(np.add.reduceat(mixed(sets.hash ^ _SEEDS[0]), starts))
+            bits = (mixed(sets.hash ^ _SEEDS[1]) % U(policy.sketch)).astype(np.int64)
+            for row, d in enumerate(some):
+                flips[row] = np.bincount(bits[sets.first[d] : sets.first[d + 1]], minlength=policy.sketch) & 1
         rank = {int(d): i for i, d in enumerate(some)}
         cells = lambda rows: pa.array([rows[rank[d]].tobytes() if d in rank else None for d in range(len(sizes))], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), cells(prints), cells(marks)], ["path", "n_shingles", "print", "signature"])
+            [batch.column(0), pa.array(sizes, pa.int64()), cells(prints), cells(marks), cells(np.packbits(flips, axis=1))],
+            ["path", "n_shingles", "print", "signature", "sketch"])
 
 
 def _keys(marks: np.ndarray, policy: NearPolicy) -> np.ndarray:
@@ -109,18 +119,28 @@ def _far(a: np.ndarray, b: np.ndarray, policy: NearPolicy) -> np.ndarray:
     return (a != b).sum(-1) > policy.most_differing
 
 
+def _bits(column_: pa.Array, policy: NearPolicy) -> np.ndarray:
+    return np.frombuffer(b"".join(column_.to_pylist()), np.uint8).reshape(-1, policy.sketch // 8)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, policy: NearPolicy) -> np.ndarray:
+    """Whether two sketches differ in more bits than linked sets of these sizes together can in shingles."""
+    return (100 + policy.percent) * np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) > (100 - policy.percent) * sizes
+
+
 def _close(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b, sizes, common shingles, signatures) that may reach the similarity."""
+    """Keeps the pairs (a, b, sizes, common shingles, signatures, sketches) that may reach the similarity."""
     for batch in batches:
         if len(batch):
             na, nb, ca, cb = (batch.column(i).to_numpy() for i in range(2, 6))
             enough = (100 + policy.percent) * np.minimum(ca, cb) >= policy.percent * (na + nb)
             keep = enough & ~_far(_marks(batch.column(6), policy.places), _marks(batch.column(7), policy.places), policy)
+            keep &= ~_apart(_bits(batch.column(8), policy), _bits(batch.column(9), policy), na + nb, policy)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def _compared(tables: pa.Table, policy: NearPolicy) -> pa.Table:
-    """Pairs of one block of a key: rows (side, path, component, n, common, signature), sides 1 and 2, or 3 for both.
+    """Pairs of one block of a key: rows (side, path, component, n, common, signature, sketch), sides 1 and 2, or 3 for both.
 
     A pair comes out under its first common key only. Of two files, at most the shingles that each
     has in common with any other file can be shared, which rules out pairs before their sets are met.
@@ -129,7 +149,7 @@ def _compared(tables: pa.Table, policy: NearPolicy) -> pa.Table:
     side, size, common = tables["side"].to_numpy(), tables["n"].to_numpy(), tables["common"].to_numpy()
     paths, component = tables["path"].combine_chunks(), tables["component"].combine_chunks()
     code = component.dictionary_encode().indices.to_numpy()
-    marks = _marks(tables["signature"], policy.places)
+    marks, bits = _marks(tables["signature"], policy.places), _bits(tables["sketch"], policy)
     chunks = marks[:, : policy.chunks * policy.chunk].reshape(-1, policy.chunks, policy.chunk)
     keys = _keys(marks, policy)
     left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
@@ -137,6 +157,7 @@ def _compared(tables: pa.Table, policy: NearPolicy) -> pa.Table:
     for i in left:
         enough = (100 + policy.percent) * np.minimum(common[right], common[i]) >= policy.percent * (size[right] + size[i])
         other = right[(code[right] != code[i]) & enough]
+        other = other[~_apart(bits[other], bits[i], size[other] + size[i], policy)]
         other = other[~_far(marks[other], marks[i], policy)]
         equal = chunks[other] == chunks[i]
         chunk = (equal.sum(2) >= policy.chunk - 1).argmax(1)
@@ -211,8 +232,8 @@ def _pivot_pairs(known: DataFrame, facts: DataFrame, turn: int, policy: NearPoli
 
 
 def _both_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    side = lambda x: facts.select(F.col("path").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"c{x}"), F.col("signature").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb", "sa", "sb")
+    side = lambda x: facts.select(F.col("path").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"c{x}"), F.col("signature").alias(f"s{x}"), F.col("sketch").alias(f"k{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb", "sa", "sb", "ka", "kb")
 
 
 def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml", policy: NearPolicy = NEAR) -> DataFrame:
@@ -229,13 +250,13 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     kind = type_of(files, path)
     files = files.select(column(path).alias("path"), column(xml).cast("string").alias("xml"))
     signed = written(files.mapInArrow(
-        lambda batches: _signed(batches, policy), f"path {kind}, n_shingles long, print binary, signature binary"))
+        lambda batches: _signed(batches, policy), f"path {kind}, n_shingles long, print binary, signature binary, sketch binary"))
     named = signed.where("path is not null and print is not null")
     # One file stands for all with an equal set; files with several texts tie their classes together.
     classes = written(named.groupBy("print").agg(
-        F.min(F.struct("path", "n_shingles", "signature")).alias("r")).select("print", "r.*"))
+        F.min(F.struct("path", "n_shingles", "signature", "sketch")).alias("r")).select("print", "r.*"))
     members = named.select("path", "print").join(classes.select("print", F.col("path").alias("model")), "print").select("path", "model")
-    models = classes.select("path", "n_shingles", "signature").dropDuplicates(["path", "signature"])
+    models = classes.select("path", "n_shingles", "signature", "sketch").dropDuplicates()
 
     keyed = written(models.select("path", "signature").mapInArrow(
         lambda batches: _keyed(batches, policy), f"key long, path {kind}").repartition("key"))
@@ -245,7 +266,7 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     lone = sets.mapInArrow(_single, f"path {kind}, shingle long").groupBy("shingle").agg(
         F.min("path").alias("path"), F.max("path").alias("last")).where("path = last").groupBy("path").agg(F.count(F.lit(1)).alias("lone"))
     facts = written(models.join(shared.select("path").distinct(), "path", "left_semi").join(lone, "path", "left").select(
-        "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature"))
+        "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature", "sketch"))
 
     # Files meet the pivots of their keys; what is then connected is not compared again.
     known, found, links, tested = shared.withColumn("component", F.col("path")), None, None, None
@@ -268,7 +289,7 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-        "path", "component", "n", "common", "signature")
+        "path", "component", "n", "common", "signature", "sketch")
     second = meets.groupBy("key", "i", "j").applyInArrow(lambda table: _compared(table, policy), f"a {kind}, b {kind}")
     second = written(_ordered(second).join(tested, ["a", "b"], "left_anti"))
     links = links.union(_confirmed(second, sets, kind, policy)) if not second.isEmpty() else links
