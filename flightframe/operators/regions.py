@@ -142,64 +142,40 @@ def _labels(marked: np.ndarray) -> np.ndarray:
         labels = grown
 
 
-def _areas(grid: np.ndarray, marked: np.ndarray, frame_w: int, frame_h: int):
-    labels = _labels(marked)
-    rows, columns = grid.shape
-    for label in np.unique(labels[labels > 0]):
-        part = labels == label
-        ys, xs = np.nonzero(part)
-        top, bottom, left, right = ys.min(), ys.max() + 1, xs.min(), xs.max() + 1
-        pixels = (
-            int(left * frame_w / columns), int(top * frame_h / rows), int(right * frame_w / columns), int(bottom * frame_h / rows),
-        )
-        yield part, (top, bottom, left, right), pixels
-
-
 def patch_regions(
     sims: DataFrame, keys: Sequence[str], grid_w: int, grid_h: int, frame_w: int, frame_h: int,
     sigma: float = 2.0, min_conf: float = MIN_CONFIDENCE, pad: int = PAD,
 ) -> DataFrame:
-    """Boxes of connected high-similarity areas. A group is one picture's grid, at most
-    ``grid_w * grid_h`` patches (positions outside the grid or repeated are dropped)."""
+    """Boxes of connected areas of marked patches. A group is one picture's grid, at most
+    ``grid_w * grid_h`` patches; mean and deviation are those of the patches present. Positions
+    outside the grid have no place in it; of a repeated position the highest ``sim`` counts."""
     keys = list(keys)
-
-    def boxes(grid: np.ndarray) -> list[tuple]:
-        out = []
-        for part, (top, bottom, left, right), (x1, y1, x2, y2) in _areas(grid, grid >= grid.mean() + sigma * grid.std(), frame_w, frame_h):
-            size, frame = (x2 - x1) * (y2 - y1), frame_w * frame_h
-            conf = float(grid[top:bottom, left:right].max())
-            if min(x2 - x1, y2 - y1) < MIN_SIDE or not MIN_SHARE * frame <= size <= MAX_SHARE * frame or conf < min_conf:
-                continue
-            out.append((x1, y1, x2, y2, conf, conf))
-        return out
-
-    return _boxes_per_grid(sims, keys, ["sim"], grid_w, grid_h, frame_w, frame_h, pad, lambda grids: boxes(grids[0]))
+    marked = marked_patches(_placed(sims, keys, ["sim"], grid_w * grid_h), keys, sigma).where("marked")
+    found = _area_boxes(marked.withColumn("score", F.col("sim")), keys, grid_w, grid_h, frame_w, frame_h)
+    kept = found.where((F.col("size") >= MIN_SHARE * frame_w * frame_h) & (F.col("size") <= MAX_SHARE * frame_w * frame_h))
+    return _numbered(kept.where(F.col("peak") >= min_conf).withColumn("conf", F.col("peak")), keys, frame_w, frame_h, pad)
 
 
 def ensemble_regions(
     sims: DataFrame, keys: Sequence[str], grid_w: int, grid_h: int, frame_w: int, frame_h: int,
     pad: int = ENSEMBLE_PAD,
 ) -> DataFrame:
-    """The two-picture form: standardised sums of ``sim`` and ``sim_grad``, areas grown from near
-    the peak, confidence as the area's energy."""
-
-    def boxes(grids: list[np.ndarray]) -> list[tuple]:
-        unit = lambda g: (g - g.mean()) / (g.std() + 1e-6)
-        total = unit(unit(grids[0]) + unit(grids[1]))
-        peak = float(total.max())
-        if peak < ENSEMBLE_PEAK:
-            return []
-        seeds = total >= peak - 0.30
-        out = []
-        for part, _, (x1, y1, x2, y2) in _areas(total, total >= max(1.2, peak * 0.70), frame_w, frame_h):
-            size, frame = (x2 - x1) * (y2 - y1), frame_w * frame_h
-            if not seeds[part].any() or min(x2 - x1, y2 - y1) < MIN_SIDE:
-                continue
-            if ENSEMBLE_MIN_SHARE * frame <= size <= ENSEMBLE_MAX_SHARE * frame:
-                out.append((x1, y1, x2, y2, float(total[part].sum()), float(total[part].max())))
-        return out
+    """The two-picture form: standardised sums of ``sim`` and ``sim_grad``, areas that reach near
+    the peak, confidence as the area's energy. Scores are those of the patches present."""
+    from pyspark.sql import Window
 
-    return _boxes_per_grid(sims, list(keys), ["sim", "sim_grad"], grid_w, grid_h, frame_w, frame_h, pad, boxes)
+    keys = list(keys)
+    grid = Window.partitionBy(*keys)
+    unit = lambda c: (F.col(c) - F.avg(c).over(grid)) / (F.stddev_pop(c).over(grid) + 1e-6)
+    scored = _placed(sims, keys, ["sim", "sim_grad"], grid_w * grid_h).withColumn("_sum", unit("sim") + unit("sim_grad"))
+    scored = scored.withColumn("score", unit("_sum")).withColumn("_top", F.max("score").over(grid))
+    grown = scored.where((F.col("_top") >= ENSEMBLE_PEAK) & (F.col("score") >= F.greatest(F.lit(1.2), F.col("_top") * 0.70)))
+    found = _area_boxes(grown, keys, grid_w, grid_h, frame_w, frame_h)
+    frame = frame_w * frame_h
+    near_peak = F.col("peak") >= F.max("peak").over(grid) - 0.30
+    kept = found.withColumn("_near", near_peak).where("_near").drop("_near")
+    kept = kept.where((F.col("size") >= ENSEMBLE_MIN_SHARE * frame) & (F.col("size") <= ENSEMBLE_MAX_SHARE * frame))
+    return _numbered(kept.withColumn("conf", F.col("energy")), keys, frame_w, frame_h, pad)
 
 
 def strong_regions(kept: DataFrame, keys: Sequence[str], share: float = 0.50, k: int = 5) -> DataFrame:
@@ -212,30 +188,42 @@ def strong_regions(kept: DataFrame, keys: Sequence[str], share: float = 0.50, k:
     return good.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
 
 
-def _boxes_per_grid(sims, keys, layers, grid_w, grid_h, frame_w, frame_h, pad, boxes) -> DataFrame:
-    cells = grid_w * grid_h
-    entry = F.struct("patch", *[F.col(c).cast("double").alias(c) for c in layers])
-    placed = sims.where(F.col("patch").between(0, cells - 1)).dropDuplicates([*keys, "patch"])
-    lists = placed.groupBy(*keys).agg(F.collect_list(entry).alias("_g"))
+def _placed(sims: DataFrame, keys: list[str], layers: list[str], cells: int) -> DataFrame:
+    """One row per place of each grid."""
+    best = F.max(F.struct(*[F.col(c).cast("double").alias(c) for c in layers])).alias("_v")
+    return sims.where(F.col("patch").between(0, cells - 1)).groupBy(*keys, "patch").agg(best).select(*keys, "patch", "_v.*")
+
 
-    @F.pandas_udf("array<struct<x1:double,y1:double,x2:double,y2:double,conf:double,peak:double>>")
-    def found(positions: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+def _area_boxes(marked: DataFrame, keys: list[str], grid_w: int, grid_h: int, frame_w: int, frame_h: int) -> DataFrame:
+    """Pixel box, ``size``, ``energy`` (sum of ``score``) and ``peak`` of each 8-connected area of marked
+    patches. Only the numbering of areas needs a picture's marked patches together, at most the grid's places."""
+    lists = marked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("patch", "score"))).alias("_g"))
+
+    @F.pandas_udf("array<int>")
+    def area(places: pd.Series) -> pd.Series:
         out = []
-        for position, one, two in zip(positions, first, last):
-            grids = []
-            for values in (one, two):
-                grid = np.full(cells, np.min(values))
-                grid[np.asarray(position, dtype=int)] = values
-                grids.append(grid.reshape(grid_h, grid_w))
-            rows = sorted(boxes(grids), key=lambda r: -r[4])
-            out.append(
-                [
-                    {"x1": float(max(0, x1 - pad)), "y1": float(max(0, y1 - pad)), "x2": float(min(frame_w, x2 + pad)),
-                     "y2": float(min(frame_h, y2 + pad)), "conf": conf, "peak": peak}
-                    for x1, y1, x2, y2, conf, peak in rows
-                ]
-            )
+        for place in places:
+            grid = np.zeros(grid_w * grid_h, bool)
+            grid[np.asarray(place, dtype=int)] = True
+            out.append(_labels(grid.reshape(grid_h, grid_w)).reshape(-1)[np.asarray(place, dtype=int)])
         return pd.Series(out)
 
-    named = lists.select(*keys, found("_g.patch", f"_g.{layers[0]}", f"_g.{layers[-1]}").alias("_b"))
-    return named.select(*keys, F.posexplode("_b").alias("box_id", "_r")).select(*keys, F.col("box_id").cast("long"), "_r.*")
+    each = lists.withColumn("_a", area("_g.patch")).select(*keys, F.explode(F.arrays_zip("_g", "_a")).alias("_z"))
+    row, column = F.floor(F.col("_z._g.patch") / grid_w), F.col("_z._g.patch") % grid_w
+    areas = each.groupBy(*keys, F.col("_z._a").alias("_area")).agg(
+        F.floor(F.min(column) * frame_w / grid_w).cast("double").alias("x1"), F.floor(F.min(row) * frame_h / grid_h).cast("double").alias("y1"),
+        F.floor((F.max(column) + 1) * frame_w / grid_w).cast("double").alias("x2"), F.floor((F.max(row) + 1) * frame_h / grid_h).cast("double").alias("y2"),
+        F.sum("_z._g.score").alias("energy"), F.max("_z._g.score").alias("peak"))
+    return areas.withColumn("size", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+
+
+def _numbered(found: DataFrame, keys: list[str], frame_w: int, frame_h: int, pad: int) -> DataFrame:
+    """Areas wide and high enough, padded within the frame, numbered by falling confidence."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*keys).orderBy(F.desc("conf"), F.asc("_area"))
+    wide = found.where(F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= MIN_SIDE)
+    return wide.select(
+        *keys, (F.row_number().over(order) - 1).cast("long").alias("box_id"),
+        F.greatest(F.lit(0.0), F.col("x1") - pad).alias("x1"), F.greatest(F.lit(0.0), F.col("y1") - pad).alias("y1"),
+        F.least(F.lit(float(frame_w)), F.col("x2") + pad).alias("x2"), F.least(F.lit(float(frame_h)), F.col("y2") + pad).alias("y2"), "conf", "peak")
