@@ -29,8 +29,7 @@ def frames_arriving(spark, sf_dir):
 
 @query("sessions_stream")
 def sessions(spark, sf_dir):
-    live = J.arrived(view(spark, sf_dir, "v_frames"), "frames")
-    return rounded(J.run_available(sessions_stream(live, calibration=POLICY), "sessions", idle_timeouts=True))
+    return rounded(J.run_in_slices(view(spark, sf_dir, "v_frames"), "sessions", lambda live: sessions_stream(live, calibration=POLICY)))
 
 
 @query(
@@ -38,8 +37,7 @@ def sessions(spark, sf_dir):
     f"""{_CONT} select session, seq, event, action from s union all select session, seq, case when usable then 'duplicate_frame' else 'unsupported_modality' end, case when usable then 'duplicate' else 'wipe' end from b where repeat or not usable""",
 )
 def continuity_live(spark, sf_dir):
-    live = J.arrived(view(spark, sf_dir, "v_frames"), "frames")
-    return J.run_available(continuity_stream(live), "continuity", idle_timeouts=True).select("session", "seq", "event", "action")
+    return J.run_in_slices(view(spark, sf_dir, "v_frames"), "continuity", continuity_stream).select("session", "seq", "event", "action")
 
 
 @query("track_gate_stream")

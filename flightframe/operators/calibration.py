@@ -10,20 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flightframe.functions.numbers import count_if
 from flightframe.plans.percentiles import grouped_percentiles
 from flightframe.plans.settle import settle
 from flightframe.policies import CalibrationPolicy
 
-RESULT = (
-    "ready", "sample_count", "inlier_count", "m00", "m01", "m10", "m11", "scale", "rms_residual",
-    "scale_median", "scale_mad", "motion_span", "directional_diversity", "failure_reason",
-)
 _SIGMA = 1.4826  # fixed value: deviation median to standard deviation
 
 
@@ -139,71 +133,59 @@ def _products(cx: Column, cy: Column, gx: Column, gy: Column, norm: Column) -> d
     }
 
 
-RESULT_TYPE = T.StructType(
-    [
-        T.StructField("ready", T.BooleanType()),
-        T.StructField("sample_count", T.LongType()),
-        T.StructField("inlier_count", T.LongType()),
-        *[T.StructField(name, T.DoubleType()) for name in RESULT[3:-1]],
-        T.StructField("failure_reason", T.StringType()),
-    ]
-)
-
-
-def fit_arrays(cx: np.ndarray, cy: np.ndarray, gx: np.ndarray, gy: np.ndarray, policy: CalibrationPolicy) -> dict:
-    """The same fit on at most ``max_samples`` samples held in arrays."""
-    out = dict.fromkeys(RESULT)
-    out.update(ready=False, sample_count=len(cx), inlier_count=0, motion_span=0.0, directional_diversity=0.0)
-    if len(cx) < policy.min_samples:
-        return {**out, "failure_reason": "insufficient_samples"}
-    if not np.isfinite(np.concatenate([cx, cy, gx, gy])).all():
-        return {**out, "failure_reason": "non_finite_samples"}
-    norm = np.hypot(cx, cy)
-    ratio = np.hypot(gx, gy) / norm
-    median = float(np.median(ratio))
-    mad = float(np.median(np.abs(ratio - median)))
-    kept = np.abs(ratio - median) <= max(policy.outlier_mad_factor * _SIGMA * mad, abs(median) * 0.02, 1e-12)
-    count = int(kept.sum())
-    out.update(inlier_count=count, scale_median=median, scale_mad=mad)
-    if count < policy.min_samples or count / len(cx) < policy.min_inlier_ratio:
-        return {**out, "failure_reason": "low_inlier_ratio"}
-    cx, cy, gx, gy, norm = cx[kept], cy[kept], gx[kept], gy[kept], norm[kept]
-    xx, xy, yx, yy = cx @ gx, cx @ gy, cy @ gx, cy @ gy
-    reflected = xx * yy - xy * yx < 0
-    if reflected and not policy.allow_reflection:
-        return {**out, "failure_reason": "reflection_detected"}
-    turn = np.arctan2(xy + yx, xx - yy) if reflected else np.arctan2(xy - yx, xx + yy)
-    m00, m10, sign = float(np.cos(turn)), float(np.sin(turn)), -1.0 if reflected else 1.0
-    m01, m11 = -sign * m10, sign * m00
-    scale = float(np.median(ratio[kept]))
-    rms = float(np.sqrt(np.mean((scale * (m00 * cx + m01 * cy) - gx) ** 2 + (scale * (m10 * cx + m11 * cy) - gy) ** 2)))
-    ux, uy = cx / norm, cy / norm
-    low, high = np.linalg.eigvalsh(np.array([[ux @ ux, ux @ uy], [ux @ uy, uy @ uy]]))
-    diversity = float(np.sqrt(max(low, 0.0) / high)) if high > 1e-24 else 0.0
-    reason = None
-    if not policy.scale_min <= scale <= policy.scale_max:
-        reason = "scale_out_of_range"
-    elif diversity < policy.min_directional_diversity:
-        reason = "insufficient_directional_diversity"
-    elif rms > policy.max_rms_residual:
-        reason = "high_residual"
-    out.update(
-        ready=reason is None, m00=m00, m01=m01, m10=m10, m11=m11, scale=scale, rms_residual=rms,
-        motion_span=float(norm.sum()), directional_diversity=diversity, failure_reason=reason,
-    )
-    return out
+def _middle(values: Column) -> Column:
+    """The median of an array without nulls, null if it is empty."""
+    ordered, size = F.array_sort(values), F.size(values)
+    return (F.get(ordered, F.floor((size - 1) / 2).cast("int")) + F.get(ordered, F.floor(size / 2).cast("int"))) / 2
 
 
 def fit_lists(df: DataFrame, samples: str, keep: Sequence[str], policy: CalibrationPolicy = CalibrationPolicy()) -> DataFrame:
     """The fit per row over an array of at most ``max_samples`` structs ``(cx, cy, gx, gy)``."""
-
-    @F.pandas_udf(RESULT_TYPE)
-    def fit(cx: pd.Series, cy: pd.Series, gx: pd.Series, gy: pd.Series) -> pd.DataFrame:
-        rows = [fit_arrays(*[np.asarray(v, dtype=float) for v in sample], policy) for sample in zip(cx, cy, gx, gy)]
-        return pd.DataFrame(rows, columns=list(RESULT))
-
-    parts = [F.col(f"{samples}.{name}") for name in ("cx", "cy", "gx", "gy")]
-    return df.select(*keep, fit(*parts).alias("_fit")).select(*keep, "_fit.*")
+    parts = ("cx", "cy", "gx", "gy")
+    ratios = lambda steps: F.filter(F.transform(steps, lambda s: s["ratio"]), lambda r: r.isNotNull())
+    measured = F.transform(samples, lambda s: F.struct(
+        *[s[name].alias(name) for name in parts], F.hypot(s["cx"], s["cy"]).alias("norm"),
+        F.try_divide(F.hypot(s["gx"], s["gy"]), F.hypot(s["cx"], s["cy"])).alias("ratio")))
+    finite = lambda value: F.coalesce(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), F.lit(False))
+    clean = F.forall("_s", lambda s: finite(s["cx"]) & finite(s["cy"]) & finite(s["gx"]) & finite(s["gy"]))
+    df = df.select(*keep, measured.alias("_s")).withColumn("_median", _middle(ratios(F.col("_s"))))
+    df = df.withColumn("_mad", _middle(F.transform(ratios(F.col("_s")), lambda r: F.abs(r - F.col("_median")))))
+    near = lambda s: F.abs(s["ratio"] - F.col("_median")) <= _tolerance(F.col("_median"), F.col("_mad"), policy)
+    df = df.withColumn("_kept", F.filter("_s", lambda s: F.coalesce(near(s), F.lit(False))))
+    products = lambda s: _products(*[s[name] for name in (*parts, "norm")])
+    names = ("xx", "xy", "yx", "yy", "cc", "gg", "uxx", "uyy", "uxy", "span")
+    total = F.aggregate(
+        "_kept", F.struct(*[F.lit(0.0).alias(n) for n in names]),
+        lambda sums, s: F.struct(*[(sums[n] + products(s)[n]).alias(n) for n in names]))
+    df = df.select(
+        *keep, F.size("_s").cast("long").alias("_n"), F.size("_kept").cast("long").alias("_k"), "_median", "_mad",
+        _middle(ratios(F.col("_kept"))).alias("_scale"), total.alias("_sums"), clean.alias("_clean"))
+    sums = {n: F.col(f"_sums.{n}") for n in names}
+    return df.select(*keep, *_finish(*[F.col(c) for c in ("_n", "_k", "_median", "_mad", "_scale")], sums, policy, F.col("_clean")))
+
+
+def heading(camera: np.ndarray, gps: np.ndarray, policy: CalibrationPolicy) -> tuple[complex, bool] | None:
+    """What turns camera steps into GPS steps, both as complex numbers: a factor and whether steps are mirrored
+    first. None where ``fit_lists`` is not ready. For live sessions, whose state one task holds."""
+    ratio = np.abs(gps) / np.abs(camera)
+    if len(ratio) < policy.min_samples or not np.isfinite(ratio).all():
+        return None
+    spread = np.abs(ratio - np.median(ratio))
+    near = spread <= max(policy.outlier_mad_factor * _SIGMA * np.median(spread), np.median(ratio) * 0.02, 1e-12)
+    if near.sum() < max(policy.min_samples, policy.min_inlier_ratio * len(near)):
+        return None
+    camera, gps, scale = camera[near], gps[near], np.median(ratio[near])
+    turned, mirrored = np.vdot(camera, gps), np.dot(camera, gps)
+    flip = bool(abs(mirrored) > abs(turned))
+    factor = scale * np.exp(1j * np.angle(mirrored if flip else turned))
+    off = np.abs(factor * (camera.conj() if flip else camera) - gps)
+    # Doubled directions cancel out where steps go all ways, and add up where they lie on one line.
+    line = abs(np.sum((camera / np.abs(camera)) ** 2)) / len(camera)
+    ready = (
+        (policy.allow_reflection or not flip) and policy.scale_min <= scale <= policy.scale_max
+        and np.sqrt((1 - line) / (1 + line)) >= policy.min_directional_diversity and np.sqrt(np.mean(off**2)) <= policy.max_rms_residual
+    )
+    return (complex(factor), flip) if ready else None
 
 
 def numbered_samples_fit(

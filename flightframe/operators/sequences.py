@@ -51,6 +51,35 @@ def drop_repeats(frames: DataFrame, keys: Sequence[str] = ("session",), order: s
     return marked.where(changed).drop("previous_id", CHUNK)
 
 
+# Event and action of a committed frame: the first test that holds. A test sees how the frame compares with the
+# committed frame before it, as columns here and as arrays in the live form.
+CONTINUITY = (
+    ("first_frame", "first", lambda pair: pair.first),
+    ("video_changed", "reset", lambda pair: pair.differs("video")),
+    ("shape_changed", "reset", lambda pair: pair.differs("width") | pair.differs("height")),
+    ("modality_changed", "reset", lambda pair: pair.differs("modality")),
+    ("frame_index_missing", "reset", lambda pair: pair.unnumbered),
+    ("out_of_order", "reset", lambda pair: pair.gap <= 0),
+    ("frame_gap", "reset", lambda pair: pair.gap > pair.max_gap),
+    ("freeze_detected", "repeated_image", lambda pair: pair.repeats("fingerprint")),
+)
+
+
+class _ColumnPair:
+    """A frame and the struct of the one before it, as columns."""
+
+    def __init__(self, first: Column, before: str, max_gap: int):
+        self.first, self.max_gap, self._before = first, max_gap, before
+        self.gap = F.col("frame_index") - F.col(f"{before}.frame_index")
+        self.unnumbered = self.gap.isNull()
+
+    def differs(self, name: str) -> Column:
+        return ~F.col(name).eqNullSafe(F.col(f"{self._before}.{name}"))
+
+    def repeats(self, name: str) -> Column:
+        return F.coalesce(F.col(name) == F.col(f"{self._before}.{name}"), F.lit(False))
+
+
 def _rules(rules: list[tuple[Column, str]], last: Column) -> Column:
     chain = F.when(rules[0][0], F.lit(rules[0][1]))
     for condition, name in rules[1:]:
@@ -78,31 +107,12 @@ def continuity_on(frames: DataFrame, axis: Axis, max_gap: int = 1, camera: Camer
         staged, axis, before={"_p": F.when(F.col("_usable") & ~F.col("_repeat"), state)}
     )
     p = lambda name: F.col(f"_p.{name}")
-    gap = F.col("frame_index") - p("frame_index")
-    first = F.col("_p").isNull() | (p("_era") != F.col("_era"))
-    event = _rules(
-        [
-            (~F.col("_usable"), "unsupported_modality"),
-            (F.col("_repeat"), "duplicate_frame"),
-            (first, "first_frame"),
-            (F.col("video") != p("video"), "video_changed"),
-            ((F.col("width") != p("width")) | (F.col("height") != p("height")), "shape_changed"),
-            (~F.col("modality").eqNullSafe(p("modality")), "modality_changed"),
-            (p("frame_index").isNull() | F.col("frame_index").isNull(), "frame_index_missing"),
-            (gap <= 0, "out_of_order"),
-            (gap > max_gap, "frame_gap"),
-            (F.col("fingerprint").eqNullSafe(p("fingerprint")) & F.col("fingerprint").isNotNull(), "freeze_detected"),
-        ],
-        F.lit("continue"),
-    )
-    action = (
-        F.when(F.col("event") == "unsupported_modality", "wipe")
-        .when(F.col("event") == "duplicate_frame", "duplicate")
-        .when(F.col("event") == "first_frame", "first")
-        .when(F.col("event") == "freeze_detected", "repeated_image")
-        .when(F.col("event") == "continue", "continue")
-        .otherwise("reset")
-    )
+    pair = _ColumnPair(F.col("_p").isNull() | (p("_era") != F.col("_era")), "_p", max_gap)
+    event = F.when(~F.col("_usable"), "unsupported_modality").when(F.col("_repeat"), "duplicate_frame")
+    action = F.when(~F.col("_usable"), "wipe").when(F.col("_repeat"), "duplicate")
+    for name, then, test in CONTINUITY:
+        event, action = event.when(test(pair), name), action.when(test(pair), then)
+    event, action = event.otherwise("continue"), action.otherwise("continue")
     staged = staged.withColumn("event", event).withColumn("action", action)
     starts = F.when(F.col("action").isin("first", "reset"), 1).otherwise(0)
     staged = scan(staged, axis, sums={"segment": starts})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,29 +67,43 @@ def combine_tasks_stream(
     return joined
 
 
-def run_available(stream: DataFrame, name: str, idle_timeouts: bool = False) -> DataFrame:
-    """Process what has arrived into a table in the shared folder, and read it. A stream with
-    idle timeouts would go on with empty batches for ever, so it runs without them."""
-    import uuid
-
-    spark = stream.sparkSession
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false" if idle_timeouts else before)
-    folder = f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+def _written(stream: DataFrame, folder: str) -> None:
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     )
-    spark.conf.set(setting, before)
     query.awaitTermination()
+
+
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Process what has arrived into a table in the shared folder, and read it."""
+    folder = f"{checkpoint_folder(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}"
+    _written(stream, folder)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_in_slices(df: DataFrame, name: str, live: Callable[[DataFrame], DataFrame], order: str = "seq", slices: int = 3) -> DataFrame:
+    """Give ``df`` to a live form in slices by ``order``; each arrives once the one before is processed, so
+    state is carried from batch to batch. The stream has a session of its own, without the empty
+    batches that idle timeouts would ask for without end."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [n / slices for n in range(1, slices)])).first()[0] or []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.when(F.col(order) > cut, 1).otherwise(0)
+    for n in range(len(cuts) + 1):
+        df.where(part == n).write.mode("append").parquet(f"{folder}/arrivals")
+        stream = live(own.readStream.schema(df.schema).parquet(f"{folder}/arrivals"))
+        _written(stream, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def arrived(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it as a stream of files."""
-    import uuid
-
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/arrivals/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)

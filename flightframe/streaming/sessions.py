@@ -1,192 +1,246 @@
-"""Live sessions: one state per session, frames applied in arrival order.
+"""Live sessions: one typed state per session, arriving frames taken as arrays.
 
-The state machine below is the streaming form of continuity, pose, calibration and estimation;
-on the same frames it gives what the batch operators give. A micro-batch bounds how many frames
-of a session one call sees; the state itself holds at most ``max_samples`` samples.
+What lies between two frames of a batch is stated by array expressions: the frame before, running
+counts and sums, and for each frame the last row that set a value. A row number of -1 means that the
+value is the carried one. Only the limit on jumps between estimates goes from row to row, over the frames of a loss.
+On the same frames the batch operators give the same, wherever the batches are cut.
 """
 
 from __future__ import annotations
 
-import math
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flightframe.operators.calibration import fit_arrays
+from flightframe.operators.calibration import heading
+from flightframe.operators.sequences import CONTINUITY
 from flightframe.policies import CalibrationPolicy, NavigationPolicy
 
 OUTPUT = (
     "session long, seq long, action string, event string, segment long, pose_x double, pose_y double, "
     "x double, y double, z double, status string"
 )
-STATE = "blob binary"
+_STEPS = "array<array<double>>"
+#: The frame that the next one is compared with; counts; pose; last GPS fix with its frame index; samples for
+#: calibration now and as they were when GPS was lost (null: not lost); where estimates start; the last position given.
+STATE = (
+    "last struct<frame_id: string, video: string, width: double, height: double, modality: string, frame_index: double, fingerprint: string>, "
+    "health double, segment long, steps long, recovery long, pose array<double>, fix array<double>, "
+    f"samples {_STEPS}, frozen {_STEPS}, anchor array<double>, given array<double>"
+)
+NAMES = ("last", "health", "segment", "steps", "recovery", "pose", "fix", "samples", "frozen", "anchor", "given")
+FRAME = ("frame_id", "video", "width", "height", "modality", "frame_index", "fingerprint")
 IDLE_SECONDS = 1800  # fixed value: a session without frames for so long is forgotten
 
 
-# What the next frame is compared with.
-_REMEMBERED = ("frame_id", "video", "width", "height", "modality", "frame_index", "fingerprint")
-
-
-def _known(value) -> bool:
-    return value is not None and not (isinstance(value, float) and math.isnan(value)) and value is not pd.NA
-
-
-def _finite(*values) -> bool:
-    return all(_known(v) and math.isfinite(v) for v in values)
-
-
-@dataclass
-class Pose:
-    """What a reset wipes."""
-
-    last: dict | None = None
-    steps: int = 0
-    yaw: float = 0.0
-    x: float = 0.0
-    y: float = 0.0
-    fix: tuple | None = None
-    samples: list = field(default_factory=list)
-    fit: dict | None = None
-    anchor: tuple | None = None
-    frozen: bool = False
-    frozen_fit: dict | None = None
-    recovery: int = 0
-    estimate: tuple | None = None
-
-
-@dataclass
-class SessionState:
-    pose: Pose | None = None
-    health: int | None = None
-    segment: int = 0
-
-
-def decide(last: dict | None, frame: dict, max_gap: int) -> tuple[str, str]:
-    """Action and event of a frame after the last committed one."""
-    if last is None:
-        return "first", "first_frame"
-    if frame["frame_id"] == last["frame_id"]:
-        return "duplicate", "duplicate_frame"
-    if frame["video"] != last["video"]:
-        return "reset", "video_changed"
-    if (frame["width"], frame["height"]) != (last["width"], last["height"]):
-        return "reset", "shape_changed"
-    if frame["modality"] != last["modality"]:
-        return "reset", "modality_changed"
-    if not _known(last["frame_index"]) or not _known(frame["frame_index"]):
-        return "reset", "frame_index_missing"
-    gap = frame["frame_index"] - last["frame_index"]
-    if gap <= 0:
-        return "reset", "out_of_order"
-    if gap > max_gap:
-        return "reset", "frame_gap"
-    if frame["fingerprint"] is not None and frame["fingerprint"] == last["fingerprint"]:
-        return "repeated_image", "freeze_detected"
-    return "continue", "continue"
-
-
-def advance(state: SessionState, frame: dict, policy: NavigationPolicy, calibration: CalibrationPolicy) -> dict:
-    """Apply one frame to the state and return its output row."""
-    out = dict(session=frame["session"], seq=frame["seq"], pose_x=None, pose_y=None, x=None, y=None, z=None)
-    if frame["modality"] not in (None, "rgb"):
-        state.pose, state.health = None, frame["health"]
-        return {**out, "action": "wipe", "event": "unsupported_modality", "segment": state.segment, "status": "skipped"}
-    before = state.pose or Pose()
-    action, event = decide(before.last, frame, policy.max_frame_gap)
-    if action == "duplicate":
-        return {**out, "action": action, "event": event, "segment": state.segment, "status": "skipped"}
-    previous_health, health = state.health, frame["health"]
-    moved = action == "continue" and bool(frame["valid"])
-    if action in ("first", "reset"):
-        state.segment += 1
-        now = Pose()
-    else:
-        now = Pose(**{**before.__dict__, "samples": list(before.samples), "steps": before.steps + 1})
-        if moved and now.steps >= policy.warmup_frames:
-            now.yaw += frame["yaw"]
-            c, s = math.cos(-now.yaw), math.sin(-now.yaw)
-            now.x += c * frame["dx"] - s * frame["dy"]
-            now.y += s * frame["dx"] + c * frame["dy"]
-    now.last, state.pose, state.health = {name: frame[name] for name in _REMEMBERED}, now, health
-    gps = (frame["gps_x"], frame["gps_y"], frame["gps_z"])
-    step = None
-    if before.fix is not None and _known(before.fix[3]) and _known(frame["frame_index"]):
-        step = frame["frame_index"] - before.fix[3]
-    adjacent = step is not None and 0 < step <= policy.max_frame_gap
-    answer, status = None, "ground_truth_unavailable"
-    if health == 1 and not _finite(*gps):
-        now.fix = None
-    elif health == 1:
-        _healthy(now, before, frame, gps, action, moved, previous_health, adjacent, policy, calibration)
-        answer, status = gps, "gps_ground_truth"
-    elif health == 0:
-        answer = _unhealthy(now, before, moved, previous_health, adjacent, policy)
-        status = "gps_loss_unavailable" if answer is None else "gps_loss_prediction"
-    out.update(action=action, event=event, segment=state.segment, pose_x=now.x, pose_y=now.y, status=status)
-    if answer is not None:
-        out.update(x=answer[0], y=answer[1], z=answer[2])
-    return out
-
-
-def _healthy(now, before, frame, gps, action, moved, previous_health, adjacent, policy, calibration) -> None:
-    if previous_health == 0:
-        now.recovery, now.anchor = 1, (*gps, now.x, now.y)
-    elif now.recovery:
-        now.recovery += 1
-    if now.recovery >= policy.recovery_min_healthy_frames:
-        now.frozen, now.frozen_fit = False, None
-    if action == "continue" and previous_health == 1 and adjacent and moved and _finite(frame["inlier_ratio"]):
-        cam = (now.x - before.x, now.y - before.y)
-        travel = (gps[0] - before.fix[0], gps[1] - before.fix[1])
-        if math.hypot(*cam) >= calibration.min_camera_step_px and math.hypot(*travel) >= calibration.min_gps_step:
-            now.samples = [*now.samples, (*cam, *travel)][-calibration.max_samples :]
-            now.fit = fit_arrays(*np.array(now.samples).T, calibration)
-    now.fix, now.estimate = (*gps, frame["frame_index"]), gps
-
-
-def _unhealthy(now, before, moved, previous_health, adjacent, policy) -> tuple | None:
-    now.recovery = 0
-    if previous_health == 1 and adjacent:
-        now.anchor = (*before.fix[:3], before.x, before.y)
-        now.frozen, now.frozen_fit = True, before.fit
-    fit = now.frozen_fit if now.frozen else now.fit
-    if not moved or now.anchor is None or fit is None or not fit["ready"]:
-        return None
-    if policy.z_policy == "return_none_if_schema_allows":
+def fresh() -> dict:
+    """The state of a session not seen yet."""
+    return dict.fromkeys(NAMES) | {"segment": 0, "steps": 0, "recovery": 0, "pose": [0.0, 0.0, 0.0], "samples": []}
+
+
+class _ArrayPair:
+    """Frames and the ones before them, row by row, as the rules of ``CONTINUITY`` ask for them."""
+
+    def __init__(self, first: np.ndarray, now: pd.DataFrame, before: pd.DataFrame, max_gap: int):
+        self.first, self.max_gap, self._now, self._before = first, max_gap, now, before
+        self.gap = _numbers(now["frame_index"]) - _numbers(before["frame_index"])
+        self.unnumbered = np.isnan(self.gap)
+
+    def _same(self, name: str) -> np.ndarray:
+        return (self._now[name] == self._before[name]).to_numpy(bool)
+
+    def differs(self, name: str) -> np.ndarray:
+        return ~self._same(name) & ~(self._now[name].isna() & self._before[name].isna()).to_numpy()
+
+    def repeats(self, name: str) -> np.ndarray:
+        return self._same(name) & self._now[name].notna().to_numpy()
+
+
+def _numbers(values: pd.Series) -> np.ndarray:
+    return pd.to_numeric(values).to_numpy(float, na_value=np.nan)
+
+
+def _latest(mark: np.ndarray) -> np.ndarray:
+    """For each row, the last row so far with a mark, or -1."""
+    return np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1)) if len(mark) else np.zeros(0, int)
+
+
+def _before(values: np.ndarray, first) -> np.ndarray:
+    return np.concatenate([[first], values[:-1]]) if len(values) else values
+
+
+def _since(start: np.ndarray, amounts: np.ndarray, carried) -> np.ndarray:
+    """Running sums that begin anew after each row of ``start``; before the first they go on from ``carried``."""
+    total = np.cumsum(amounts)
+    return total - np.where(start < 0, -carried, total[start]) if len(total) else total
+
+
+def _decided(frames: pd.DataFrame, held: dict, max_gap: int) -> pd.DataFrame:
+    """Frames with ``action``, ``event``, ``segment`` and the health of the frame before."""
+    rows = frames.reset_index(drop=True)
+    rows["usable"] = rows["modality"].isna() | (rows["modality"] == "rgb")
+    rows["wipes"] = (~rows["usable"]).cumsum()
+    taken = rows[rows["usable"]]
+    if held["last"] is not None:
+        carried = pd.DataFrame([{**held["last"], "wipes": 0}], index=[-1]).astype(object)
+        taken = pd.concat([carried, taken.astype(object)])
+    again = (taken["frame_id"] == taken["frame_id"].shift()) & (taken["wipes"] == taken["wipes"].shift())
+    taken = taken[~again]
+    earlier = taken.shift()
+    pair = _ArrayPair((taken["wipes"] != earlier["wipes"]).to_numpy(), taken, earlier, max_gap)
+    tests = [test(pair) for _, _, test in CONTINUITY]
+    for column, choices, unmarked in (("event", [r[0] for r in CONTINUITY], "duplicate_frame"), ("action", [r[1] for r in CONTINUITY], "duplicate")):
+        found = pd.Series(np.select(tests, choices, "continue"), taken.index, object)
+        rows[column] = found.reindex(rows.index).fillna(unmarked)
+    rows.loc[~rows["usable"], ["event", "action"]] = ["unsupported_modality", "wipe"]
+    rows["segment"] = held["segment"] + rows["action"].isin(("first", "reset")).cumsum()
+    counted = _numbers(rows.loc[rows["action"] != "duplicate", "health"])
+    rows.loc[rows["action"] != "duplicate", "health_before"] = _before(counted, np.nan if held["health"] is None else held["health"])
+    return rows
+
+
+def advanced(
+    frames: pd.DataFrame, held: dict, policy: NavigationPolicy, calibration: CalibrationPolicy,
+) -> tuple[pd.DataFrame, dict]:
+    """The output rows of frames in arrival order, and the state after them."""
+    rows = _decided(frames, held, policy.max_frame_gap)
+    done = rows[rows["usable"] & (rows["action"] != "duplicate")]
+    number = lambda name: _numbers(done[name])
+    new = done["action"].isin(("first", "reset")).to_numpy()
+    follows, start, order = (done["action"] == "continue").to_numpy(), _latest(new), np.arange(len(done))
+
+    # Pose: turns, then steps in the turned direction, both summed since the segment began.
+    steps = np.where(start < 0, held["steps"] + order + 1, order - start)
+    moved = follows & done["valid"].eq(True).to_numpy(bool)
+    used = moved & (steps >= policy.warmup_frames)
+    yaw = _since(start, np.where(used, number("yaw"), 0.0), held["pose"][2])
+    pose_held = complex(*held["pose"][:2])
+    pose = _since(start, np.where(used, np.exp(-1j * yaw) * (number("dx") + 1j * number("dy")), 0), pose_held)
+    pose_before = np.where(done["action"] == "first", 0, _before(pose, pose_held))
+
+    # GPS: the fix in force before each frame, and whether it is of a neighbouring frame.
+    gps = np.column_stack([number(name) for name in ("gps_x", "gps_y", "gps_z", "frame_index")]) if len(done) else np.zeros((0, 4))
+    health, health_before = number("health"), number("health_before")
+    healthy = (health == 1) & np.isfinite(gps[:, :3]).all(1)
+    lost = health == 0
+    fix_row = _latest(healthy | new | (health == 1))
+    none = np.full(4, np.nan)
+    carried_fix = none if held["fix"] is None else np.array([np.nan if v is None else v for v in held["fix"]])
+    at = lambda row: carried_fix if row < 0 else gps[row] if healthy[row] else none
+    fix_before = np.array([at(r) for r in _before(fix_row, -1)]).reshape(-1, 4)
+    fix_before[(done["action"] == "first").to_numpy()] = np.nan
+    step = gps[:, 3] - fix_before[:, 3]
+    adjacent = (step > 0) & (step <= policy.max_frame_gap)
+
+    # Recovery: healthy frames since GPS came back; nothing counts before that.
+    back, gone = healthy & (health_before == 0), lost | new
+    since = _latest(back | gone)
+    healthy_so_far = np.cumsum(healthy)
+    recovery = np.array([
+        (held["recovery"] + healthy_so_far[i] if held["recovery"] else 0) if r < 0 else (healthy_so_far[i] - healthy_so_far[r] + 1 if back[r] else 0)
+        for i, r in enumerate(since)], int)
+
+    # Calibration samples: camera step and GPS step of neighbouring healthy frames.
+    travel = (gps[:, 0] - fix_before[:, 0]) + 1j * (gps[:, 1] - fix_before[:, 1])
+    camera = pose - pose_before
+    sampled = healthy & moved & (health_before == 1) & adjacent & np.isfinite(number("inlier_ratio"))
+    sampled &= (np.abs(camera) >= calibration.min_camera_step_px) & (np.abs(travel) >= calibration.min_gps_step)
+
+    def samples_at(row: int) -> list[list[float]]:
+        begin = start[row] if row >= 0 else -1
+        own = np.flatnonzero(sampled[: row + 1])
+        own = own[own >= begin]
+        listed = [[float(v) for v in (camera[i].real, camera[i].imag, travel[i].real, travel[i].imag)] for i in own[-calibration.max_samples :]]
+        return ([*held["samples"], *listed] if begin < 0 else listed)[-calibration.max_samples :]
+
+    # Loss: where it began the samples are held fast, until enough healthy frames or a reset end it.
+    begins = lost & (health_before == 1) & adjacent
+    freeze_row, thaw_row = _latest(begins), _latest(new | (healthy & (recovery >= policy.recovery_min_healthy_frames)))
+    anchor_row, anchor_end = _latest(begins | back), start
+
+    def frozen_at(row: int) -> list | None:
+        if row < 0 or (freeze_row[row] < 0 and thaw_row[row] < 0):
+            return held["frozen"]
+        return samples_at(freeze_row[row] - 1) if freeze_row[row] >= thaw_row[row] else None
+
+    def anchor_at(row: int) -> list[float] | None:
+        if row < 0 or (anchor_row[row] < 0 and anchor_end[row] < 0):
+            return held["anchor"]
+        if anchor_row[row] < anchor_end[row]:
+            return None
+        r = anchor_row[row]
+        place, where = (fix_before[r], pose_before[r]) if begins[r] else (gps[r], pose[r])
+        return [*map(float, place[:3]), float(where.real), float(where.imag)]
+
+    answers = np.full((len(done), 3), np.nan)
+    answers[healthy] = gps[healthy, :3]
+    given, given_row, models = held["given"], -1, {}
+    healthy_row = _latest(healthy)
+    for i in np.flatnonzero(lost & moved):
+        anchor, frozen = anchor_at(i), frozen_at(i)
+        key = (freeze_row[i], thaw_row[i]) if frozen is not None else ("now", start[i], sampled[: i + 1].sum())
+        if anchor is None or policy.z_policy == "return_none_if_schema_allows":
+            continue
+        if key not in models:
+            listed = np.array(samples_at(i) if frozen is None else frozen, float).reshape(-1, 4)
+            models[key] = heading(listed[:, 0] + 1j * listed[:, 1], listed[:, 2] + 1j * listed[:, 3], calibration)
+        if models[key] is None:
+            continue
+        factor, mirrored = models[key]
+        way = pose[i] - complex(*anchor[3:])
+        place = complex(*anchor[:2]) + factor * (way.conjugate() if mirrored else way)
+        last = _given(given, given_row, healthy_row[i], start[i], answers)
+        if last is not None and policy.max_delta_per_frame > 0 and abs(place - complex(*last[:2])) > policy.max_delta_per_frame:
+            place = complex(*last[:2]) + policy.max_delta_per_frame * (place - complex(*last[:2])) / abs(place - complex(*last[:2]))
+        answers[i] = place.real, place.imag, anchor[2]
+        given_row = i
+
+    answered = ~np.isnan(answers).any(1)
+    rows["status"] = "skipped"
+    rows.loc[done.index, "status"] = np.select(
+        [healthy, lost & answered, lost], ["gps_ground_truth", "gps_loss_prediction", "gps_loss_unavailable"], "ground_truth_unavailable")
+    for name, values in (("pose_x", pose.real), ("pose_y", pose.imag), ("x", answers[:, 0]), ("y", answers[:, 1]), ("z", answers[:, 2])):
+        rows[name] = pd.Series(values, done.index, float).reindex(rows.index)
+    out = rows[[column.split()[0] for column in OUTPUT.split(", ")]]
+
+    after = dict(held, segment=int(rows["segment"].iloc[-1])) if len(rows) else dict(held)
+    seen = rows[rows["action"] != "duplicate"]
+    if len(seen):
+        after["health"] = _or_none(_numbers(seen["health"].tail(1))[0])
+    if (seen["action"].tail(1) == "wipe").any():
+        return out, fresh() | {"segment": after["segment"], "health": after["health"]}
+    if len(done):
+        end = len(done) - 1
+        last = done.iloc[end]
+        fix = at(fix_row[end])
+        given = _given(given, given_row, healthy_row[end], start[end], answers)
+        after.update(
+            last={name: _plain(last[name], name) for name in FRAME}, steps=int(steps[end]), recovery=int(recovery[end]),
+            pose=[float(pose[end].real), float(pose[end].imag), float(yaw[end])],
+            fix=None if np.isnan(fix[:3]).any() else [_or_none(v) for v in fix],
+            samples=samples_at(end), frozen=frozen_at(end), anchor=anchor_at(end), given=given)
+    return out, after
+
+
+def _given(carried: list | None, estimated: int, healthy: int, start: int, answers: np.ndarray) -> list[float] | None:
+    """The last position given in the segment, before the next estimate."""
+    row = max(estimated, healthy)
+    if row < start or row < 0:
+        return carried if start < 0 and row < 0 else None
+    return [float(v) for v in answers[row]]
+
+
+def _or_none(value: float) -> float | None:
+    return None if np.isnan(value) else float(value)
+
+
+def _plain(value, name: str):
+    if pd.isna(value):
         return None
-    gx, gy, gz, cx, cy = now.anchor
-    dx, dy = now.x - cx, now.y - cy
-    x = gx + fit["scale"] * (fit["m00"] * dx + fit["m01"] * dy)
-    y = gy + fit["scale"] * (fit["m10"] * dx + fit["m11"] * dy)
-    if now.estimate is not None and policy.max_delta_per_frame > 0:
-        far = math.hypot(x - now.estimate[0], y - now.estimate[1])
-        if far > policy.max_delta_per_frame:
-            part = policy.max_delta_per_frame / far
-            x = now.estimate[0] + (x - now.estimate[0]) * part
-            y = now.estimate[1] + (y - now.estimate[1]) * part
-    now.estimate = (x, y, gz)
-    return x, y, gz
-
-
-def freeze(state: SessionState) -> bytes:
-    """The state as bytes of plain values."""
-    pose = None if state.pose is None else dict(state.pose.__dict__)
-    return pickle.dumps((pose, state.health, state.segment))
-
-
-def thaw(blob: bytes) -> SessionState:
-    pose, health, segment = pickle.loads(blob)
-    return SessionState(None if pose is None else Pose(**pose), health, segment)
-
-
-def _rows(frames: pd.DataFrame) -> list[dict]:
-    plain = frames.astype(object).where(frames.notna(), None)
-    return plain.to_dict("records")
+    return float(value) if name in ("width", "height", "frame_index") else str(value)
 
 
 def sessions_stream(
@@ -194,31 +248,35 @@ def sessions_stream(
     idle_seconds: int = IDLE_SECONDS,
 ) -> DataFrame:
     """Continuity, pose and position of every frame as it arrives. A row whose ``control`` is
-    ``reset`` forgets its session; an idle session is forgotten by timeout."""
-    has_control = "control" in frames.columns
+    ``reset`` forgets its session; an idle session is forgotten by timeout. A micro-batch bounds
+    how many frames of a session one call sees; the state holds at most ``max_samples`` samples twice."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        state = thaw(bytes(held.get[0])) if held.exists else SessionState()
-        ordered = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for row in _rows(ordered):
-            if has_control and row["control"] == "reset":
-                state = SessionState()
-                continue
-            out.append(advance(state, row, policy, calibration))
-        held.update((freeze(state),))
+        ordered = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        state = _read(held.get) if held.exists else fresh()
+        resets = (ordered["control"] == "reset").cumsum() if "control" in ordered else pd.Series(0, ordered.index)
+        for n, part in ordered.groupby(resets, sort=True):
+            if n > 0:
+                state, part = fresh(), part.iloc[1:]
+            if len(part):
+                out, state = advanced(part, state, policy, calibration)
+                yield out
+        held.update(tuple(tuple(v.values()) if isinstance(v, dict) else v for v in (state[name] for name in NAMES)))
         held.setTimeoutDuration(idle_seconds * 1000)
-        if out:
-            yield pd.DataFrame(out)[[c.split()[0] for c in OUTPUT.split(", ")]]
 
     return frames.groupBy("session").applyInPandasWithState(
         update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
+def _read(values: tuple) -> dict:
+    state = dict(zip(NAMES, values))
+    return state | {"last": None if state["last"] is None else dict(zip(FRAME, state["last"]))}
+
+
 def continuity_stream(frames: DataFrame, policy: NavigationPolicy = NavigationPolicy()) -> DataFrame:
     """Only the continuity part: a late index is a reset, never a reordering."""
     return sessions_stream(frames, policy).select("session", "seq", "action", "event", "segment")

@@ -15,6 +15,7 @@ from flightframe.operators import matching as M
 from flightframe.operators import motion_fit as MF
 from flightframe.operators import navigation as N
 from flightframe.operators import regions as G
+from flightframe.operators import sequences as Q
 from flightframe.operators import sweep as S
 from flightframe.operators.detections import normalize_detections
 from flightframe.operators.greedy import greedy_one_to_one
@@ -116,9 +117,14 @@ def test_calibration_fixture(spark):
     assert got["good"].ready and abs(got["good"].scale - 0.2) < 1e-9 and abs(got["good"].m10 - 0.5) < 1e-9 and got["good"].rms_residual < 1e-6
     assert got["outlier"].ready and got["outlier"].inlier_count == 6
     assert got["mirror"].failure_reason == "reflection_detected" and got["few"].failure_reason == "insufficient_samples"
-    arrays = C.fit_arrays(*np.column_stack([steps, gps]).T, policy)
-    for name in ("scale", "m00", "m01", "m10", "m11", "directional_diversity"):
-        assert abs(arrays[name] - got["good"][name]) < 1e-9
+    listed = df.groupBy("session").agg(F.collect_list(F.struct(F.col("cam_x").alias("cx"), F.col("cam_y").alias("cy"), F.col("gps_x").alias("gx"), F.col("gps_y").alias("gy"))).alias("s"))
+    for row in C.fit_lists(listed, "s", ["session"], policy).collect():
+        for name, value in got[row.session].asDict().items():
+            assert row[name] == value or abs(row[name] - value) < 1e-6, (row.session, name)
+    for name, points in df.toPandas().groupby("session"):
+        found = C.heading(*[points[a].to_numpy() + 1j * points[b].to_numpy() for a, b in (("cam_x", "cam_y"), ("gps_x", "gps_y"))], policy)
+        assert (found is not None) == got[name].ready
+        assert found is None or abs(found[0] - got[name].scale * complex(got[name].m00, got[name].m10)) < 1e-9
 
 
 def _flight(n=160, session=1):
@@ -144,11 +150,16 @@ def test_estimates_equal_the_live_state(spark, recovery):
     policy = NavigationPolicy(max_delta_per_frame=0.8, recovery_min_healthy_frames=recovery)
     calibration = CalibrationPolicy(min_samples=5, max_samples=12, min_camera_step_px=0.5, max_rms_residual=5.0)
     frames = _flight()
-    state, want = SS.SessionState(), {}
-    for row in frames:
-        out = SS.advance(state, row, policy, calibration)
-        if out["status"] != "skipped":
-            want[out["seq"]] = out
+    table = pd.DataFrame(frames)
+    whole, _ = SS.advanced(table, SS.fresh(), policy, calibration)
+    for size in (1, 2, 7, 31):
+        state, parts = SS.fresh(), []
+        for at in range(0, len(table), size):
+            out, state = SS.advanced(table.iloc[at : at + size], state, policy, calibration)
+            parts.append(out)
+        pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole, check_dtype=False, atol=1e-9)
+    plain = whole.astype(object).where(whole.notna(), None)
+    want = {row["seq"]: row for row in plain.to_dict("records") if row["status"] != "skipped"}
     df = spark.createDataFrame([tuple(r.values()) for r in frames], _FLIGHT)
     got = {r.seq: r for r in N.estimate_translation(df, policy, calibration, fold_rows=3).collect()}
     assert got.keys() == want.keys()
@@ -165,12 +176,22 @@ def test_live_sessions_equal_batch(spark, tmp_path):
     import flightframe.streaming.joins as J
 
     frames = spark.createDataFrame([tuple(r.values()) for s in (1, 2) for r in _flight(60, s)], _FLIGHT)
-    live = J.run_available(SS.sessions_stream(J.arrived(frames, "t")), "t", idle_timeouts=True).toPandas()
-    state, want = {}, {}
-    for row in frames.orderBy("seq").collect():
-        held = state.setdefault(row.session, SS.SessionState())
-        want[(row.session, row.seq)] = SS.advance(held, row.asDict(), NavigationPolicy(), CalibrationPolicy())["event"]
-    assert {(r.session, r.seq): r.event for r in live.itertuples()} == want
+    live = J.run_in_slices(frames, "t", SS.sessions_stream, slices=4)
+    got = {(r.session, r.seq): r for r in live.collect()}
+    assert len(got) == frames.count() == live.count()
+    for r in Q.continuity(frames).collect():
+        assert (got[r.session, r.seq].event, got[r.session, r.seq].segment) == (r.event, r.segment)
+    for r in N.estimate_translation(frames, NavigationPolicy(), CalibrationPolicy()).collect():
+        assert got[r.session, r.seq].status == r.status
+        assert (got[r.session, r.seq].x is None) == (r.x is None) and (r.x is None or abs(got[r.session, r.seq].x - r.x) < 1e-7)
+
+
+def test_reset_forgets_a_live_session(spark):
+    import flightframe.streaming.joins as J
+
+    rows = [(*r.values(), "reset" if r["seq"] == 20 else None) for r in _flight(20)]
+    got = J.run_in_slices(spark.createDataFrame(rows, _FLIGHT + ", control string"), "reset", SS.continuity_stream, slices=2)
+    assert {r.seq: (r.event, r.segment) for r in got.where("seq in (18, 20, 22)").collect()} == {18: ("continue", 1), 22: ("first_frame", 1)}
 
 
 def test_track_gate_batch(spark):
