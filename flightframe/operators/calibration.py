@@ -157,11 +157,15 @@ def fit_lists(df: DataFrame, samples: str, keep: Sequence[str], policy: Calibrat
     total = F.aggregate(
         "_kept", F.struct(*[F.lit(0.0).alias(n) for n in names]),
         lambda sums, s: F.struct(*[(sums[n] + products(s)[n]).alias(n) for n in names]))
-    df = df.select(
-        *keep, F.size("_s").cast("long").alias("_n"), F.size("_kept").cast("long").alias("_k"), "_median", "_mad",
+    # Exploded, so that a later filter on the result does not repeat these per use.
+    fit = F.struct(
+        F.size("_s").cast("long").alias("n"), F.size("_kept").cast("long").alias("k"), "_median", "_mad",
         _middle(ratios(F.col("_kept"))).alias("_scale"), total.alias("_sums"), clean.alias("_clean"))
+    df = df.select(*keep, F.explode(F.array(fit)).alias("_fit")).select(
+        *keep, F.col("_fit.n").alias("_n"), F.col("_fit.k").alias("_k"), *[f"_fit.{c}" for c in ("_median", "_mad", "_scale", "_sums", "_clean")])
     sums = {n: F.col(f"_sums.{n}") for n in names}
-    return df.select(*keep, *_finish(*[F.col(c) for c in ("_n", "_k", "_median", "_mad", "_scale")], sums, policy, F.col("_clean")))
+    done = F.struct(*_finish(*[F.col(c) for c in ("_n", "_k", "_median", "_mad", "_scale")], sums, policy, F.col("_clean")))
+    return df.select(*keep, F.explode(F.array(done)).alias("_done")).select(*keep, "_done.*")
 
 
 def heading(camera: np.ndarray, gps: np.ndarray, policy: CalibrationPolicy) -> tuple[complex, bool] | None:
