@@ -310,7 +310,7 @@ def modalities(spark, sf_dir):
     return rows.withColumn("route", L.pipeline_kind(F.lit("rgb"), F.col("modality")))
 
 
-@query("names_canonical")
+@query("names_canonical", "select doc_id, nfc_normalize(trim(concat(' cafe', chr(769), '_', cast(doc_id as varchar), '.jpg '))) as name from documents")
 def names_canonical(spark, sf_dir):
     name = F.concat(F.lit(" cafe\u0301_"), F.col("doc_id").cast("string"), F.lit(".jpg "))
     return view(spark, sf_dir, "documents").select("doc_id", L.canonical_name(name).alias("name"))

@@ -12,7 +12,8 @@ QUICK = (
     "landing_status", "landing_diagnostics", "iou_candidates", "motion_summary", "motion_confusion", "rank_auc", "group_statistics",
     "match_threshold_sensitivity", "timeout_sensitivity", "continuity", "motion_baseline", "trajectory", "gps_phase", "calibration_samples",
     "references_read", "frames_read", "dataset_issues", "active_references", "local_threshold_sweep", "cross_validation", "mutual_nearest",
-    "global_motion", "vehicle_motion_residual",
+    "global_motion", "vehicle_motion_residual", "threshold_sweep", "leaderboards", "profiles_selected", "pareto_frontier", "parameter_sensitivity",
+    "scene_threshold_sweep_full", "names_canonical", "continuity_stream",
 )
 
 
