@@ -113,7 +113,18 @@ def iou_candidates(spark, sf_dir):
     return rounded(A.iou_candidates(view(spark, sf_dir, "v_gt"), detections(spark, sf_dir)))
 
 
-@query("truth_associated")
+# Greedy pairs: the list of a frame's pairs, best first, folded one per step.
+_GREEDY = f"""{_ALL_IOU.replace('with ', 'with recursive ', 1)}, best_g as (select frame, gt_index, max(score) as best_iou from pairs group by all), best_d as (select frame, det_index, max(score) as best_iou from pairs group by all),
+listed as materialized (select frame, gt_index as g, det_index as d, score, row_number() over (partition by frame order by score desc, gt_index, det_index) as n from pairs where score >= 0.3),
+fold as (select distinct frame, cast(0 as bigint) as n, cast([] as bigint[]) as gs, cast([] as bigint[]) as ds, cast(null as bigint) as g, cast(null as bigint) as d, cast(null as double) as score from listed
+union all select frame, n + 1, case when free then list_append(gs, g) else gs end, case when free then list_append(ds, d) else ds end, case when free then g end, case when free then d end, score
+  from (select f.frame, f.n, f.gs, f.ds, o.g, o.d, o.score, not (list_contains(f.gs, o.g) or list_contains(f.ds, o.d)) as free from fold f join listed o on o.frame = f.frame and o.n = f.n + 1) t),
+picked as (select frame, g, d, score from fold where g is not null),
+judged as (select t.frame, t.gt_index, t.motion, e.det_index, round(k.score, 6) as match_iou, round(coalesce(b.best_iou, 0), 6) as best_iou from v_gt t
+  left join best_g b on b.frame = t.frame and b.gt_index = t.gt_index left join picked k on k.frame = t.frame and k.g = t.gt_index left join det e on e.frame = k.frame and e.det_index = k.d)"""
+
+
+@query("truth_associated", f"{_GREEDY} select * from judged")
 def truth_associated(spark, sf_dir):
     matched = A.associate_ground_truth(view(spark, sf_dir, "v_gt"), detections(spark, sf_dir), 0.3)
     return rounded(matched.select("frame", "gt_index", "motion", "det_index", "match_iou", "best_iou"))
@@ -129,13 +140,17 @@ def truth_best_overlap(spark, sf_dir):
     return rounded(matched.select("frame", "gt_index", "best_iou"))
 
 
-@query("unmatched_truth")
+@query("unmatched_truth", f"{_GREEDY} select frame, gt_index, motion, best_iou from judged where det_index is null")
 def unmatched_truth(spark, sf_dir):
     matched = A.associate_ground_truth(view(spark, sf_dir, "v_gt"), detections(spark, sf_dir), 0.3)
     return rounded(A.unmatched_truth(matched).select("frame", "gt_index", "motion", "best_iou"))
 
 
-@query("unmatched_detections")
+@query(
+    "unmatched_detections",
+    f"""{_GREEDY} select e.frame, e.det_index, e.cls, round(coalesce(b.best_iou, 0), 6) as best_iou from det e
+left join best_d b on b.frame = e.frame and b.det_index = e.det_index where not exists (select 1 from picked k where k.frame = e.frame and k.d = e.det_index)""",
+)
 def unmatched_detections(spark, sf_dir):
     truth, found = view(spark, sf_dir, "v_gt"), detections(spark, sf_dir)
     matched = A.associate_ground_truth(truth, found, 0.3)
