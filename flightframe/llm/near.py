@@ -84,8 +84,8 @@ def _signed(batches: Iterator[pa.RecordBatch], policy: NearPolicy) -> Iterator[p
         rank = {int(d): i for i, d in enumerate(some)}
         cells = lambda rows: pa.array([rows[rank[d]].tobytes() if d in rank else None for d in range(len(sizes))], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), cells(prints), cells(marks), cells(np.packbits(flips, axis=1))],
-            ["path", "n_shingles", "print", "signature", "sketch"])
+            [batch.column(0), pa.array(sizes, pa.int64()), cells(prints), cells(marks), cells(np.packbits(flips, axis=1)), batch.column(2)],
+            ["path", "n_shingles", "print", "signature", "sketch", "mark"])
 
 
 def _keys(marks: np.ndarray, policy: NearPolicy) -> np.ndarray:
@@ -199,20 +199,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def _sets_of(paths: DataFrame, files: DataFrame, kind: str, policy: NearPolicy) -> DataFrame:
-    """The full sets (``path``, ``shingles``) of the files named in ``paths``."""
+def _sets_of(wanted: DataFrame, files: DataFrame, policy: NearPolicy) -> DataFrame:
+    """The full sets (``path``, ``shingles``) of the models in ``wanted`` (``model``, and ``path`` and ``mark`` of its text)."""
     # The texts move by path at every size; a broadcast here would only hide what a large run shuffles.
-    texts = files.join(paths.select("path").distinct().hint("merge"), "path", "left_semi")
-    return written(texts.mapInArrow(lambda batches: _sets(batches, policy), f"path {kind}, shingles binary"))
+    texts = files.join(wanted.hint("merge"), ["path", "mark"]).select(F.col("model").alias("path"), "xml")
+    return written(texts.mapInArrow(lambda batches: _sets(batches, policy), "path long, shingles binary"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, policy: NearPolicy) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, policy: NearPolicy) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     both = (
         pairs.join(sets.select(F.col("path").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("path").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     )
-    return both.mapInArrow(lambda batches: _linked(batches, policy), f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(lambda batches: _linked(batches, policy), "a long, b long").distinct()
 
 
 def _pivot_pairs(known: DataFrame, facts: DataFrame, turn: int, policy: NearPolicy) -> DataFrame:
@@ -248,24 +248,28 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     nothing and kept. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     kind = type_of(files, path)
-    files = files.select(column(path).alias("path"), column(xml).cast("string").alias("xml"))
+    files = files.select(column(path).alias("path"), column(xml).cast("string").alias("xml")).withColumn("mark", F.xxhash64("xml"))
     signed = written(files.mapInArrow(
-        lambda batches: _signed(batches, policy), f"path {kind}, n_shingles long, print binary, signature binary, sketch binary"))
+        lambda batches: _signed(batches, policy), f"path {kind}, n_shingles long, print binary, signature binary, sketch binary, mark long"))
     named = signed.where("path is not null and print is not null")
-    # One file stands for all with an equal set; files with several texts tie their classes together.
+    # One text, the class's model, stands for all with an equal set. Models have numbers, as a file of several texts may have
+    # several; such a file ties its classes together in the end.
     classes = written(named.groupBy("print").agg(
-        F.min(F.struct("path", "n_shingles", "signature", "sketch")).alias("r")).select("print", "r.*"))
-    members = named.select("path", "print").join(classes.select("print", F.col("path").alias("model")), "print").select("path", "model")
-    models = classes.select("path", "n_shingles", "signature", "sketch").dropDuplicates()
+        F.min(F.struct("path", "n_shingles", "signature", "sketch", "mark")).alias("r")).select(
+            "print", "r.*", F.monotonically_increasing_id().alias("model")))
+    members = named.select("path", "print").join(classes.select("print", "model", F.col("path").alias("least")), "print").select("path", "model", "least")
+    # From here on the model's number takes the place of the path.
+    models = classes.select(F.col("model").alias("path"), "n_shingles", "signature", "sketch")
 
     keyed = written(models.select("path", "signature").mapInArrow(
-        lambda batches: _keyed(batches, policy), f"key long, path {kind}").repartition("key"))
+        lambda batches: _keyed(batches, policy), "key long, path long").repartition("key"))
     several_rows = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = written(keyed.join(several_rows, "key").select("key", "rows", "path"))
-    sets = _sets_of(shared, files, kind, policy)
-    lone = sets.mapInArrow(_single, f"path {kind}, shingle long").groupBy("shingle").agg(
+    met = shared.select(F.col("path").alias("model")).distinct()
+    sets = _sets_of(classes.select("model", "path", "mark").join(met, "model", "left_semi"), files, policy)
+    lone = sets.mapInArrow(_single, "path long, shingle long").groupBy("shingle").agg(
         F.min("path").alias("path"), F.max("path").alias("last")).where("path = last").groupBy("path").agg(F.count(F.lit(1)).alias("lone"))
-    facts = written(models.join(shared.select("path").distinct(), "path", "left_semi").join(lone, "path", "left").select(
+    facts = written(models.join(met.withColumnRenamed("model", "path"), "path", "left_semi").join(lone, "path", "left").select(
         "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature", "sketch"))
 
     # Files meet the pivots of their keys; what is then connected is not compared again.
@@ -273,9 +277,9 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     for turn in range(policy.turns):
         pairs = _ordered(_pivot_pairs(known, facts, turn, policy))
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(_both_facts(pairs, facts).mapInArrow(lambda batches: _close(batches, policy), f"a {kind}, b {kind}"))
+        pairs = written(_both_facts(pairs, facts).mapInArrow(lambda batches: _close(batches, policy), "a long, b long"))
         tested = pairs if tested is None else tested.union(pairs)
-        linked = written(_confirmed(pairs, sets, kind, policy))
+        linked = written(_confirmed(pairs, sets, policy))
         links = linked if links is None else links.union(linked)
         found = written(components(links))
         known = shared.join(found, F.col("path") == F.col("node"), "left").select(
@@ -290,16 +294,18 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
         "path", "component", "n", "common", "signature", "sketch")
-    second = meets.groupBy("key", "i", "j").applyInArrow(lambda table: _compared(table, policy), f"a {kind}, b {kind}")
+    second = meets.groupBy("key", "i", "j").applyInArrow(lambda table: _compared(table, policy), "a long, b long")
     second = written(_ordered(second).join(tested, ["a", "b"], "left_anti"))
-    links = links.union(_confirmed(second, sets, kind, policy)) if not second.isEmpty() else links
+    links = links.union(_confirmed(second, sets, policy)) if not second.isEmpty() else links
 
     several = members.groupBy("path").agg(F.min("model").alias("b"), F.max("model").alias("a")).where("a != b")
     if not several.isEmpty():
         links = links.union(members.join(several.select("path", "b"), "path").select(F.col("model").alias("a"), "b"))
     groups = components(links) if not second.isEmpty() or not several.isEmpty() else found
-    labels = members.join(groups, F.col("model") == F.col("node"), "left").groupBy("path").agg(
-        F.min(F.coalesce("component", "model")).alias("component"))
+    named_groups = groups.join(classes.select(F.col("model").alias("node"), "path"), "node")
+    least = named_groups.groupBy("component").agg(F.min("path").alias("first"))
+    labels = members.join(named_groups.join(least, "component").select("node", "first"), F.col("model") == F.col("node"), "left").groupBy("path").agg(
+        F.min(F.coalesce("first", "least")).alias("component"))
     return signed.join(labels, "path", "left").select(
         "path", "n_shingles", F.coalesce("component", "path").alias("component")).withColumn(
         "kept", F.col("path").eqNullSafe(F.col("component")))

@@ -35,6 +35,14 @@ def test_near_duplicates(spark):
     assert near_duplicate_files(rows(spark, []).limit(0)).collect() == []
 
 
+def test_near_duplicates_with_several_texts_under_one_path(spark):
+    """A long text under the same path takes nothing away from what the short one has in common with others."""
+    words = [f"w{i}" for i in range(60)]
+    data = [(7, " ".join(words)), (7, " ".join(f"x{i}" for i in range(900))), (8, " ".join([*words[:-1], "end"])), (9, "alone here")]
+    out = near_duplicate_files(spark.createDataFrame(data, "path long, xml string")).collect()
+    assert sorted((r.path, r.n_shingles, r.component, r.kept) for r in out) == [(7, 56, 7, True), (7, 896, 7, True), (8, 56, 7, False), (9, 1, 9, True)]
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_near_duplicates_through_chains(spark, block):
     """Each text is near the next only; all come out as one group, with blocks of any size."""
