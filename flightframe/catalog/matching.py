@@ -201,12 +201,30 @@ def boxes_agreed(spark, sf_dir):
     return rounded(G.agree_and_merge(candidates(spark, sf_dir), second, ["frame"]))
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _cosine(a, b):
+    length = lambda v: F.greatest(F.sqrt(_dot(v, v)), F.lit(1e-12))
+    return _dot(a, b) / (length(a) * length(b))
+
+
 def similarity_grids(spark, sf_dir):
-    """Similarities of 8 x 8 patches to the mean direction of their picture's first patch."""
+    """Similarities of 8 x 8 patches to their picture's first patch (``sim``) and to the mean direction of all its patches
+    (``sim_grad``), cosines over all components."""
+    e = view(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("picture"), (F.col("vec_id") % 64).alias("patch"), "embedding")
+    first = e.groupBy("picture").agg(F.min(F.struct("patch", "embedding")).embedding.alias("first"))
+    means = e.select("picture", F.posexplode("embedding").alias("i", "x")).groupBy("picture", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = means.groupBy("picture").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c.x).alias("mean"))
+    return e.join(first, "picture").join(mean, "picture", "left").select(
+        "picture", "patch", _cosine(F.col("embedding"), F.col("first")).alias("sim"), _cosine(F.col("embedding"), F.col("mean")).alias("sim_grad"))
+
+
+def stated_grids(spark, sf_dir):
+    """What the statement of ``patches_marked`` calls similarity: the mean of the first two components, from 0 to 1."""
     e = view(spark, sf_dir, "embeddings").withColumns({"picture": F.floor(F.col("vec_id") / 64), "patch": F.col("vec_id") % 64})
-    value = (F.get("embedding", F.lit(0)).cast("double") + F.get("embedding", F.lit(1)) + 1.0) / 2
-    grad = (F.get("embedding", F.lit(2)).cast("double") + F.get("embedding", F.lit(3)) + 1.0) / 2
-    return e.select("picture", "patch", value.alias("sim"), grad.alias("sim_grad"))
+    return e.select("picture", "patch", ((F.get("embedding", F.lit(0)).cast("double") + F.get("embedding", F.lit(1)) + 1.0) / 2).alias("sim"))
 
 
 @query(
@@ -215,7 +233,7 @@ def similarity_grids(spark, sf_dir):
 select e.picture, patch, round(sim, 6) as sim, round(m, 6) as sim_mean, round(d, 6) as sim_std, sim >= m + 1.5 * d as marked from e join s on e.picture = s.picture""",
 )
 def patches_marked(spark, sf_dir):
-    return rounded(G.marked_patches(similarity_grids(spark, sf_dir).drop("sim_grad"), ["picture"], 1.5))
+    return rounded(G.marked_patches(stated_grids(spark, sf_dir), ["picture"], 1.5))
 
 
 @query("patch_regions")

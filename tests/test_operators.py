@@ -290,3 +290,16 @@ def test_natural_key_orders_numbers_of_any_length(spark):
     names = ["f" + "9" * 21, "f1" + "0" * 24, "f2", "f010", "f9"]
     keyed = spark.createDataFrame([(n,) for n in names], "name string").orderBy(L.natural_key(F.col("name")))
     assert [r.name for r in keyed.collect()] == ["f2", "f9", "f010", "f" + "9" * 21, "f1" + "0" * 24]
+
+
+def test_similarities_take_all_components(spark, sf):
+    from flightframe.catalog.matching import similarity_grids
+
+    vectors = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    got = similarity_grids(spark, sf).collect()
+    assert len(got) == len(vectors)
+    for r in got:
+        own = {v: x for v, x in vectors.items() if v // 64 == r.picture}
+        v = vectors[r.picture * 64 + r.patch]
+        assert abs(r.sim - cosine(v, own[min(own)])) < 1e-6 and abs(r.sim_grad - cosine(v, np.mean(list(own.values()), axis=0))) < 1e-6
