@@ -1,6 +1,7 @@
 """Personal data in frame payloads by weak supervision.
 
-Patterns propose spans of four kinds. Labelers vote on each: the strict pattern, a gazetteer of
+Patterns propose spans of four kinds: strict ones, cards within longer runs of digits, and what the gazetteer or the
+words in front suggest where no strict pattern matches. Labelers vote on each: the strict pattern, a gazetteer of
 endings, codes and issuers, the words in front, and the characters around. Expectation-maximisation
 estimates per kind how far each labeler can be trusted, the posteriors train a final
 classifier of spans (naive Bayes over votes and shape), and spans above even odds are added to
@@ -27,7 +28,11 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold before its matches are looked for.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]",
+        "email_own": r"(?i)@|[\[({]\x20?at|\x20at\x20[A-Za-z0-9-]++\x20dot\x20",
+        "ip_own": r"(?i):[0-9a-f]{0,4}:|[0-9]\x20?[\[({]\x20?(?:dot|\.)|[0-9]\x20(?:dot|\.)\x20[0-9]",
+        "card_own": r"[0-9](?:[./_\u2013][\x20./_\u2013-]?|[\x20-][\x20./_\u2013-])[0-9]",
+        "phone_own": r"(?i)(?<![0-9+])00[1-9]|(?:tel|phone|call|mobile|fax|telefon|llame)\W{0,6}[0-9(]"}
 #: What of a failing match is proposed nevertheless.
 LOOSE = {
     "card": r"^[0-9](?:[\x20-]?[0-9]){12,18}$",
@@ -45,6 +50,32 @@ CUES = {
     "card": r"(?i)(?:card|visa|mastercard|karte|carte|tarjeta)\W{0,6}$",
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|telefon|llame)\W{0,6}$",
 }
+_NAME, _HOST = r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]++"
+_AT = r"(?:\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?|\x20@\x20?|@\x20|\x20at\x20(?=[A-Za-z0-9-]++\x20dot\x20))"
+_DOT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20|\.)"
+_POINT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20|\x20\.\x20)"
+_OCTETS = rf"(?<![0-9.])[0-9]{{1,3}}{_POINT}[0-9]{{1,3}}{_POINT}[0-9]{{1,3}}{_POINT}[0-9]{{1,3}}(?![0-9])"
+_ODD = r"[./_\u2013]"
+#: Words in front as a condition.
+_AFTER = {k: f"(?<={c[:-1]})" for k, c in CUES.items()}
+#: What the gazetteer proposes of its own, then what the words in front do; none of it is a match of the strict pattern.
+OWN = {
+    "email": rf"(?i)(?<![A-Za-z0-9._%+-])(?={_NAME}(?:@|{_AT}))(?:{_NAME}{_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}(?:{GAZETTEER['email'][5:-2]})(?![A-Za-z0-9])"
+             rf"|{_AFTER['email']}{_NAME}(?:{_AT}{_HOST}(?:{_DOT}{_HOST})*|@{_HOST}(?!\.[A-Za-z0-9-])))",
+    "ip": rf"(?i)(?:{_OCTETS}|(?<![0-9a-z:])(?:2[0-9a-f]{{3}}|fe80|f[cd][0-9a-f]{{2}})(?:(?::[0-9a-f]{{1,4}}){{7}}|(?::[0-9a-f]{{1,4}}){{0,6}}::(?:[0-9a-f]{{1,4}}:){{0,5}}[0-9a-f]{{0,4}})(?![0-9a-z:])"
+          rf"|(?<![0-9a-z:])(?=[0-9a-f:]){_AFTER['ip']}(?:[0-9a-f]{{0,4}}:){{2,7}}[0-9a-f]{{0,4}}(?![0-9a-z:]))",
+    "card": rf"(?:(?<![0-9])(?={GAZETTEER['card'][1:]})[0-9]{{4}}(?:{_ODD}[0-9]{{4}}{_ODD}[0-9]{{4}}{_ODD}[0-9]{{4}}|{_ODD}[0-9]{{6}}{_ODD}[0-9]{{5}})(?![0-9])"
+            rf"|(?<![0-9])(?=[0-9]){_AFTER['card']}(?=[0-9](?:[\x20-]?[0-9])*+[\x20./_\u2013-]{{1,2}}[0-9])[0-9](?:[\x20./_\u2013-]{{0,2}}[0-9]){{12,18}}(?![0-9]))",
+    "phone": rf"(?:(?<![0-9+])00{GAZETTEER['phone'][3:-6]}[\x20().-][0-9\x20().-]{{5,18}}[0-9](?![0-9])"
+             rf"|(?<![0-9+])(?=[0-9(]){_AFTER['phone']}\(?[0-9][0-9\x20().-]{{5,18}}[0-9](?![0-9]))",
+}
+#: The plain form of an own proposal, on which strict pattern and gazetteer vote.
+PLAIN = {
+    "email": ((f"(?i){_AT}", "@"), (f"(?i){_DOT}", ".")),
+    "ip": ((f"(?i){_POINT}", "."),),
+    "card": ((r"[^0-9]", ""),),
+    "phone": ((r"^00", "+"),),
+}
 VOTES = ("strict", "gazetteer", "cue", "bounds")
 _BLOCK = 64
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,strict:int,gazetteer:int,cue:int,bounds:int,shape:string>>"
@@ -71,52 +102,116 @@ def _passes(kind: str, match: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Matches of a kind, the pieces between them, and what each pair of both takes in code points."""
-    may = text.contains(HINT[kind]) if kind == "email" else text.rlike(HINT[kind])
+#: Searches by name: of the strict patterns and of the own proposals of other labelers.
+SEARCHES = {**STRICT, **{f"{k}_own": p for k, p in OWN.items()}}
+
+
+def _found(text: Column, name: str) -> Column:
+    """Matches of a search, the pieces between them, and what each pair of both takes in code points."""
+    may = text.contains(HINT[name]) if name == "email" else text.rlike(HINT[name])
     found = F.when(may, F.struct(
-        F.regexp_extract_all(text, F.lit(STRICT[kind]), F.lit(0)).alias("hits"), F.split(text, STRICT[kind], -1).alias("rest")))
+        F.regexp_extract_all(text, F.lit(SEARCHES[name]), F.lit(0)).alias("hits"), F.split(text, SEARCHES[name], -1).alias("rest")))
     return F.coalesce(found, F.struct(F.array().cast("array<string>").alias("hits"), F.array(F.lit("")).alias("rest")))
 
 
+_vote = lambda test: F.when(test, 1).otherwise(0)
+_sum = lambda values: F.aggregate(values, F.lit(0), lambda total, x: total + x)
+
+
+def _let(value: Column, body) -> Column:
+    """An array expression over a value that is worked out once."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def _span(kind: str, start: Column, length: Column, base: Column, strict: Column, gazetteer: Column, cue: Column, bounds: Column) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"), start.cast("bigint").alias("start"), (start + length).cast("bigint").alias("end"), base.alias("base"),
+        _vote(strict).alias("strict"), _vote(gazetteer).alias("gazetteer"), _vote(cue).alias("cue"), _vote(bounds).alias("bounds"),
+        F.least(F.floor(length / 4), F.lit(9)).cast("string").alias("shape"))
+
+
+def _windows(hit: Column, start: Column, before: Column, after: Column) -> Column:
+    """Cards within a failing run of several groups of digits: windows of 13 to 19 digits in whole groups that pass the check
+    sum. At most 19 groups are looked at from each, and places are summed block by block, so long runs stay cheap."""
+    def from_group(r: Column, j: Column, base: Column, k: Column) -> Column:
+        i = j * _BLOCK + k
+
+        def ends(w: Column) -> Column:
+            sized = F.filter(F.sequence(F.lit(1), F.size(w.steps)), lambda n: (_sum(F.slice(w.steps, 1, n)) - n).between(13, 19))
+            numbers = F.transform(sized, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(w.groups, 1, n), "").alias("digits")))
+            good = F.filter(numbers, lambda x: luhn(x.digits) & ~((w.i == 0) & (x.n == F.size(r.groups))))
+            return F.transform(good, lambda x: _span(
+                "card", r.start + w.offset, F.length(x.digits) + x.n - 1, F.lit(False), F.length(x.digits) >= 16, x.digits.rlike(GAZETTEER["card"]),
+                (w.i == 0) & r.before.rlike(CUES["card"]),
+                ((w.i > 0) | r.before.rlike(_OPEN)) & ((w.i + x.n < F.size(r.groups)) | ~r.after.rlike(_GOES_ON))))
+
+        return _let(F.struct(
+            i.alias("i"), (base + _sum(F.slice(r.steps, j * _BLOCK + 1, k))).alias("offset"),
+            F.slice(r.groups, i + 1, 19).alias("groups"), F.slice(r.steps, i + 1, 19).alias("steps")), ends)
+
+    def blocks(r: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(r.groups) - 1) / _BLOCK).cast("int"))
+        return _let(F.transform(numbers, lambda j: _sum(F.slice(r.steps, j * _BLOCK + 1, _BLOCK))), lambda sums: F.flatten(F.transform(
+            numbers, lambda j: _let(_sum(F.slice(sums, 1, j)), lambda base: F.flatten(F.transform(
+                F.slice(r.groups, j * _BLOCK + 1, _BLOCK), lambda _, k: from_group(r, j, base, k)))))))
+
+    cut = lambda r: _let(F.struct(
+        r.start.alias("start"), r.before.alias("before"), r.after.alias("after"), r.groups.alias("groups"),
+        F.transform(r.groups, lambda g: F.length(g) + 1).alias("steps")), blocks)
+    some = _let(F.struct(start.alias("start"), before.alias("before"), after.alias("after"), F.split(hit, r"[\x20-]").alias("groups")), cut)
+    return F.when((F.length(hit) >= 14) & hit.rlike(r"[\x20-]") & ~_passes("card", hit), some).otherwise(F.array().cast(_SPANS))
+
+
+_OPEN, _GOES_ON = r"(?:^|[^\p{L}\p{N}])$", r"^[\p{L}\p{N}]"
+
+
 def _spans(kind: str) -> Column:
     """Proposals of a kind; places are running sums, taken block by block so that many matches stay cheap."""
-    hits, rest, steps, blocks = (F.col(f"_private.{kind}.{n}") for n in ("hits", "rest", "steps", "blocks"))
-
-    def proposal(hit: Column, k: Column) -> Column:
-        block = F.floor(k / _BLOCK).cast("int")
-        add = lambda total, x: total + x
-        start = (
-            F.aggregate(F.slice(blocks, 1, block), F.lit(0), add)
-            + F.aggregate(F.slice(steps, block * _BLOCK + 1, k - block * _BLOCK), F.lit(0), add) + F.char_length(F.get(rest, k)))
-        before, after = F.right(F.get(rest, k), F.lit(24)), F.left(F.get(rest, k + 1), F.lit(1))
+    def placed(name: str, body) -> Column:
+        hits, rest, steps, blocks = (F.col(f"_private.{name}.{n}") for n in ("hits", "rest", "steps", "blocks"))
+
+        def at(hit: Column, k: Column) -> Column:
+            block = F.floor(k / _BLOCK).cast("int")
+            start = _sum(F.slice(blocks, 1, block)) + _sum(F.slice(steps, block * _BLOCK + 1, k - block * _BLOCK)) + F.char_length(F.get(rest, k))
+            return body(hit, start, F.right(F.get(rest, k), F.lit(24)), F.left(F.get(rest, k + 1), F.lit(1)))
+
+        return F.transform(hits, at)
+
+    bounds = lambda before, after: before.rlike(_OPEN) & ~after.rlike(_GOES_ON)
+
+    def matched(hit: Column, start: Column, before: Column, after: Column) -> Column:
         good = _passes(kind, hit)
         kept = F.when(good, hit).otherwise(F.regexp_extract(hit, LOOSE[kind], 0) if kind in LOOSE else F.lit(""))
-        vote = lambda test: F.when(test, 1).otherwise(0)
-        length = F.char_length(kept)
-        return F.struct(
-            F.lit(kind).alias("kind"), start.cast("bigint").alias("start"), (start + length).cast("bigint").alias("end"), good.alias("base"),
-            vote(good).alias("strict"), vote(kept.rlike(GAZETTEER[kind])).alias("gazetteer"), vote(before.rlike(CUES[kind])).alias("cue"),
-            vote(before.rlike(r"(?:^|[^\p{L}\p{N}])$") & ~after.rlike(r"^[\p{L}\p{N}]")).alias("bounds"),
-            F.least(F.floor(length / 4), F.lit(9)).cast("string").alias("shape"))
+        return _span(kind, start, F.char_length(kept), good, good, kept.rlike(GAZETTEER[kind]), before.rlike(CUES[kind]), bounds(before, after))
+
+    def own(hit: Column, start: Column, before: Column, after: Column) -> Column:
+        plain = hit
+        for pattern, by in PLAIN[kind]:
+            plain = F.regexp_replace(plain, pattern, by)
+        known = plain.rlike(GAZETTEER[kind]) | (plain.rlike("(?i)^(?:fe80|f[cd])") if kind == "ip" else F.lit(False))
+        strict = plain.rlike(f"^(?:{STRICT[kind]})$") & _passes(kind, plain)
+        return _span(kind, start, F.char_length(hit), F.lit(False), strict, known, before.rlike(CUES[kind]), bounds(before, after))
 
-    return F.filter(F.transform(hits, proposal), lambda s: s.end > s.start).cast(_SPANS)
+    found = [F.filter(placed(kind, matched), lambda s: s.end > s.start).cast(_SPANS), placed(f"{kind}_own", own).cast(_SPANS)]
+    if kind == "card":
+        found.append(F.flatten(placed(kind, _windows)).cast(_SPANS))
+    return F.array_sort(F.concat(*found))
 
 
 def proposed(payloads: DataFrame, payload: str) -> DataFrame:
     """``payloads`` with ``proposals``: all spans of all kinds with their votes."""
     once = lambda df, name, value: df.select(*[column(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
     text = F.coalesce(column(payload).cast("string"), F.lit(""))
-    staged = once(payloads, "_private", F.struct(*[_found(text, k).alias(k) for k in KINDS]))
+    staged = once(payloads, "_private", F.struct(*[_found(text, k).alias(k) for k in SEARCHES]))
     lengths = lambda k: F.zip_with(
         F.slice(f"_private.{k}.rest", 1, F.greatest(F.size(f"_private.{k}.hits"), F.lit(0))), F.col(f"_private.{k}.hits"),
         lambda a, b: F.char_length(a) + F.char_length(b))
     staged = once(staged, "_private", F.struct(*[F.struct(
-        F.col(f"_private.{k}.hits"), F.col(f"_private.{k}.rest"), lengths(k).alias("steps")).alias(k) for k in KINDS]))
+        F.col(f"_private.{k}.hits"), F.col(f"_private.{k}.rest"), lengths(k).alias("steps")).alias(k) for k in SEARCHES]))
     summed = lambda k: F.transform(F.sequence(F.lit(0), F.floor(F.size(f"_private.{k}.steps") / _BLOCK).cast("int")), lambda j: F.aggregate(
         F.slice(f"_private.{k}.steps", j * _BLOCK + 1, _BLOCK), F.lit(0), lambda total, x: total + x))
     staged = once(staged, "_private", F.struct(*[F.struct(
-        F.col(f"_private.{k}.hits"), F.col(f"_private.{k}.rest"), F.col(f"_private.{k}.steps"), summed(k).alias("blocks")).alias(k) for k in KINDS]))
+        F.col(f"_private.{k}.hits"), F.col(f"_private.{k}.rest"), F.col(f"_private.{k}.steps"), summed(k).alias("blocks")).alias(k) for k in SEARCHES]))
     return staged.select(*[column(c) for c in payloads.columns], F.concat(*[_spans(k) for k in KINDS]).alias("proposals"))
 
 

@@ -13,7 +13,7 @@ from flightframe.llm.leaks import LeakPolicy, leaked_items
 from flightframe.llm.licenses import scan_licenses
 from flightframe.llm.mixing import mix_copies
 from flightframe.llm.near import NearPolicy, near_duplicate_files
-from flightframe.llm.private import redacted, with_personal_data
+from flightframe.llm.private import proposed, redacted, with_personal_data
 from flightframe.llm.quality import judged
 from flightframe.llm.repeats import RepeatPolicy, without_repeated_footage
 from flightframe.llm.secrets import scan_secrets, sealed
@@ -154,6 +154,29 @@ def test_personal_data(spark):
     assert with_personal_data(rows(spark, []), "xml").collect() == []
 
 
+def test_personal_data_beside_and_beyond_strict_matches(spark):
+    """Cards next to other digits, and what gazetteer and words in front propose where no strict pattern matches."""
+    total = lambda w: sum(x - 9 if x > 9 else x for x in [int(y) * (1 + i % 2) for i, y in enumerate(reversed(w))])
+    number = lambda d: next(d + str(c) for c in range(10) if total(d + str(c)) % 10 == 0)
+    pair = "7536784127813050 4845168114407329"
+    digits = " ".join(str(i * 7919 % 10) for i in range(3000))
+    data = [(1, pair), (2, "on 2024-01-05 4111 1111 1111 1111 12"), (3, "jane [at] mail.example [dot] com, me@localhost"), (4, "ip 10[.]1[.]2[.]3, fe80::1"),
+            (5, "card 4111.1111.1111.1111"), (6, "tel: 030 1234 567"), (7, f"start {digits} end"), (8, "write me@localhost"), (9, "card 4111. 1111. 1111. 1111"), *[(100 + i, number(f"{4000000000000 + i * 1237}00")) for i in range(20)]]
+    found = {r.path: {(p.kind, r.xml[p.start : p.end]) for p in r.proposals if not p.base} for r in proposed(spark.createDataFrame(data, "path long, xml string"), "xml").collect()}
+    assert {("card", c) for c in pair.split()} == found[1]
+    assert ("card", "4111 1111 1111 1111") in found[2]
+    assert found[3] == {("email", "jane [at] mail.example [dot] com")} and found[8] == {("email", "me@localhost")}
+    assert found[4] == {("ip", "10[.]1[.]2[.]3"), ("ip", "fe80::1")}
+    assert ("card", "4111. 1111. 1111. 1111") in found[9]
+    assert ("card", "4111.1111.1111.1111") in found[5] and ("phone", "030 1234 567") in found[6]
+    groups = digits.split(" ")
+    wanted = {(6 + 2 * i, 6 + 2 * (i + n) - 1) for i in range(len(groups)) for n in range(13, 20) if i + n <= len(groups) and total(groups[i : i + n]) % 10 == 0}
+    row = proposed(spark.createDataFrame([(7, data[6][1])], "path long, xml string"), "xml").first()
+    assert {(p.start, p.end) for p in row.proposals} == wanted and len(row.proposals) == len(wanted) > 1000
+    out = {r.path: r.clean for r in with_personal_data(spark.createDataFrame(data, "path long, xml string"), "xml").select("path", redacted(F.col("xml"), F.col("spans")).alias("clean")).collect()}
+    assert out[1] == "[CARD] [CARD]"
+
+
 def test_secrets(spark):
     import zlib
 
