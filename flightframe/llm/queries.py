@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightframe.llm import statements
+from flightframe.llm.alignment import aligned_payloads
+from flightframe.llm.divergence import video_divergence
 from flightframe.llm.exchanges import read_loss, read_turns, reply_examples
 from flightframe.llm.language import score_payloads, train
 from flightframe.llm.leaks import leaked_items
@@ -19,7 +21,8 @@ from flightframe.llm.private import with_personal_data
 from flightframe.llm.quality import judged
 from flightframe.llm.repeats import without_repeated_footage
 from flightframe.llm.secrets import scan_secrets
-from flightframe.llm.store import hex_sha256, written
+from flightframe.llm.store import hex_sha256
+from flightframe.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(statements.SQL)
@@ -123,3 +126,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     found = scan_secrets(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("path").alias("doc_id"), *[_count(spans, k) for k in ("assign", "access", "hex")], *_digests(spans))
+
+
+def _tokenizer(name: str) -> str:
+    """The path of a vocabulary that is installed on all machines."""
+    from public_tokenizers import path
+
+    return path(name)
+
+
+@_query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "doc_id", "text")
+    return read_token_files(spark, files).select(F.col("url").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aligned_payloads(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"), "doc_id", "text")
+    return found.withColumnRenamed("url", "doc_id")
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = video_divergence(_table(spark, sf_dir, "documents"), "lang", "source", "text")
+    return found.withColumnsRenamed({"modality": "lang", "video": "source"})

@@ -83,7 +83,24 @@ QUALITY = f"""with w as (select doc_id, coalesce(text, '') as text, regexp_extra
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not ({' or '.join(_broken(r) for r in RULES)}) as kept from b"""
 
+_P = "1 + 1000000000::hugeint * ({c} + 1) // ({n} + v)"
+_F = "cast(({p} - {q}) * ({p} - {q}) // {q} as hugeint)"
+DIVERGED = f"""with t as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER} as text from documents),
+  g as (select distinct lang, source from t),
+  o as (select r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from t),
+  k as (select lang, term, count(*) as c from o group by 1, 2 having count(distinct r) >= 3),
+  l as (select lang, count(*) as v, sum(c) as n from k group by 1),
+  c as (select lang, source, term, count(*) as c from o semi join k using (lang, term) group by 1, 2, 3),
+  n as (select lang, source, coalesce(sum(c), 0) as n from g left join c using (lang, source) group by 1, 2),
+  p as (select lang, source, term, coalesce(c.c, 0) as c, {_P.format(c='coalesce(c.c, 0)', n='n.n')} as p from n join l using (lang) join k using (lang) left join c using (lang, source, term)),
+  a as (select a.lang, a.source, b.source as item, sum({_F.format(p='a.p', q='b.p')}) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+  pairs as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0)::bigint as value from g join g h on g.lang = h.lang and g.source <> h.source left join a on a.lang = g.lang and a.source = g.source and a.item = h.source),
+  q as (select lang, term, {_P.format(c='c', n='n')} as q from k join l using (lang)),
+  terms as (select lang, source, 'term' as part, term as item, ({_F.format(p='p', q='q')})::bigint as value from p join q using (lang, term) where c > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 200"""
+
 SQL = {
     "op2_near_duplicates": NEAR, "op3_repeated_passages": REPEATED, "op4_decontamination": LEAKED, "op5_mixing": MIXED,
-    "op6_chat_examples": CHATS, "op8_quality_rules": QUALITY,
+    "op6_chat_examples": CHATS, "op8_quality_rules": QUALITY, "op13_source_divergence": DIVERGED,
 }
