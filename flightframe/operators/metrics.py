@@ -183,11 +183,11 @@ def feature_distributions(rows: DataFrame, truth: str, features: Sequence[str])
     return value_statistics(feature_rows(rows, [truth], features), [truth, "feature"], "value", TRUTH_PROBS)
 
 
-def rank_auc(rows: DataFrame, positive: Column, features: Sequence[str], limit: int | None = None) -> DataFrame:
+def rank_auc(rows: DataFrame, positive: Column, features: Sequence[str]) -> DataFrame:
     """Tie-averaged rank AUC per feature.
 
     Rows are first counted per distinct value (combined before the shuffle); the running count
-    of negatives then goes along the sorted distinct values, in chunks if they are many.
+    of negatives then goes along the sorted distinct values, in chunks.
     """
     flagged = rows.withColumn("_positive", positive)
     long = feature_rows(flagged, ["_positive"], features).where(F.col("value").isNotNull())
@@ -196,7 +196,7 @@ def rank_auc(rows: DataFrame, positive: Column, features: Sequence[str], limit:
             count_if(F.col("_positive")).alias("pos"), count_if(~F.col("_positive")).alias("neg")
         )
     )
-    ordered, axis = ranged_axis(counted, ["feature"], ["value"], limit)
+    ordered, axis = ranged_axis(counted, ["feature"], ["value"])
     running = scan(ordered, axis, sums={"neg_upto": F.col("neg")}).drop(CHUNK)
     wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2)
     folded = running.groupBy("feature").agg(

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightframe.functions.labels import frame_index_of
+from flightframe.plans.intervals import IntervalIndex
 from flightframe.plans.scans import CHUNK, ranged_axis, scan
-from flightframe.policies import LIMITS
 
 
 def read_references(raw: DataFrame) -> DataFrame:
@@ -53,17 +53,11 @@ def is_active(frame_index: Column, start: Column, stop: Column) -> Column:
     )
 
 
-def active_references(frames: DataFrame, references: DataFrame, keys: Sequence[str] = ("session",), rows: int | None = None) -> DataFrame:
-    """Every frame with each reference active at it. A reference set checked to be small goes to
-    the frames; a larger one joins by session."""
-    keys = list(keys)
-    limit = LIMITS.dimension_rows if rows is None else rows
-    small = references.limit(limit + 1).count() <= limit
-    side = references.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in references.columns if c not in keys])
-    match = is_active(F.col("frame_index"), F.col("active_from"), F.col("active_until"))
-    for key in keys:
-        match = (F.col(key) == F.col(f"_r_{key}")) & match
-    return frames.join(F.broadcast(side) if small else side, match).drop(*[f"_r_{k}" for k in keys])
+def active_references(frames: DataFrame, references: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Every frame with each reference active at it, through an index of the activity windows."""
+    index = IntervalIndex(references, keys, "active_from", "active_until")
+    active = is_active(F.col("frame_index"), F.col("active_from"), F.col("active_until"))
+    return index.holding(frames, "frame_index").where(active)
 
 
 def reference_urls(matches: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -401,24 +401,24 @@ def parameter_sensitivity(sweep: DataFrame) -> DataFrame:
     )
 
 
-def group_folds(samples: DataFrame, group: str, folds: int = 5, rows: int | None = None) -> DataFrame:
+def group_folds(samples: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """Fold of every group: round robin over the sorted distinct groups."""
     groups = settle(samples.select(group).distinct())
     count = groups.count()
     if count < 2:
         raise ValueError("at least two groups are required")
     k = min(max(2, folds), count)
-    ordered, axis = ranged_axis(groups, [], [group], rows)
+    ordered, axis = ranged_axis(groups, [], [group])
     numbered = scan(ordered, axis, sums={"_n": F.lit(1)})
     return numbered.select(group, ((F.col("_n") - 1) % k + 1).cast("int").alias("fold"))
 
 
 def cross_validate(
-    samples: DataFrame, profiles: DataFrame, group: str = "pair_id", folds: int = 5, rows: int | None = None
+    samples: DataFrame, profiles: DataFrame, group: str = "pair_id", folds: int = 5
 ) -> DataFrame:
     """Train and validation scores per profile and fold. Counts are made once per fold; the
     training side is the total minus the fold, so no sample is copied per fold."""
-    assigned = samples.join(group_folds(samples, group, folds, rows), group)
+    assigned = samples.join(group_folds(samples, group, folds), group)
     decided = _with_configs(assigned, profiles.select("profile", *CONFIG)).withColumn("prediction", box_decision())
     counts = settle(
         decided.groupBy("profile", "fold").agg(*outcome_counts(F.col("gt"), F.col("prediction")))

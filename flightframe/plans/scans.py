@@ -1,9 +1,9 @@
 """Running values along an ordered axis, also for groups too large for one task.
 
 An axis is a set of keys and a unique integer order. Groups within the size limit are plain
-windows. If any group is larger, the axis is cut into chunks of consecutive order values:
-every chunk is one window group, chunk totals are carried over a table with one row per
-chunk, and each chunk's rows add what was carried to them.
+windows. If any group is larger, its rows are cut into chunks of about equal numbers of rows, whatever lies
+between their order values: every chunk is one window group, chunk totals are carried over a table with
+one row per chunk, and each chunk's rows add what was carried to them.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ class Axis:
     keys: tuple[str, ...]
     order: str
     chunked: bool = False
+    stored: bool = False
 
     def within(self, *more: str) -> "Axis":
         """The same order inside finer keys; chunks of the coarser keys stay valid."""
@@ -39,42 +40,44 @@ class Axis:
 def axis_of(
     df: DataFrame, keys: Sequence[str], order: str, rows: int | None = None
 ) -> tuple[DataFrame, Axis]:
-    """Check group sizes and give ``df`` a chunk column if a group is above the limit."""
+    """Check group sizes and give ``df`` a chunk column if a group is above the limit. No chunk then has more
+    than twice ``rows`` rows."""
     rows = LIMITS.window_rows if rows is None else rows
+    keys = list(keys)
     hot = hot_groups(df, keys, rows)
     if hot is None:
         return df, Axis(tuple(keys), order)
-    span = settle(
-        df.join(hot, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.min(order).alias("_low"),
-            F.max(order).alias("_high"),
-            F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_pieces"),
-        )
-    )
-    offset = (F.col(order) - F.col("_low")).cast("double")
-    length = (F.col("_high") - F.col("_low") + 1).cast("double")
-    chunk = F.floor(offset * F.col("_pieces") / length)
-    cut = (
-        df.join(span, list(keys), "left")
-        .withColumn(CHUNK, F.coalesce(chunk, F.lit(0)).cast("long"))
-        .drop("_low", "_high", "_pieces")
-    )
-    return cut, Axis(tuple(keys), order, chunked=True)
-
-
-def ranged_axis(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None
-) -> tuple[DataFrame, Axis]:
-    """An axis over any sortable columns: chunks are the partitions of a stored range sort."""
-    rows = LIMITS.window_rows if rows is None else rows
-    if df.count() <= rows:
-        return df.withColumn("_order", F.struct(*order)), Axis(tuple(keys), "_order")
+    return _cut_by_rank(df, hot.withColumn("_pieces", F.ceil(F.col("group_rows") / F.lit(rows)).cast("int")), keys, order, rows), Axis(tuple(keys), order, chunked=True)
+
+
+def _cut_by_rank(df: DataFrame, hot: DataFrame, keys: list[str], order: str, rows: int) -> DataFrame:
+    """``df`` with the number of the chunk of each row. Sketches of the large groups give their quantiles, every
+    row finds its place among them by halving, and chunks are counted; a sketch that was too coarse is taken anew."""
+    pieces = hot.agg(F.max("_pieces")).first()[0]
+    large = df.join(hot.select(*keys), keys, "left_semi").select(*keys, F.col(order).alias("_at"))
+    steps = [1 << k for k in range((pieces - 1).bit_length() - 1, -1, -1)]
+    accuracy = max(1000, 10 * pieces)
+    while True:
+        marks = large.groupBy(*keys).agg(F.percentile_approx("_at", [i / pieces for i in range(1, pieces)], accuracy).alias("_marks"))
+        marks = settle(marks.join(hot.select(*keys, "_pieces"), keys))
+        passed = lambda at, k: (k <= F.size("_marks")) & (F.get("_marks", k - 1) < F.col(at))
+        place = lambda at: F.aggregate(
+            F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda k, s: F.when(F.coalesce(passed(at, k + s), F.lit(False)), k + s).otherwise(k))
+        # A group of fewer pieces than the largest takes several quantiles together.
+        chunk = lambda at: F.floor(place(at) * F.col("_pieces") / F.lit(pieces)).cast("long")
+        fullest = large.join(marks, keys).groupBy(*keys, chunk("_at").alias(CHUNK)).count().agg(F.max("count")).first()[0]
+        if fullest <= 2 * rows:
+            return df.join(marks, keys, "left").withColumn(CHUNK, F.coalesce(chunk(order), F.lit(0)).cast("long")).drop("_marks", "_pieces")
+        accuracy *= 10
+
+
+def ranged_axis(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, Axis]:
+    """An axis over any sortable columns: chunks are the partitions of a stored range sort. Scans are meant to
+    start from the stored rows."""
     stored = settle(
         df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("long"))
     )
-    return stored.withColumn("_order", F.struct(*order)), Axis(tuple(keys), "_order", chunked=True)
+    return stored.withColumn("_order", F.struct(*order)), Axis(tuple(keys), "_order", chunked=True, stored=True)
 
 
 def scan(
@@ -94,7 +97,7 @@ def scan(
     carried = {**before, **upto}
     values = {f"_v_{name}": column for name, column in {**carried, **sums}.items()}
     staged = df.withColumns(values)
-    if axis.chunked:
+    if axis.chunked and not axis.stored:
         # Both branches below read the rows, so chained scans would double their work each time.
         staged = settle(staged)
     window = Window.partitionBy(*axis.parts).orderBy(axis.order) if axis.parts else Window.orderBy(axis.order)

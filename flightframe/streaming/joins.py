@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightframe.operators.references import is_active
+from flightframe.plans.intervals import IntervalIndex
 from flightframe.plans.settle import checkpoint_folder
 
 
@@ -33,10 +34,10 @@ def current_references(references: DataFrame) -> DataFrame:
 
 
 def active_references_stream(frames: DataFrame, references: DataFrame) -> DataFrame:
-    """Live frames with the references in force; ``generation`` tells which set answered."""
-    side = current_references(references).withColumnRenamed("session", "_s")
-    match = (F.col("session") == F.col("_s")) & is_active(F.col("frame_index"), F.col("active_from"), F.col("active_until"))
-    return frames.join(side, match).drop("_s")
+    """Live frames with the references in force; ``generation`` tells which set answered. The index of their windows
+    is made when the stream starts, so a new set takes effect with a new start."""
+    index = IntervalIndex(current_references(references), ["session"], "active_from", "active_until")
+    return index.holding(frames, "frame_index").where(is_active(F.col("frame_index"), F.col("active_from"), F.col("active_until")))
 
 
 def drop_stale(matches: DataFrame, references: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Forms for large groups give what the plain forms give."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 from flightframe.functions.boxes import Box
 from flightframe.operators.overlap import join_meeting_boxes
+from flightframe.operators.references import active_references
+from flightframe.plans.intervals import IntervalIndex
 from flightframe.plans.percentiles import grouped_percentiles
 from flightframe.plans.scans import axis_of, ranged_axis, scan
 
@@ -42,14 +46,54 @@ def test_scan_over_chunks(spark, limit):
         np.testing.assert_array_equal(mine.b.astype(float).values, part.mark.ffill().shift().values)
 
 
-@pytest.mark.parametrize("limit", [20, 10_000])
-def test_ranged_axis_numbers_in_order(spark, limit):
+def test_ranged_axis_numbers_in_order(spark):
     names = [f"n{i:04d}" for i in rng.permutation(150)]
-    ordered, axis = ranged_axis(spark.createDataFrame(pd.DataFrame({"n": names})), [], ["n"], limit)
+    ordered, axis = ranged_axis(spark.createDataFrame(pd.DataFrame({"n": names})), [], ["n"])
     got = scan(ordered, axis, sums={"i": F.lit(1)}).select("n", "i").toPandas().sort_values("i")
     assert list(got.n) == sorted(names)
 
 
+def test_chunks_go_by_rank(spark):
+    """A far value, dense stretches and groups of unlike sizes: no chunk is above twice the limit, and chunks are in order."""
+    far = [(1, i) for i in range(1999)] + [(1, 10**15)]
+    steep = [(2, int(1.02**i) + i) for i in range(1200)]
+    small = [(3, i) for i in range(50)]
+    cut, axis = axis_of(spark.createDataFrame(far + steep + small, "s long, seq long").repartition(5), ["s"], "seq", 100)
+    got = cut.toPandas().sort_values(["s", "seq"])
+    assert axis.chunked and len(got) == len(far) + len(steep) + len(small)
+    sizes = got.groupby(["s", "_chunk"]).size()
+    assert sizes.max() <= 200 and sizes.loc[1].size >= 15 and sizes.loc[3].size == 1
+    assert (got.groupby("s")._chunk.diff().dropna() >= 0).all()
+
+
+def test_ranges_cut_intervals_once(spark):
+    """Every point meets every interval that holds it once, with open ends, single points and far bounds."""
+    top = 1 << 40
+    windows = [(None, None), (None, 7), (3, None), (0, 0), (5, 4), (-9, -2), (-1, 12), (17, 1000), (top - 3, top + 5), (None, -(1 << 61)), (1 << 61, None)]
+    windows += [tuple(sorted(rng.integers(-20, 60, 2).tolist())) for _ in range(60)]
+    points = [None, *range(-25, 70), top - 4, top, top + 6, (1 << 61) - 1, -(1 << 61)]
+    left = spark.createDataFrame([(i % 2, p) for i, p in enumerate(points)], "session int, at long")
+    right = spark.createDataFrame([(i % 2, i, *w) for i, w in enumerate(windows)], "session int, w int, a long, b long")
+    index = IntervalIndex(right, ["session"], "a", "b")
+    got = Counter((r.session, r.at, r.w) for r in index.holding(left, "at").collect())
+    placed = lambda v: max(-(1 << 61), min(v, (1 << 61) - 1))
+    holds = lambda p, a, b: (a is None and b is None) or (p is not None and (a is None or p >= placed(a)) and (b is None or p <= placed(b)))
+    wanted = Counter((i % 2, p, j) for i, p in enumerate(points) for j, (a, b) in enumerate(windows) if i % 2 == j % 2 and holds(p, a, b))
+    assert got == wanted and index.rows.groupBy("w").count().agg(F.max("count")).first()[0] <= 2 * 62
+
+
+def test_windows_of_a_hot_session_are_looked_up(spark):
+    """A million windows of one session: the frames meet only those in force, and the plan compares no windows in a loop."""
+    windows = spark.range(1_000_000).select(
+        F.lit(1).alias("session"), F.col("id").alias("object_id"), (F.col("id") * 3).alias("active_from"), (F.col("id") * 3 + F.col("id") % 7).alias("active_until"))
+    frames = spark.range(2000).select(F.lit(1).alias("session"), (F.col("id") * 1499).alias("frame_index"))
+    found = active_references(frames, windows)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "_i_node" in plan
+    wanted = sum(1 for f in range(0, 2000 * 1499, 1499) for i in range(max(0, f // 3 - 3), f // 3 + 1) if i < 1_000_000 and 3 * i <= f <= 3 * i + i % 7)
+    assert found.count() == wanted > 2000
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
 def test_meeting_boxes_in_large_frames(spark, how):
     def boxes(n, p):
