@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flightframe.catalog import query
+from flightframe.catalog import folds, query
 from flightframe.catalog.motion import detections
 from flightframe.catalog.shared import DET, FRAME_H, FRAME_W, ctes, rounded, size, view
 from flightframe.functions.boxes import box
@@ -94,12 +94,15 @@ def patch_pixels(spark, sf_dir):
     return placed(spark, sf_dir).drop("similarity")
 
 
-@query("spatial_dedup")
+_PLACED = f"{_NEAR}, placed as (select pair, l, r, similarity, (l % 8 + 0.5e0) * 14 as lx, (floor(l / 8e0) + 0.5e0) * 14 / 0.5e0 as ly, (r % 8 + 0.5e0) * 14 as rx, (floor(r / 8e0) + 0.5e0) * 14 / 0.5e0 as ry from mn)"
+
+
+@query("spatial_dedup", folds.deduplicated(_PLACED, POLICY.dedup_radius_px))
 def spatial_dedup(spark, sf_dir):
     return rounded(M.spatial_dedup(placed(spark, sf_dir), ["pair"], POLICY))
 
 
-@query("hull_coverage")
+@query("hull_coverage", folds.hulls(_PLACED, (112.0 * 224.0, 112.0 * 224.0)))
 def hull_coverage(spark, sf_dir):
     return rounded(M.hull_coverage(placed(spark, sf_dir), ["pair"], ("lx", "ly"), ("rx", "ry"), 112.0 * 224.0, 112.0 * 224.0).select("pair", "points", "coverage"))
 
@@ -177,22 +180,22 @@ def candidates(spark, sf_dir):
     return d.select("frame", F.col("det_index").alias("box_id"), F.col("cx1").alias("x1"), F.col("cy1").alias("y1"), F.col("cx2").alias("x2"), F.col("cy2").alias("y2"), "conf", (F.col("conf") * 2.2).alias("peak"))
 
 
-@query("boxes_kept")
+@query("boxes_kept", folds.suppressed(False))
 def boxes_kept(spark, sf_dir):
     return rounded(G.nms(candidates(spark, sf_dir), ["frame"]))
 
 
-@query("boxes_kept_uncontained")
+@query("boxes_kept_uncontained", folds.suppressed(True))
 def boxes_kept_uncontained(spark, sf_dir):
     return rounded(G.nms(candidates(spark, sf_dir), ["frame"], contain_above=0.70))
 
 
-@query("boxes_chained")
+@query("boxes_chained", folds.chained(90.0))
 def boxes_chained(spark, sf_dir):
     return rounded(G.chain_merge(candidates(spark, sf_dir).select("frame", "box_id", "x1", "y1", "x2", "y2", "conf"), ["frame"]))
 
 
-@query("boxes_agreed")
+@query("boxes_agreed", folds.agreed())
 def boxes_agreed(spark, sf_dir):
     second = view(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("frame"), (F.col("o_custkey") % 300).cast("double").alias("x1"), (F.col("o_custkey") % 200).cast("double").alias("y1"),
@@ -256,6 +259,9 @@ def box_frames(spark, sf_dir):
     return joined.select("session", "object_id", "seq", F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)).alias("boxes"))
 
 
-@query("track_gate")
+GATED = folds.gated(1.85, 20, 250.0)
+
+
+@query("track_gate", GATED)
 def tracks_gated(spark, sf_dir):
     return rounded(track_gate(box_frames(spark, sf_dir)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flightframe.catalog import query
+from flightframe.catalog import folds, query
 from flightframe.catalog.shared import DET, FRAME_H, FRAME_W, ctes, iou_sql, rounded, size, view
 from flightframe.functions import boxes as B
 from flightframe.functions.polygons import MATRIX, check_polygon, condition_number, corners, matrix, matrix_fault, project, project_box
@@ -166,19 +166,6 @@ def frame_sides(spark, sf_dir):
     return previous, current
 
 
-@query("track_candidates")
-def track_candidates(spark, sf_dir):
-    previous, current = frame_sides(spark, sf_dir)
-    return rounded(A.track_candidates(previous, current))
-
-
-@query("tracks_associated")
-def tracks_associated(spark, sf_dir):
-    previous, current = frame_sides(spark, sf_dir)
-    found = A.associate_tracks(previous, current)
-    return rounded(found.select("pair", "det_index", "p_index", "iou", "center_residual", "size_ratio", "reason", "motion"))
-
-
 def _px(x: str, y: str) -> tuple[str, str]:
     w = f"(h31 * {x} + h32 * {y} + h33)"
     return f"((h11 * {x} + h12 * {y} + h13) / {w})", f"((h21 * {x} + h22 * {y} + h23) / {w})"
@@ -198,6 +185,22 @@ c as (select *, least(greatest(bx1, 0), {FRAME_W}) as qx1, least(greatest(by1, 0
 _QA = "(greatest(0, qx2 - qx1) * greatest(0, qy2 - qy1))"
 
 
+TRACK_PAIRS, TRACKED = folds.tracked(_PROJECTED)
+
+
+@query("track_candidates", TRACK_PAIRS)
+def track_candidates(spark, sf_dir):
+    previous, current = frame_sides(spark, sf_dir)
+    return rounded(A.track_candidates(previous, current))
+
+
+@query("tracks_associated", TRACKED)
+def tracks_associated(spark, sf_dir):
+    previous, current = frame_sides(spark, sf_dir)
+    found = A.associate_tracks(previous, current)
+    return rounded(found.select("pair", "det_index", "p_index", "iou", "center_residual", "size_ratio", "reason", "motion"))
+
+
 @query(
     "boxes_projected",
     f"""{_PROJECTED} select pair, box_id, round(qx1, 6) as x1, round(qy1, 6) as y1, round(qx2, 6) as x2, round(qy2, 6) as y2,
@@ -239,7 +242,7 @@ def polygon_gates(spark, sf_dir):
     return rounded(m.select("*", F.explode(F.array(check)).alias("c")).select("pair", "box_id", "c.raw_area", gate.alias("gate")))
 
 
-@query("polygons_validated")
+@query("polygons_validated", folds.clipped(_PROJECTED, 200))
 def polygons_validated(spark, sf_dir):
     m = view(spark, sf_dir, "v_matrices").where("h33 <> 0")
     points = [project(matrix(), x, y) for x, y in corners(B.box())]

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from flightframe.functions.boxes import Box, box
 from flightframe.operators.greedy import keep_best
 from flightframe.operators.overlap import join_meeting_boxes
+from flightframe.plans.groups import hot_groups, split_hot
 from flightframe.plans.settle import settle
+from flightframe.policies import LIMITS
 
 _SIDES = ("x1", "y1", "x2", "y2")
 # Fixed values of the candidate rules.
@@ -52,28 +54,74 @@ def nms(
     return boxes.join(kept, [*keys, item], "left_semi")
 
 
-def chain_merge(boxes: DataFrame, keys: Sequence[str], item: str = "box_id", gap: float = 90.0) -> DataFrame:
+def _chained(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, gap: float) -> np.ndarray:
+    """The place of the first box of each box's group, in one small frame."""
+    group = np.arange(len(x1))
+    while True:
+        heads, own = np.unique(group, return_inverse=True)
+        hull = [np.full(len(heads), s) for s in (np.inf, np.inf, -np.inf, -np.inf)]
+        for side, values, pick in zip(hull, (x1, y1, x2, y2), (np.minimum, np.minimum, np.maximum, np.maximum)):
+            pick.at(side, own, values)
+        apart = lambda low, high: (low[:, None] - gap > high[None, :]) | (low[None, :] > high[:, None] + gap)
+        near = ~(apart(hull[0], hull[2]) | apart(hull[1], hull[3]))
+        first = np.where(near, heads[None, :], len(x1)).min(axis=1)
+        if (first == heads).all():
+            return group
+        to = np.arange(len(x1))
+        to[heads] = first
+        while (to[to] != to).any():
+            to = to[to]
+        group = to[heads[own]]
+
+
+def chain_merge(boxes: DataFrame, keys: Sequence[str], item: str = "box_id", gap: float = 90.0, rows: int | None = None) -> DataFrame:
     """Merge boxes within ``gap`` of each other until all are apart; confidence is the largest.
 
-    Growing boxes only come nearer to others, so the outcome does not depend on the order. Each
-    round joins every box to the lowest-numbered near one; rounds end when none are near.
+    Growing boxes only come nearer to others, so the outcome does not depend on the order. Frames of up to ``rows``
+    boxes are grouped in one pass. In larger ones each box points to the lowest-numbered near one, pointers
+    are doubled up to their ends, and what meets there becomes one box; rounds end when no boxes are near.
     """
-    keys = list(keys)
+    keys, rows = list(keys), LIMITS.fold_rows if rows is None else rows
     current = settle(boxes.select(*keys, F.col(item).cast("long").alias("id"), *_SIDES, "conf"))
+    hot = hot_groups(current, keys, rows)
+    small, large = (current, None) if hot is None else split_hot(current, hot, keys)
+    entry = F.struct("id", *[F.col(s).cast("double").alias(s) for s in _SIDES], "conf")
+    lists = small.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_g"))
+
+    @F.pandas_udf("array<int>")
+    def first(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        return pd.Series([_chained(*map(np.asarray, sides), gap) for sides in zip(x1, y1, x2, y2)])
+
+    placed = lists.withColumn("_to", first(*[F.col(f"_g.{s}") for s in _SIDES]))
+    each = placed.select(*keys, F.explode(F.transform("_g", lambda b, i: F.struct(F.col("_g")[F.col("_to")[i]]["id"].alias("to"), b.alias("b")))).alias("_e"))
+    hull = lambda of: [F.min(f"{of}x1").alias("x1"), F.min(f"{of}y1").alias("y1"), F.max(f"{of}x2").alias("x2"), F.max(f"{of}y2").alias("y2"), F.max(f"{of}conf").alias("conf")]
+    out = each.select(*keys, F.col("_e.to").alias("id"), "_e.b.*").drop("_e").toDF(*keys, "id", "_own", *_SIDES, "conf").groupBy(*keys, "id").agg(*hull(""))
+    if large is not None:
+        out = out.unionByName(_chained_rounds(settle(large), keys, gap, hull))
+    return out.withColumnRenamed("id", item)
+
+
+def _chained_rounds(current: DataFrame, keys: list[str], gap: float, hull) -> DataFrame:
     while True:
         one = current.select(*keys, F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in _SIDES])
         two = current.select(*keys, F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in _SIDES])
         grown = Box(F.col("a_x1") - gap, F.col("a_y1") - gap, F.col("a_x2") + gap, F.col("a_y2") + gap)
-        near = join_meeting_boxes(one, two, keys, grown, box("b_"), salt_by=["a"], cell_px=128.0).where(F.col("b") < F.col("a"))
+        near = join_meeting_boxes(one, two, keys, grown, box("b_"), salt_by=["a"]).where(F.col("b") < F.col("a"))
         lower = settle(near.groupBy(*keys, F.col("a").alias("id")).agg(F.min("b").alias("to")))
         if lower.isEmpty():
-            return current.withColumnRenamed("id", item)
+            return current
         current = settle(
-            current.join(lower, [*keys, "id"], "left").groupBy(*keys, F.coalesce("to", "id").alias("id")).agg(
-                F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-                F.max("conf").alias("conf"),
-            )
-        )
+            current.join(_pointed(lower, keys), [*keys, "id"], "left").groupBy(*keys, F.coalesce("to", "id").alias("_to")).agg(*hull("")).withColumnRenamed("_to", "id"))
+
+
+def _pointed(lower: DataFrame, keys: list[str]) -> DataFrame:
+    """Pointers (``id`` to ``to``, always downwards) moved on to their ends, each round twice as far."""
+    while True:
+        ahead = lower.select(*keys, F.col("id").alias("to"), F.col("to").alias("_next"))
+        moved = settle(lower.join(ahead, [*keys, "to"], "left"))
+        if moved.where("_next is not null").isEmpty():
+            return lower
+        lower = moved.select(*keys, "id", F.coalesce("_next", "to").alias("to"))
 
 
 def agree_and_merge(candidates: DataFrame, second: DataFrame, keys: Sequence[str], item: str = "box_id", share: float = 0.30) -> DataFrame:

@@ -82,9 +82,10 @@ def test_nms(spark, limit):
     assert got == want
 
 
-def test_chain_merge(spark):
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_chain_merge(spark, limit):
     data = _boxes(40)
-    got = G.chain_merge(spark.createDataFrame(data), ["f"], gap=6.0).toPandas()
+    got = G.chain_merge(spark.createDataFrame(data), ["f"], gap=6.0, rows=limit).toPandas()
     want = []
     for f, part in data.groupby("f"):
         boxes = [list(b) for b in part[["x1", "y1", "x2", "y2", "conf"]].values]
@@ -105,6 +106,16 @@ def test_chain_merge(spark):
     assert sorted(map(tuple, got[["f", "x1", "y1", "x2", "y2", "conf"]].round(6).values)) == sorted(want)
 
 
+@pytest.mark.parametrize("limit", [100, 1000])
+def test_chain_merge_of_a_row_of_boxes(spark, limit):
+    """Boxes in a row, numbered in any order, are one box; two far ones meet only once their neighbours have merged."""
+    order = np.random.default_rng(1).permutation(500)
+    row = [(1, int(n), 100.0 * i, 0.0, 100.0 * i + 20, 10.0, i / 500) for i, n in enumerate(order)]
+    corner = [(2, 0, 0.0, 0.0, 10.0, 10.0, 0.1), (2, 1, 200.0, 0.0, 210.0, 10.0, 0.2), (2, 2, 105.0, 200.0, 110.0, 210.0, 0.3), (2, 3, 100.0, 0.0, 110.0, 10.0, 0.4), (2, 4, 105.0, 100.0, 110.0, 110.0, 0.5)]
+    got = G.chain_merge(spark.createDataFrame(row + corner, "f long, box_id long, x1 double, y1 double, x2 double, y2 double, conf double"), ["f"], rows=limit).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0.0, 0.0, 49920.0, 10.0, 0.998), (2, 0, 0.0, 0.0, 210.0, 210.0, 0.5)]
+
+
 def test_calibration_fixture(spark):
     policy = CalibrationPolicy(4, 450, 0.5, 0.02, 0.05, 0.7, 0.1, 0.001, 2.0, 3.5, False)
     steps = np.array([(4, 0), (0, 5), (-3, 2), (2, 4), (-4, -1), (1, -3)], float)
