@@ -157,3 +157,28 @@ select pair, box_id, round(poly, 6) as raw_area, round(visible, 6) as visible_ar
   when poly > {FRAME_W * FRAME_H} * 0.75e0 then 'polygon_area_too_large' when least({', '.join(e)}) < 4 then 'polygon_edge_too_short'
   when least(bx2 - bx1, by2 - by1) <= 0 or greatest((bx2 - bx1) / (by2 - by1), (by2 - by1) / (bx2 - bx1)) > 10 then 'polygon_aspect_ratio'
   when greatest({spread(0, 2)}, {spread(1, 3)}) > 8 then 'polygon_perspective_distortion' when visible <= 0 or visible / poly < 0.25e0 then 'polygon_visibility' end as reason from v"""
+
+
+def plausible() -> str:
+    """Singular values from the eigenvalues of the symmetric product in trigonometric form, then the rules in order."""
+    u = [f"u{i}" for i in range(9)]
+    names = ("h11", "h12", "h13", "h21", "h22", "h23", "h31", "h32", "h33")
+    dot = lambda i, j: " + ".join(f"u{i + k} * u{j + k}" for k in (0, 3, 6))
+    corners = [(x, y) for x, y in ((0, 0), (FRAME_W - 1, 0), (FRAME_W - 1, FRAME_H - 1), (0, FRAME_H - 1))]
+    image = ", ".join(
+        f"(u0 * {x} + u1 * {y} + u2) / nullif(u6 * {x} + u7 * {y} + u8, 0) as px{i}, (u3 * {x} + u4 * {y} + u5) / nullif(u6 * {x} + u7 * {y} + u8, 0) as py{i}" for i, (x, y) in enumerate(corners))
+    step = lambda i, axis: f"(p{axis}{(i + 1) % 4} - p{axis}{i % 4})"
+    turns = [f"({step(i, 'x')} * {step(i + 1, 'y')} - {step(i, 'y')} * {step(i + 1, 'x')})" for i in range(4)]
+    whole = "abs(" + " + ".join(f"(px{i} * py{(i + 1) % 4} - px{(i + 1) % 4} * py{i})" for i in range(4)) + f") / 2 / {(FRAME_W - 1) * (FRAME_H - 1)}e0"
+    shift = "greatest(" + ", ".join(f"sqrt(power(px{i} - {x}, 2) + power(py{i} - {y}, 2))" for i, (x, y) in enumerate(corners)) + ")"
+    return f"""{ctes('v_matrices')}, un as (select pair, box_id, h33, {', '.join(f'{n} / nullif(h33, 0) as {c}' for n, c in zip(names, u))} from v_matrices),
+ds as (select *, {dot(0, 0)} as a, {dot(1, 1)} as b, {dot(2, 2)} as c, {dot(0, 1)} as d, {dot(0, 2)} as e, {dot(1, 2)} as f, u0 * (u4 * u8 - u5 * u7) - u1 * (u3 * u8 - u5 * u6) + u2 * (u3 * u7 - u4 * u6) as det, {image} from un),
+ms as (select *, (a + b + c) / 3 as m from ds),
+ks as (select *, sqrt((power(a - m, 2) + power(b - m, 2) + power(c - m, 2) + 2 * (d * d + e * e + f * f)) / 6) as k from ms),
+cs as (select *, greatest(-1, least(1, ((a - m) * ((b - m) * (c - m) - f * f) - d * (d * (c - m) - f * e) + e * (d * f - (b - m) * e)) / nullif(2 * k * k * k, 0))) as half from ks),
+es as (select *, m + 2 * k * cos(acos(half) / 3) as large, m + 2 * k * cos(acos(half) / 3 + 2.0943951023931953e0) as small from cs),
+cond as (select *, case when k = 0 then 1 else large * sqrt(3 * m - large - small) / nullif(abs(det), 0) end as condition_number from es)
+select pair, box_id, round(condition_number, 2) as condition_number, case when abs(h33) < 1e-12 then 'singular_normalization' when abs(det) < 1e-8 or abs(det) > 1e8 then 'implausible_determinant'
+  when condition_number is null or isnan(condition_number) or condition_number > 1e5 then 'excessive_condition_number'
+  when not coalesce(least({', '.join(turns)}) > 0 or greatest({', '.join(turns)}) < 0, false) then 'invalid_corner_projection'
+  when not ({whole} between 0.1e0 and 10e0) then 'implausible_projected_area' when {shift} > 2 * sqrt({FRAME_W * FRAME_W + FRAME_H * FRAME_H}) then 'excessive_corner_displacement' end as fault from cond"""

@@ -270,7 +270,7 @@ def _unit_matrices(spark, sf_dir):
     return view(spark, sf_dir, "v_matrices").select("*", F.explode(F.array(unit)).alias("u"))
 
 
-@query("matrices_plausible")
+@query("matrices_plausible", folds.plausible())
 def matrices_plausible(spark, sf_dir):
     return _unit_matrices(spark, sf_dir).select(
         "pair", "box_id", F.round(condition_number(matrix("u.")), 2).alias("condition_number"), matrix_fault(matrix(), *size()).alias("fault")

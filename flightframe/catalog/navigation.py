@@ -77,17 +77,74 @@ def calibration_fit(spark, sf_dir):
     return rounded(fit.select("session", "sample_count", "inlier_count", "scale_median", "scale", "m00", early.alias("early_reason")))
 
 
-@query("rolling_calibration")
+# The fit over a list ``s`` of samples, in the steps of the operator: medians, kept samples, sums, rules.
+_FIT = """g1 as (select *, list_transform(s, lambda x: x.ratio) as rs from li), g2 as (select *, list_aggregate(rs, 'median') as md from g1),
+g3 as (select *, list_aggregate(list_transform(rs, lambda x: abs(x - md)), 'median') as mad from g2),
+g4 as (select *, list_filter(s, lambda x: abs(x.ratio - md) <= greatest(3.5 * 1.4826 * mad, abs(md) * 0.02, 1e-12)) as k from g3),
+g5 as (select *, len(s) as n, len(k) as kn, list_aggregate(list_transform(k, lambda x: x.ratio), 'median') as scale, {sums} from g4),
+g6 as (select *, xx * yy - xy * yx < 0 as mirrored, case when xx * yy - xy * yx < 0 then atan2(xy + yx, xx - yy) else atan2(xy - yx, xx + yy) end as turn, sqrt((uxx - uyy) * (uxx - uyy) + 4 * uxy * uxy) as root from g5),
+g7 as (select *, cos(turn) as m00, sin(turn) as m10, case when mirrored then sin(turn) else -sin(turn) end as m01, case when mirrored then -cos(turn) else cos(turn) end as m11, (uxx + uyy + root) / 2 as high, greatest((uxx + uyy - root) / 2, 0) as low from g6),
+g8 as (select *, case when high > 1e-24 then sqrt(low / high) else 0 end as diversity, sqrt(greatest(scale * scale * cc - 2 * scale * (m00 * xx + m01 * yx + m10 * xy + m11 * yy) + gg, 0) / nullif(kn, 0)) as rms from g7),
+g9 as (select *, case when n < 6 then 'insufficient_samples' when not (kn >= 6 and kn * 1e0 / n >= 0.7e0) then 'low_inlier_ratio' when mirrored then 'reflection_detected' when not scale between 1e-6 and 10 then 'scale_out_of_range'
+  when diversity < 0.1 then 'insufficient_directional_diversity' when rms > 0.5 then 'high_residual' end as failure_reason, n >= 6 and kn >= 6 and kn * 1e0 / n >= 0.7e0 and not mirrored as fitted from g8)""".replace("{sums}", ", ".join(
+    f"coalesce(list_sum(list_transform(k, lambda x: {e})), 0) as {c}" for c, e in (
+        ("xx", "x.cx * x.gx"), ("xy", "x.cx * x.gy"), ("yx", "x.cy * x.gx"), ("yy", "x.cy * x.gy"), ("cc", "x.cx * x.cx + x.cy * x.cy"), ("gg", "x.gx * x.gx + x.gy * x.gy"),
+        ("uxx", "x.cx * x.cx / (x.norm * x.norm)"), ("uyy", "x.cy * x.cy / (x.norm * x.norm)"), ("uxy", "x.cx * x.cy / (x.norm * x.norm)"), ("span", "x.norm"))))
+_ROLLED = f"""{_SAMPLED}, sa as (select session, segment, number, struct_pack(cx := pose_x - b_x, cy := pose_y - b_y, gx := gps_x - bgx, gy := gps_y - bgy, norm := sqrt(power(pose_x - b_x, 2) + power(pose_y - b_y, 2)),
+  ratio := sqrt(power(gps_x - bgx, 2) + power(gps_y - bgy, 2)) / sqrt(power(pose_x - b_x, 2) + power(pose_y - b_y, 2))) as x from nm where is_sample),
+li as (select session, segment, number, list(x) over (partition by session, segment order by number rows between 449 preceding and current row) as s from sa), {_FIT}"""
+
+
+@query(
+    "rolling_calibration",
+    f"""{_ROLLED} select session, segment, number, failure_reason is null as ready, n as sample_count, case when n >= 6 then kn else 0 end as inlier_count, {', '.join(f'round(case when fitted then {c} end, 6) as {c}' for c in ('m00', 'm01', 'm10', 'm11', 'scale'))},
+  round(case when fitted then rms end, 6) as rms_residual, round(case when n >= 6 then md end, 6) as scale_median, round(case when n >= 6 then mad end, 6) as scale_mad, round(case when fitted then span else 0 end, 6) as motion_span,
+  round(case when fitted then diversity else 0 end, 6) as directional_diversity, failure_reason from g9""",
+)
 def rolling_calibration(spark, sf_dir):
     return rounded(C.rolling_calibration(_samples(spark, sf_dir), ["session", "segment"], POLICY))
 
 
-@query("translation_estimated")
+# Calibration in force, anchor and estimate of every frame; estimates between two fixes are held to 5 a step, one after the other.
+_LOCATED = f"""{_ROLLED.replace('with ', 'with recursive ', 1)}, n1 as (select *, cast(sum(case when fix_ok then 1 else 0 end) over w as bigint) as fixes, max(case when recovered then seq end) over w as rseq, max(case when health = 0 then seq end) over w as useq,
+  lag(number) over o as at_number, lag(segment) over o as at_segment from nm window w as (partition by session, segment order by seq), o as (partition by session order by seq)),
+n2 as (select a.*, case when a.rseq is not null and a.rseq > coalesce(a.useq, -1) then a.fixes - r.fixes + 1 else 0 end as healthy from n1 a left join n1 r on r.session = a.session and r.seq = a.rseq),
+n3 as (select *, lost and adjacent as freezes, fix_ok and healthy >= 1 as frees from n2),
+n4 as (select *, max(case when freezes or frees then seq end) over w as hseq, max(case when freezes or recovered then seq end) over w as aseq from n3 window w as (partition by session, segment order by seq)),
+n5 as (select a.*, case when h.freezes then h.at_segment else a.segment end as fit_segment, case when h.freezes then h.at_number else a.number end as fit_number,
+  case when c.freezes then c.bgx else c.gps_x end as ax, case when c.freezes then c.bgy else c.gps_y end as ay, case when c.freezes then c.bgz else c.gps_z end as az, case when c.freezes then c.b_x else c.pose_x end as acx, case when c.freezes then c.b_y else c.pose_y end as acy,
+  coalesce(a.health = 0 and a.action = 'continue' and a.valid, false) as asks from n4 a left join n4 h on h.session = a.session and h.seq = a.hseq left join n4 c on c.session = a.session and c.seq = a.aseq),
+fits as (select f.session, f.segment, f.number, f.m00, f.m01, f.m10, f.m11, f.scale from g9 f semi join (select session, fit_segment, fit_number from n5 where asks) e on e.session = f.session and e.fit_segment = f.segment and e.fit_number = f.number where failure_reason is null),
+n6 as (select a.*, f.scale, case when asks then ax + f.scale * (f.m00 * (pose_x - acx) + f.m01 * (pose_y - acy)) end as raw_x, case when asks then ay + f.scale * (f.m10 * (pose_x - acx) + f.m11 * (pose_y - acy)) end as raw_y
+  from n5 a left join fits f on f.session = a.session and f.segment = a.fit_segment and f.number = a.fit_number),
+wants as materialized (select w.session, w.segment, w.fixes, w.seq, w.raw_x, w.raw_y, s.gps_x as sx, s.gps_y as sy, row_number() over (partition by w.session, w.segment, w.fixes order by w.seq) as n
+  from n6 w left join (select session, segment, fixes, gps_x, gps_y from n6 where fix_ok) s on s.session = w.session and s.segment = w.segment and s.fixes = w.fixes where raw_x is not null),
+held as (select session, segment, fixes, seq, n, case when sqrt(power(raw_x - sx, 2) + power(raw_y - sy, 2)) > 5 then sx + (raw_x - sx) * (5 / sqrt(power(raw_x - sx, 2) + power(raw_y - sy, 2))) else raw_x end as est_x,
+    case when sqrt(power(raw_x - sx, 2) + power(raw_y - sy, 2)) > 5 then sy + (raw_y - sy) * (5 / sqrt(power(raw_x - sx, 2) + power(raw_y - sy, 2))) else raw_y end as est_y from wants where n = 1
+  union all select session, segment, fixes, seq, n, case when far > 5 then est_x + (raw_x - est_x) * (5 / far) else raw_x end, case when far > 5 then est_y + (raw_y - est_y) * (5 / far) else raw_y end
+  from (select w.*, h.est_x, h.est_y, sqrt(power(w.raw_x - h.est_x, 2) + power(w.raw_y - h.est_y, 2)) as far from held h join wants w on w.session = h.session and w.segment = h.segment and w.fixes = h.fixes and w.n = h.n + 1) t),
+located as (select a.session, a.seq, a.segment, a.frame_index, a.action, a.health, a.lost, a.recovered, a.action = 'continue' as continuous, coalesce(a.valid and a.action = 'continue', false) as vo_valid, a.pose_x, a.pose_y,
+  a.acx as anchor_cam_x, a.acy as anchor_cam_y, a.number as sample_count, a.fit_number, a.scale is not null as fit_ready, case when a.fix_ok then a.gps_x else e.est_x end as x, case when a.fix_ok then a.gps_y else e.est_y end as y,
+  case when a.fix_ok then a.gps_z when a.raw_x is not null then a.az end as z, a.raw_x, a.raw_y, coalesce(sqrt(power(e.est_x - a.raw_x, 2) + power(e.est_y - a.raw_y, 2)) > 1e-9, false) as clamped,
+  case when a.fix_ok then 'gps_ground_truth' when e.est_x is not null then 'gps_loss_prediction' when a.health = 0 then 'gps_loss_unavailable' else 'ground_truth_unavailable' end as status
+  from n6 a left join held e on e.session = a.session and e.segment = a.segment and e.seq = a.seq)"""
+_REPORTED = f"""{_LOCATED}, tr as (select session, seq, coalesce(gps_x, 0) as true_x, gps_y as true_y, gps_z as true_z from v_frames),
+er as (select *, health = 0 as lossy, health = 0 and x is not null as predicted, case when health = 0 and x is not null then sqrt(power(x - true_x, 2) + power(y - true_y, 2)) end as error from located join tr using (session, seq)),
+sm_ as (select session, count(*) as frame_count, count(*) filter (where health = 1) as healthy_frames, count(*) filter (where lossy) as loss_frames, count(*) filter (where recovered) as recoveries, count(*) filter (where vo_valid) as vo_valid_count,
+  count(*) filter (where predicted) as valid_prediction_count, count(*) filter (where lossy and x is null) as none_count, round(avg(error), 6) as mean_position_error, round(max(error), 6) as max_position_error, max(sample_count) as calibration_samples,
+  min(seq) filter (where fit_ready) as first_ready_at, count(*) filter (where lost and fit_ready) as losses_ready, count(*) filter (where lost and vo_valid and x is not null and coalesce(sqrt(power(pose_x - anchor_cam_x, 2) + power(pose_y - anchor_cam_y, 2)) > 1e-8, false)) as losses_first_step_kept,
+  count(*) filter (where clamped) as clamped_count, bool_and(not predicted or z is not null) as z_policy_correct, bool_or(lossy and not vo_valid and x is not null) as stale_prediction,
+  bool_and(x is null or (isfinite(x) and y is not null and isfinite(y) and z is not null and isfinite(z))) as finite_outputs, bool_and(coalesce(not recovered or (x = true_x and y = true_y and z = true_z), false)) as recovery_truth, round(quantile_cont(error, 0.95), 6) as p95_position_error from er group by session)
+select *, case when losses_first_step_kept > 0 and z_policy_correct and not stale_prediction and finite_outputs and recovery_truth then 'PASS' else 'FAIL' end as result from sm_"""
+_ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in ("pose_x", "pose_y", "anchor_cam_x", "anchor_cam_y", "x", "y", "z", "raw_x", "raw_y"))
+
+
+@query("translation_estimated", f"{_LOCATED} select * replace ({_ROUNDED}) from located")
 def translation_estimated(spark, sf_dir):
     return rounded(N.estimate_translation(view(spark, sf_dir, "v_frames"), calibration=POLICY))
 
 
-@query("gps_loss_report")
+@query("gps_loss_report", _REPORTED)
 def gps_loss_report(spark, sf_dir):
     frames = view(spark, sf_dir, "v_frames")
     truth = frames.select("session", "seq", F.coalesce("gps_x", F.lit(0.0)).alias("true_x"), F.col("gps_y").alias("true_y"), F.col("gps_z").alias("true_z"))
