@@ -182,3 +182,48 @@ select pair, box_id, round(condition_number, 2) as condition_number, case when a
   when condition_number is null or isnan(condition_number) or condition_number > 1e5 then 'excessive_condition_number'
   when not coalesce(least({', '.join(turns)}) > 0 or greatest({', '.join(turns)}) < 0, false) then 'invalid_corner_projection'
   when not ({whole} between 0.1e0 and 10e0) then 'implausible_projected_area' when {shift} > 2 * sqrt({FRAME_W * FRAME_W + FRAME_H * FRAME_H}) then 'excessive_corner_displacement' end as fault from cond"""
+
+
+GRIDS = """with recursive em as (select cast(floor(vec_id / 64e0) as bigint) as picture, vec_id % 64 as patch, embedding::double[] as e from embeddings),
+fi as (select picture, arg_min(e, patch) as e from em group by picture), un as (select picture, unnest(e) as v, unnest(range(1, len(e) + 1)) as i from em),
+mv as (select picture, list(v order by i) as e from (select picture, i, avg(v) as v from un group by picture, i) t group by picture),
+grid as (select em.picture, em.patch, {cos_first} as sim, {cos_mean} as sim_grad from em join fi using (picture) join mv using (picture))""".format(**{
+    f"cos_{name}": f"list_dot_product(em.e, {t}.e) / (greatest(sqrt(list_dot_product(em.e, em.e)), 1e-12) * greatest(sqrt(list_dot_product({t}.e, {t}.e)), 1e-12))"
+    for name, t in (("first", "fi"), ("mean", "mv"))})
+
+
+def marked(sigma: float) -> str:
+    return f"""{GRIDS}, st as (select picture, avg(sim) as sim_mean, stddev_pop(sim) as sim_std from grid group by picture)
+select picture, patch, round(sim, 6) as sim, round(sim_grad, 6) as sim_grad, round(sim_mean, 6) as sim_mean, round(sim_std, 6) as sim_std, sim >= sim_mean + {sigma}e0 * sim_std as marked from grid join st using (picture)"""
+
+
+def _areas(pad: int) -> str:
+    """Areas of neighbouring ``hit`` patches (picture, patch, score) under the greatest patch of each, as boxes."""
+    return f"""reach as (select picture, patch, patch as other from hit union select r.picture, r.patch, h.patch from reach r join hit h on h.picture = r.picture
+  and abs(h.patch % 8 - r.other % 8) <= 1 and abs(floor(h.patch / 8e0) - floor(r.other / 8e0)) <= 1),
+lb as (select picture, patch, max(other) as area from reach group by picture, patch),
+ar as (select h.picture, area, floor(min(h.patch % 8) * {FRAME_W} / 8e0) as x1, floor(min(floor(h.patch / 8e0)) * {FRAME_H} / 8e0) as y1, floor((max(h.patch % 8) + 1) * {FRAME_W} / 8e0) as x2,
+  floor((max(floor(h.patch / 8e0)) + 1) * {FRAME_H} / 8e0) as y2, sum(score) as energy, max(score) as peak from hit h join lb using (picture, patch) group by h.picture, area),
+az as (select *, (x2 - x1) * (y2 - y1) as size from ar)""", f"greatest(0, x1 - {pad}) as x1, greatest(0, y1 - {pad}) as y1, least({FRAME_W}, x2 + {pad}) as x2, least({FRAME_H}, y2 + {pad}) as y2"
+
+
+def regions(sigma: float) -> str:
+    areas, padded = _areas(10)
+    return f"""{GRIDS}, st as (select picture, avg(sim) as m, stddev_pop(sim) as d from grid group by picture), hit as (select picture, patch, sim as score from grid join st using (picture) where sim >= m + {sigma}e0 * d), {areas},
+ok as (select *, peak as conf from az where size >= 0.0005e0 * {FRAME_W * FRAME_H} and size <= 0.35e0 * {FRAME_W * FRAME_H} and peak >= 0.35e0 and least(x2 - x1, y2 - y1) >= 8)
+select picture, (row_number() over (partition by picture order by conf desc, area) - 1)::bigint as box_id, {padded}, round(conf, 6) as conf, round(peak, 6) as peak from ok"""
+
+
+def ensemble() -> str:
+    areas, padded = _areas(25)
+    unit = lambda c: f"({c} - avg({c}) over g) / (stddev_pop({c}) over g + 1e-6)"
+    ranked = "select picture, row_number() over (partition by picture order by conf desc, box_id) as n, struct_pack(i := box_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2) as b from nb"
+    clash = f"{_W} > 0 and {_H} > 0 and ({_IOU_CLASH} or {_INTER} / least({_AREA('k')}, {_AREA('r.b')}) > 0.7e0)"
+    return f"""{GRIDS}, s1 as (select picture, patch, {unit('sim')} + {unit('sim_grad')} as total from grid window g as (partition by picture)), s2 as (select picture, patch, {unit('total')} as score from s1 window g as (partition by picture)),
+s3 as (select *, max(score) over (partition by picture) as top from s2), hit as (select picture, patch, score from s3 where top >= 1.4e0 and score >= greatest(1.2e0, top * 0.7e0)), {areas},
+nr as (select *, energy as conf, peak >= max(peak) over (partition by picture) - 0.3e0 as near from az),
+nb as (select picture, (row_number() over (partition by picture order by conf desc, area) - 1)::bigint as box_id, {padded}, conf, peak from nr where near and size >= 0.0001e0 * {FRAME_W * FRAME_H} and size <= 0.5e0 * {FRAME_W * FRAME_H} and least(x2 - x1, y2 - y1) >= 8),
+{kept_sql(ranked, 'picture', clash)},
+kp as (select nb.* from nb join kept_ids k on k.picture = nb.picture and k.i = nb.box_id),
+sg as (select *, row_number() over (partition by picture order by conf desc, box_id) as place from (select *, max(conf) over (partition by picture) as best from kp) t where conf >= best * 0.5e0)
+select picture, box_id, x1, y1, x2, y2, round(conf, 6) as conf, round(peak, 6) as peak from sg where place <= 5"""

@@ -224,27 +224,17 @@ def similarity_grids(spark, sf_dir):
         "picture", "patch", _cosine(F.col("embedding"), F.col("first")).alias("sim"), _cosine(F.col("embedding"), F.col("mean")).alias("sim_grad"))
 
 
-def stated_grids(spark, sf_dir):
-    """What the statement of ``patches_marked`` calls similarity: the mean of the first two components, from 0 to 1."""
-    e = view(spark, sf_dir, "embeddings").withColumns({"picture": F.floor(F.col("vec_id") / 64), "patch": F.col("vec_id") % 64})
-    return e.select("picture", "patch", ((F.get("embedding", F.lit(0)).cast("double") + F.get("embedding", F.lit(1)) + 1.0) / 2).alias("sim"))
-
-
-@query(
-    "patches_marked",
-    """with e as (select cast(floor(vec_id / 64e0) as bigint) as picture, vec_id % 64 as patch, (cast(embedding[1] as double) + embedding[2] + 1) / 2 as sim from embeddings), s as (select picture, avg(sim) as m, stddev_pop(sim) as d from e group by picture)
-select e.picture, patch, round(sim, 6) as sim, round(m, 6) as sim_mean, round(d, 6) as sim_std, sim >= m + 1.5 * d as marked from e join s on e.picture = s.picture""",
-)
+@query("patches_marked", folds.marked(1.5))
 def patches_marked(spark, sf_dir):
-    return rounded(G.marked_patches(stated_grids(spark, sf_dir), ["picture"], 1.5))
+    return rounded(G.marked_patches(similarity_grids(spark, sf_dir), ["picture"], 1.5))
 
 
-@query("patch_regions")
+@query("patch_regions", folds.regions(1.0))
 def patch_regions(spark, sf_dir):
     return rounded(G.patch_regions(similarity_grids(spark, sf_dir), ["picture"], 8, 8, FRAME_W, FRAME_H, sigma=1.0))
 
 
-@query("ensemble_regions")
+@query("ensemble_regions", folds.ensemble())
 def ensemble_regions(spark, sf_dir):
     found = G.ensemble_regions(similarity_grids(spark, sf_dir), ["picture"], 8, 8, FRAME_W, FRAME_H)
     return rounded(G.strong_regions(G.nms(found, ["picture"], contain_above=0.70), ["picture"]))

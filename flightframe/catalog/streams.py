@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flightframe.catalog import query
-from flightframe.catalog.matching import box_frames
+from flightframe.catalog.matching import GATED, box_frames
 from flightframe.catalog.navigation import POLICY
 from flightframe.catalog.sequences import _CONT
 from flightframe.catalog.shared import ctes, rounded, view
@@ -40,7 +40,7 @@ def continuity_live(spark, sf_dir):
     return J.run_in_slices(view(spark, sf_dir, "v_frames"), "continuity", continuity_stream).select("session", "seq", "event", "action")
 
 
-@query("track_gate_stream")
+@query("track_gate_stream", GATED)
 def tracks_live(spark, sf_dir):
     return rounded(J.run_available(track_gate_stream(J.arrived(box_frames(spark, sf_dir), "boxes")), "tracks"))
 
