@@ -139,6 +139,12 @@ select *, case when losses_first_step_kept > 0 and z_policy_correct and not stal
 _ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in ("pose_x", "pose_y", "anchor_cam_x", "anchor_cam_y", "x", "y", "z", "raw_x", "raw_y"))
 
 
+# All frames of the live form: those that leave no trace in the pose are skipped.
+LIVE = f"""{_LOCATED}, heard as (select session, seq, event, action, segment from s union all select session, seq, case when usable then 'duplicate_frame' else 'unsupported_modality' end, case when usable then 'duplicate' else 'wipe' end,
+  (select coalesce(max(s.segment), 0) from s where s.session = b.session and s.seq < b.seq) from b where repeat or not usable)"""
+LIVE_COLUMNS = "h.seq, h.action, h.event, h.segment, round(l.pose_x, 6) as pose_x, round(l.pose_y, 6) as pose_y, round(l.x, 6) as x, round(l.y, 6) as y, round(l.z, 6) as z, coalesce(l.status, 'skipped') as status"
+
+
 @query("translation_estimated", f"{_LOCATED} select * replace ({_ROUNDED}) from located")
 def translation_estimated(spark, sf_dir):
     return rounded(N.estimate_translation(view(spark, sf_dir, "v_frames"), calibration=POLICY))

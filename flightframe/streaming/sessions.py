@@ -1,9 +1,11 @@
-"""Live sessions: one typed state per session, arriving frames taken as arrays.
-
-What lies between two frames of a batch is stated by array expressions: the frame before, running
-counts and sums, and for each frame the last row that set a value. A row number of -1 means that the
-value is the carried one. Only the limit on jumps between estimates goes from row to row, over the frames of a loss.
-On the same frames the batch operators give the same, wherever the batches are cut.
+"""Live sessions: typed state per session, arriving frames taken as arrays.
+
+What lies between two frames is stated by array expressions: the frame before, running counts and
+sums, and for each frame the last row that set a value. A row number of -1 means that the value is the
+carried one. Only the limit on jumps between estimates goes from row to row, over the frames of a loss.
+Frames are taken ``AT_ONCE`` at a time, and what is carried from one call to the next is one value and two
+bounded lists in the state store. On the same frames the batch operators give the same, wherever batches
+or calls are cut.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flightframe.operators.calibration import heading
 from flightframe.operators.sequences import CONTINUITY
@@ -23,17 +25,19 @@ OUTPUT = (
     "session long, seq long, action string, event string, segment long, pose_x double, pose_y double, "
     "x double, y double, z double, status string"
 )
-_STEPS = "array<array<double>>"
-#: The frame that the next one is compared with; counts; pose; last GPS fix with its frame index; samples for
-#: calibration now and as they were when GPS was lost (null: not lost); where estimates start; the last position given.
-STATE = (
+#: One value: the frame that the next one is compared with; counts; pose; last GPS fix with its frame index; whether
+#: GPS is lost; where estimates start; the last position given; when the session was seen last, in seconds.
+HELD = (
     "last struct<frame_id: string, video: string, width: double, height: double, modality: string, frame_index: double, fingerprint: string>, "
-    "health double, segment long, steps long, recovery long, pose array<double>, fix array<double>, "
-    f"samples {_STEPS}, frozen {_STEPS}, anchor array<double>, given array<double>"
+    "health double, segment long, steps long, recovery long, pose array<double>, fix array<double>, lost boolean, anchor array<double>, "
+    "given array<double>, seen double"
 )
+#: Two lists: samples for calibration now, and as they were when GPS was lost.
+SAMPLE = "cam_x double, cam_y double, gps_x double, gps_y double"
 NAMES = ("last", "health", "segment", "steps", "recovery", "pose", "fix", "samples", "frozen", "anchor", "given")
 FRAME = ("frame_id", "video", "width", "height", "modality", "frame_index", "fingerprint")
-IDLE_SECONDS = 1800  # fixed value: a session without frames for so long is forgotten
+IDLE_SECONDS = 1800  # fixed value: a session without frames for longer is forgotten
+AT_ONCE = 1024
 
 
 def fresh() -> dict:
@@ -243,38 +247,88 @@ def _plain(value, name: str):
     return float(value) if name in ("width", "height", "frame_index") else str(value)
 
 
-def sessions_stream(
-    frames: DataFrame, policy: NavigationPolicy = NavigationPolicy(), calibration: CalibrationPolicy = CalibrationPolicy(),
-    idle_seconds: int = IDLE_SECONDS,
-) -> DataFrame:
-    """Continuity, pose and position of every frame as it arrives. A row whose ``control`` is
-    ``reset`` forgets its session; an idle session is forgotten by timeout. A micro-batch bounds
-    how many frames of a session one call sees; the state holds at most ``max_samples`` samples twice."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        ordered = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        state = _read(held.get) if held.exists else fresh()
-        resets = (ordered["control"] == "reset").cumsum() if "control" in ordered else pd.Series(0, ordered.index)
-        for n, part in ordered.groupby(resets, sort=True):
+class _Session(StatefulProcessor):
+    """One session's frames as they arrive. ``at`` names the column of their time; without it, time is that of processing."""
+
+    def __init__(self, policy: NavigationPolicy, calibration: CalibrationPolicy, idle_seconds: float, at: str | None) -> None:
+        self.policy, self.calibration, self.idle, self.at = policy, calibration, idle_seconds, at
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # Time to live only exists beside processing time; with times of their own, timers clear the state.
+        ttl = None if self.at else int(self.idle * 1000)
+        self.handle = handle
+        self.held = handle.getValueState("held", HELD, ttl)
+        self.samples, self.frozen = (handle.getListState(name, SAMPLE, ttl) for name in ("samples", "frozen"))
+
+    def _read(self) -> tuple[dict, float | None]:
+        if not self.held.exists():
+            return fresh(), None
+        last, health, segment, steps, recovery, pose, fix, lost, anchor, given, seen = self.held.get()
+        listed = lambda state: [list(row) for row in state.get()] if state.exists() else []
+        return dict(
+            last=None if last is None else dict(zip(FRAME, last)), health=health, segment=segment, steps=steps, recovery=recovery, pose=_listed(pose),
+            fix=_listed(fix), samples=listed(self.samples), frozen=listed(self.frozen) if lost else None, anchor=_listed(anchor), given=_listed(given)), seen
+
+    def _write(self, state: dict, seen: float) -> None:
+        last = None if state["last"] is None else tuple(state["last"][name] for name in FRAME)
+        self.held.update((
+            last, state["health"], state["segment"], state["steps"], state["recovery"], state["pose"], state["fix"], state["frozen"] is not None,
+            state["anchor"], state["given"], seen))
+        for kept, rows in ((self.samples, state["samples"]), (self.frozen, state["frozen"])):
+            if rows:
+                kept.put([tuple(row) for row in rows])
+            else:
+                kept.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((seen + self.idle) * 1000) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows)).sort_values("seq", kind="stable").reset_index(drop=True)
+        state, seen = self._read()
+        if self.at:
+            times = pd.to_datetime(frames[self.at], utc=True).to_numpy("datetime64[us]").astype("int64") / 1e6
+        else:
+            times = np.full(len(frames), timerValues.getCurrentProcessingTimeInMs() / 1000)
+        reset = (frames["control"] == "reset").to_numpy() if "control" in frames else np.zeros(len(frames), bool)
+        idle = np.diff(times, prepend=times[0] if seen is None else seen) > self.idle
+        life = np.cumsum(reset | idle)
+        for n in np.unique(life):
             if n > 0:
-                state, part = fresh(), part.iloc[1:]
-            if len(part):
-                out, state = advanced(part, state, policy, calibration)
+                state = fresh()
+            part = frames[(life == n) & ~reset]
+            for low in range(0, len(part), AT_ONCE):
+                out, state = advanced(part.iloc[low : low + AT_ONCE], state, self.policy, self.calibration)
                 yield out
-        held.update(tuple(tuple(v.values()) if isinstance(v, dict) else v for v in (state[name] for name in NAMES)))
-        held.setTimeoutDuration(idle_seconds * 1000)
+        self._write(state, float(times[-1]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.held, self.samples, self.frozen):
+            state.clear()
+        return iter(())
 
-    return frames.groupBy("session").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    def close(self) -> None:
+        pass
 
 
-def _read(values: tuple) -> dict:
-    state = dict(zip(NAMES, values))
-    return state | {"last": None if state["last"] is None else dict(zip(FRAME, state["last"]))}
+def _listed(values) -> list[float] | None:
+    return None if values is None else [None if v is None else float(v) for v in values]
+
+
+def sessions_stream(
+    frames: DataFrame, policy: NavigationPolicy = NavigationPolicy(), calibration: CalibrationPolicy = CalibrationPolicy(),
+    idle_seconds: float = IDLE_SECONDS, at: str | None = None, delay: str = "1 minute",
+) -> DataFrame:
+    """Continuity, pose and position of every frame as it arrives. A row whose ``control`` is ``reset`` forgets
+    its session and is not answered; so does a pause of more than ``idle_seconds``, by the times in ``at`` (frames
+    later than ``delay`` are dropped) or by those of processing. Timers clear the state of idle sessions.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). A micro-batch bounds how
+    many frames of a session are sorted at once; the state holds at most ``max_samples`` samples twice.
+    """
+    timed = frames if at is None else frames.withWatermark(at, delay)
+    return timed.groupBy("session").transformWithStateInPandas(
+        _Session(policy, calibration, idle_seconds, at), OUTPUT, "append", "processingTime" if at is None else "eventTime")
 
 
 def continuity_stream(frames: DataFrame, policy: NavigationPolicy = NavigationPolicy()) -> DataFrame:

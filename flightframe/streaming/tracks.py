@@ -6,16 +6,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flightframe.plans.scans import CHUNK, axis_of, scan
 
-BOX_FIELDS = ("x1", "y1", "x2", "y2", "conf", "peak")
+BOX_FIELDS = ("x1", "y1", "x2", "y2", "conf")
 OUTPUT = "session long, object_id long, seq long, x1 double, y1 double, x2 double, y2 double, conf double, evidence string"
-STATE = "cx double, cy double, area double, ttl int"
+HELD = "x double, y double, area double, until long, frames long"
+_SAID = "array<struct<seq:bigint,x1:double,y1:double,x2:double,y2:double,conf:double,evidence:string>>"
 
 
 @dataclass(frozen=True)
@@ -29,31 +31,25 @@ class TrackPolicy:
     min_area_share: float = 0.0
 
 
-def gate(boxes: Sequence[dict], state: tuple, policy: TrackPolicy) -> tuple[list[dict], tuple]:
-    """Reported boxes of one frame and the state after it."""
-    cx, cy, area, ttl = state
-    center = lambda b: ((b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2)
-    size = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
-    strong = [b for b in boxes if b["peak"] >= policy.strong_peak]
-    if strong:
-        best = max(strong, key=lambda b: b["conf"])
-        return [{**b, "evidence": "strong"} for b in strong], (*center(best), size(best), policy.ttl)
-    if ttl <= 0:
-        return [], state
-    near = [b for b in boxes if abs(center(b)[0] - cx) <= policy.radius and abs(center(b)[1] - cy) <= policy.radius]
-    if not near:
-        return [], (cx, cy, area, ttl - 1)
-    best = max(near, key=lambda b: b["conf"])
-    if size(best) < policy.min_area_share * area:
-        return [], (cx, cy, area, ttl - 1)
-    return [{**best, "evidence": "track"}], (*center(best), area, ttl - 1)
+def _best(boxes: Column) -> Column:
+    """The box of the highest confidence, the first of equal ones; null without boxes."""
+    return F.array_max(F.transform(boxes, lambda b, i: F.struct(b["conf"], -i, b.alias("box"))))["box"]
+
+
+def _middle(b: Column, axis: str) -> Column:
+    return (b[f"{axis}1"] + b[f"{axis}2"]) / 2
+
+
+def _size(b: Column) -> Column:
+    return (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
 
 
 def track_gate(frames: DataFrame, policy: TrackPolicy = TrackPolicy(), keys: Sequence[str] = ("session", "object_id")) -> DataFrame:
     """Batch form over rows (keys, seq, boxes: array of structs).
 
-    A strong frame sets the state whatever it was, and only the ``ttl`` frames after it can go
-    on; so a track is a group of at most ``ttl + 1`` frames, however long the session is.
+    A strong frame sets the track whatever was before, and only the ``ttl`` frames after it can go on; so a track
+    is a group of at most ``ttl + 1`` frames, however long the session is. Its first frame is reported with all
+    strong boxes, the others are gone through from place to place by an aggregate over their boxes.
     """
     keys = list(keys)
     strong = F.exists("boxes", lambda b: b["peak"] >= policy.strong_peak)
@@ -61,38 +57,63 @@ def track_gate(frames: DataFrame, policy: TrackPolicy = TrackPolicy(), keys: Seq
     counted = scan(cut.withColumn("_strong", strong), axis, sums={"_nth": F.lit(1), "_track": F.col("_strong").cast("int")})
     counted = scan(counted, axis, upto={"_from": F.when(F.col("_strong"), F.col("_nth"))}).drop(CHUNK)
     alive = counted.where((F.col("_track") > 0) & (F.col("_nth") - F.col("_from") <= policy.ttl))
-    groups = alive.groupBy(*keys, "_track").agg(F.array_sort(F.collect_list(F.struct("seq", "boxes"))).alias("f"))
-
-    @F.pandas_udf("array<struct<seq:long,x1:double,y1:double,x2:double,y2:double,conf:double,evidence:string>>")
-    def follow(tracks: pd.Series) -> pd.Series:
+    groups = alive.groupBy(*keys, "_track").agg(F.array_sort(F.collect_list(F.struct("seq", "boxes"))).alias("_f"))
+    first = F.filter(F.col("_f")[0]["boxes"], lambda b: b["peak"] >= policy.strong_peak)
+    led = groups.select(*keys, "_f", first.alias("_first"), _best(first).alias("_lead"))
+    row = lambda seq, b, evidence: F.struct(seq.alias("seq"), *[b[c].alias(c) for c in BOX_FIELDS], F.lit(evidence).alias("evidence"))
+    begun = F.transform("_first", lambda b: row(F.col("_f")[0]["seq"], b, "strong")).cast(_SAID)
+    start = F.struct(_middle(F.col("_lead"), "x").alias("x"), _middle(F.col("_lead"), "y").alias("y"), begun.alias("said"))
+
+    def follow(track: Column, frame: Column) -> Column:
+        away = lambda b, axis: F.abs(_middle(b, axis) - track[axis])
+        near = _best(F.filter(frame["boxes"], lambda b: (away(b, "x") <= policy.radius) & (away(b, "y") <= policy.radius)))
+        # An array of none or one, so that the box is worked out once.
+        taken = F.filter(F.array(near), lambda b: b.isNotNull() & (_size(b) >= policy.min_area_share * _size(F.col("_lead"))))
+        moved = F.transform(taken, lambda b: F.struct(
+            _middle(b, "x").alias("x"), _middle(b, "y").alias("y"), F.concat(track["said"], F.array(row(frame["seq"], b, "track")).cast(_SAID)).alias("said")))
+        return F.coalesce(F.get(moved, F.lit(0)), track)
+
+    told = F.aggregate(F.slice("_f", 2, policy.ttl), start, follow, lambda track: track["said"])
+    return led.select(*keys, F.inline(told))
+
+
+class _Track(StatefulProcessor):
+    """Place, area and end of one object's track. Frames are numbered as they come, so a track ends at a number."""
+
+    def __init__(self, policy: TrackPolicy) -> None:
+        self.policy = policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("track", HELD)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        x, y, area, until, number = self.held.get() if self.held.exists() else (0.0, 0.0, 0.0, 0, 0)
         out = []
-        for frames_of in tracks:
-            state, rows = (0.0, 0.0, 0.0, 0), []
-            for frame in frames_of:
-                kept, state = gate(list(frame["boxes"]), state, policy)
-                rows += [{"seq": frame["seq"], **{k: b[k] for k in (*BOX_FIELDS[:5], "evidence")}} for b in kept]
-            out.append(rows)
-        return pd.Series(out)
-
-    return groups.select(*keys, F.inline(follow("f")))
+        for seq, listed in zip(frames["seq"], frames["boxes"]):
+            number += 1
+            box = np.array([[b[c] for c in (*BOX_FIELDS, "peak")] for b in listed], float).reshape(-1, 6)
+            middle = np.stack([box[:, 0] + box[:, 2], box[:, 1] + box[:, 3]]) / 2
+            size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+            taken = np.flatnonzero(box[:, 5] >= self.policy.strong_peak)
+            evidence = "strong"
+            if not len(taken) and number <= until:
+                near = np.flatnonzero((np.abs(middle - [[x], [y]]) <= self.policy.radius).all(0))
+                lead = near[[np.argmax(box[near, 4])]] if len(near) else near
+                taken, evidence = lead[size[lead] >= self.policy.min_area_share * area], "track"
+            if len(taken):
+                lead = taken[np.argmax(box[taken, 4])]
+                x, y = middle[:, lead].tolist()
+                if evidence == "strong":
+                    area, until = float(size[lead]), number + self.policy.ttl
+                out += [(*key, seq, *box[i, :5], evidence) for i in taken]
+        self.held.update((x, y, area, until, number))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def track_gate_stream(frames: DataFrame, policy: TrackPolicy = TrackPolicy()) -> DataFrame:
-    """Live form, with the gate's four numbers as state per session and object."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else (0.0, 0.0, 0.0, 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            kept, state = gate(list(row.boxes), state, policy)
-            out += [
-                {"session": key[0], "object_id": key[1], "seq": row.seq, **{k: b[k] for k in (*BOX_FIELDS[:5], "evidence")}}
-                for b in kept
-            ]
-        held.update(tuple(state))
-        if out:
-            yield pd.DataFrame(out)[[c.split()[0] for c in OUTPUT.split(", ")]]
-
-    return frames.groupBy("session", "object_id").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    """Live form, with the track's place and end as state per session and object. Needs the RocksDB state store."""
+    return frames.groupBy("session", "object_id").transformWithStateInPandas(_Track(policy), OUTPUT, "append", "none")

@@ -22,7 +22,9 @@ from flightframe.operators.greedy import greedy_one_to_one
 from flightframe.operators.landing import landing_status
 from flightframe.policies import CalibrationPolicy, CameraModel, LandingPolicy, MatchingPolicy, MotionFitPolicy, NavigationPolicy
 from flightframe.streaming import sessions as SS
-from flightframe.streaming.tracks import TrackPolicy, gate, track_gate
+from flightframe.streaming import feeds
+from flightframe.streaming import joins as J
+from flightframe.streaming.tracks import TrackPolicy, track_gate, track_gate_stream
 
 rng = np.random.default_rng(3)
 
@@ -183,11 +185,9 @@ def test_estimates_equal_the_live_state(spark, recovery):
             assert w[name] is None or abs(g[name] - w[name]) < 1e-7, (seq, name)
 
 
-def test_live_sessions_equal_batch(spark, tmp_path):
-    import flightframe.streaming.joins as J
-
+def test_live_sessions_equal_batch(spark):
     frames = spark.createDataFrame([tuple(r.values()) for s in (1, 2) for r in _flight(60, s)], _FLIGHT)
-    live = J.run_in_slices(frames, "t", SS.sessions_stream, slices=4)
+    live = feeds.run_in_slices(frames, "t", SS.sessions_stream, rows=17)
     got = {(r.session, r.seq): r for r in live.collect()}
     assert len(got) == frames.count() == live.count()
     for r in Q.continuity(frames).collect():
@@ -197,26 +197,110 @@ def test_live_sessions_equal_batch(spark, tmp_path):
         assert (got[r.session, r.seq].x is None) == (r.x is None) and (r.x is None or abs(got[r.session, r.seq].x - r.x) < 1e-7)
 
 
-def test_reset_forgets_a_live_session(spark):
-    import flightframe.streaming.joins as J
-
-    rows = [(*r.values(), "reset" if r["seq"] == 20 else None) for r in _flight(20)]
-    got = J.run_in_slices(spark.createDataFrame(rows, _FLIGHT + ", control string"), "reset", SS.continuity_stream, slices=2)
-    assert {r.seq: (r.event, r.segment) for r in got.where("seq in (18, 20, 22)").collect()} == {18: ("continue", 1), 22: ("first_frame", 1)}
-
-
-def test_track_gate_batch(spark):
-    policy = TrackPolicy(ttl=3)
-    rows, state, want = [], (0.0, 0.0, 0.0, 0), []
-    for seq in range(60):
-        boxes = [dict(x1=float(x), y1=0.0, x2=float(x + 20), y2=20.0, conf=float(c), peak=float(p)) for x, c, p in zip(rng.integers(0, 600, 2), rng.random(2), rng.random(2) * 2)][: seq % 3]
-        rows.append((1, 1, seq, [tuple(b.values()) for b in boxes]))
-        kept, state = gate(boxes, state, policy)
-        want += [(seq, b["x1"], b["evidence"]) for b in kept]
+def test_calls_take_a_bounded_number_of_frames(spark, monkeypatch):
+    """A batch that holds a whole session is worked on in pieces, with the same answers."""
+    import itertools
+
+    frames = pd.DataFrame(_flight(160))
+    whole, _ = SS.advanced(frames, SS.fresh(), NavigationPolicy(), CalibrationPolicy())
+
+    class Kept(dict):
+        def getValueState(self, name, schema, ttl=None):
+            return self.setdefault(name, Cell())
+
+        getListState = getValueState
+
+        def listTimers(self):
+            return iter([])
+
+        def registerTimer(self, at):
+            self["timer"] = at
+
+    class Cell:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        clear = lambda self: setattr(self, "value", None)
+        update = put = lambda self, value: setattr(self, "value", value)
+
+    class Clock:
+        getCurrentProcessingTimeInMs = lambda self: 1_000_000
+
+    monkeypatch.setattr(SS, "AT_ONCE", 7)
+    session, store = SS._Session(NavigationPolicy(), CalibrationPolicy(), 1800, None), Kept()
+    session.init(store)
+    parts = itertools.chain.from_iterable(session.handleInputRows((1,), iter([frames.iloc[a : a + 50]]), Clock()) for a in range(0, 160, 50))
+    pd.testing.assert_frame_equal(pd.concat(list(parts), ignore_index=True), whole.reset_index(drop=True), check_dtype=False, atol=1e-9)
+    assert store["timer"] == 2_800_001 and store["held"].exists()
+    assert list(session.handleExpiredTimer((1,), Clock(), None)) == [] and not any(store[n].exists() for n in ("held", "samples", "frozen"))
+
+
+def test_reset_and_pause_forget_a_live_session(spark):
+    rows = [(*r.values(), "reset" if r["seq"] == 20 else None, float(r["seq"] + (1000 if r["seq"] > 30 else 0))) for r in _flight(20)]
+    frames = spark.createDataFrame(rows, _FLIGHT + ", control string, at double").withColumn("ts", F.col("at").cast("timestamp"))
+    live = lambda stream: SS.sessions_stream(stream, idle_seconds=900, at="ts")
+    got = {r.seq: (r.event, r.segment) for r in feeds.run_in_slices(frames, "reset", live, rows=5).collect()}
+    assert 20 not in got and {n: got[n] for n in (18, 22, 30, 32)} == {18: ("continue", 1), 22: ("first_frame", 1), 30: ("continue", 1), 32: ("first_frame", 1)}
+
+
+def test_answers_are_committed_once(spark, tmp_path):
+    """A batch that fails before its commit is written anew, one that comes again after it changes nothing."""
+    frames = spark.createDataFrame([(1, f"f{i % 40}", i, 1e9 + i) for i in range(60)], "session int, frame_id string, seq long, at double").withColumn("ts", F.col("at").cast("timestamp"))
+
+    class Failing(feeds.AnswerSink):
+        failures = {"write": 1, "commit": 2}
+
+        def write(self, rows, batch):
+            super().write(rows, batch)
+            self.fail("write", batch)
+
+        def commit(self, batch):
+            super().commit(batch)
+            self.fail("commit", batch)
+
+        def fail(self, step, batch):
+            if self.failures.get(step) == batch:
+                del self.failures[step]
+                raise RuntimeError(f"lost after {step}")
+
+    sink = Failing(spark, str(tmp_path / "answers"))
+    live = J.dedupe_frames_stream(feeds.arriving(frames, "once", rows=12)).select("session", "frame_id", "seq")
+    assert sink.answers(live.schema).count() == 0
+    seen = []
+    for _ in range(3):
+        try:
+            sink.run(live)
+        except Exception as error:
+            seen.append(("lost after write" in str(error), "lost after commit" in str(error)))
+        answers = [r.frame_id for r in sink.answers(live.schema).collect()]
+        assert len(answers) == len(set(answers))
+    assert seen == [(True, False), (False, True)] and sorted(answers) == sorted(f"f{i}" for i in range(40))
+    sink(spark.createDataFrame([(9, "late", 1)], live.schema), 0)
+    assert sink.answers(live.schema).count() == 40
+
+
+def test_track_gate_batch_and_live(spark):
+    policy = TrackPolicy(ttl=3, min_area_share=0.3)
+    fields = ("x1", "y1", "x2", "y2", "conf", "peak")
+    rows, want, last = [], [], None
+    for seq in range(90):
+        boxes = [dict(x1=float(x), y1=0.0, x2=float(x + w), y2=20.0, conf=float(c), peak=float(p)) for x, w, c, p in zip(rng.integers(0, 600, 2), rng.integers(5, 40, 2), rng.random(2), rng.random(2) * 2)][: seq % 3]
+        rows.append((1, 1, seq, [tuple(b[f] for f in fields) for b in boxes]))
+        strong = [b for b in boxes if b["peak"] >= 1.85]
+        if strong:
+            best = max(strong, key=lambda b: b["conf"])
+            last = (seq, best, best)
+            want += [(seq, b["x1"], "strong") for b in strong]
+        elif last and seq - last[0] <= policy.ttl:
+            near = [b for b in boxes if abs(b["x1"] + b["x2"] - last[2]["x1"] - last[2]["x2"]) <= 2 * policy.radius]
+            best = max(near, key=lambda b: b["conf"], default=None)
+            if best and (best["x2"] - best["x1"]) >= 0.3 * (last[1]["x2"] - last[1]["x1"]):
+                last = (last[0], last[1], best)
+                want.append((seq, best["x1"], "track"))
     df = spark.createDataFrame(rows, "session long, object_id long, seq long, boxes array<struct<x1:double,y1:double,x2:double,y2:double,conf:double,peak:double>>")
-    got = track_gate(df, policy).toPandas()
     assert {e for _, _, e in want} == {"strong", "track"}
-    assert sorted(zip(got.seq, got.x1, got.evidence)) == sorted(want)
+    for got in (track_gate(df, policy).toPandas(), feeds.run_in_slices(df, "tracks", lambda live: track_gate_stream(live, policy), rows=11).toPandas()):
+        assert sorted(zip(got.seq, got.x1, got.evidence)) == sorted(want)
 
 
 def test_mutual_nearest_identity_and_faults(spark):
