@@ -15,6 +15,7 @@ holds ``files``, ``manifest`` (per task: the name its files begin with, and how
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,10 @@ from flightframe.llm.words import pieces
 
 MAGIC = b"FFT1"
 HEAD = np.dtype([("magic", "S4"), ("rows", "<u4"), ("before", "<u8"), ("ids", "<u8"), ("block", "<u4"), ("blocks", "<u4"), ("key_bytes", "<u8"), ("bit_bytes", "<u8")])
+_SLICE, _JOINED = 1 << 18, 2000
+#: Punctuation behind a word's last letter. A token never reaches over that border, so both sides are looked up on
+#: their own; apostrophes and the marks of special tokens may belong to both.
+_TAIL = r"""(\p{L})([!"#$%&()*+,./:;=?@\[\\\]^_`{}~-]+)([ \t-\r]|$)"""
 
 
 @dataclass(frozen=True)
@@ -115,19 +120,22 @@ class Codes:
 
 
 def packed(ids: np.ndarray, encoder: tuple[np.ndarray, np.ndarray], block: int) -> tuple[np.ndarray, bytes]:
-    """Checkpoints and codes of ids."""
-    code, bits = encoder[0][ids], encoder[1][ids]
-    end = np.cumsum(bits)
-    begin = end - bits
-    total = int(end[-1]) if len(end) else 0
-    out = np.zeros(total // 64 + 2, np.uint64)
-    word, inside = begin >> 6, (begin & 63).astype(np.uint64)
-    if len(ids):
+    """Checkpoints and codes of ids, taken in slices of whole blocks."""
+    step = block * max(1, _SLICE // block)
+    slices = [ids[low : low + step] for low in range(0, len(ids), step)]
+    total = sum(int(encoder[1][own].sum()) for own in slices)
+    out, checkpoints, upto = np.zeros(total // 64 + 2, np.uint64), [], 0
+    for own in slices:
+        code, bits = encoder[0][own], encoder[1][own]
+        begin = upto + np.cumsum(bits) - bits
+        upto = int(begin[-1] + bits[-1])
+        checkpoints.append(begin[::block].astype(np.uint32))
+        word, inside = begin >> 6, (begin & 63).astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        out[word[first]] = np.bitwise_or.reduceat(code >> inside, first)
+        out[word[first]] |= np.bitwise_or.reduceat(code >> inside, first)
         over = np.flatnonzero((begin & 63) + bits > 64)
         out[word[over] + 1] |= code[over] << (np.uint64(64) - inside[over])
-    return begin[::block].astype(np.uint32), out.byteswap().tobytes()[: (total + 7) // 8]
+    return np.concatenate(checkpoints) if checkpoints else np.zeros(0, np.uint32), out.byteswap().tobytes()[: (total + 7) // 8]
 
 
 def unpacked(data: np.ndarray, checkpoints: np.ndarray, n: int, block: int, codes: Codes, decoder: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -181,17 +189,48 @@ def file_rows(content: memoryview, codes: Codes, decoder: tuple[np.ndarray, np.n
 
 @lru_cache(maxsize=2)
 def _lexicon(path: str) -> Lexicon:
-    """Ids of words; white space never is part of a token here, so words are told apart before they are encoded."""
+    """Ids of words; white space never is part of a token here, so words are told apart before they are encoded.
+
+    Words of letters alone are encoded many at a time and cut behind the tokens that end a word, where
+    the vocabulary marks these and there are as many as words.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Lexicon(lambda words: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def work(words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if suffix and w.isalpha()]
+        single = [i for i, w in enumerate(words) if not (suffix and w.isalpha())]
+        for low in range(0, len(plain), _JOINED):
+            own = plain[low : low + _JOINED]
+            ids = encoded([" ".join([words[i] for i in own])])[0]
+            cuts = np.flatnonzero(ends[ids])
+            if len(cuts) != len(own):
+                single += own
+                continue
+            said, bounds = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+            for i, a, b in zip(own, bounds, bounds[1:]):
+                out[i] = said[a:b]
+        for low in range(0, len(single), _JOINED):
+            own = single[low : low + _JOINED]
+            for i, ids in zip(own, encoded([words[i] for i in own])):
+                out[i] = ids.tobytes()
+        return out
+
+    return Lexicon(work)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, policy: TokenPolicy) -> Iterator[pa.RecordBatch]:
     lexicon = _lexicon(tokenizer)
-    for batch in pieces(batches):
-        words = pc.ascii_split_whitespace(batch.column(1).fill_null(""))
+    for batch in pieces(batches, size=8 << 20):
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(batch.column(1).fill_null(""), _TAIL, r"\1 \2\3"))
         which, found = lexicon(words.flatten())
         flat = np.frombuffer(b"".join(found), np.uint32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -313,5 +352,5 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
     named = spark.createDataFrame([(t.name, int(e - t.ids)) for t, e in zip(tasks, ends)], "name string, begin long")
     name = F.regexp_extract("path", r"(part-[0-9]+-[0-9a-f]+)-[0-9]+\.tok$", 1).alias("name")
     stored = spark.read.format("binaryFile").load(f"{files.folder}/files").select(name, "content")
-    rows = stored.join(named, "name").select("begin", "content").mapInArrow(lambda b: _read(b, codes), "url string, start long, n_tokens long, ids binary")
+    rows = stored.join(F.broadcast(named), "name").select("begin", "content").mapInArrow(lambda b: _read(b, codes), "url string, start long, n_tokens long, ids binary")
     return rows.withColumn("url", F.col("url").cast(files.key_type))

@@ -21,7 +21,7 @@ WORD, BYTE, PIECE = (public.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k
 ODD = [
     None, "", " ", "\n \t", "one", "a  b   c", " x y  z", " lead and trail ", "<|endoftext|> and </s><s>", "don't  we'll I'M", "é è́ ça 　 漢字 かな x",
     "tab\there\x00nul \x1c sep", "under▁score ▁", "🛩️ drone 🛩️🛩️", "x" * 5000, "1234 5.6e-7 ٣٤", "a b  c ​ d", "İSTANBUL ǅ ß ﬁ", "[10,10,30,30] <bndbox>",
-    "w " * 700, "\x85 a \x85b", "a \x7f b \x01",
+    "word.%%% don't. l'été, x<|endoftext|>. (a) e\u0301, [b]! ab!'s c.'ll \"d\"; é… e.'", "w " * 700, "\x85 a \x85b", "a \x7f b \x01",
 ]
 
 
