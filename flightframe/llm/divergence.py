@@ -22,6 +22,7 @@ from flightframe.llm.words import LOWER, pieces, words_of
 #: Bytes between terms: all of ASCII but its letters.
 BETWEEN = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 SCALE = 1_000_000_000
+_SMALL = 50_000
 
 
 @dataclass(frozen=True)
@@ -142,8 +143,11 @@ def _cells(counted: Counted, policy: DivergencePolicy) -> DataFrame:
     banded = counted.rows.withColumn("band", F.floor(F.log2("everywhere")))
     blocks = banded.groupBy("modality", "band", "term").agg(F.lit(1).alias("one")).groupBy("modality", "band").agg(F.ceil(F.count(F.lit(1)) / policy.rows).alias("blocks"))
     tiles = counted.videos.groupBy("modality").agg(F.ceil(F.count(F.lit(1)) / policy.videos).alias("tiles"))
+    # One row per modality and power of two: small unless there are very many modalities.
+    blocks = written(blocks.join(tiles, "modality"))
+    blocks = F.broadcast(blocks) if blocks.count() <= _SMALL else blocks
     dealt = (
-        banded.join(blocks, ["modality", "band"]).join(tiles, "modality")
+        banded.join(blocks, ["modality", "band"])
         .withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks"))).withColumn("tile", F.pmod(F.xxhash64("video"), F.col("tiles")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         .select("modality", "band", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "video", "term", "n")
