@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from flightframe.catalog import (  # noqa: F401
-        evaluation, flow, matching, motion, navigation, records, sequences, streams, sweeps,
+        evaluation, files, flow, matching, motion, navigation, records, sequences, streams, sweeps,
     )

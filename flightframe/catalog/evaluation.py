@@ -211,6 +211,18 @@ def _sensitivity(n, f, op, t):
   count(*) filter (where expected = '1') as pos, count(*) filter (where expected = '0') as neg from v_matches where expected <> 'IGNORE' and {f} is not null"""
 
 
+_MATCH_FEATURES = ("correspondence_count", "inlier_ratio", "rms", "visible_ratio", "confidence")
+
+
+@query(
+    "match_distributions",
+    ctes("v_matches") + ", u as (" + " union all ".join(f"""select case expected when '1' then 'positive' when '0' then 'negative' end as "group", '{f}' as feature, cast({f} as double) as value from v_matches where expected in ('0', '1')""" for f in _MATCH_FEATURES)
+    + f""" union all select case when accepted then 'accepted' else 'rejected' end, 'confidence', confidence from v_matches) select "group", feature, {_stats('value', M.MATCH_PROBS)} from u group by "group", feature""",
+)
+def match_distributions(spark, sf_dir):
+    return rounded(M.match_distributions(view(spark, sf_dir, "v_matches"), _MATCH_FEATURES))
+
+
 @query(
     "match_threshold_sensitivity",
     f"{_MATCH}, c as ({' union all '.join(_sensitivity(*s) for s in _SPECS)}), " + """

@@ -96,6 +96,7 @@ def _scene_gates(spark, sf_dir):
     return pairs.select(
         "pair", (F.col("pair") % 11 != 0).alias("gate_valid"), (F.col("pair") % 7 != 0).alias("accepted"),
         F.when(F.col("pair") % 5 == 0, "low").when(F.col("pair") % 5 == 1, "intermediate").otherwise("high").alias("level"),
+        F.when(F.col("pair") % 3 == 1, "insufficient_matches").when(F.col("pair") % 3 == 2, "estimation_failed").alias("cause"),
     )
 
 
@@ -110,7 +111,7 @@ a as (select pair, count(*) as dn, count(*) filter (where valid) as bp, quantile
 cl as (select pair, gr, gc, median(m) as c from dom where valid group by pair, gr, gc), sp as (select pair, count(*) as cells, max(c) - min(c) as spread from cl group by pair),
 gx as (select a.pair, median(abs(b.c - a.c)) as g from cl a join cl b on a.pair = b.pair and a.gr = b.gr and b.gc = a.gc + 1 group by a.pair), gy as (select a.pair, median(abs(b.c - a.c)) as g from cl a join cl b on a.pair = b.pair and a.gc = b.gc and b.gr = a.gr + 1 group by a.pair),
 pr as (select distinct pair from v_flow), j as (select pr.pair, coalesce(bp, 0) as bp, case when coalesce(dn, 0) > 0 then coalesce(bp, 0) * 1e0 / dn else 0 end as share, md, q9, vr, coalesce(cells, 0) as cells, spread, gx.g as g1, gy.g as g2 from pr left join a on pr.pair = a.pair left join sp on pr.pair = sp.pair left join gx on pr.pair = gx.pair left join gy on pr.pair = gy.pair),
-f as (select *, case when pair % 11 = 0 then 'homography_invalid' when pair % 7 = 0 or pair % 5 = 0 then 'homography_quality_low' when share < 0.2 or bp < 4 then 'insufficient_background' when cells < 4 then 'insufficient_background_grid' end as fault, (md <= 4 and q9 <= 8 and spread <= 3) as calm from j)
+f as (select *, case when pair % 11 = 0 then case pair % 3 when 0 then 'homography_invalid' when 1 then 'homography_insufficient_matches' else 'homography_estimation_failed' end when pair % 7 = 0 or pair % 5 = 0 then 'homography_quality_low' when share < 0.2 or bp < 4 then 'insufficient_background' when cells < 4 then 'insufficient_background_grid' end as fault, (md <= 4 and q9 <= 8 and spread <= 3) as calm from j)
 select pair, bp as background_pixels, round(share, 6) as valid_background_ratio, round(md, 6) as background_median, round(q9, 6) as background_p90, round(vr, 6) as background_variance, case when fault is null then round(spread, 6) end as grid_spread,
   case when fault is null then round(coalesce(g1, 0), 6) end as gradient_x, case when fault is null then round(coalesce(g2, 0), 6) end as gradient_y, case when fault is not null then 'unknown' when calm then 'homography' else 'homography_bbox' end as method,
   coalesce(fault, case when calm then 'background_residual_low_and_homogeneous' else 'background_residual_high_or_spatially_nonuniform' end) as reason from f""",

@@ -31,11 +31,19 @@ def active_references(spark, sf_dir):
     return R.active_references(frames, view(spark, sf_dir, "v_windows")).select("session", "seq", "object_id")
 
 
+def _named_matches(spark, sf_dir):
+    known = spark.range(20).select(F.col("id").alias("object_id"), F.concat(F.lit("http://host/references/"), F.col("id").cast("string"), F.lit("/")).alias("official_url"))
+    return R.reference_urls(view(spark, sf_dir, "v_matches").select("doc_id", (F.col("doc_id") % 23).alias("object_id")), known)
+
+
 @query("reference_urls", ctes("v_matches") + " select doc_id, 'http://host/references/' || (doc_id % 23) || '/' as official_url from v_matches where doc_id % 23 < 20")
 def reference_urls(spark, sf_dir):
-    known = spark.range(20).select(F.col("id").alias("object_id"), F.concat(F.lit("http://host/references/"), F.col("id").cast("string"), F.lit("/")).alias("official_url"))
-    named, _ = R.reference_urls(view(spark, sf_dir, "v_matches").select("doc_id", (F.col("doc_id") % 23).alias("object_id")), known)
-    return named.select("doc_id", "official_url")
+    return _named_matches(spark, sf_dir)[0].select("doc_id", "official_url")
+
+
+@query("reference_urls_unknown", ctes("v_matches") + " select doc_id, doc_id % 23 as object_id from v_matches where doc_id % 23 >= 20")
+def reference_urls_unknown(spark, sf_dir):
+    return _named_matches(spark, sf_dir)[1].select("doc_id", "object_id")
 
 
 @query(

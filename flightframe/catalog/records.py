@@ -343,8 +343,9 @@ def camera_rejected(spark, sf_dir):
 
 @query(
     "samples_enriched",
-    ctes("v_evals") + """, e as (select *, frame % 11 as fk from v_evals where matched and not ignored)
-select count(*) as n, round(sum(coalesce(case when gt_index % 3 <> 0 then frame % 50 / 1e1 end, bbox_center_residual)), 4) as residual_sum, count(*) filter (where bbox_iou is not null) as with_iou from e where gt_index % 41 <> 0""",
+    ctes("v_evals") + """, e as (select * from v_evals where matched and not ignored and gt_index % 41 <> 0)
+select gt_index as line_no, cast(frame as varchar) as current_frame, gt_motion, 400e0 as bbox_area, coalesce(case when gt_index % 3 <> 0 then frame % 50 / 1e1 end, bbox_center_residual) as bbox_center_residual, bbox_iou, cast(null as double) as association_score,
+  flow_residual, local_corrected_residual, 'high' as homography_quality_level, 1.5e0 as reprojection_error, 0.2e0 as spatial_coverage, 0.5e0 as detection_confidence from e""",
 )
 def samples_enriched(spark, sf_dir):
     """Evaluation rows as text, joined with diagnostics and quality tables made of the same rows."""
@@ -364,4 +365,6 @@ def samples_enriched(spark, sf_dir):
     diagnostics = both(F.lit(1), F.lit("999")).unionByName(both(F.lit(2), (F.col("frame") % 50 / 10).cast("string")))
     quality = e.select(F.col("gt_index").alias("line_no"), text("frame").alias("previous_frame"), text("frame").alias("current_frame"), F.lit("1.5").alias("reprojection_error"), F.lit("0.2").alias("spatial_coverage"))
     good, _ = T.enrich_samples(evals, diagnostics, quality)
-    return good.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("bbox_center_residual"), 4).alias("residual_sum"), F.count("bbox_iou").alias("with_iou"))
+    return good.select(
+        "line_no", "current_frame", "gt_motion", "bbox_area", "bbox_center_residual", "bbox_iou", "association_score", "flow_residual", "local_corrected_residual",
+        "homography_quality_level", "reprojection_error", "spatial_coverage", "detection_confidence")

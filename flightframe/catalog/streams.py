@@ -100,6 +100,17 @@ def references_live(spark, sf_dir):
     return feeds.run_available(J.active_references_stream(live, refs).select("session", "seq", "object_id", "generation"), "references")
 
 
+@query(
+    "matches_current",
+    ctes("v_windows") + ", g as (select session, max(object_id % 3) as generation from v_windows group by session) select w.session, w.object_id from v_windows w join g on g.session = w.session and g.generation = w.object_id % 3",
+)
+def matches_current(spark, sf_dir):
+    """Matches of live frames that were found with the reference set now in force."""
+    refs = view(spark, sf_dir, "v_windows").withColumn("generation", F.col("object_id") % 3)
+    live = feeds.arrived(refs.select("session", "object_id", "generation"), "matches")
+    return feeds.run_available(J.drop_stale(live, refs).select("session", "object_id"), "matches")
+
+
 @query(
     "combine_tasks_stream",
     ctes("v_frames") + """, r as (select session, cast(seq as varchar) as frame_id, k from v_frames)

@@ -27,21 +27,6 @@ def box_sweep(spark, sf_dir):
     return settle(S.threshold_sweep(view(spark, sf_dir, "v_samples")))
 
 
-@query(
-    "threshold_sweep_rows",
-    f"""{_CELLS}, grid as (select * from {_values('lo', (1.0, 5.0, 20.0))} cross join {_values('hi', (4.0, 12.0, 50.0))} cross join {_values('mi', (0.0, 0.1, 0.5))} cross join {_values('ms', (0.0, 0.25, 0.65))} cross join {_values('mn', (0.4, 0.7))} cross join {_values('mx', (1.5, 2.5))} where lo < hi),
-d as (select grid.*, gt, n, {_DECIDE} as pred from grid cross join cell), c as (select lo as stationary_threshold, hi as moving_threshold, mi as min_iou, ms as min_association_score, mn as min_size_ratio, mx as max_size_ratio, {counts_sql('gt', 'pred', 'n')} from d group by lo, hi, mi, ms, mn, mx)
-{scores_sql('c', S.CONFIG)}""",
-)
-def threshold_sweep_rows(spark, sf_dir):
-    """The full sweep, of which the SQL statement states 216 configurations."""
-    keep = (
-        F.col("stationary_threshold").isin(1.0, 5.0, 20.0) & F.col("moving_threshold").isin(4.0, 12.0, 50.0) & F.col("min_iou").isin(0.0, 0.1, 0.5)
-        & F.col("min_association_score").isin(0.0, 0.25, 0.65) & F.col("min_size_ratio").isin(0.4, 0.7) & F.col("max_size_ratio").isin(1.5, 2.5)
-    )
-    return scored(box_sweep(spark, sf_dir).where(keep), S.CONFIG)
-
-
 _up_to = lambda grid, v: "case " + " ".join(f"when {v} >= {t!r} then cast({t!r} as double)" for t in sorted(grid, reverse=True)) + " else -1e0 end"
 _from = lambda grid, v: "case " + " ".join(f"when {v} <= {t!r} then cast({t!r} as double)" for t in sorted(grid)) + " else 1e9 end"
 # All configurations over cells: a value only counts through the grid threshold next to it.
@@ -146,9 +131,8 @@ def box_threshold_sensitivity(spark, sf_dir):
     return scored(swept, S.CONFIG[:4])
 
 
-def _scene_sql(step: int) -> str:
-    return ctes("v_scenes") + f""", cell as (select gt, homography_result as h, homography_bbox_result as b, homography_valid and quality_level <> 'low' as solid, background_ratio as br, background_median as bm, background_p90 as bp, grid_spread as gs, count(*) as n from v_scenes group by all),
-grid as (select * from {_values('a', SCENE_GRIDS[0][::step])} cross join {_values('p', SCENE_GRIDS[1][::step])} cross join {_values('g', SCENE_GRIDS[2][::step])} cross join {_values('q', RATIOS)}),
+SCENE_SWEPT = ctes("v_scenes") + f""", cell as (select gt, homography_result as h, homography_bbox_result as b, homography_valid and quality_level <> 'low' as solid, background_ratio as br, background_median as bm, background_p90 as bp, grid_spread as gs, count(*) as n from v_scenes group by all),
+grid as (select * from {_values('a', SCENE_GRIDS[0])} cross join {_values('p', SCENE_GRIDS[1])} cross join {_values('g', SCENE_GRIDS[2])} cross join {_values('q', RATIOS)}),
 d as (select a, p, g, q, gt, n, case when not (solid and br >= q) then 'none' when bm <= a and bp <= p and gs <= g then 'h' else 'b' end as how, h, b from grid cross join cell),
 e as (select *, case how when 'none' then 'unknown' when 'h' then h else b end as pred from d),
 t as (select a, p, g, q, sum(n) as total, sum(case when gt = 'moving' then n end) as m, sum(case when gt = 'stationary' then n end) as s, coalesce(sum(case when gt = 'moving' and pred = 'moving' then n end), 0) as tpm, coalesce(sum(case when gt = 'stationary' and pred = 'moving' then n end), 0) as fm,
@@ -158,12 +142,7 @@ select a as background_median_max, p as background_p90_max, g as grid_spread_max
   cast(total - hs - bs as bigint) as unknown_selected, round((2e0 * tpm / (tpm + fm + m) + 2e0 * tps / (tps + fs + s)) / 2, 6) as macro_f1 from t"""
 
 
-@query("scene_threshold_sweep", _scene_sql(3))
-def scene_threshold_sweep(spark, sf_dir):
-    return rounded(S.scene_sweep(view(spark, sf_dir, "v_scenes"), *[g[::3] for g in SCENE_GRIDS], RATIOS))
-
-
-@query("scene_threshold_sweep_full", _scene_sql(1))
+@query("scene_threshold_sweep_full", SCENE_SWEPT)
 def scene_threshold_sweep_full(spark, sf_dir):
     return rounded(S.scene_sweep(view(spark, sf_dir, "v_scenes"), *SCENE_GRIDS, RATIOS))
 

@@ -207,7 +207,7 @@ def scene_quality(
     policy: ScenePolicy = ScenePolicy(), rows: int | None = None,
 ) -> DataFrame:
     """Background residual statistics per pair and the method they call for. ``gates`` has the
-    keys, ``gate_valid``, ``accepted`` and ``level``."""
+    keys, ``gate_valid``, ``accepted``, ``level``, and in ``cause`` why there is no matrix."""
     keys = list(keys)
     vehicles = boxes.where(F.col("cls") == VEHICLE)
     outside = outside_regions(samples, regions(vehicles, keys, box(), grid), keys)
@@ -245,7 +245,7 @@ def scene_quality(
     joined = joined.withColumn("background_pixels", pixels).withColumn("valid_background_ratio", share)
     needed = max(4, policy.grid_rows)
     fault = (
-        F.when(~F.col("gate_valid"), "homography_invalid")
+        F.when(~F.col("gate_valid"), F.concat(F.lit("homography_"), F.coalesce("cause", F.lit("invalid"))))
         .when(~F.col("accepted") | (F.col("level") == "low"), "homography_quality_low")
         .when(
             (F.col("valid_background_ratio") < policy.min_valid_background_ratio) | (F.col("background_pixels") < 4),

@@ -162,6 +162,7 @@ def value_statistics(
 # The percentiles each report shows.
 GROUP_PROBS = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p95": 0.95}
 TRUTH_PROBS = {"p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95}
+MATCH_PROBS = {"p50": 0.50, "p95": 0.95}
 LATENCY_PROBS = {"p50": 0.50, "p95": 0.95}
 
 
@@ -183,6 +184,16 @@ def feature_distributions(rows: DataFrame, truth: str, features: Sequence[str])
     return value_statistics(feature_rows(rows, [truth], features), [truth, "feature"], "value", TRUTH_PROBS)
 
 
+def match_distributions(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Finite values of each feature by expected answer, and confidences by accepted or not."""
+    label = F.when(F.col("expected") == "1", "positive").when(F.col("expected") == "0", "negative")
+    judged = rows.withColumn("group", label).where(F.col("group").isNotNull())
+    told = rows.select(F.when(F.coalesce("accepted", F.lit(False)), "accepted").otherwise("rejected").alias("group"), F.lit("confidence").alias("feature"), F.col("confidence").cast("double").alias("value"))
+    long = feature_rows(judged.withColumns({f: F.col(f).cast("double") for f in features}), ["group"], features)
+    finite = F.when(~F.isnan("value") & (F.abs("value") != F.lit(float("inf"))), F.col("value"))
+    return value_statistics(long.unionByName(told).withColumn("value", finite), ["group", "feature"], "value", MATCH_PROBS)
+
+
 def rank_auc(rows: DataFrame, positive: Column, features: Sequence[str]) -> DataFrame:
     """Tie-averaged rank AUC per feature.
 
