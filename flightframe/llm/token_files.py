@@ -227,7 +227,7 @@ def _lexicon(path: str) -> Lexicon:
     return Lexicon(work)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, policy: TokenPolicy) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, policy: TokenPolicy, kind: str) -> Iterator[pa.RecordBatch]:
     lexicon = _lexicon(tokenizer)
     for batch in pieces(batches, size=8 << 20):
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(batch.column(1).fill_null(""), _TAIL, r"\1 \2\3"))
@@ -240,14 +240,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, policy: TokenPol
         bounds = own + np.arange(len(own))
         ids = np.full(bounds[-1], policy.end, np.uint32)
         ids[np.arange(len(places)) + np.repeat(np.arange(len(batch)), np.diff(own))] = flat[places]
-        yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, bounds)], ["key", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids.astype(kind), bounds)], ["key", "ids"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
         for low in range(0, len(batch), 256):
-            own = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(low, 256).to_pylist()), np.uint32))
+            own = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(low, 256).to_pylist()), kind))
             if len(own) > len(total):
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
             total[: len(own)] += own
@@ -260,7 +260,7 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), unquote(where.path)) if where.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
 
 
-def _filed(batches: Iterator[pa.RecordBatch], folder: str, codes: Codes, policy: TokenPolicy) -> Iterator[pa.RecordBatch]:
+def _filed(batches: Iterator[pa.RecordBatch], folder: str, codes: Codes, policy: TokenPolicy, kind: str) -> Iterator[pa.RecordBatch]:
     """Writes files of the sorted rows and hands on their common name; a task that runs again takes another."""
     store, place = _filesystem(folder)
     store.create_dir(place)
@@ -274,7 +274,7 @@ def _filed(batches: Iterator[pa.RecordBatch], folder: str, codes: Codes, policy:
 
     for batch in batches:
         for key, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(np.frombuffer(own.as_buffer(), np.uint32))
+            ids.append(np.frombuffer(own.as_buffer(), kind))
             keys.append(key)
             held += len(ids[-1])
             if held >= policy.file_ids:
@@ -308,10 +308,14 @@ def write_token_files(
     columns are ignored. An empty table gives a folder without files.
     """
     folder = folder or shared_folder(payloads.sparkSession)
+    from tokenizers import Tokenizer
+
     kind = type_of(payloads, url)
+    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), policy.end + 1)
+    held = "<u2" if size <= 1 << 16 else "<u4"  # ids on their way to the files
     source = payloads.select(column(url).alias("key"), column(payload).cast("string").alias("payload"))
-    table = written(source.mapInArrow(lambda b: _encoded(b, tokenizer, policy), f"key {kind}, ids binary").withColumn("at", F.monotonically_increasing_id()))
-    counts = table.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    table = written(source.mapInArrow(lambda b: _encoded(b, tokenizer, policy, held), f"key {kind}, ids binary").withColumn("at", F.monotonically_increasing_id()))
+    counts = table.select("ids").mapInArrow(lambda b: _counted(b, held), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted((r.id, r.n) for r in counts.collect())  # one per token of the vocabulary
     ids, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     codes = Codes(ids, code_lengths(n, policy.longest))
@@ -319,7 +323,7 @@ def write_token_files(
     spark.createDataFrame([(*r, int(b)) for r, b in zip(rows, codes.bits)], "id long, n long, bits long").coalesce(1).write.parquet(f"{folder}/codes")
     order = (F.col("key").asc_nulls_first(), F.xxhash64("ids"), F.col("at"))
     sorted_rows = table.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("key").cast("string").alias("key"), "ids")
-    sorted_rows.mapInArrow(lambda b: _filed(b, f"{folder}/files", codes, policy), "partition long, name string, ids long").write.parquet(f"{folder}/manifest")
+    sorted_rows.mapInArrow(lambda b: _filed(b, f"{folder}/files", codes, policy, held), "partition long, name string, ids long").write.parquet(f"{folder}/manifest")
     return TokenFiles(folder, kind)
 
 
