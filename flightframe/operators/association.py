@@ -33,16 +33,15 @@ def associate_ground_truth(
     """One row per truth object: its detection (or null) and the best IoU it had with any."""
     from flightframe.plans.settle import settle
 
-    pairs = settle(iou_candidates(truth, detections, keys))
-    matches = greedy_one_to_one(
-        pairs.where(F.col("score") >= min_iou), keys, "gt_index", "det_index", "score"
-    ).withColumnRenamed("score", "match_iou")
-    best = pairs.groupBy(*keys, "gt_index").agg(F.max("score").alias("best_iou"))
     key = [*keys, "gt_index"]
-    return (
-        truth.join(best, key, "left").join(matches, key, "left")
-        .withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
-    )
+    pairs = settle(iou_candidates(truth, detections, keys))
+    matches = greedy_one_to_one(pairs.where(F.col("score") >= min_iou), keys, "gt_index", "det_index", "score", settled=True)
+    # What an object had and what it took meet in one aggregate.
+    none = lambda c: F.lit(None).cast(pairs.schema[c].dataType)
+    told = pairs.select(*key, F.col("score").alias("best_iou"), none("det_index").alias("det_index"), none("score").alias("match_iou")).union(
+        matches.select(*key, none("score"), "det_index", "score"))
+    found = told.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("best_iou", "det_index", "match_iou")])
+    return truth.join(found, key, "left").withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
 
 
 def unmatched_truth(associated: DataFrame) -> DataFrame:
@@ -125,7 +124,7 @@ def associate_tracks(
     from flightframe.plans.settle import settle
 
     candidates = settle(track_candidates(previous, current, keys, policy))
-    chosen = greedy_one_to_one(candidates, keys, "p_index", "det_index", "score").drop("score")
+    chosen = greedy_one_to_one(candidates, keys, "p_index", "det_index", "score", settled=True).drop("score")
     matched = chosen.join(candidates, [*keys, "p_index", "det_index"])
     key = [*keys, "det_index"]
     residual = F.col("center_residual")

@@ -23,11 +23,14 @@ def greedy_one_to_one(
     right: str,
     score: str,
     rows: int | None = None,
+    settled: bool = False,
 ) -> DataFrame:
-    """Take the best remaining pair until none is left; order is (-score, left, right)."""
+    """Take the best remaining pair until none is left; order is (-score, left, right). ``settled`` candidates
+    are read where they are kept."""
     rows = LIMITS.fold_rows if rows is None else rows
     group = list(group)
-    slim = settle(candidates.select(*group, left, right, score))
+    slim = candidates.select(*group, left, right, score)
+    slim = slim if settled else settle(slim)
     hot = hot_groups(slim, group, rows)
     if hot is None:
         return _pair_fold(slim, group, left, right, score)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightframe.functions.boxes import Box
-from flightframe.operators.overlap import join_meeting_boxes
+from flightframe.operators.overlap import _celled, _level, join_meeting_boxes
 from flightframe.operators.references import active_references
 from flightframe.plans.intervals import IntervalIndex
 from flightframe.plans.percentiles import grouped_percentiles
@@ -107,3 +107,23 @@ def test_meeting_boxes_in_large_frames(spark, how):
     plain, spread = run(10_000)[key], run(5)[key]
     tidy = lambda d: sorted(map(tuple, d.fillna(-1).astype(int).values))
     assert len(plain) > 0 and tidy(plain) == tidy(spread)
+
+
+def test_a_huge_box_in_a_large_frame_has_few_cells(spark):
+    """Boxes over millions of pixels, points and endless ones: each lies in four cells a level, and pairs come once."""
+    n = 400
+    x, y = rng.random(n) * 3e6, rng.random(n) * 3e6
+    wide = np.where(np.arange(n) % 40 == 0, 2.5e6, rng.random(n) * 200)
+    a = pd.DataFrame({"f": 1, "ai": np.arange(n), "ax1": x, "ay1": y, "ax2": x + wide, "ay2": y + wide})
+    a.loc[0, ["ax1", "ay1", "ax2", "ay2"]] = [-np.inf, -np.inf, np.inf, np.inf]
+    x, y = rng.random(n) * 3e6, rng.random(n) * 3e6
+    b = pd.DataFrame({"f": 1, "bi": np.arange(n), "bx1": x, "by1": y, "bx2": x + np.arange(n) % 3 * 1e5, "by2": y + np.arange(n) % 2 * 1e6})
+    box = lambda p: Box(*[F.col(f"{p}{n}") for n in ("x1", "y1", "x2", "y2")])
+    left, right = spark.createDataFrame(a), spark.createDataFrame(b)
+    got = join_meeting_boxes(left, right, ["f"], box("a"), box("b"), salt_by=["ai"], rows=50).select("ai", "bi").toPandas()
+    cross = a.merge(b, on="f")
+    meet = cross[(cross.ax1 <= cross.bx2) & (cross.bx1 <= cross.ax2) & (cross.ay1 <= cross.by2) & (cross.by1 <= cross.ay2)]
+    assert sorted(map(tuple, got.values)) == sorted(map(tuple, meet[["ai", "bi"]].values)) and len(meet) > n
+    levels = list(range(46))
+    cells = _celled(left.withColumn("_la", _level(box("a"), 64.0)), box("a"), "_la", levels, 64.0).groupBy("ai", "_l").count()
+    assert cells.agg(F.max("count")).first()[0] <= 4
