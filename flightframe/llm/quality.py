@@ -1,4 +1,8 @@
-"""Quality rules for annotation texts, compiled from a table of thresholds into one projection."""
+"""Quality rules for texts and annotation files, compiled from tables of thresholds into one projection.
+
+What a rule takes for granted is said by the languages it holds for: frequent words are those of four languages,
+and a text of a language that writes without spaces is measured in characters, not in words.
+"""
 
 from __future__ import annotations
 
@@ -22,22 +26,37 @@ SYMBOLS = "#*$%&|<>"
 
 
 class Rule(NamedTuple):
-    """A text is rejected where ``measure`` is below ``least`` or above ``most`` times ``of`` (1 if None)."""
+    """A text is rejected where ``measure`` is below ``least`` or above ``most`` times ``of`` (1 if None). The rule holds for
+    the languages in ``only`` (all if None, also unknown ones) but those in ``never``."""
 
     measure: str
     of: str | None
     least: float | None
     most: float | None
+    only: tuple[str, ...] | None = None
+    never: tuple[str, ...] = ()
 
 
+# Languages of the frequent words, and languages written without spaces.
+LISTED = ("en", "fr", "es", "de")
+UNSPACED = ("zh", "ja", "th", "lo", "km", "my")
 RULES = (
-    Rule("n_words", None, 50, None),
+    Rule("n_words", None, 50, None, never=UNSPACED),
     Rule("n_repeat_words", "n_words", None, 0.5),
-    Rule("word_chars", "n_words", 2, 14),
-    Rule("n_symbols", "n_words", None, 0.25),
-    Rule("n_stop_words", "n_words", 0.02, None),
+    Rule("word_chars", "n_words", 2, None),
+    Rule("word_chars", "n_words", None, 14, only=LISTED),
+    Rule("word_chars", None, 200, None, only=UNSPACED),
+    Rule("n_symbols", "n_words", None, 0.25, never=UNSPACED),
+    Rule("n_symbols", "word_chars", None, 0.1, only=UNSPACED),
+    Rule("n_stop_words", "n_words", 0.02, None, only=LISTED),
     Rule("n_dup_lines", "n_lines", None, 0.4),
 )
+#: Annotation files in XML: marks in moderation, something between them, and not one line over and over.
+ANNOTATION_RULES = (
+    Rule("word_chars", None, 40, None),
+    Rule("n_symbols", "word_chars", 0.01, 0.4),
+    Rule("n_dup_lines", "n_lines", None, 0.9),
+)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 
 
@@ -76,22 +95,34 @@ def measured(files: DataFrame, xml: str = "xml") -> DataFrame:
     return staged.select(*[column(c) for c in files.columns if c not in values], *[v.cast("long").alias(k) for k, v in values.items()])
 
 
-def failed_rules(rules: Sequence[Rule]) -> Column:
+def failed_rules(rules: Sequence[Rule], language: Column | None = None) -> Column:
     """Names of the measures out of bounds. A share of nothing is no failure: the compared side is multiplied out."""
+    known = F.lit(LISTED[0]) if language is None else language
+
     def broken(rule: Rule) -> Column:
         value, whole = F.col(rule.measure), F.col(rule.of) if rule.of else F.lit(1)
         tests = [value < whole * F.lit(rule.least)] if rule.least is not None else []
         tests += [value > whole * F.lit(rule.most)] if rule.most is not None else []
-        return F.when(tests[0] if len(tests) == 1 else tests[0] | tests[1], F.lit(rule.measure))
+        test = tests[0] if len(tests) == 1 else tests[0] | tests[1]
+        if rule.only is not None:
+            test = test & F.coalesce(known.isin(*rule.only), F.lit(False))
+        if rule.never:
+            test = test & ~F.coalesce(known.isin(*rule.never), F.lit(False))
+        return F.when(test, F.lit(rule.measure))
 
-    return F.filter(F.array(*[broken(r) for r in rules]), lambda m: m.isNotNull())
+    return F.array_distinct(F.filter(F.array(*[broken(r) for r in rules]), lambda m: m.isNotNull()))
 
 
-def judged(files: DataFrame, xml: str = "xml", rules: Sequence[Rule] = RULES) -> DataFrame:
+def judged(files: DataFrame, xml: str = "xml", rules: Sequence[Rule] = RULES, language: str | None = None) -> DataFrame:
     """``files`` with its measures, ``failed`` (measures whose rule it breaks) and ``kept`` (none).
 
-    One projection of built-in functions: no shuffle, no Python. A null text counts as empty and fails on
-    its number of words; ties, repeated rows and null ids change nothing, as each row is judged
-    alone. A column named like a measure is replaced by it. An empty table gives an empty result.
+    ``language`` names the column of the text's language; where it is null or unknown, rules for certain languages do not
+    hold. Without such a column all texts are taken for ones of a listed language. Annotation files are judged by ANNOTATION_RULES. One projection of built-in functions: no shuffle,
+    no Python. A null text counts as empty and fails on its length; ties, repeated rows and null ids change
+    nothing, as each row is judged alone. A column named like a measure is replaced by it. An empty table gives an
+    empty result.
     """
-    return measured(files, xml).withColumn("failed", failed_rules(rules)).withColumn("kept", F.size("failed") == 0)
+    told = files if language is None else files.withColumn("_quality_language", column(language).cast("string"))
+    measures = measured(told, xml)
+    known = None if language is None else F.col("_quality_language")
+    return measures.withColumn("failed", failed_rules(rules, known)).withColumn("kept", F.size("failed") == 0).drop("_quality_language")

@@ -108,9 +108,9 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged(documents, "text").select(
+    return judged(documents, "text", language="lang").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 

@@ -67,15 +67,18 @@ def _broken(rule: Rule) -> str:
     whole = rule.of or "1"
     tests = [f"{rule.measure} < {whole} * {rule.least}::double"] if rule.least is not None else []
     tests += [f"{rule.measure} > {whole} * {rule.most}::double"] if rule.most is not None else []
-    return " or ".join(tests)
+    test = " or ".join(tests)
+    for names, join in ((rule.only, "and coalesce(lang in ({}), false)"), (rule.never, "and not coalesce(lang in ({}), false)")):
+        test = f"({test}) " + join.format(", ".join(f"'{n}'" for n in names)) if names else test
+    return f"({test})"
 
 
-QUALITY = f"""with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {WORD}) as w,
+QUALITY = f"""with w as (select doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {WORD}) as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, {WORD})) as lines from documents),
   win as (select doc_id, p, array_to_string(w[p:p + 2], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as p from w)),
   twice as (select doc_id, s from win group by 1, 2 having count(*) > 1),
   rep as (select doc_id, count(distinct q) as c from (select doc_id, unnest([p, p + 1, p + 2]) as q from win join twice using (doc_id, s)) group by 1),
-  m as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+  m as (select doc_id, lang, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols, len(lines)::bigint as n_lines,
     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c, 0)::bigint as n_repeat_words,
     len(list_filter(w, lambda x: lower(x) in ({', '.join(f"'{x}'" for x in STOP_WORDS)})))::bigint as n_stop_words from w left join rep using (doc_id)),

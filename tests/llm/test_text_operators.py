@@ -143,6 +143,55 @@ def test_quality(spark):
     assert judged(rows(spark, []), "xml").collect() == []
 
 
+def test_quality_knows_languages_and_annotation_files(spark):
+    """Prose in a language without a list of frequent words, text without spaces, and the project's own files."""
+    from flightframe.catalog.files import _object_texts
+    from flightframe.llm.quality import ANNOTATION_RULES, RULES
+
+    turkish = "İHA görüntülerinde araçların hareketli olup olmadığı kamera hareketi düşülerek anlaşılır ve iniş alanları ayrıca denetlenir"
+    prose = " ".join(f"{w}{i % 7}" if i % 5 == 0 else w for i, w in enumerate(turkish.split() * 12))
+    unlike = " ".join(f"kelime{i}" if i % 3 else "uzungörüntülerinde" for i in range(200))
+    unspaced = "。".join("航拍视频中的车辆检测与跟踪第" + chr(0x4E00 + i) * 3 for i in range(40))
+    data = [(1, unlike, "tr"), (2, unspaced, "zh"), (3, unspaced, None), (4, unlike, "en"), (5, "短", "zh"), (6, unlike, None), (7, prose, "tr"), (8, "#" * 400 + unspaced, "zh")]
+    table = rows(spark, data, "path long, xml string, lang string").withColumn("failed", F.lit("own"))
+    got = {r.path: (r.kept, set(r.failed)) for r in judged(table, "xml", language="lang").collect()}
+    assert got[1][0] and got[2][0] and got[6][0] and got[7] == (False, {"n_repeat_words"})
+    assert got[3] == (False, {"n_words"}) and got[4] == (False, {"n_stop_words"}) and got[5] == (False, {"word_chars"}) and got[8] == (False, {"n_symbols"})
+    boxes = spark.range(60).select((F.col("id") % 3).alias("file"), F.lit(1).alias("frame"), F.col("id").alias("det_index"), *[(F.col("id") * 3.0 + i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
+    files = _object_texts(boxes).withColumnsRenamed({"file": "path", "content": "xml"}).union(spark.createDataFrame([(9, "<" * 500), (10, None), (11, "plain words without any mark, however many there are of them")], "path long, xml string"))
+    assert {r.path: r.kept for r in judged(files, "xml", ANNOTATION_RULES).collect()} == {0: True, 1: True, 2: True, 9: False, 10: False, 11: False}
+    assert len(RULES) == 9
+
+
+def test_pipeline_stages_keep_columns_and_know_rows(spark, tmp_path, sf):
+    """Columns named like what operators use, null and repeated ids, repeated rows, no text, and no rows at all."""
+    import corpus_pipeline
+
+    good = lambda k: " ".join(f"the w{k}x{i} of" for i in range(40))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    data = [(1, good(1), "en", "a"), (None, good(1), "en", "a"), (None, good(1), "en", None), (2, good(2), "en", "a"), (2, good(2), "en", "a"), (2, good(3), None, "b"), (None, good(4), "en", "b"),
+            (None, good(5) + " " + item, "en", "b"), (3, None, "en", "b"), (4, good(6) + " mail me.b@x.example.org today", "en", None), (5, "", None, None)]
+    clashing = ("n_words", "failed", "kept", "_private", "spans", "_quality_words", "_named", "_rate", "_copies", "mix_copy", "row", "key", "path", "mark", "_quality_language")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"own {c}") for c in clashing}).withColumn("n_chars", F.char_length("text").cast("long"))
+    folder = str(tmp_path / "docs")
+    docs.write.parquet(folder)
+    steps = dict(corpus_pipeline.STAGES)
+    for table in (docs, spark.read.parquet(folder)):
+        kept = steps["quality rules"](spark, table, sf)
+        assert kept.columns == docs.columns and kept.count() == 9
+        single = steps["near duplicates"](spark, table, sf)
+        ids = sorted((r.doc_id or 0, r.text or "") for r in single.collect())
+        assert single.columns == docs.columns and ids == sorted([(1, good(1)), (2, good(2)), (2, good(3)), (0, good(4)), (0, good(5) + " " + item), (3, ""), (4, data[9][1]), (5, "")])
+        clean = steps["decontamination"](spark, table, sf).collect()
+        assert len(clean) == 10 and not any(item in (r.text or "") for r in clean)
+        private = {r.text: r for r in steps["personal data"](spark, table, sf).collect()}
+        changed = private[good(6) + " mail [EMAIL] today"]
+        assert changed.n_chars == len(changed.text) and changed.spans == "own spans" and changed._private == "own _private" and len(private) == len({d[1] for d in data})
+        mixed = steps["mixing"](spark, table, sf)
+        assert mixed.columns == [*docs.columns, "mix_copy_"] and {r.mix_copy for r in mixed.collect()} == {"own mix_copy"}
+        assert all(stage(spark, table.limit(0), sf).collect() == [] for stage in steps.values())
+
+
 def test_personal_data(spark):
     text = "Ü mail me.b@x.example.org, card 4111 1111 1111 1111 or +1 (551) 555-0826 190.137.223.204 ip 10.0.0.300 then 1.2.3.4"
     data = EDGES + [(50, text), (51, "1" * 30_000 + "a.b" * 5_000 + "@"), (52, "no data here")]
@@ -200,7 +249,63 @@ def test_secrets(spark):
 def test_licences(spark):
     block = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and associated documentation\n"
     data = EDGES + [(70, "intro\n\nReleased under the MIT license\nmore"), (71, "Licensed under\nCC BY 4.0"), (72, block)]
-    out = [(r.path, r.unit, r.line, r.license) for r in scan_licenses(rows(spark, data, "path long, text string")).collect()]
+    out = [(r.path, r.unit, r.line, r.license) for r in scan_licenses(rows(spark, data, "path long, text string")).where("unit != 'window'").collect()]
     # With its next line the paragraph of 70 shares 4 bigrams of 5 and 4: 8 / 9.
-    assert sorted(out) == [(70, "line", 3, "MIT"), (70, "paragraph", 3, "MIT"), (71, "paragraph", 1, "CC-BY-4.0")]
+    assert sorted(out) == [(70, "line", 3, "MIT"), (70, "paragraph", 3, "MIT"), (71, "paragraph", 1, "CC-BY-4.0"), (72, "paragraph", 1, "MIT")]
     assert scan_licenses(rows(spark, [], "path long, text string")).collect() == []
+
+
+def test_licence_notices_among_other_words(spark):
+    apache = "Some words first. Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance with the\nLicense. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 and so on."
+    data = [
+        (1, "Copyright 2020 Foo. Released under the MIT License."), (2, "This dataset is licensed under CC BY 4.0."),
+        (3, "a\nb (c) 2019 Bar. Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n* one"),
+        (4, apache), (5, "under the license of the sea and the version of it to the public"), (6, None),
+        (7, " ".join(["Released under the MIT License."] * 3)), (8, "This work is licensed under the GNU Affero General Public License, version 3."),
+    ]
+    out = {}
+    for r in scan_licenses(rows(spark, data, "path long, text string")).where("unit = 'window'").collect():
+        out.setdefault(r.path, []).append((r.license, r.line))
+    assert out == {1: [("MIT", 1)], 2: [("CC-BY-4.0", 1)], 3: [("BSD", 2)], 4: [("Apache-2.0", 1)], 7: [("MIT", 1)] * 3, 8: [("AGPL-3.0", 1)]}
+
+
+def test_licence_windows_by_brute_force(spark):
+    """Random mixtures of the templates' words against every window that begins with a bigram of its template."""
+    import random
+    import re
+
+    from flightframe.llm.licenses import TEMPLATES
+
+    draw = random.Random(4)
+    words_of = lambda t: re.findall(r"[a-z0-9\x80-\U0010FFFF]+", t.lower())
+    known = [(name, words_of(t)) for name, ts in TEMPLATES.items() for t in ts]
+    texts = []
+    for i in range(60):
+        words = []
+        for _ in range(draw.randint(1, 6)):
+            own = draw.choice(known)[1]
+            a = draw.randint(0, len(own) // 5)
+            piece = own[a : len(own) - draw.randint(0, len(own) // 5)]
+            words += [w if draw.random() > 0.03 else "x" for w in piece] + draw.choices(["the", "license", "of", "noise"], k=draw.randint(0, 4))
+        texts.append(" ".join(words))
+    wanted = set()
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        pairs, found = list(zip(words, words[1:])), []
+        for name, own in known:
+            listed = list(zip(own, own[1:]))
+            m = set(listed)
+            for start in range(len(pairs)):
+                if pairs[start] in m:
+                    window = set(pairs[start : start + len(listed)])
+                    shared = len(window & m)
+                    if 200 * shared >= 85 * (len(window) + len(m)):
+                        found.append((-2 * shared / (len(window) + len(m)), -len(m), start, name, min(start + len(listed), len(pairs))))
+        taken = []
+        for w in sorted(found):
+            if all(w[4] < a or w[2] > b for a, b in taken):
+                taken.append((w[2], w[4]))
+                wanted.add((i, w[3], round(-w[0], 9), -w[1]))
+    got = {(r.path, r.license, round(r.dice, 9), r.template_bigrams) for r in scan_licenses(
+        spark.createDataFrame(list(enumerate(texts)), "path long, text string")).where("unit = 'window'").collect()}
+    assert got == wanted and len(wanted) > 50
