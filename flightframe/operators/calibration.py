@@ -1,16 +1,18 @@
 """Robust similarity between camera steps and GPS steps.
 
 The rotation has a closed form in the four sums of products, so a fit is three grouped passes
-(step-ratio median, deviation median, sums over the kept samples). ``fit_lists`` does the same
-fit on short arrays of samples for windows bounded by ``max_samples``.
+(step-ratio median, deviation median, sums over the kept samples). ``window_facts`` gives the same facts
+for windows of the last ``max_samples`` samples: tasks go along the sorted samples, and what a row carries is
+its own step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightframe.functions.numbers import count_if
@@ -18,6 +20,7 @@ from flightframe.plans.percentiles import grouped_percentiles
 from flightframe.plans.settle import settle
 from flightframe.policies import CalibrationPolicy
 
+_AT_ONCE = 1024
 _SIGMA = 1.4826  # fixed value: deviation median to standard deviation
 
 
@@ -133,44 +136,9 @@ def _products(cx: Column, cy: Column, gx: Column, gy: Column, norm: Column) -> d
     }
 
 
-def _middle(values: Column) -> Column:
-    """The median of an array without nulls, null if it is empty."""
-    ordered, size = F.array_sort(values), F.size(values)
-    return (F.get(ordered, F.floor((size - 1) / 2).cast("int")) + F.get(ordered, F.floor(size / 2).cast("int"))) / 2
-
-
-def fit_lists(df: DataFrame, samples: str, keep: Sequence[str], policy: CalibrationPolicy = CalibrationPolicy()) -> DataFrame:
-    """The fit per row over an array of at most ``max_samples`` structs ``(cx, cy, gx, gy)``."""
-    parts = ("cx", "cy", "gx", "gy")
-    ratios = lambda steps: F.filter(F.transform(steps, lambda s: s["ratio"]), lambda r: r.isNotNull())
-    measured = F.transform(samples, lambda s: F.struct(
-        *[s[name].alias(name) for name in parts], F.hypot(s["cx"], s["cy"]).alias("norm"),
-        F.try_divide(F.hypot(s["gx"], s["gy"]), F.hypot(s["cx"], s["cy"])).alias("ratio")))
-    finite = lambda value: F.coalesce(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), F.lit(False))
-    clean = F.forall("_s", lambda s: finite(s["cx"]) & finite(s["cy"]) & finite(s["gx"]) & finite(s["gy"]))
-    df = df.select(*keep, measured.alias("_s")).withColumn("_median", _middle(ratios(F.col("_s"))))
-    df = df.withColumn("_mad", _middle(F.transform(ratios(F.col("_s")), lambda r: F.abs(r - F.col("_median")))))
-    near = lambda s: F.abs(s["ratio"] - F.col("_median")) <= _tolerance(F.col("_median"), F.col("_mad"), policy)
-    df = df.withColumn("_kept", F.filter("_s", lambda s: F.coalesce(near(s), F.lit(False))))
-    products = lambda s: _products(*[s[name] for name in (*parts, "norm")])
-    names = ("xx", "xy", "yx", "yy", "cc", "gg", "uxx", "uyy", "uxy", "span")
-    total = F.aggregate(
-        "_kept", F.struct(*[F.lit(0.0).alias(n) for n in names]),
-        lambda sums, s: F.struct(*[(sums[n] + products(s)[n]).alias(n) for n in names]))
-    # Exploded, so that a later filter on the result does not repeat these per use.
-    fit = F.struct(
-        F.size("_s").cast("long").alias("n"), F.size("_kept").cast("long").alias("k"), "_median", "_mad",
-        _middle(ratios(F.col("_kept"))).alias("_scale"), total.alias("_sums"), clean.alias("_clean"))
-    df = df.select(*keep, F.explode(F.array(fit)).alias("_fit")).select(
-        *keep, F.col("_fit.n").alias("_n"), F.col("_fit.k").alias("_k"), *[f"_fit.{c}" for c in ("_median", "_mad", "_scale", "_sums", "_clean")])
-    sums = {n: F.col(f"_sums.{n}") for n in names}
-    done = F.struct(*_finish(*[F.col(c) for c in ("_n", "_k", "_median", "_mad", "_scale")], sums, policy, F.col("_clean")))
-    return df.select(*keep, F.explode(F.array(done)).alias("_done")).select(*keep, "_done.*")
-
-
 def heading(camera: np.ndarray, gps: np.ndarray, policy: CalibrationPolicy) -> tuple[complex, bool] | None:
     """What turns camera steps into GPS steps, both as complex numbers: a factor and whether steps are mirrored
-    first. None where ``fit_lists`` is not ready. For live sessions, whose state one task holds."""
+    first. None where ``calibration_fit`` is not ready. For live sessions, whose state one task holds."""
     ratio = np.abs(gps) / np.abs(camera)
     if len(ratio) < policy.min_samples or not np.isfinite(ratio).all():
         return None
@@ -192,6 +160,82 @@ def heading(camera: np.ndarray, gps: np.ndarray, policy: CalibrationPolicy) -> t
     return (complex(factor), flip) if ready else None
 
 
+_STEP = ("cam_x", "cam_y", "gps_x", "gps_y")
+_SUMS = ("xx", "xy", "yx", "yy", "cc", "gg", "uxx", "uyy", "uxy", "span")
+_FACTS = (("_n", "long"), ("_k", "long"), ("_median", "double"), ("_mad", "double"), ("_scale", "double"), *[(f"_{n}", "double") for n in _SUMS], ("_clean", "boolean"))
+
+
+def _middles(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Medians along rows of the valid values, NaN without any."""
+    ordered, m = np.sort(np.where(valid, values, np.inf), axis=1), valid.sum(1)
+    at = lambda i: np.take_along_axis(ordered, np.maximum(i, 0)[:, None], 1)[:, 0]
+    return np.where(m > 0, (at((m - 1) // 2) + at(m // 2)) / 2, np.nan)
+
+
+def _facts_of(steps: np.ndarray, ends: np.ndarray, lengths: np.ndarray, policy: CalibrationPolicy) -> dict[str, np.ndarray]:
+    """Facts of the windows of ``lengths[i]`` steps up to step ``ends[i]``."""
+    width = policy.max_samples
+    cx, cy, gx, gy = steps.T
+    norm = np.hypot(cx, cy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(norm == 0, np.nan, np.hypot(gx, gy) / norm)
+        products = np.stack([cx * gx, cx * gy, cy * gx, cy * gy, cx * cx + cy * cy, gx * gx + gy * gy, *[p / (norm * norm) for p in (cx * cx, cy * cy, cx * cy)], norm])
+    windows = lambda values, fill: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(width - 1, fill), values]), width)[ends]
+    inside = np.arange(width)[None, :] >= width - lengths[:, None]
+    own = windows(ratio, np.nan)
+    valid = inside & ~np.isnan(own)
+    median = _middles(own, valid)
+    away = np.abs(own - median[:, None])
+    mad = _middles(away, valid)
+    kept = valid & (away <= np.maximum(np.maximum(policy.outlier_mad_factor * _SIGMA * mad, np.abs(median) * 0.02), 1e-12)[:, None])
+    bad = ~np.isfinite(steps).all(1)
+    out = {"_n": lengths, "_k": kept.sum(1), "_median": median, "_mad": mad, "_scale": _middles(own, kept)}
+    out |= {f"_{name}": np.where(kept, windows(values, 0.0), 0.0).sum(1) for name, values in zip(_SUMS, products)}
+    return out | {"_clean": ~(inside & windows(bad, False)).any(1)}
+
+
+def window_facts(
+    samples: DataFrame, keys: Sequence[str], policy: CalibrationPolicy, wanted: Column, kept: Sequence[str] = (), block: int | None = None,
+) -> DataFrame:
+    """For each wanted sample, the facts of a fit over the last ``max_samples`` samples up to it, with the ``kept`` columns.
+
+    Samples are numbered 1, 2, ... within their keys. Numbers are cut into blocks that also get the
+    ``max_samples - 1`` samples before them, so any group is shared out. A task goes along its blocks in order; a
+    window is as long as its sample's number allows, and so never reaches into another group.
+    """
+    keys, kept, reach = list(keys), list(kept), policy.max_samples - 1
+    block = block or max(reach + 1, 4096)
+    own = F.floor((F.col("number") - 1) / block).cast("long")
+    lead = F.floor((F.col("number") - 1 + reach) / block).cast("long")
+    staged = samples.select(
+        *keys, "number", *[F.col(c).cast("double").alias(c) for c in _STEP], *kept, wanted.alias("_want"), own.alias("_own"),
+        F.explode(F.sequence(own, lead)).alias("_block"))
+    sorted_rows = staged.withColumn("_want", F.col("_want") & (F.col("_own") == F.col("_block"))).repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "number")
+    named = [*keys, "number", *kept]
+    fields = {f.name: f for f in sorted_rows.schema.fields}
+    schema = ", ".join([*[f"`{c}` {fields[c].dataType.simpleString()}" for c in named], *[f"{c} {t}" for c, t in _FACTS]])
+
+    def along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = np.zeros((0, 4))
+        for batch in batches:
+            steps = np.concatenate([before, batch[list(_STEP)].to_numpy(float)])
+            asked = np.flatnonzero(batch["_want"].to_numpy(bool))
+            for low in range(0, len(asked), _AT_ONCE):
+                rows = asked[low : low + _AT_ONCE]
+                lengths = np.minimum(batch["number"].to_numpy()[rows], policy.max_samples).astype(np.int64)
+                facts = _facts_of(steps, rows + len(before), lengths, policy)
+                yield pd.concat([batch[named].iloc[rows].reset_index(drop=True), pd.DataFrame(facts)], axis=1)
+            before = steps[max(0, len(steps) - reach) :]
+
+    return sorted_rows.mapInPandas(along, schema)
+
+
+def _fitted(facts: DataFrame, kept: Sequence[str], policy: CalibrationPolicy) -> DataFrame:
+    nan_null = lambda c: F.when(~F.isnan(c), F.col(c))
+    return facts.select(*kept, *_finish(
+        F.col("_n"), F.col("_k"), nan_null("_median"), nan_null("_mad"), nan_null("_scale"), {n: F.col(f"_{n}") for n in _SUMS}, policy, F.col("_clean")))
+
+
 def numbered_samples_fit(
     samples: DataFrame,
     ends: DataFrame,
@@ -200,23 +244,14 @@ def numbered_samples_fit(
 ) -> DataFrame:
     """Fits over the last ``max_samples`` samples at chosen sample numbers.
 
-    ``samples`` has ``number`` (1, 2, ... within keys) and the four step columns; ``ends`` has
-    the keys and ``end_number``. Each end asks for its sample numbers by equality, so the join
-    spreads over (keys, number) and a group never holds more than ``max_samples`` rows.
+    ``samples`` has ``number`` (1, 2, ... within keys) and the four step columns; ``ends`` has the keys and
+    ``end_number``. Each asked number is fitted once, however often it is asked for.
     """
     keys = list(keys)
-    wanted = ends.select(*keys, "end_number").distinct().withColumn(
-        "number", F.explode(F.sequence(F.greatest(F.lit(1), F.col("end_number") - policy.max_samples + 1), F.col("end_number")))
-    )
-    step = F.struct(
-        F.col("cam_x").alias("cx"), F.col("cam_y").alias("cy"), F.col("gps_x").alias("gx"), F.col("gps_y").alias("gy")
-    )
-    lists = (
-        wanted.join(samples.select(*keys, "number", step.alias("step")), [*keys, "number"])
-        .groupBy(*keys, "end_number")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "step"))), lambda s: s["step"]).alias("steps"))
-    )
-    return fit_lists(lists, "steps", [*keys, "end_number"], policy)
+    asked = ends.select(*keys, F.col("end_number").alias("number")).distinct().withColumn("_asked", F.lit(True))
+    marked = samples.select(*keys, "number", *_STEP).join(asked, [*keys, "number"], "left")
+    facts = window_facts(marked, keys, policy, F.coalesce("_asked", F.lit(False)))
+    return _fitted(facts.withColumnRenamed("number", "end_number"), [*keys, "end_number"], policy)
 
 
 def rolling_calibration(
@@ -225,20 +260,7 @@ def rolling_calibration(
     policy: CalibrationPolicy = CalibrationPolicy(),
     block: int | None = None,
 ) -> DataFrame:
-    """The fit after every sample, on the last ``max_samples``.
-
-    Sample numbers are cut into blocks; a block also gets the ``max_samples - 1`` samples before
-    it, so no window group is larger than a block and its lead-in.
-    """
-    keys, reach = list(keys), policy.max_samples - 1
-    block = block or max(reach + 1, 4096)
-    own = F.floor((F.col("number") - 1) / block).cast("long")
-    lead = F.floor((F.col("number") - 1 + reach) / block).cast("long")
-    spread = samples.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, lead)))
-    window = Window.partitionBy(*keys, "_block").orderBy("number").rowsBetween(-reach, 0)
-    step = F.struct(
-        F.col("cam_x").alias("cx"), F.col("cam_y").alias("cy"), F.col("gps_x").alias("gx"), F.col("gps_y").alias("gy")
-    )
-    listed = spread.withColumn("steps", F.collect_list(step).over(window)).where(F.col("_own") == F.col("_block"))
-    kept = [c for c in samples.columns if c not in ("cam_x", "cam_y", "gps_x", "gps_y")]
-    return fit_lists(listed, "steps", kept, policy)
+    """The fit after every sample, on the last ``max_samples``."""
+    named = [*keys, "number"]
+    kept = [c for c in samples.columns if c not in (*_STEP, *named)]
+    return _fitted(window_facts(samples, keys, policy, F.lit(True), kept, block), [c for c in samples.columns if c not in _STEP], policy)

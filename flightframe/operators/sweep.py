@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightframe.functions.labels import MOVING, STATIONARY, UNKNOWN
@@ -344,8 +344,12 @@ _GOALS = ("macro_f1", "coverage", "false_moving", "false_stationary")
 
 def pareto_frontier(sweep: DataFrame) -> DataFrame:
     """Configurations no other one beats on two scores and two error counts; equal ones are kept
-    once, the earliest. A sweep has one row per configuration of a literal grid, which bounds
-    what the last step compares; partitions drop their own beaten rows before it."""
+    once, the earliest.
+
+    Batches first drop what their own rows beat. The rest is dealt into 256 cells by the quartiles of the four goals. A
+    cell whose best corner is beaten by the worst corner of another is ruled out whole; the rows of the others are
+    compared, in blocks, with those cells only that reach below their worst corner.
+    """
     unique = sweep.groupBy(*_GOALS).agg(F.min_by(F.struct(*sweep.columns), "config_id").alias("row"))
     # With equal counts and coverage only the best score can stay, and the other way round.
     unique = unique.groupBy("coverage", "false_moving", "false_stationary").agg(
@@ -356,23 +360,58 @@ def pareto_frontier(sweep: DataFrame) -> DataFrame:
     )
     slim = unique.select(*[F.col(g).cast("double").alias(g) for g in _GOALS], F.col("row.config_id").alias("config_id"))
     local = settle(slim.mapInPandas(_own_frontier, slim.schema))
-    other = F.broadcast(local.select(*[F.col(g).alias(f"o_{g}") for g in _GOALS]))
-    no_worse = (
-        (F.col("o_macro_f1") >= F.col("macro_f1")) & (F.col("o_coverage") >= F.col("coverage"))
-        & (F.col("o_false_moving") <= F.col("false_moving")) & (F.col("o_false_stationary") <= F.col("false_stationary"))
-    )
-    better = (
-        (F.col("o_macro_f1") > F.col("macro_f1")) | (F.col("o_coverage") > F.col("coverage"))
-        | (F.col("o_false_moving") < F.col("false_moving")) | (F.col("o_false_stationary") < F.col("false_stationary"))
-    )
-    frontier = local.join(other, no_worse & better, "left_anti")
-    return sweep.join(frontier.select("config_id"), "config_id", "left_semi")
+    quartiles = local.agg(*[F.percentile_approx(g, [0.25, 0.5, 0.75], 1000).alias(g) for g in _GOALS]).first()
+    place = F.lit(0)
+    for goal in _GOALS:
+        place = place * 4 + sum((F.when(F.col(goal) > cut, 1).otherwise(0) for cut in quartiles[goal] or ()), F.lit(0))
+    celled = local.withColumn("cell", place.cast("int"))
+    costs = [F.col(g) * s for g, s in zip(_GOALS, _SIGNS)]
+    cells = celled.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(c) for c in costs]).alias("best"), F.array(*[F.max(c) for c in costs]).alias("worst")).collect()
+    met = _facing_cells(cells)
+    spark = sweep.sparkSession
+    sizes = spark.createDataFrame([(c.cell, -(-c.n // _CELL_ROWS)) for c in cells], "cell int, blocks long")
+    dealt = celled.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("config_id"), F.col("blocks")))
+    packed = settle(dealt.groupBy("cell", "block").agg(F.flatten(F.collect_list(F.array(*costs))).alias("costs"), F.collect_list("config_id").alias("ids")))
+    side = lambda p: packed.select(*[F.col(c).alias(f"{p}_{c}") for c in packed.columns])
+    facing = spark.createDataFrame(met, "own_cell int, other_cell int")
+    beaten = facing.join(side("own"), "own_cell").join(side("other").drop("other_ids"), "other_cell").select("own_costs", "own_ids", "other_costs").mapInPandas(_beaten, "config_id long")
+    return sweep.join(celled.select("config_id").join(beaten.distinct(), "config_id", "left_anti"), "config_id", "left_semi")
+
+
+_SIGNS, _CELL_ROWS = (-1.0, -1.0, 1.0, 1.0), 2048
+
+
+def _facing_cells(cells: Sequence[Row]) -> list[tuple[int, int]]:
+    """(cell, other) of the at most 256 cells: those not ruled out, each with the ones that may beat rows of it."""
+    best, worst = (np.array([c[k] for c in cells], float).reshape(-1, len(_GOALS)) for k in ("best", "worst"))
+    out = [
+        ((worst <= own).all(1) & (worst < own).any(1)).any() for own in best
+    ]
+    pairs = []
+    for i, cell in enumerate(cells):
+        if out[i]:
+            pairs.append((cell.cell, next(c.cell for c, w in zip(cells, worst) if (w <= best[i]).all() and (w < best[i]).any())))
+            continue
+        pairs += [(cell.cell, c.cell) for j, c in enumerate(cells) if not out[j] and (best[j] <= worst[i]).all()]
+    return pairs
+
+
+def _beaten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            own, other = (np.asarray(c, float).reshape(-1, len(_GOALS)) for c in (row.own_costs, row.other_costs))
+            hit = np.zeros(len(own), bool)
+            for low in range(0, len(own), 256):
+                part = own[low : low + 256, None, :]
+                hit[low : low + 256] = ((other[None] <= part).all(2) & (other[None] < part).any(2)).any(1)
+            yield pd.DataFrame({"config_id": np.asarray(row.own_ids)[hit]})
 
 
 def _own_frontier(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of each batch that no row of the same batch beats."""
     for batch in batches:
-        goals = batch[list(_GOALS)].to_numpy() * np.array([-1.0, -1.0, 1.0, 1.0])
+        goals = batch[list(_GOALS)].to_numpy() * np.array(_SIGNS)
         order = np.lexsort(goals.T[::-1])
         kept: list[int] = []
         for i in order:

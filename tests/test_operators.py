@@ -130,16 +130,57 @@ def test_calibration_fixture(spark):
     assert got["good"].ready and abs(got["good"].scale - 0.2) < 1e-9 and abs(got["good"].m10 - 0.5) < 1e-9 and got["good"].rms_residual < 1e-6
     assert got["outlier"].ready and got["outlier"].inlier_count == 6
     assert got["mirror"].failure_reason == "reflection_detected" and got["few"].failure_reason == "insufficient_samples"
-    listed = df.groupBy("session").agg(F.collect_list(F.struct(F.col("cam_x").alias("cx"), F.col("cam_y").alias("cy"), F.col("gps_x").alias("gx"), F.col("gps_y").alias("gy"))).alias("s"))
-    for row in C.fit_lists(listed, "s", ["session"], policy).collect():
-        for name, value in got[row.session].asDict().items():
-            assert row[name] == value or abs(row[name] - value) < 1e-6, (row.session, name)
     for name, points in df.toPandas().groupby("session"):
         found = C.heading(*[points[a].to_numpy() + 1j * points[b].to_numpy() for a, b in (("cam_x", "cam_y"), ("gps_x", "gps_y"))], policy)
         assert (found is not None) == got[name].ready
         assert found is None or abs(found[0] - got[name].scale * complex(got[name].m00, got[name].m10)) < 1e-9
 
 
+@pytest.mark.parametrize("block", [None, 8])
+def test_rolling_windows_equal_their_own_fits(spark, block):
+    """Windows along groups of several sizes, with a step of no length, a missing one and outliers."""
+    policy = CalibrationPolicy(min_samples=3, max_samples=8, min_camera_step_px=0.1, max_rms_residual=0.4, min_inlier_ratio=0.5)
+    rows = []
+    for group, size in (("a", 40), ("b", 5), ("c", 1), ("d", 17)):
+        for n in range(1, size + 1):
+            cx, cy = rng.normal(size=2) * 3
+            gx, gy = 0.3 * cx - 0.1 * cy + rng.normal() * 0.02, 0.1 * cx + 0.3 * cy + (5.0 if n % 7 == 3 else 0.0)
+            rows.append((group, n, n * 10, *((0.0, 0.0) if n == 11 else (float(cx), float(cy))), None if (group, n) == ("d", 9) else float(gx), float(gy)))
+    samples = spark.createDataFrame(rows, "session string, number long, seq long, cam_x double, cam_y double, gps_x double, gps_y double")
+    got = {(r.session, r.number): r for r in C.rolling_calibration(samples.repartition(3), ["session"], policy, block).collect()}
+    own = samples.select("session", F.explode(F.sequence(F.col("number"), F.col("number") + 7)).alias("end"), "cam_x", "cam_y", "gps_x", "gps_y")
+    ends = samples.select("session", F.col("number").alias("end"))
+    wanted = C.calibration_fit(own.join(ends, ["session", "end"]), ["session", "end"], policy).collect()
+    assert len(got) == len(rows) == len(wanted) and got["a", 20].seq == 200
+    for w in wanted:
+        g = got[w.session, w.end]
+        for name, value in w.asDict().items():
+            if name not in ("session", "end"):
+                assert g[name] == value or abs(g[name] - value) < 1e-6, (w.session, w.end, name, g[name], value)
+    assert {w.failure_reason for w in wanted} >= {None, "insufficient_samples", "non_finite_samples"}
+    asked = C.numbered_samples_fit(samples, spark.createDataFrame([("a", 12), ("a", 12), ("d", 3)], "session string, end_number long"), ["session"], policy).collect()
+    assert sorted((r.session, r.end_number) for r in asked) == [("a", 12), ("d", 3)]
+
+
+def test_frontier_of_a_million(spark):
+    """Random candidates with ties and repeats, and a front that many lie on."""
+    n = 1_000_000
+    made = spark.range(n).select(
+        F.col("id").alias("config_id"), F.round(F.rand(1), 4).alias("macro_f1"), F.round(F.rand(2), 4).alias("coverage"),
+        F.floor(F.rand(3) * 5000).cast("long").alias("false_moving"), F.floor(F.rand(4) * 5000).cast("long").alias("false_stationary"))
+    thin = made.where("config_id % 3 = 0").withColumn("coverage", F.round(1.2 - F.col("macro_f1"), 4)).withColumn("config_id", F.col("config_id") + n)
+    sweep = made.union(thin)
+    got = {r.config_id for r in S.pareto_frontier(sweep).select("config_id").collect()}
+    rows = sweep.toPandas()
+    goals = rows[["macro_f1", "coverage", "false_moving", "false_stationary"]].to_numpy(float) * [-1, -1, 1, 1]
+    order = np.lexsort((rows.config_id, *goals.T[::-1]))
+    front = []
+    for i in order:
+        if not len(front) or not (goals[front] <= goals[i]).all(1).any():
+            front.append(i)
+    assert got == set(rows.config_id.iloc[front]) and len(got) > 500
+
+
 def _flight(n=160, session=1):
     """Healthy, lost and healthy again, with resets, repeats and bad steps."""
     rows, x, y = [], 0.0, 0.0
