@@ -21,6 +21,7 @@ from flightframe.llm.lexicon import Lexicon, ragged, spread
 from flightframe.llm.store import column, written
 from flightframe.llm.words import pieces, text_bytes
 
+_JOINED = 1000
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -65,6 +66,9 @@ class Aligner:
         # A piece that goes on behind a word's end would reach over the cuts made between words.
         self.whole = any("▁" in p.lstrip("▁") for p in names)
         self.pairs = self._pairs()
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits = np.array([len(n) for n in self.names], np.int64)
         self.lexicon = Lexicon(self._aligned)
 
     def _pairs(self) -> np.ndarray:
@@ -80,31 +84,51 @@ class Aligner:
         return np.sort(np.array(keys, np.int64))
 
     def _aligned(self, parts: list[str]) -> list[Part | None]:
-        """Parts begin with the space that A gets; B adds its own. None where bytes differ."""
-        found_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        found_b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        out = []
-        for part, a, b in zip(parts, found_a, found_b):
-            a_said, b_said, text = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], part.encode()
-            if b"".join(a_said) != text or b"".join(b_said) != text:
-                out.append(None)
+        """Parts begin with the space that A gets; B adds its own. None where bytes differ. Parts without white
+        space at their ends are worked on many at a time, as both cut between them."""
+        out: list[Part | None] = [None] * len(parts)
+        words = [i for i, p in enumerate(parts) if len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and "▁" not in p]
+        groups = [words[low : low + _JOINED] for low in range(0, len(words), _JOINED)]
+        groups += [[i] for i in set(range(len(parts))) - set(words)]
+        while groups:
+            own = groups.pop()
+            found = self._together([parts[i] for i in own])
+            if found is None and len(own) > 1:
+                # One of them does not come back: halves, down to that one.
+                groups += [own[: len(own) // 2], own[len(own) // 2 :]]
                 continue
-            links, groups, i, j, a_end, b_end, i0, j0 = [], [], 0, 0, 0, 0, 0, 0
-            while i < len(a):
-                if a_end <= b_end:
-                    a_end += len(a_said[i])
-                    i += 1
-                while b_end < a_end:
-                    b_end += len(b_said[j])
-                    j += 1
-                if a_end == b_end:
-                    links.append(a[i - 1] * len(self.b_bytes) + b[j - 1])
-                    groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                    i0, j0 = i, j
-            places = np.searchsorted(self.pairs, np.array(links, np.int64)).astype(np.uint32)
-            out.append(Part(len(a), len(b), places.tobytes(), ";".join(groups)))
+            for i, part in zip(own, found or [None]):
+                out[i] = part
         return out
 
+    def _together(self, parts: list[str]) -> list[Part] | None:
+        """The parts of one text, cut behind each; None where a tokenizer does not give back the text or cuts elsewhere."""
+        text = "".join(parts)
+        data = text.encode()
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text[1:], num_threads=1), np.int64)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != data or b"".join([self.b_bytes[i] for i in b.tolist()]) != data:
+            return None
+        a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common, last_a, last_b = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        part_end = np.cumsum([len(p.encode()) for p in parts])
+        last = np.searchsorted(common, part_end)
+        if (common[last] != part_end).any():
+            return None
+        links = np.searchsorted(self.pairs, a[last_a] * len(self.b_bytes) + b[last_b]).astype(np.uint32).tobytes()
+        # Tokens by group, A before B; the last A of a group is followed by a bar, its last B by a semicolon.
+        order = np.argsort(np.concatenate([np.searchsorted(common, a_end) * 2, np.searchsorted(common, b_end) * 2 + 1]), kind="stable")
+        marks = np.zeros(len(order), np.int64)
+        marks[last_a], marks[len(a) + last_b] = 1, 2
+        ids = np.concatenate([a, b])[order]
+        said = "".join([self.names[i] + ",|;"[m] for i, m in zip(ids.tolist(), marks[order].tolist())])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(self.digits[ids] + 1)
+        ends = place[len(a) + last_b[last]]
+        n_a, n_b = (np.diff(np.searchsorted(end, part_end, "right"), prepend=0) for end in (a_end, b_end))
+        bounds, cuts = [0, *((last + 1) * 4).tolist()], [0, *ends.tolist()]
+        return [Part(x, y, links[i:j], said[k : m - 1]) for x, y, i, j, k, m in zip(n_a.tolist(), n_b.tolist(), bounds, bounds[1:], cuts, cuts[1:])]
+
 
 def _grouped(table: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, bytes]]]]:
     groups: dict[bytes, list[tuple[int, bytes]]] = {}
