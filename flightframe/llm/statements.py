@@ -37,9 +37,12 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) a
 from w left join kept using (doc_id)"""
 
 LEAKED = f"""with d as ({_shingles('documents', 'doc_id')}), i as ({_shingles('benchmark', 'item_id')}),
-  n as (select item_id, count(*) as n from i group by 1),
-  c as (select doc_id, item_id, count(*) as c from d join i using (s) group by 1, 2)
-select doc_id, item_id, cast(c as bigint) as shared, cast(n as bigint) as item_shingles from c join n using (item_id) where 100 * c >= {LEAKS.percent} * n"""
+  n as (select item_id, count(*) as n from i group by 1), k as (select item_id, regexp_extract_all({_LOWER}, {WORD}) as w from benchmark),
+  c as (select doc_id, item_id, count(*) as c from d join i using (s) join k using (item_id) where len(w) >= 5 group by 1, 2),
+  short as (select doc_id, item_id from k join (select doc_id, regexp_extract_all({_LOWER}, {WORD}) as v from documents) t on len(w) between 1 and 4
+    where len(list_filter(range(1, len(v) - len(w) + 2), lambda p: v[p:p + len(w) - 1] = w)) > 0)
+select doc_id, item_id, cast(c as bigint) as shared, cast(n as bigint) as item_shingles from c join n using (item_id) where 100 * c >= {LEAKS.percent} * n
+union all select doc_id, item_id, 1, 1 from short"""
 
 MIXED = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), {WORD})) as bigint) as size from documents),
   s as (select source, sum(size)::bigint as n, [{', '.join(map(str, MIX.weights))}][(row_number() over (order by source nulls last) - 1) % {len(MIX.weights)} + 1]::bigint as w from d group by 1),

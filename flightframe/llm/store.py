@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote, urlparse
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there, for tasks that write files of their own."""
+    where = urlparse(folder)
+    return (fs.LocalFileSystem(), unquote(where.path)) if where.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
+
+
 def column(name: str) -> Column:
     """A column by its whole name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")

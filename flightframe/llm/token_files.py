@@ -21,18 +21,16 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightframe.llm.lexicon import Lexicon, ragged, spread
-from flightframe.llm.store import column, shared_folder, type_of, written
+from flightframe.llm.store import column, filesystem, shared_folder, type_of, written
 from flightframe.llm.words import pieces
 
 MAGIC = b"FFT1"
@@ -255,14 +253,9 @@ def _counted(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
 
-def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    where = urlparse(folder)
-    return (fs.LocalFileSystem(), unquote(where.path)) if where.scheme in ("", "file") else fs.FileSystem.from_uri(folder)
-
-
 def _filed(batches: Iterator[pa.RecordBatch], folder: str, codes: Codes, policy: TokenPolicy, kind: str) -> Iterator[pa.RecordBatch]:
     """Writes files of the sorted rows and hands on their common name; a task that runs again takes another."""
-    store, place = _filesystem(folder)
+    store, place = filesystem(folder)
     store.create_dir(place)
     encoder, partition, before, held, files = codes.encoder(), TaskContext.get().partitionId(), 0, 0, 0
     name = f"part-{partition}-{uuid.uuid4().hex}"

@@ -68,12 +68,20 @@ def test_leaked_items(spark, portion):
     item = " ".join(f"q{i}" for i in range(20))
     cut = item.replace("q0 ", "").replace("q1 ", "").replace("q2 ", "")
     held = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one"), (5, item)], "item long, xml string")
-    data = EDGES + [(30, f"{LONG} {item} end"), (31, cut), (32, " ".join(item.split()[:14]))]
+    data = EDGES + [(30, f"{LONG} {item} end"), (31, cut), (32, " ".join(item.split()[:14])), (33, "Only ONE here"), (34, "oneself two three")]
     out = {(r.path, r.item): (r.shared, r.item_shingles) for r in leaked_items(rows(spark, data), held, policy=LeakPolicy(index_shingles=portion)).collect()}
-    assert out == {(30, 1): (16, 16), (30, 5): (16, 16), (31, 1): (13, 16), (31, 5): (13, 16), (4, 4): (1, 1)}
+    assert out == {(30, 1): (16, 16), (30, 5): (16, 16), (31, 1): (13, 16), (31, 5): (13, 16), (4, 4): (1, 1), (33, 4): (1, 1)}
     assert leaked_items(rows(spark, data), held.limit(0)).collect() == []
 
 
+def test_short_items_and_many_equal_ones(spark):
+    """Items of one to four words inside longer files, and equal items, which are shared out over the portions."""
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d", "b c", "z", "a b", *["q w e r t y"] * 30])], "item long, xml string")
+    data = [(1, "x A B c D y"), (2, "b c"), (3, "c b"), (4, "1 2 q w e r t y 3")]
+    out = Counter((r.path, r.item) for r in leaked_items(rows(spark, data), held, policy=LeakPolicy(index_shingles=7)).collect())
+    assert out == Counter([(1, 0), (1, 1), (1, 3), (2, 1), *[(4, i) for i in range(4, 34)]])
+
+
 def test_mix(spark):
     frames = spark.createDataFrame([(1, "b", "x y"), (2, "a", "x"), (2, "a", "x"), (3, None, "x y z"), (None, "a", None)], "frame_id long, video string, xml string")
     out = mix_copies(frames.withColumn("size", F.lit("q")).withColumn("rate", F.lit(1))).collect()
@@ -123,13 +131,15 @@ def test_language_model(spark):
     model = train(spark.createDataFrame([(t,) for t in texts] + [(None,)], "payload string"))
     words, chance = plain_model([*texts, ""])
     assert model.vocabulary == len(words)
+    singles = Counter(t for text in [*texts, ""] for t in [*text.lower().split(), END])
     for first in (None, "a", "e", "unseen"):
         assert sum(chance(first, w) for w in [*words, "new"]) == pytest.approx(1)
     asked = [(1, "a b new c"), (2, None), (3, "new new"), (3, "new new"), (None, "B A")]
     for row in score_payloads(rows(spark, asked, "url long, payload string"), model).collect():
         tokens = [*(dict(asked)[row.url] or "").lower().split(), END]
         assert row.score == pytest.approx(sum(math.log10(chance(a, b)) for a, b in zip([None, *tokens], tokens)))
-        assert row.n_tokens == len(tokens)
+        assert row.n_tokens == len(tokens) and row.n_known == sum(singles[t] > 0 for t in tokens) and model.tokens == sum(singles.values())
+        assert row.base_score == pytest.approx(sum(math.log10((singles[t] + 1) / (sum(singles.values()) + len(singles) + 1)) for t in tokens))
     empty = train(spark.createDataFrame([], "payload string"))
     assert score_payloads(rows(spark, [(1, "x")], "url long, payload string"), empty).first().score == 0
 
@@ -203,6 +213,47 @@ def test_personal_data(spark):
     assert with_personal_data(rows(spark, []), "xml").collect() == []
 
 
+def test_votes_are_weighed_like_a_plain_estimate(spark):
+    """Expectation-maximisation and the classifier against a restatement on the same spans."""
+    from flightframe.llm.private import KINDS, VOTES, span_weights
+
+    names = [f"user{i}@mail.example.org" for i in range(40)] + [f"a{i}@b" for i in range(25)]
+    texts = [f"mail {n} or call +1 (551) 555-08{i % 90 + 10} ip 10.0.{i}.{i * 7 % 300} card 4111 1111 1111 1111 note {i}.{i}.{i}.{i}" for i, n in enumerate(names)]
+    table = proposed(spark.createDataFrame(list(enumerate(texts)), "path long, xml string"), "xml")
+    spans = [s for r in table.collect() for s in r.proposals]
+    counts, shapes = Counter((s.kind, *[s[v] for v in VOTES]) for s in spans), Counter((s.kind, *[s[v] for v in VOTES], s.shape) for s in spans)
+    real_mass, false_mass = Counter(), Counter()
+    for kind in {s.kind for s in spans}:
+        own = {k[1:]: n for k, n in counts.items() if k[0] == kind}
+        share, real, false = 0.5, [0.95, 0.7, 0.3, 0.9], [0.05, 0.3, 0.05, 0.5]
+
+        def chance(votes):
+            a, b = share, 1 - share
+            for i, v in enumerate(votes):
+                a, b = a * (real[i] if v else 1 - real[i]), b * (false[i] if v else 1 - false[i])
+            return a / (a + b)
+
+        for _ in range(20):
+            p = {v: chance(v) for v in own}
+            yes, no = sum(n * p[v] for v, n in own.items()), sum(n * (1 - p[v]) for v, n in own.items())
+            share = (yes + 1) / (yes + no + 2)
+            real = [max(0.02, min(0.995, (sum(n * p[v] for v, n in own.items() if v[i]) + 1) / (yes + 2))) for i in range(len(VOTES))]
+            false = [max(0.005, min(0.98, (sum(n * (1 - p[v]) for v, n in own.items() if v[i]) + 1) / (no + 2))) for i in range(len(VOTES))]
+        for (k, *rest), n in shapes.items():
+            if k == kind:
+                votes, p = tuple(rest[:-1]), chance(tuple(rest[:-1]))
+                for feature in [kind, *[f"{kind}:{v}:{x}" for v, x in zip(VOTES, votes)], f"{kind}:shape:{rest[-1]}"]:
+                    real_mass[feature] += n * p
+                    false_mass[feature] += n * (1 - p)
+    got = span_weights(table)
+    assert set(got) == set(real_mass) and {k.split(":")[0] for k in got} <= set(KINDS) and len(got) > 15
+    for feature, weight in got.items():
+        kind = feature.split(":")[0]
+        a, b = real_mass[feature], false_mass[feature]
+        want = math.log((a + 1) / (b + 1)) if feature == kind else math.log((a + 1) / (real_mass[kind] + 2)) - math.log((b + 1) / (false_mass[kind] + 2))
+        assert weight == pytest.approx(want, abs=1e-9), feature
+
+
 def test_personal_data_beside_and_beyond_strict_matches(spark):
     """Cards next to other digits, and what gazetteer and words in front propose where no strict pattern matches."""
     total = lambda w: sum(x - 9 if x > 9 else x for x in [int(y) * (1 + i % 2) for i, y in enumerate(reversed(w))])
