@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flightframe.catalog import query
@@ -12,6 +14,7 @@ from flightframe.functions import numbers as N
 from flightframe.functions.boxes import parse_box
 from flightframe.operators import payload as P
 from flightframe.operators import references as R
+from flightframe.operators.matching import DescriptorStore
 from flightframe.plans.settle import checkpoint_folder
 from flightframe.sources import annotations as A
 from flightframe.sources import frames as S
@@ -130,6 +133,23 @@ def descriptors_missing(spark, sf_dir):
     return missing_descriptors(catalog, catalog.where("object_id % 3 = 0"))
 
 
+@query(
+    "descriptors_stored",
+    """with c as (select sha256(encode(text)) as content_hash, 'm' || (doc_id % 2) as model_hash, doc_id as object_id from documents),
+w as (select content_hash, model_hash, min(object_id) filter (where object_id % 3 = 0) as early, min(object_id) as any_id from c group by 1, 2)
+select content_hash, model_hash, coalesce(early, any_id) as object_id, case when early is null then 2 else 1 end as run from w""",
+)
+def descriptors_stored(spark, sf_dir):
+    """A third of the pictures in a first run, all of them in a second, and nothing left for a third."""
+    catalog = view(spark, sf_dir, "documents").select(
+        F.sha2("text", 256).alias("content_hash"), F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model_hash"), F.col("doc_id").alias("object_id"))
+    schema = catalog.withColumn("run", F.lit(0)).schema
+    store = DescriptorStore(spark, f"{checkpoint_folder(spark)}/descriptors/{uuid.uuid4().hex}", schema)
+    for run, part in enumerate((catalog.where("object_id % 3 = 0"), catalog, catalog), 1):
+        store.add(part, lambda missing, run=run: missing.withColumn("run", F.lit(run)))
+    return store.stored()
+
+
 def annotation_files(spark, sf_dir):
     """One XML text per box, with two objects whose second repeats the first in places."""
     b = view(spark, sf_dir, "v_boxes")
@@ -203,8 +223,6 @@ def pair_truth_checked(spark, sf_dir):
 
 @query("reports_written", f"{DET} select cls, count(*) as n, round(avg(conf), 6) as mean_conf from det group by cls")
 def reports_written(spark, sf_dir):
-    import uuid
-
     summary = rounded(detections(spark, sf_dir).groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf")))
     folder = f"{checkpoint_folder(spark)}/reports/{uuid.uuid4().hex}"
     T.write_reports({"classes": summary}, folder)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from flightframe.functions.boxes import Box, area, clip
 from flightframe.functions.numbers import clamp
 from flightframe.operators.greedy import keep_best
 from flightframe.operators.overlap import join_meeting_boxes
+from flightframe.plans.committed import CommittedTable
 from flightframe.plans.settle import settle
 from flightframe.policies import MatchingPolicy
 
@@ -160,15 +161,16 @@ def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(points) < 3:
         return points
 
-    def chain(ordered: np.ndarray) -> list[np.ndarray]:
-        kept: list[np.ndarray] = []
+    def chain(ordered: list[list[float]]) -> list[list[float]]:
+        kept: list[list[float]] = []
         for p in ordered:
-            while len(kept) > 1 and np.linalg.det(np.array([kept[-1] - kept[-2], p - kept[-1]])) <= 0:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-1][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-1][0]):
                 kept.pop()
             kept.append(p)
         return kept[:-1]
 
-    return np.array(chain(points) + chain(points[::-1]))
+    listed = points.tolist()
+    return np.array(chain(listed) + chain(listed[::-1]))
 
 
 def hull_area(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -341,3 +343,29 @@ def missing_descriptors(catalog: DataFrame, stored: DataFrame) -> DataFrame:
     keys = ["content_hash", "model_hash"]
     wanted = catalog.groupBy(*keys).agg(F.min("object_id").alias("object_id"), F.count(F.lit(1)).alias("copies"))
     return wanted.join(stored.select(*keys), keys, "left_anti")
+
+
+class DescriptorStore:
+    """Descriptors by content and model, appended in parts and never computed twice.
+
+    ``schema`` are the columns of a descriptor's rows, with ``content_hash`` and ``model_hash``. An append that is
+    interrupted leaves nothing that readers see, and is made anew by the next one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType) -> None:
+        self.table, self.schema = CommittedTable(spark, folder), schema
+
+    def stored(self) -> DataFrame:
+        return self.table.rows(self.schema)
+
+    def add(self, catalog: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
+        """Append what ``compute`` makes of the pictures not stored yet (``content_hash``, ``model_hash``, ``object_id``,
+        ``copies``), and how many these were. ``compute`` is not called without any."""
+        known = self.stored().select("content_hash", "model_hash").distinct()
+        missing = settle(missing_descriptors(catalog, known))
+        count = missing.count()
+        if count:
+            part = max(self.table.parts(), default=-1) + 1
+            self.table.write(compute(missing).select(*[f.name for f in self.schema.fields]), part)
+            self.table.commit(part)
+        return count

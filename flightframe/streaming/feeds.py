@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from flightframe.plans.committed import CommittedTable
 from flightframe.plans.settle import checkpoint_folder
 
 BATCH_ROWS = 4000
@@ -76,30 +76,13 @@ def run_in_slices(df: DataFrame, name: str, live: Callable[[DataFrame], DataFram
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-class AnswerSink:
+class AnswerSink(CommittedTable):
     """Answers written batch by batch, each batch once.
 
-    For ``foreachBatch``: a batch's rows go to a folder of its number, in place of what a failed attempt may have left
-    there, and count once its number is committed. A batch that comes again after its commit changes nothing; a
-    batch that failed before it is written anew. ``answers`` reads committed batches only.
+    For ``foreachBatch``: a batch that comes again after its commit changes nothing; one that failed before it
+    is written anew. ``answers`` reads committed batches only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def _known(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-
-    def committed(self, batch: int) -> bool:
-        return self._known(f"{self.folder}/commits/batch={batch}/_SUCCESS")
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
-
-    def commit(self, batch: int) -> None:
-        self.spark.range(1).select(F.lit(batch).cast("long").alias("number")).write.mode("overwrite").parquet(f"{self.folder}/commits/batch={batch}")
-
     def __call__(self, rows: DataFrame, batch: int) -> None:
         if self.committed(batch):
             # Its answers stay; the state behind it may not have been kept, so it is made again.
@@ -109,11 +92,7 @@ class AnswerSink:
         self.commit(batch)
 
     def answers(self, schema: StructType) -> DataFrame:
-        if not self._known(f"{self.folder}/commits"):
-            return self.spark.createDataFrame([], schema)
-        done = self.spark.read.parquet(f"{self.folder}/commits").select(F.col("number").alias("batch"))
-        numbered = StructType([*schema.fields, StructField("batch", LongType())])
-        return self.spark.read.schema(numbered).parquet(f"{self.folder}/rows").join(done, "batch", "left_semi").drop("batch")
+        return self.rows(schema)
 
     def run(self, stream: DataFrame) -> None:
         """Process what has arrived; after a failure, called again with the same stream it goes on where it stopped."""

@@ -320,6 +320,26 @@ def test_answers_are_committed_once(spark, tmp_path):
     assert sink.answers(live.schema).count() == 40
 
 
+def test_descriptors_are_computed_once(spark, tmp_path):
+    catalog = spark.createDataFrame([(f"h{i % 7}", "m", i) for i in range(20)], "content_hash string, model_hash string, object_id long")
+    store, asked = M.DescriptorStore(spark, str(tmp_path / "store"), catalog.schema), []
+
+    def compute(missing):
+        asked.append(sorted(r.content_hash for r in missing.collect()))
+        return missing
+
+    assert store.add(catalog.where("object_id < 3"), compute) == 3 and asked == [["h0", "h1", "h2"]]
+    write = store.table.commit
+    store.table.commit = lambda part: (_ for _ in ()).throw(RuntimeError("lost before the commit"))
+    with pytest.raises(RuntimeError):
+        store.add(catalog, compute)
+    store.table.commit = write
+    assert store.stored().count() == 3 and store.table.parts() == [0]
+    assert store.add(catalog, compute) == 4 and asked[1] == asked[2] == ["h3", "h4", "h5", "h6"]
+    assert store.add(catalog, compute) == 0 and len(asked) == 3
+    assert sorted(r.content_hash for r in store.stored().collect()) == [f"h{i}" for i in range(7)] and store.table.parts() == [0, 1]
+
+
 def test_track_gate_batch_and_live(spark):
     policy = TrackPolicy(ttl=3, min_area_share=0.3)
     fields = ("x1", "y1", "x2", "y2", "conf", "peak")
