@@ -193,6 +193,26 @@ def motion_refitted(spark, sf_dir):
     return fit.select("pair", F.round("yaw", 6).alias("yaw"), F.round("tx", 5).alias("tx"), F.round("ty", 5).alias("ty"))
 
 
-@query("planar_motion_fit")
+_LEAST = lambda p: f"""sum(1) as {p}n, sum(x0 - 250) as {p}u, sum(y0 - 200) as {p}v, sum(x1 - x0) as {p}dx, sum(y1 - y0) as {p}dy, sum((x0 - 250) * (x0 - 250) + (y0 - 200) * (y0 - 200)) as {p}r, sum((y0 - 200) * (x1 - x0) - (x0 - 250) * (y1 - y0)) as {p}m"""
+_SOLVED = "select *, (yaw * sv - sdx) / sn as tx, (-yaw * su - sdy) / sn as ty from (select *, (sm - (sv * sdx - su * sdy) / sn) / case when sr - (su * su + sv * sv) / sn > 1e-9 then sr - (su * su + sv * sv) / sn end as yaw from {t}) z"
+_OFF = "sqrt(power(-{m}.tx + {m}.yaw * (g.y0 - 200) - (g.x1 - g.x0), 2) + power(-{m}.ty - {m}.yaw * (g.x0 - 250) - (g.y1 - g.y0), 2))"
+_HEX = lambda text, place: f"cast('0x' || substr(md5({text}), {place}, 13) as bigint)"
+_PLANAR = _TRACKS.replace("{v}", ctes("v_tracks")) + f""", sz as (select pair, count(*) as tracked from g group by pair),
+en as (select g.*, unnest(range(1, cast(greatest(1, ceil(2400e0 / tracked)) as bigint) + 1)) as i from g join sz using (pair) where tracked >= 12),
+eh as (select *, {_HEX("track_id || ':' || i", 1)} % 200 as h from en),
+eo as (select pair, h, track_id, struct_pack(o := {_HEX("track_id || '@' || h", 1)}, t := track_id, x0 := x0, y0 := y0, x1 := x1, y1 := y1) as pt, struct_pack(p := {_HEX("track_id || '@' || h", 14)}, t := track_id) as po from eh),
+th as (select pair, h, min(pt) as a, max(pt) as c, arg_min(pt, po) as b from eo group by pair, h),
+pk as (select pair, h, unnest([a, b, c], recursive := false) as pt from th where a <> b and b <> c and a <> c), px as (select pair, h, pt.x0 as x0, pt.y0 as y0, pt.x1 as x1, pt.y1 as y1 from pk),
+ms as (select pair, h, {_LEAST('s')} from px group by pair, h), mo as (select * from ({_SOLVED.format(t='ms')}) y where yaw is not null),
+vt as (select mo.pair, mo.h, any_value(mo.tx) as tx, any_value(mo.ty) as ty, any_value(mo.yaw) as yaw, count(*) as votes from mo join g on g.pair = mo.pair where {_OFF.format(m='mo')} <= 2 group by mo.pair, mo.h),
+be as (select * from (select *, row_number() over (partition by pair order by votes desc, h) as place from vt) z where place = 1 and votes >= 3),
+su_ as (select g.pair, {_LEAST('s')} from g join be using (pair) where {_OFF.format(m='be')} <= 2 group by g.pair), rf as ({_SOLVED.format(t='su_')}),
+ju as (select g.pair, any_value(rf.tx) as tx, any_value(rf.ty) as ty, any_value(rf.yaw) as yaw, count(*) filter (where {_OFF.format(m='rf')} <= 2) as inliers, sqrt(avg(power({_OFF.format(m='rf')}, 2)) filter (where {_OFF.format(m='rf')} <= 2)) as rms from g join rf on rf.pair = g.pair group by g.pair),
+al as (select pair, coalesce(tracked, 0) as tracked, tx, ty, yaw, inliers, rms, coalesce(inliers * 1e0 / tracked, 0) as inlier_ratio from (select distinct pair from p) e left join sz using (pair) left join ju using (pair)),
+re as (select *, case when tracked < 12 then 'insufficient_features' when yaw is null then 'ransac_failed' when not coalesce(inliers >= 8 and inlier_ratio >= 0.5 and rms <= 2, false) then 'low_quality' end as reason from al)
+select pair, tracked, coalesce(inliers, 0) as inliers, round(inlier_ratio, 4) as inlier_ratio, round(rms, 4) as rms, reason is null as valid, reason, round(case when reason is null then tx end, 4) as dx, round(case when reason is null then ty end, 4) as dy, round(case when reason is null then yaw end, 4) as yaw from re"""
+
+
+@query("planar_motion_fit", _PLANAR)
 def planar_motion_fit(spark, sf_dir):
     return rounded(M.planar_motion_fit(tracks(spark, sf_dir), camera=CAMERA, policy=MotionFitPolicy(fb_error_px=0.7)), 4)

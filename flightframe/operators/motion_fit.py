@@ -59,6 +59,11 @@ def refit(tracks: DataFrame, keys: Sequence[str], inlier: Column, camera: Camera
     return fitted.select(*keys, "tracked", *[c.alias(n) for n, c in _solution().items()])
 
 
+def _drawn(track: str, with_: Column, mark: str, place: int) -> Column:
+    """A number below 2^52 from 13 hexadecimal digits of the MD5 of a track and something else, so draws are the same anywhere."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(track).cast("string"), F.lit(mark), with_.cast("string"))), place, 13), 16, 10).cast("long")
+
+
 def planar_motion_fit(
     tracks: DataFrame, keys: Sequence[str] = ("pair",), camera: CameraModel = CameraModel(),
     policy: MotionFitPolicy = MotionFitPolicy(), track: str = "track_id",
@@ -74,13 +79,12 @@ def planar_motion_fit(
     # depends on the tracks, so small pairs are tried as often as large ones.
     draws = F.lit(policy.hypotheses)
     share = F.greatest(F.lit(1), F.ceil(F.lit(12.0) * draws / F.col("tracked"))).cast("int")
-    entered = good.join(enough, keys).withColumn(
-        "_h", F.explode(F.transform(F.sequence(F.lit(1), share), lambda i: F.pmod(F.xxhash64(F.col(track), i), draws.cast("long"))))
-    ).withColumn("_o", F.xxhash64(track, "_h"))
+    entered = good.join(enough, keys).withColumn("_i", F.explode(F.sequence(F.lit(1), share))).withColumn(
+        "_h", _drawn(track, F.col("_i"), ":", 1) % draws.cast("long"))
+    entered = entered.withColumn("_o", _drawn(track, F.col("_h"), "@", 1)).withColumn("_p", _drawn(track, F.col("_h"), "@", 14))
     point = F.struct("_o", F.col(track).alias("t"), "x0", "y0", "x1", "y1")
     third = entered.groupBy(*keys, "_h").agg(
-        F.min(point).alias("a"), F.max(point).alias("c"),
-        F.min_by(point, F.struct(F.pmod(F.xxhash64(F.col("_o")), F.lit(1 << 40)), F.col(track))).alias("b"),
+        F.min(point).alias("a"), F.max(point).alias("c"), F.min_by(point, F.struct("_p", F.col(track))).alias("b"),
     )
     picked = third.where((F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))).select(
         *keys, "_h", F.explode(F.array("a", "b", "c")).alias("p")
