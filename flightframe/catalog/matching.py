@@ -72,7 +72,7 @@ def truth_resolution(spark, sf_dir):
 
 def correspondences(spark, sf_dir):
     p = view(spark, sf_dir, "v_patches")
-    return M.mutual_nearest(p.where("side = 0"), p.where("side = 1"), ["pair"], SIMILARITY)
+    return M.mutual_nearest(p.where("side = 0"), p.where("side = 1"), ["pair"], SIMILARITY, block=16)
 
 
 _NEAR = ctes("v_patches") + f""", d as (select pair, side, patch, embedding::double[] as e from v_patches), s as (select a.pair, a.patch as l, b.patch as r, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) as similarity from d a join d b on a.pair = b.pair and a.side = 0 and b.side = 1),

@@ -18,7 +18,7 @@ from flightframe.plans.committed import CommittedTable
 from flightframe.plans.settle import settle
 from flightframe.policies import MatchingPolicy
 
-_BLOCK = 1024
+_BLOCK, _SLACK = 1024, 1e-9
 
 
 def descriptor_faults(left: DataFrame, right: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
@@ -38,34 +38,83 @@ def descriptor_faults(left: DataFrame, right: DataFrame, keys: Sequence[str], ve
     return folded.select(*keys, reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def _blocks(df: DataFrame, keys: list[str], index: str, vector: str, side: str) -> DataFrame:
-    """Rows packed into blocks of at most 1,024 descriptors (indexes are unique in a group)."""
-    entry = F.struct(F.col(index).alias("i"), F.col(vector).alias("v"))
-    packed = df.groupBy(*keys, F.floor(F.col(index) / _BLOCK).cast("long").alias(f"{side}_block")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_r")
-    )
+def _signs(vector: Column, bits: Column) -> Column:
+    """Which side of ``bits`` fixed hyperplanes a vector lies on, as one number: like directions share it more often."""
+    spread = lambda j: F.aggregate(
+        F.transform(vector, lambda v, i: F.when(F.pmod(F.xxhash64(i, j), F.lit(2)) == 0, v).otherwise(-v).cast("double")), F.lit(0.0), lambda total, x: total + x)
+    return F.aggregate(
+        F.sequence(F.lit(1), bits), F.lit(0), lambda found, j: F.when(bits == 0, 0).otherwise(found * 2 + F.when(spread(j) > 0, 1).otherwise(0)))
+
+
+def _blocks(df: DataFrame, keys: list[str], index: str, vector: str, side: str, block: int) -> DataFrame:
+    """Rows packed into blocks of at most ``block`` descriptors of like direction, with the block's centre and the
+    angle of the descriptor farthest from it (indexes are unique in a group)."""
+    sizes = df.groupBy(*keys).agg(F.least(F.lit(12), F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(block))))).cast("int").alias("_bits"))
+    dealt = df.join(sizes, keys).withColumn("_side", _signs(F.col(vector), F.col("_bits")))
+    counts = dealt.groupBy(*keys, "_side").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_pieces"))
+    number = F.col("_side").cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.col(index)), F.col("_pieces"))
+    entry = F.struct(F.col(index).cast("long").alias("i"), F.col(vector).alias("v"))
+    packed = dealt.join(counts, [*keys, "_side"]).groupBy(*keys, number.alias(f"{side}_block")).agg(F.array_sort(F.collect_list(entry)).alias("_r"))
     return packed.select(
         *keys, f"{side}_block", F.transform("_r", lambda r: r["i"]).alias(f"{side}_ids"),
-        F.flatten(F.transform("_r", lambda r: r["v"])).alias(f"{side}_values"),
-    )
+        F.flatten(F.transform("_r", lambda r: r["v"])).cast("array<double>").alias(f"{side}_values"))
+
+
+def _balls(packed: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """Centre (a unit vector) and widest angle of each block."""
+    @F.pandas_udf("struct<centre:array<double>,radius:double>")
+    def ball(values: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = []
+        for flat, n in zip(values, sizes):
+            rows = np.asarray(flat, float).reshape(n, -1)
+            rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            centre = rows.mean(axis=0)
+            length = np.linalg.norm(centre)
+            centre = centre / length if length > 1e-9 else rows[0]
+            out.append((centre.tolist(), float(np.arccos(np.clip(rows @ centre, -1, 1)).max())))
+        return pd.DataFrame(out, columns=["centre", "radius"])
+
+    told = packed.select(*keys, f"{side}_block", ball(f"{side}_values", F.size(f"{side}_ids")).alias("_b"))
+    return told.select(*keys, f"{side}_block", F.col("_b.centre").alias(f"{side}_centre"), F.col("_b.radius").alias(f"{side}_radius"))
+
+
+def facing_blocks(a: DataFrame, b: DataFrame, keys: Sequence[str], min_similarity: float) -> DataFrame:
+    """Pairs of a left and a right block (``l_block``, ``r_block``) and whether they have to meet.
+
+    No pair of descriptors is more alike than the angle between the centres less both radii allows, and none less than with both
+    added. So blocks need not meet if that is below the asked similarity, or below what each of the two surely
+    finds elsewhere. The bounds are taken a little wider than they are, for rounding.
+    """
+    keys = list(keys)
+    pairs = _balls(a, keys, "l").join(_balls(b, keys, "r"), keys)
+    cosine = F.aggregate(F.zip_with("l_centre", "r_centre", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    angle = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+    both = F.col("l_radius") + F.col("r_radius")
+    bounded = pairs.select(*keys, "l_block", "r_block", F.cos(F.greatest(F.lit(0.0), angle - both - _SLACK)).alias("_most"),
+                           F.cos(F.least(F.lit(float(np.pi)), angle + both + _SLACK)).alias("_least"))
+    bounded = settle(bounded)
+    sure = lambda side: bounded.groupBy(*keys, f"{side}_block").agg(F.max("_least").alias(f"_{side}"))
+    judged = bounded.join(sure("l"), [*keys, "l_block"]).join(sure("r"), [*keys, "r_block"])
+    meets = (F.col("_most") >= min_similarity - _SLACK) & ((F.col("_most") >= F.col("_l")) | (F.col("_most") >= F.col("_r")))
+    return judged.select(*keys, "l_block", "r_block", meets.alias("meets"))
 
 
 def mutual_nearest(
     left: DataFrame, right: DataFrame, keys: Sequence[str], min_similarity: float = 0.45,
-    index: str = "patch", vector: str = "embedding",
+    index: str = "patch", vector: str = "embedding", block: int = _BLOCK,
 ) -> DataFrame:
     """Pairs that are each other's most similar descriptor (cosine) within their group.
 
-    Blocks of both sides meet once; each meeting reports only its best partner per row, so what
-    leaves a task grows with the rows, not with their pairs. Equal similarity goes to the lower
-    index. Groups with faulty descriptors give nothing.
+    Descriptors are packed into blocks of like direction. Blocks that may hold each other's nearest ones meet once; each
+    meeting reports only its best partner per row, so what leaves a task grows with the rows, not with their
+    pairs. Equal similarity goes to the lower index. Groups with faulty descriptors give nothing.
     """
     keys = list(keys)
     faults = descriptor_faults(left, right, keys, vector).select(*keys)
-    a = settle(_blocks(left.join(faults, keys, "left_anti"), keys, index, vector, "l"))
-    b = settle(_blocks(right.join(faults, keys, "left_anti"), keys, index, vector, "r"))
+    a = settle(_blocks(left.join(faults, keys, "left_anti"), keys, index, vector, "l", block))
+    b = settle(_blocks(right.join(faults, keys, "left_anti"), keys, index, vector, "r", block))
     # Block ids pair up first and the packed rows join by block, so no task holds a whole group.
-    pairs = a.select(*keys, "l_block").join(b.select(*keys, "r_block"), keys)
+    pairs = facing_blocks(a, b, keys, min_similarity).where("meets").drop("meets")
     met = pairs.join(a, [*keys, "l_block"]).join(b, [*keys, "r_block"])
     fields = [f for f in left.schema.fields if f.name in keys]
     schema = T.StructType(

@@ -374,6 +374,28 @@ def test_mutual_nearest_identity_and_faults(spark):
     assert [tuple(r) for r in M.descriptor_faults(left, left, ["pair"]).collect()] == [("zero", "descriptor_zero_norm")]
 
 
+def test_mutual_nearest_skips_blocks_that_are_apart(spark):
+    """Descriptors in clusters, with equal ones and lone ones: many blocks never meet, and no partner is lost."""
+    centres = rng.normal(size=(24, 16))
+    def side(n):
+        v = centres[rng.integers(0, 24, n)] + rng.normal(size=(n, 16)) * 0.05
+        v[::300], v[1::50] = rng.normal(size=(len(v[::300]), 16)), centres[0]
+        return v
+    a, b = side(900), side(700)
+    frame = lambda v: spark.createDataFrame([("p", i, x.tolist()) for i, x in enumerate(v)], "pair string, patch long, embedding array<double>")
+    left, right = frame(a), frame(b)
+    got = {(r.l, r.r): r.similarity for r in M.mutual_nearest(left, right, ["pair"], 0.9, block=32).collect()}
+    s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    to_right, to_left = s.round(12).argmax(1), s.round(12).argmax(0)
+    wanted = {(i, int(j)): s[i, j] for i, j in enumerate(to_right) if to_left[j] == i and s[i, j] >= 0.9}
+    assert got.keys() == wanted.keys() and len(wanted) > 100 and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    blocks = lambda df, side: M._blocks(df, ["pair"], "patch", "embedding", side, 32)
+    facing = M.facing_blocks(blocks(left, "l"), blocks(right, "r"), ["pair"], 0.9).groupBy("meets").count()
+    share = {r.meets: r["count"] for r in facing.collect()}
+    print(f"blocks that need not meet: {share[False]} of {share[False] + share[True]}")
+    assert share[False] > 0.3 * (share[False] + share[True])
+
+
 @pytest.mark.parametrize("limit", [5, 1000])
 def test_spatial_dedup_and_hull(spark, limit):
     n = 60
