@@ -272,6 +272,9 @@ def near_duplicate_files(files: DataFrame, path: str = "path", xml: str = "xml",
     facts = written(models.join(met.withColumnRenamed("model", "path"), "path", "left_semi").join(lone, "path", "left").select(
         "path", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("common"), "signature", "sketch"))
 
+    # A file that has too little in common with all others together is similar enough to none.
+    facts = facts.where(100 * F.col("common") >= policy.percent * F.col("n"))
+    shared = written(shared.join(facts.select("path"), "path", "left_semi"))
     # Files meet the pivots of their keys; what is then connected is not compared again.
     known, found, links, tested = shared.withColumn("component", F.col("path")), None, None, None
     for turn in range(policy.turns):
