@@ -259,10 +259,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def train(payloads: DataFrame, payload: str = "payload") -> Model:
+def train(payloads: DataFrame, payload: str = "payload", shard_chars: int = 400_000_000) -> Model:
     """A model of all texts of ``payloads``, its files in a new folder below ``spark.checkpoint.dir``.
 
-    That folder must be mounted on every machine, as memory can only be mapped from there.
+    That folder must be mounted on every machine, as memory can only be mapped from there. There is a shard per
+    ``shard_chars`` characters of text, and no fewer than shuffle partitions, so what a task adds up does not grow
+    with the corpus. A null payload counts as empty, its end as its only token; repeated rows count repeatedly, other
+    columns are ignored. An empty table gives a model without tokens, by which every token has the chance 1.
     """
     spark = payloads.sparkSession
     where = urlparse(shared_folder(spark))
@@ -270,8 +273,9 @@ def train(payloads: DataFrame, payload: str = "payload") -> Model:
         raise ValueError("spark.checkpoint.dir must be a folder that is mounted on all machines")
     folder = unquote(where.path)
     os.makedirs(folder, exist_ok=True)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = payloads.select(column(payload).cast("string").alias("payload"))
+    chars = texts.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // shard_chars))
     blobs = "shard long, keys binary, counts binary"
 
     tokens = texts.mapInArrow(lambda b: _counted(b, lambda c: _tokens(c)[0], lambda k: _shard(k, shards)), blobs)
