@@ -13,7 +13,9 @@ QUICK = (
     "match_threshold_sensitivity", "timeout_sensitivity", "continuity", "motion_baseline", "trajectory", "gps_phase", "calibration_samples",
     "references_read", "frames_read", "dataset_issues", "active_references", "local_threshold_sweep", "cross_validation", "mutual_nearest",
     "global_motion", "vehicle_motion_residual", "threshold_sweep", "leaderboards", "profiles_selected", "pareto_frontier", "parameter_sensitivity",
-    "scene_threshold_sweep_full", "names_canonical", "continuity_stream",
+    "scene_threshold_sweep_full", "names_canonical", "continuity_stream", "hull_coverage", "spatial_dedup", "rolling_calibration", "translation_estimated",
+    "gps_loss_report", "patches_marked", "patch_regions", "ensemble_regions", "matrices_plausible", "planar_motion_fit", "match_distributions",
+    "sessions_stream", "sessions_forgotten", "answers_committed", "annotations_read", "pair_truth_read", "descriptors_stored",
 )
 
 
