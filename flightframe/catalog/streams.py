@@ -77,12 +77,12 @@ def dedupe_live(spark, sf_dir):
     return feeds.run_available(J.dedupe_frames_stream(live), "dedupe").select("session", "frame_id")
 
 
-@query("answers_committed", ctes("v_frames") + " select distinct session, frame_id, video from v_frames where k <> 98")
+@query("answers_committed", ctes("v_frames") + " select distinct session, frame_id from v_frames where k <> 98")
 def answers_committed(spark, sf_dir):
     """Answers to frames as they arrive, each frame's once, committed batch by batch."""
-    frames = _timed(spark, sf_dir).where("k <> 98").select("session", "frame_id", "video", "seq", "ts")
-    live = J.dedupe_frames_stream(feeds.arriving(frames, "answers")).select("session", "frame_id", "video")
-    sink = feeds.AnswerSink(spark, f"{checkpoint_folder(spark)}/answers/{uuid.uuid4().hex}")
+    frames = _timed(spark, sf_dir).where("k <> 98").select("session", "frame_id", "seq", "ts")
+    live = J.dedupe_frames_stream(feeds.arriving(frames, "answers")).select("session", "frame_id")
+    sink = feeds.AnswerSink(spark, f"{checkpoint_folder(spark)}/answers/{uuid.uuid4().hex}", ["session", "frame_id"])
     sink.run(live)
     return sink.answers(live.schema)
 

@@ -42,9 +42,11 @@ class CommittedTable:
     def commit(self, part: int) -> None:
         self.spark.range(1).select(F.lit(part).cast("long").alias("number")).write.mode("overwrite").parquet(f"{self.folder}/commits/part={part}")
 
-    def rows(self, schema: StructType) -> DataFrame:
+    def rows(self, schema: StructType, but: int | None = None) -> DataFrame:
+        """Rows of the committed parts; the files of part ``but``, which may be about to be replaced, are not touched."""
         if not self._known(f"{self.folder}/commits"):
             return self.spark.createDataFrame([], schema)
         done = self.spark.read.parquet(f"{self.folder}/commits").select(F.col("number").alias("part"))
         numbered = StructType([*schema.fields, StructField("part", LongType())])
-        return self.spark.read.schema(numbered).parquet(f"{self.folder}/rows").join(done, "part", "left_semi").drop("part")
+        found = self.spark.read.schema(numbered).parquet(f"{self.folder}/rows")
+        return (found if but is None else found.where(F.col("part") != but)).join(done, "part", "left_semi").drop("part")

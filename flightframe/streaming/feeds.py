@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -80,9 +80,19 @@ class AnswerSink(CommittedTable):
     """Answers written batch by batch, each batch once.
 
     For ``foreachBatch``: a batch that comes again after its commit changes nothing; one that failed before it
-    is written anew. ``answers`` reads committed batches only.
+    is written anew. ``answers`` reads committed batches only. With ``keys``, what a committed batch has answered is
+    left out of later ones, however long ago that was: only the keys of the answers are read for it.
     """
 
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> None:
+        super().__init__(spark, folder)
+        self.keys = list(keys)
+
+    def write(self, rows: DataFrame, part: int) -> None:
+        if self.keys:
+            rows = rows.join(self.rows(rows.schema, but=part).select(*self.keys), self.keys, "left_anti").select(*rows.columns)
+        super().write(rows, part)
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         if self.committed(batch):
             # Its answers stay; the state behind it may not have been kept, so it is made again.

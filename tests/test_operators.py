@@ -304,7 +304,7 @@ def test_answers_are_committed_once(spark, tmp_path):
                 del self.failures[step]
                 raise RuntimeError(f"lost after {step}")
 
-    sink = Failing(spark, str(tmp_path / "answers"))
+    sink = Failing(spark, str(tmp_path / "answers"), ["session", "frame_id"])
     live = J.dedupe_frames_stream(feeds.arriving(frames, "once", rows=12)).select("session", "frame_id", "seq")
     assert sink.answers(live.schema).count() == 0
     seen = []
@@ -318,6 +318,9 @@ def test_answers_are_committed_once(spark, tmp_path):
     assert seen == [(True, False), (False, True)] and sorted(answers) == sorted(f"f{i}" for i in range(40))
     sink(spark.createDataFrame([(9, "late", 1)], live.schema), 0)
     assert sink.answers(live.schema).count() == 40
+    # Long after the stream has forgotten them, frames answered before are not answered again.
+    sink(spark.createDataFrame([(1, "f3", 999), (1, "new", 999)], live.schema), 99)
+    assert sink.answers(live.schema).count() == 41
 
 
 def test_descriptors_are_computed_once(spark, tmp_path):
