@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from flightframe.llm.store import column, filesystem, shared_folder, type_of, written
 from flightframe.llm.words import U, pieces, runs, sets_of, shingles_of, words_of
 
-_STRETCH = 32 << 20
+_STRETCH = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -143,12 +143,13 @@ def _kept(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["n"])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of batches, put together up to ``most`` bytes."""
     held, size = [], 0
     for batch in pieces(batches):
         held.append(batch)
         size += batch.nbytes
-        if size >= _STRETCH:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -156,7 +157,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatc
 
 
 def _searched(batches: Iterator[pa.RecordBatch], folder: str, portions: int, policy: LeakPolicy) -> Iterator[pa.RecordBatch]:
-    for stretch in _stretches(batches):
+    # With one portion there is nothing to save by putting pieces together.
+    for stretch in _stretches(batches, _STRETCH if portions > 1 else 0):
         told = [words_of(batch.column(1), lower=True) for batch in stretch]
         sets = [sets_of(shingles_of(words, policy.shingle)) for words in told]
         for number in range(portions):
